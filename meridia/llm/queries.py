@@ -15,12 +15,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import groups
+
+    return groups(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
@@ -34,7 +46,43 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_files, op7_token_counts, op10_packing)
+    f.__name__: f for f in (op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op10_packing)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM d""",
+    "op6_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, md5(coalesce(text, '')) AS text_hash,
+                 len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+          FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (
+          SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+                 ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1] AS weight
+          FROM s),
+        l AS (
+          SELECT *, cap / weight AS r,
+                 ((SELECT sum(source_size) FROM s)::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM w),
+        t AS (
+          SELECT source, source_size,
+                 least(cap, weight * (SELECT level FROM l WHERE level * weight <= cap ORDER BY r, source LIMIT 1)) AS target
+          FROM l),
+        q AS (
+          SELECT d.doc_id, d.source, d.text_hash, d.size, t.target, turn,
+                 sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, md5(concat_ws(':', d.doc_id, turn, d.text_hash)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS u(turn)
+          WHERE d.size > 0),
+        k AS (
+          SELECT doc_id, text_hash, sum(greatest(0, least(floor(target), ended) - ended + size)) AS taken,
+                 min(CASE WHEN least(floor(target), ended) - ended + size > 0 THEN ended / target END) AS first_finish
+          FROM q GROUP BY doc_id, text_hash)
+        SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, k.first_finish
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.doc_id = d.doc_id AND k.text_hash = d.text_hash""",
+}
