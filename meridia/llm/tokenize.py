@@ -1,9 +1,10 @@
-"""Token ids of whole texts, a memo of the encodings of white-space units in each worker.
+"""Token ids of whole texts, with a memo of encodings in each worker.
 
-A unit is a run of characters up to, not including, the next ASCII white space that
-follows a character which is not white space. No pre-token of a byte-level BPE crosses
-such a border, so the ids of a text are those of its units in a row. Texts with other
-white space are encoded whole.
+A text is cut into units, runs of characters up to, not including, the next ASCII white space
+that follows a character which is not white space. No pre-token of a byte-level BPE crosses
+such a border, nor the one between letters and the punctuation or the single line end that
+follows them, so the ids of a text are those of its parts in a row. The tokenizers library
+encodes each part when a worker first meets it. Texts with other white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Entries of a worker's memo; it is emptied when full.
-MEMO = 800_000
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: Entries of each of the two generations of a memo; when the young one is full it replaces the old one.
+MEMO = 500_000
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _BEFORE_SPACE = tuple(c + " " for c in " \n\t\r\x0b\x0c")
+#: Punctuation that may follow a word; neither the apostrophe of contractions nor what special strings end with.
+_TAIL = ",.;:!?*&%$#)]}\"-"
 
 
 @lru_cache(maxsize=4)
@@ -28,38 +31,85 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _parts(unit: str, lead: str) -> list[tuple[str, str]]:
+    """(text, its leading space or none) of the parts of a unit."""
+    if "\n" in unit:
+        a, _, b = unit.partition("\n")
+        if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace():
+            return [*_parts(a, lead), ("\n", ""), *_parts(b, "")]
+        return [(unit, lead)]
+    core = unit.rstrip(_TAIL)
+    if len(core) < len(unit) and core.isalpha():
+        return [(core, lead), (unit[len(core) :], "")]
+    return [(unit, lead)]
+
+
+class _Memo(dict):
+    """Ids by unit. Units that are not there are noted in missed; look() brings them from the older generation."""
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
+        self.missed: list[str] = []
+
+    def __missing__(self, key: str) -> None:
+        self.missed.append(key)
+
+    def look(self, key: str) -> bytes | None:
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """encode(text): the ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.tok = load(path)
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _new(self, units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _of(self, memo: dict[str, bytes], units: list[str], lead: str) -> list[bytes]:
-        out = list(map(memo.get, units))
-        if None in out:
-            missing = list({u for u, o in zip(units, out) if o is None})
-            found = dict(zip(missing, self._new([lead + u for u in missing])))
-            if len(memo) > MEMO:
-                memo.clear()
-            memo.update(x for x in found.items() if len(x[0]) <= 48)
-            out = [found[u] if o is None else o for u, o in zip(units, out)]
+        self.memos = {"": _Memo(), " ": _Memo()}
+
+    def _new(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of(self, units: list[str], lead: str) -> list[bytes]:
+        memo = self.memos[lead]
+        out = list(map(memo.__getitem__, units))
+        if missed := memo.missed:
+            memo.missed = []
+            self._learn(memo, missed, lead)
+            at = -1
+            for unit in missed:
+                at = out.index(None, at + 1)
+                out[at] = memo[unit]
         return out
 
+    def _learn(self, memo: _Memo, missed: list[str], lead: str) -> None:
+        cut = {u: _parts(u, lead) for u in set(missed) if memo.look(u) is None}
+        parts = {p for of in cut.values() for p in of}
+        new = [p for p in parts if self.memos[p[1]].look(p[0]) is None]
+        for p, ids in zip(new, self._new([p[1] + p[0] for p in new])):
+            self.memos[p[1]][p[0]] = ids
+        for unit, of in cut.items():
+            if len(of) > 1:
+                memo[unit] = b"".join([self.memos[b][a] for a, b in of])
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _OTHER_SPACE.search(text):
             return self._new([text])[0]
+        for memo in self.memos.values():
+            memo.age()
         if any(x in text for x in _BEFORE_SPACE):
-            return b"".join(self._of(self.plain, _UNIT.findall(text), ""))
+            return b"".join(self._of(_UNIT.findall(text), ""))
         first, *rest = text.split(" ")
-        head = self._of(self.plain, [first], "") if first else []
-        return b"".join(head + self._of(self.spaced, rest, " "))
+        head = self._of([first], "") if first else []
+        return b"".join(head + self._of(rest, " "))
 
 
 @lru_cache(maxsize=4)
