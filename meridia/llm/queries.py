@@ -39,6 +39,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=0.8)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -46,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op10_packing)
+    f.__name__: f for f in (op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_near_dedup, op10_packing)
 }
 
 ORACLES: dict[str, str] = {
