@@ -155,6 +155,7 @@ def groups(documents: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = each.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     found = verified.join(first, "sha").select("sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+    found = written(found, "groups")  # so that the next join's hot keys can be split
     single = F.col("group_size").isNull()
     return each.join(found, "sha", "left").select(
         "doc_id",
