@@ -21,6 +21,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import groups
 
@@ -65,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_near_dedup, op9_quality, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_neighbours, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_near_dedup, op9_quality, op10_packing)
 }
 
 ORACLES: dict[str, str] = {
