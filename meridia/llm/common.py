@@ -55,3 +55,19 @@ def documents_of(df: DataFrame, *more: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 4. A null doc_id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)), F.lit(0)).cast("int")
+
+
+def frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest n, at most `most` of them: all above a cut that a histogram of n gives.
+
+    Rows of about the same n are taken together or not at all; no task gathers more than a histogram.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = {r.step: r.rows for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()}
+    cut, taken = None, 0
+    for k in sorted(sizes, reverse=True):
+        taken += sizes[k]
+        if taken > most:
+            break
+        cut = k
+    return counted.where(step >= cut) if cut is not None else counted.where("false")

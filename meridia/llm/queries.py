@@ -27,6 +27,19 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what labels call good, without the held-out fold."""
+    from pyspark.sql import functions as F
+
+    from .common import fold
+    from .labelled import HELD_OUT
+    from .lm_score import cross_entropy_difference
+
+    documents = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id")
+    return cross_entropy_difference(documents, documents.join(good, "doc_id", "left_semi"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import groups
 
@@ -71,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_neighbours, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_near_dedup, op9_quality, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_lm_scoring, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_near_dedup, op9_quality, op10_packing)
 }
 
 ORACLES: dict[str, str] = {
