@@ -111,3 +111,22 @@ def test_packing_keeps_every_id_once(spark, monkeypatch, fan_in):
 def test_packing_of_repeated_and_null_rows(spark):
     pieces = pack(frame(spark), BYTES).collect()
     assert sum(p.length for p in pieces) == sum(len(ids(BYTES, r[1])) + 1 for r in rows())
+
+
+def test_encoder_is_the_library(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from meridia.llm import tokenize
+
+    r = random.Random(2)
+    pieces = [*",.!?;:*%$)-\" \n\t\r\x0b\x0c\xa0 　\x1c\x85ab'sé1½<>|字😀_\x00ABC", "  ", "<|endoftext|>", "it's", "word ", "The,\nEnd"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(4000)] + [t[1] or "" for t in rows()]
+    want = [array("I", e.ids).tobytes() for e in load(BYTES).encode_batch_fast(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokenize, "MEMO", 300)
+    monkeypatch.setattr(tokenize, "AT_ONCE", 2000)
+    encoder = tokenize.Encoder(BYTES)
+    assert list(encoder.column(pa.array(texts))) == want
+    assert list(map(encoder.encode, texts)) == want
+    assert list(encoder.column(pa.array([None, ""], pa.string()))) == [b"", b""]
