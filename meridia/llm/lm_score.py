@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of, frequent
-from .token_count import _task_counts
+from .token_count import task_counts
 
 VOCABULARY = 1 << 15
 SLOTS = 1 << 20
@@ -146,7 +146,7 @@ def _scored(shared):
 
 
 def vocabulary_of(docs: DataFrame, most: int) -> dict[bytes, int]:
-    counts = docs.select("text").mapInArrow(_task_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(task_counts(words_of), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {w: k for k, w in enumerate(sorted(bytes(r.word) for r in frequent(counts.where(F.octet_length("word") <= 64), most).select("word").collect()))}
 
 

@@ -3,7 +3,7 @@
 1. Each task counts the white-space pre-tokens of its documents; Spark sums the counts into
    one row for each distinct pre-token of the corpus.
 2. The tokenizer counts the pieces of each distinct pre-token once.
-3. The HOT most frequent pre-tokens are broadcast: at most HOT entries of at most HOT_BYTES
+3. The most frequent pre-tokens are broadcast: at most HOT entries of at most HOT_BYTES
    each, whatever the corpus. A document's frequencies of these are summed where it is read.
    All other (document, pre-token, frequency) rows are joined with the pieces by pre-token.
 No token id is kept anywhere.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, written
+from .common import documents_of, frequent, written
 from .tokenize import load
 
 HOT = 1 << 18
@@ -39,20 +39,25 @@ def pre_tokens(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def _task_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+def task_counts(split):
+    """Occurrences of what split finds in the texts of a task: rows word, n; a word may come more than once."""
 
-    def out() -> pa.RecordBatch:
-        made = pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-        held.clear()
-        return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            held.clear()
+            return made
 
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.update(pre_tokens(text))
-            if len(held) > HELD:
-                yield out()
-    yield out()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.update(split(text))
+                if len(held) > HELD:
+                    yield out()
+        yield out()
+
+    return run
 
 
 def _pieces(path: str):
@@ -106,7 +111,7 @@ def _frequencies(hot):
 
 def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     """A row for each distinct pre-token: word, n (occurrences), pieces. Written to the shared folder."""
-    counts = docs.select("text").mapInArrow(_task_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(task_counts(pre_tokens), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return written(counts.mapInArrow(_pieces(path), "word binary, n long, pieces int"), "pre-tokens")
 
 
@@ -115,7 +120,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
     docs = documents_of(documents)
     spark = docs.sparkSession
     words = vocabulary(docs, path)
-    top = words.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT)
+    top = frequent(words.where(F.octet_length("word") <= HOT_BYTES), HOT)
     hot = spark.sparkContext.broadcast({bytes(r.word): r.pieces for r in top.select("word", "pieces").toLocalIterator()})
     rows = docs.mapInArrow(_frequencies(hot), "key long, doc_id long, n_bytes long, word binary, freq long")
     return (
