@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import flows
+from . import flows, oracle_strategies, strategies
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -23,6 +23,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "price_perf": flows.price_perf,
     "bank_vintages": flows.vintages,
     "vintage_asof": lambda t: flows.vintage_asof(flows.vintages(t), AS_OF),
+    **strategies.STRATEGIES,
+    "multi_signal": strategies.multi_signal,
+    "conviction_facts": strategies.conviction_facts,
 }
 
 _VINTAGES = """older AS (SELECT DATE '2001-04-15' AS banked_at, * FROM inst_flow_ticker WHERE latest_filing <= DATE '2001-03-31'),
@@ -35,6 +38,7 @@ SQL: dict[str, str] = {
     **{n: f"SELECT * FROM {n}" for n in ("eod_prices", "fundamentals", "statements", "earnings_history", "inst_flow", "fund_flow", "inst_flow_ticker", "fund_flow_ticker", "price_perf")},
     "bank_vintages": f"WITH {_VINTAGES} SELECT * FROM vintages",
     "vintage_asof": f"WITH {_VINTAGES} SELECT * FROM vintages WHERE banked_at <= DATE '2001-06-30' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY banked_at DESC) = 1",
+    **oracle_strategies.SQL,
 }
 
 
