@@ -116,9 +116,18 @@ def suspect_fingerprints(fingerprints: DataFrame, n: int) -> DataFrame:
     return written(sent.join(bitmaps, ["owner", "sender"]).mapInArrow(_marked, "fp long"), "suspects")
 
 
-def bloom_filter(suspects: DataFrame):
-    """A Column -> Column that is true for each fp of suspects, and seldom for others."""
-    spark = suspects.sparkSession
+def in_bloom(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether each fingerprint may be in a filter."""
+    x = fp.view(np.uint64)
+    low, high, found = x & np.uint64(2**32 - 1), x >> np.uint64(32), np.ones(len(x), bool)
+    for i in range(BLOOM_HASHES):
+        bit = (low + np.uint64(i) * high) & np.uint64(len(table) * 64 - 1)
+        found &= (table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
+    return found
+
+
+def bloom_table(suspects: DataFrame):
+    """The broadcast bits of a filter over the column fp of suspects."""
     n = suspects.count()
     bits = min(BLOOM_BITS, 1 << max(10, (16 * n).bit_length()))
     at = F.expr(f"transform(sequence(0, {BLOOM_HASHES - 1}), i -> ((fp & 4294967295) + i * shiftrightunsigned(fp, 32)) & {bits - 1})")
@@ -130,16 +139,16 @@ def bloom_filter(suspects: DataFrame):
     )
     table = np.zeros(bits // 64, np.uint64)
     table[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
+    return suspects.sparkSession.sparkContext.broadcast(table)
+
+
+def bloom_filter(suspects: DataFrame):
+    """A Column -> Column that is true for each fp of suspects, and seldom for others."""
+    shared = bloom_table(suspects)
 
     @F.pandas_udf("boolean")
     def maybe(fp: pd.Series) -> pd.Series:
-        x, table = fp.to_numpy(np.int64).view(np.uint64), shared.value
-        low, high, found = x & np.uint64(2**32 - 1), x >> np.uint64(32), np.ones(len(x), bool)
-        for i in range(BLOOM_HASHES):
-            bit = (low + np.uint64(i) * high) & np.uint64(len(table) * 64 - 1)
-            found &= (table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
-        return pd.Series(found)
+        return pd.Series(in_bloom(shared.value, fp.to_numpy(np.int64)))
 
     return maybe
 

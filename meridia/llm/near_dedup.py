@@ -12,12 +12,11 @@ words the whole sequence is its one shingle; without words it is empty and linke
    whose sketches differ by no more than `reach` bits, five standard deviations above the mean
    at the threshold, are confirmed on their full sets, and links give components.
 4. What a star can miss: in buckets whose members lie in more than one component, members outside
-   the largest are compared with all others, by sketch, in chunks of at most about CHUNK by CHUNK; pairs in one
-   component already are left out. Those that pass are confirmed too.
+   the largest are compared with all others in cells of about CHUNK by CHUNK, first by sketch; members that have
+   a near one in another component come again with their full sets, and a cell emits the links that join components.
 5. Components of all links.
 
-So pairs within a group are never all emitted, unless they all look alike and none links,
-and no link between different sets is lost but by the chances above.
+So pairs within a group are never all emitted, and no link between different sets is lost but by the chances above.
 Full sets are made again only for documents in pairs that passed the sketches.
 
 Null text is empty text. Repeated rows and equal or null doc_ids are documents of their own;
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, written
 from .components import components
-from .exact_dedup import bloom_filter
+from .exact_dedup import bloom_filter, bloom_table, in_bloom
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
@@ -69,7 +68,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -171,11 +170,14 @@ def _signatures(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, wanted):
+    """set_key and members of the texts whose fingerprints are in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            asked = in_bloom(wanted.value, batch.column("fp").to_numpy())
             seen, keys, sets = set(), [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("text").filter(pa.array(asked)).to_pylist():
                 x = shingles(text, width)
                 if len(x) and (key := set_key(x)) not in seen:
                     seen.add(key)
@@ -190,58 +192,103 @@ def _sets(width: int):
 
 
 class _Confirm:
-    """Pairs a, b of representatives -> those that are links."""
+    """What confirms links between representatives: their sketches, and their full sets for those that need them."""
 
     def __init__(self, docs: DataFrame, standing: DataFrame, width: int, similarity: float):
         self.docs, self.standing, self.width = docs, standing, width
         self.percent, self.reach = round(similarity * 100), reach(similarity)
 
-    def __call__(self, pairs: DataFrame, sketched: bool = False) -> DataFrame:
-        if not sketched:
-            sketch = self.standing.select("row", "sketch")
-            a = sketch.select(F.col("row").alias("a"), F.col("sketch").alias("sa"))
-            b = sketch.select(F.col("row").alias("b"), F.col("sketch").alias("sb"))
-            differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-            pairs = pairs.join(a, "a").join(b, "b").where(differ <= self.reach).select("a", "b")
-        pairs = written(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-        ends = written(self.standing.select("row", "fp", "set_key", "n_shingles").join(ends, "row"), "ends")
-        maybe = bloom_filter(ends.select("fp"))
-        sets = self.docs.where(maybe("fp")).select("text").mapInArrow(_sets(self.width), "set_key binary, members array<long>")
+    def sets(self, rows: DataFrame) -> DataFrame:
+        """row, n_shingles, members of each distinct row of rows."""
+        ends = written(self.standing.select("row", "fp", "set_key", "n_shingles").join(rows.distinct(), "row"), "ends")
+        wanted = bloom_table(ends.select("fp"))
+        sets = self.docs.select("fp", "text").mapInArrow(_sets(self.width, wanted), "set_key binary, members array<long>")
         sets = sets.groupBy("set_key").agg(F.first("members").alias("members"))
-        sets = written(ends.join(sets, "set_key").select("row", "n_shingles", "members"), "sets")
+        return written(ends.join(sets, "set_key").select("row", "n_shingles", "members"), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs a, b that are links."""
+        sketch = self.standing.select("row", "sketch")
+        a = sketch.select(F.col("row").alias("a"), F.col("sketch").alias("sa"))
+        b = sketch.select(F.col("row").alias("b"), F.col("sketch").alias("sb"))
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+        pairs = written(pairs.join(a, "a").join(b, "b").where(differ <= self.reach).select("a", "b"), "pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("row")))
         a = sets.select(F.col("row").alias("a"), F.col("n_shingles").alias("na"), F.col("members").alias("ma"))
         b = sets.select(F.col("row").alias("b"), F.col("n_shingles").alias("nb"), F.col("members").alias("mb"))
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ma", "mb")))
         return written(both.where(100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
 
 
-def _across(most: int):
-    """Pairs of outsiders and members of a bucket that lie in different components and whose sketches are near."""
+def _cells(part: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of each cell of a group."""
+    if not len(part):
+        return []
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+
+
+def _sketched(most: int):
+    """The rows of each cell that have a partner in another component, an outsider or for outsiders a member, with a near sketch."""
 
     def run(rows: pa.Table) -> pa.Table:
-        bucket, row, component = (rows.column(c).to_numpy() for c in ("part", "row", "component"))
+        part, component = rows.column("part").to_numpy(), rows.column("component").to_numpy()
         outsider = rows.column("outsider").to_numpy(zero_copy_only=False)
         sketch = rows.column("sketch").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] + 1 if len(order) else 0))
-        found = []
-        for at in np.split(order, cuts[1:]):
+        keep = np.zeros(len(part), bool)
+        for at in _cells(part):
             out, all_ = at[outsider[at]], at[~outsider[at]]
             for k in range(0, len(out), 32):
                 o = out[k : k + 32]
                 differ = np.bitwise_count(sketch[o][:, None, :] ^ sketch[all_][None, :, :]).sum(axis=2, dtype=np.int32)
-                i, j = np.nonzero((differ <= most) & (component[o][:, None] != component[all_][None, :]))
-                found.append(np.stack([row[o[i]], row[all_[j]]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                near = (differ <= most) & (component[o][:, None] != component[all_][None, :])
+                keep[o] |= near.any(axis=1)
+                keep[all_] |= near.any(axis=0)
+        return rows.select(["part", "row", "component", "outsider"]).filter(pa.array(keep))
+
+    return run
+
+
+def _linked(percent: int):
+    """Links of each cell between components, by full sets; no more than join them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, row, component = (rows.column(c).to_numpy() for c in ("part", "row", "component"))
+        outsider = rows.column("outsider").to_numpy(zero_copy_only=False)
+        members = rows.column("members").combine_chunks()
+        flat, ends = members.values.to_numpy(), members.offsets.to_numpy()
+        sizes = np.diff(ends)
+        links: list[tuple[int, int]] = []
+        for at in _cells(part):
+            out, all_ = at[outsider[at]], at[~outsider[at]]
+            if not len(out) or not len(all_):
+                continue
+            pool = np.concatenate([flat[ends[k] : ends[k + 1]] for k in all_])
+            owner = np.repeat(np.arange(len(all_)), sizes[all_])
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            for o in out:
+                own = np.sort(flat[ends[o] : ends[o + 1]])
+                place = np.minimum(np.searchsorted(own, pool), len(own) - 1)
+                common = np.bincount(owner[own[place] == pool], minlength=len(all_))
+                for k in all_[100 * common >= percent * (sizes[o] + sizes[all_] - common)]:
+                    x, y = root(component[o]), root(component[k])
+                    if x != y:
+                        joined[x] = y
+                        links.append((min(row[o], row[k]), max(row[o], row[k])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _left_over(shared: DataFrame, found: DataFrame, standing: DataFrame, most: int) -> DataFrame:
-    """Pairs a, b that the stars left open."""
+def _left_over(shared: DataFrame, found: DataFrame, confirm: _Confirm) -> DataFrame:
+    """Links a, b between components that the stars left apart."""
     component = F.coalesce("component", F.col("row"))
     in_bucket = shared.where("n > 2").select("key", "row").join(found.withColumnRenamed("node", "row"), "row", "left").select("key", "row", component.alias("component"))
     in_bucket = written(in_bucket, "members")
@@ -253,15 +300,18 @@ def _left_over(shared: DataFrame, found: DataFrame, standing: DataFrame, most: i
         F.ceil(F.col("members") / CHUNK).cast("long").alias("chunks"),
         F.ceil((F.col("members") - F.col("top.n")) / CHUNK).cast("long").alias("out_chunks"),
     )
-    rows = in_bucket.join(opened, "key").withColumn("outside", F.col("component") != F.col("largest"))
-    chunk = F.pmod(F.xxhash64("row"), F.col("chunks"))
-    out_chunk = F.pmod(F.xxhash64("row"), F.col("out_chunks"))
-    member = rows.select("key", "row", "component", F.lit(False).alias("outsider"), chunk.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_chunks") - 1)).alias("j"))
-    out = rows.where("outside").select("key", "row", "component", F.lit(True).alias("outsider"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i"), out_chunk.alias("j"))
+    rows = in_bucket.join(written(opened, "opened"), "key").withColumn("outside", F.col("component") != F.col("largest"))
+    chunk, out_chunk = F.pmod(F.xxhash64("row"), F.col("chunks")), F.pmod(F.xxhash64("row"), F.col("out_chunks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    member = rows.select("key", "row", "component", F.lit(False).alias("outsider"), chunk.alias("i"), every("out_chunks").alias("j"))
+    out = rows.where("outside").select("key", "row", "component", F.lit(True).alias("outsider"), every("chunks").alias("i"), out_chunk.alias("j"))
     cells = written(member.unionByName(out).select("row", "component", "outsider", F.xxhash64("key", "i", "j").alias("part")), "cells")
-    groups = max(1, cells.count() // GROUP_ROWS)
-    cells = cells.join(standing.select("row", "sketch"), "row").withColumn("g", F.pmod("part", F.lit(groups)))
-    return cells.groupBy("g").applyInArrow(_across(most), "a long, b long").distinct()
+    group = F.pmod("part", F.lit(max(1, cells.count() // GROUP_ROWS))).alias("g")
+    sketched = cells.join(confirm.standing.select("row", "sketch"), "row").withColumn("g", group)
+    near = written(sketched.groupBy("g").applyInArrow(_sketched(confirm.reach), "part long, row long, component long, outsider boolean"), "near")
+    group = F.pmod("part", F.lit(max(1, near.count() // (GROUP_ROWS // 4)))).alias("g")
+    full = near.join(confirm.sets(near.select("row")), "row").withColumn("g", group)
+    return full.groupBy("g").applyInArrow(_linked(confirm.percent), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -274,17 +324,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     confirm = _Confirm(docs, standing, width, similarity)
 
     members = standing.select("row", F.explode("bands").alias("key"))
-    pivot = F.min(F.struct(F.xxhash64("row", "key"), "row"))["row"].alias("pivot")
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), pivot).where("n > 1")
-    shared = written(members.join(buckets, "key"), "buckets")
+    # The least of row xor key is another member's row in each band, and a plain minimum for Spark.
+    least = F.min(F.col("row").bitwiseXOR(F.col("key")))
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), least.alias("least")).where("n > 1")
+    buckets = written(buckets.select("key", "n", F.col("least").bitwiseXOR(F.col("key")).alias("pivot")), "buckets")
+    shared = written(members.join(buckets, "key"), "shared")
     stars = shared.where("row <> pivot").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
-    links = confirm(stars)
-    found = components(links)
-    more = _left_over(shared, found, standing, confirm.reach)
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(more, sketched=True)))
+    found = components(confirm.links(stars))
+    more = _left_over(shared, found, confirm)
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     of_class = classes.join(found.withColumnRenamed("node", "row"), "row", "left").select("set_key", "doc_id", F.coalesce("component", F.col("row")).alias("component"))
-    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = written(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     named = of_class.join(least, "component").select("set_key", "component_id")
     component_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
