@@ -97,9 +97,8 @@ def _pack_texts(path: str, end_id: int, size: int, most: int):
         rows = _Rows(TaskContext.get().partitionId() << 40)
         packer = Packer(rows.emit, size, most)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = tok.encode(text) + end
-                packer.add(doc_id, 0, ids, len(ids) // _WIDTH)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
+                packer.add(doc_id, 0, ids + end, len(ids) // _WIDTH + 1)
             yield rows.batch()
         rows.emit(packer.close(), keep=True)
         yield rows.batch()

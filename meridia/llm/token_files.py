@@ -148,8 +148,8 @@ def _write(folder: str, path: str, end_id: int, kind: str):
         with store.open_output_stream(f"{root}/{name}") as sink:
             writer = ShardWriter(sink, kind)
             for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    writer.add(doc_id, tok.encode(text) + end)
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
+                    writer.add(doc_id, ids + end)
             writer.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "n_docs": len(writer.lengths), "n_tokens": sum(writer.lengths)}])
 

@@ -5,6 +5,9 @@ that follows a character which is not white space. No pre-token of a byte-level
 such a border, nor the one between letters and the punctuation or the single line end that
 follows them, so the ids of a text are those of its parts in a row. The tokenizers library
 encodes each part when a worker first meets it. Texts with other white space are encoded whole.
+
+Columns of texts are cut, looked up and put together in Arrow, so Python sees each distinct unit
+of a few megabytes of text once.
 """
 
 from __future__ import annotations
@@ -12,13 +15,22 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
-#: Entries of each of the two generations of a memo; when the young one is full it replaces the old one.
-MEMO = 500_000
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Entries of each of the two generations of the memo; when the young one is full it replaces the old one.
+MEMO = 400_000
+#: Bytes of text that are cut at once, about.
+AT_ONCE = 6 << 20
+_OTHER_SPACE = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+_WHOLE = re.compile(f"[{_OTHER_SPACE}]")
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_BEFORE_SPACE = tuple(c + " " for c in " \n\t\r\x0b\x0c")
+#: Texts that are not cut in columns: with other white space, two white spaces in a row, or the mark used in cutting.
+_ODD = f"[ \t-\r][ \t-\r]|[\x00{_OTHER_SPACE}]"
 #: Punctuation that may follow a word; neither the apostrophe of contractions nor what special strings end with.
 _TAIL = ",.;:!?*&%$#)]}\"-"
 
@@ -31,85 +43,76 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def _parts(unit: str, lead: str) -> list[tuple[str, str]]:
-    """(text, its leading space or none) of the parts of a unit."""
-    if "\n" in unit:
-        a, _, b = unit.partition("\n")
-        if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace():
-            return [*_parts(a, lead), ("\n", ""), *_parts(b, "")]
-        return [(unit, lead)]
-    core = unit.rstrip(_TAIL)
-    if len(core) < len(unit) and core.isalpha():
-        return [(core, lead), (unit[len(core) :], "")]
-    return [(unit, lead)]
-
-
-class _Memo(dict):
-    """Ids by unit. Units that are not there are noted in missed; look() brings them from the older generation."""
-
-    def __init__(self):
-        self.old: dict[str, bytes] = {}
-        self.missed: list[str] = []
-
-    def __missing__(self, key: str) -> None:
-        self.missed.append(key)
-
-    def look(self, key: str) -> bytes | None:
-        value = self.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self[key] = value
-        return value
-
-    def age(self) -> None:
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
-    """encode(text): the ids as little-endian unsigned 32-bit integers."""
+    """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.tok = load(path)
-        self.memos = {"": _Memo(), " ": _Memo()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _new(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of(self, units: list[str], lead: str) -> list[bytes]:
-        memo = self.memos[lead]
-        out = list(map(memo.__getitem__, units))
-        if missed := memo.missed:
-            memo.missed = []
-            self._learn(memo, missed, lead)
-            at = -1
-            for unit in missed:
-                at = out.index(None, at + 1)
-                out[at] = memo[unit]
+    def _known(self, parts: list[str]) -> list[bytes]:
+        if len(self.young) >= MEMO:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, parts))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        unknown = []
+        for k in missing:
+            if (ids := old.get(parts[k])) is None:
+                unknown.append(k)
+            else:
+                out[k] = young[parts[k]] = ids
+        for k, ids in zip(unknown, self._new([parts[k] for k in unknown])):
+            out[k] = ids
+            if len(parts[k]) <= 48:
+                young[parts[k]] = ids
         return out
 
-    def _learn(self, memo: _Memo, missed: list[str], lead: str) -> None:
-        cut = {u: _parts(u, lead) for u in set(missed) if memo.look(u) is None}
-        parts = {p for of in cut.values() for p in of}
-        new = [p for p in parts if self.memos[p[1]].look(p[0]) is None]
-        for p, ids in zip(new, self._new([p[1] + p[0] for p in new])):
-            self.memos[p[1]][p[0]] = ids
-        for unit, of in cut.items():
-            if len(of) > 1:
-                memo[unit] = b"".join([self.memos[b][a] for a, b in of])
+    def _column(self, parts: pa.Array) -> pa.Array:
+        coded = parts.dictionary_encode()
+        return pa.array(self._known(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if _WHOLE.search(text):
             return self._new([text])[0]
-        for memo in self.memos.values():
-            memo.age()
-        if any(x in text for x in _BEFORE_SPACE):
-            return b"".join(self._of(_UNIT.findall(text), ""))
-        first, *rest = text.split(" ")
-        head = self._of([first], "") if first else []
-        return b"".join(head + self._of(rest, " "))
+        return b"".join(self._known(_UNIT.findall(text)))
+
+    def _cut(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD)
+        marked = pc.replace_substring(pc.replace_substring(texts.filter(pc.invert(odd)), " ", "\x00 "), "\n", "\x00\n\x00")
+        units = pc.split_pattern(marked, "\x00")
+        coded = units.flatten().dictionary_encode()
+        core = pc.utf8_rtrim(coded.dictionary, _TAIL)
+        core = pc.if_else(pc.utf8_is_alpha(pc.utf8_ltrim(core, " ")), core, coded.dictionary)
+        tail = pa.array([u[len(c) :] for u, c in zip(coded.dictionary.to_pylist(), core.to_pylist())], pa.string())
+        ids = pc.binary_join_element_wise(self._column(core), self._column(tail), b"").take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4) if len(ids) else np.zeros(1, np.int32)
+        first = units.offsets.to_numpy() - units.offsets[0].as_py() if len(units) else np.zeros(1, np.int32)
+        raw, at = memoryview(ids.buffers()[2] or b""), iter(ends[first].tolist())
+        begin = next(at)
+        for k, is_odd in enumerate(odd.to_pylist()):
+            if is_odd:
+                yield self.encode(texts[k].as_py())
+            else:
+                end = next(at)
+                yield raw[begin:end].tobytes()
+                begin = end
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column; null: none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + AT_ONCE)))
+            yield from self._cut(texts.slice(start, stop - start).cast(pa.string()))
+            start = stop
 
 
 @lru_cache(maxsize=4)
