@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import flows, oracle_strategies, strategies
+from . import backtest, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_strategies, strategies
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -26,6 +26,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **strategies.STRATEGIES,
     "multi_signal": strategies.multi_signal,
     "conviction_facts": strategies.conviction_facts,
+    **newsletter.SECTIONS,
+    "newsletter_payload": newsletter.newsletter_payload,
+    **backtest.PLANS,
 }
 
 _VINTAGES = """older AS (SELECT DATE '2001-04-15' AS banked_at, * FROM inst_flow_ticker WHERE latest_filing <= DATE '2001-03-31'),
@@ -39,6 +42,8 @@ SQL: dict[str, str] = {
     "bank_vintages": f"WITH {_VINTAGES} SELECT * FROM vintages",
     "vintage_asof": f"WITH {_VINTAGES} SELECT * FROM vintages WHERE banked_at <= DATE '2001-06-30' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY banked_at DESC) = 1",
     **oracle_strategies.SQL,
+    **oracle_newsletter.SQL,
+    **oracle_backtest.SQL,
 }
 
 
