@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import backtest, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_strategies, strategies
+from . import backtest, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_strategies, portfolio, signals, ssg, strategies
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -29,6 +29,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **newsletter.SECTIONS,
     "newsletter_payload": newsletter.newsletter_payload,
     **backtest.PLANS,
+    **signals.PLANS,
+    **portfolio.PLANS,
+    **ssg.PLANS,
 }
 
 _VINTAGES = """older AS (SELECT DATE '2001-04-15' AS banked_at, * FROM inst_flow_ticker WHERE latest_filing <= DATE '2001-03-31'),
@@ -44,6 +47,7 @@ SQL: dict[str, str] = {
     **oracle_strategies.SQL,
     **oracle_newsletter.SQL,
     **oracle_backtest.SQL,
+    **oracle_rest.SQL,
 }
 
 
