@@ -29,7 +29,7 @@ def _sma(n: int) -> str:
 
 
 _W20 = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-_S, _SS = f"CAST(sum(CAST(close AS DECIMAL(12,4))) {_W20} AS DOUBLE)", f"CAST(sum(CAST(CAST(close AS DECIMAL(12,4)) * CAST(close AS DECIMAL(12,4)) AS DECIMAL(24,8))) {_W20} AS DOUBLE)"
+_S, _SS = f"CAST(sum(CAST(close AS DECIMAL(12,4))) {_W20} AS DOUBLE)", f"CAST(sum(CAST(CAST(close AS DECIMAL(18,4)) * CAST(close AS DECIMAL(19,4)) AS DECIMAL(24,8))) {_W20} AS DOUBLE)"
 SQL = {
     "universe_select": "SELECT * FROM listed",
     "sig_value": "SELECT * FROM sig_value",
