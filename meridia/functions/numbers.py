@@ -32,7 +32,7 @@ def money(x: Column) -> Column:
 
 def to_date(x: Column) -> Column:
     """The first ten characters as a date; empty, '0000-00-00', 'N/A' and unreadable values are null."""
-    return F.try_to_date(F.substring(F.trim(x.cast("string")), 1, 10), F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.substring(F.trim(x.cast("string")), 1, 10), F.lit("yyyy-MM-dd")))
+    return F.try_to_date(F.substring(F.trim(x.cast("string")), 1, 10), "yyyy-MM-dd")
 
 
 def to_number(x: Column) -> Column:
