@@ -32,14 +32,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it again.
 
-    What is read no longer depends on shuffle files or on the executors that made it.
+    What is read no longer depends on shuffle files or on the executors that made it. even deals the rows out
+    anew, so that a small table becomes a few files however many tasks made it; it is left out for large ones,
+    whose tasks write as they are.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if even else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

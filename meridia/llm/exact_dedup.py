@@ -157,7 +157,7 @@ def groups(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each document."""
     docs = documents_of(documents).select("doc_id", normal_text(F.col("text")).alias("normal"))
     each = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("normal").alias("fp"), F.unhex(F.sha2(F.col("normal").cast("binary"), 256)).alias("sha"))
-    each = written(each, "fingerprinted")
+    each = written(each, "fingerprinted", even=False)
     maybe = bloom_filter(suspect_fingerprints(each.select("fp"), each.count()))
     texts = docs.select("normal").where(maybe(F.xxhash64("normal"))).groupBy("normal").agg(F.count("*").alias("group_size"))
     verified = texts.where("group_size > 1").select(F.unhex(F.sha2(F.col("normal").cast("binary"), 256)).alias("sha"), "group_size")

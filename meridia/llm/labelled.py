@@ -26,4 +26,4 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, most: int
     part = min(1.0, most / max(1, n))
     if part < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000)) < int(part * 1_000_000))
-    return written(documents_of(documents).join(F.broadcast(known), "doc_id"), "labelled")
+    return written(documents_of(documents).join(F.broadcast(known), "doc_id"), "labelled", even=False)

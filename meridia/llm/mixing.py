@@ -69,7 +69,7 @@ def queues(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         F.md5(text.cast("binary")).alias("text_hash"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
     )
-    docs = written(docs, "sizes")
+    docs = written(docs, "sizes", even=False)
     sources = docs.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.first("source").alias("source"))
     sources = written(targets(sources, weights, share, cap), "targets")
     buckets = max(1, docs.count() // BUCKET_ROWS)

@@ -204,7 +204,7 @@ class _Confirm:
         wanted = bloom_table(ends.select("fp"))
         sets = self.docs.select("fp", "text").mapInArrow(_sets(self.width, wanted), "set_key binary, members array<long>")
         sets = sets.groupBy("set_key").agg(F.first("members").alias("members"))
-        return written(ends.join(sets, "set_key").select("row", "n_shingles", "members"), "sets")
+        return written(ends.join(sets, "set_key").select("row", "n_shingles", "members"), "sets", even=False)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b that are links."""
@@ -317,10 +317,10 @@ def _left_over(shared: DataFrame, found: DataFrame, confirm: _Confirm) -> DataFr
 def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """row, doc_id, fp (xxhash64 of the text), n_shingles, component_id, kept of each document."""
     docs = documents_of(documents).withColumn("fp", F.xxhash64("text"))
-    signed = written(docs.mapInArrow(_signatures(width), _SIGNATURE), "signatures")
+    signed = written(docs.mapInArrow(_signatures(width), _SIGNATURE), "signatures", even=False)
     classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
     classes = written(classes, "classes")
-    standing = written(signed.drop("doc_id").join(classes.select("row"), "row", "left_semi"), "standing")
+    standing = written(signed.drop("doc_id").join(classes.select("row"), "row", "left_semi"), "standing", even=False)
     confirm = _Confirm(docs, standing, width, similarity)
 
     members = standing.select("row", F.explode("bands").alias("key"))

@@ -146,7 +146,7 @@ def pack(documents: DataFrame, path: str, end_id: int = 0, size: int = SIZE, mos
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
     docs = documents_of(documents)
     first = docs.mapInArrow(_pack_texts(path, end_id, size, most), PIECE).withColumn("part", F.spark_partition_id().cast("long"))
-    first = written(first, "packed")
+    first = written(first, "packed", even=False)
     done = first.where("sequence_id is not null").drop("ids", "part")
     left = first.where("sequence_id is null")
     groups = left.agg(F.max("part")).first()[0]

@@ -112,7 +112,7 @@ def _frequencies(hot):
 def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     """A row for each distinct pre-token: word, n (occurrences), pieces. Written to the shared folder."""
     counts = docs.select("text").mapInArrow(task_counts(pre_tokens), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(counts.mapInArrow(_pieces(path), "word binary, n long, pieces int"), "pre-tokens")
+    return written(counts.mapInArrow(_pieces(path), "word binary, n long, pieces int"), "pre-tokens", even=False)
 
 
 def token_counts(documents: DataFrame, path: str, limit: int = 2048) -> DataFrame:
