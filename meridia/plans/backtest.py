@@ -174,8 +174,8 @@ def summary(t: Tables, signal: str) -> DataFrame:
     shape = rank_correlation(means.withColumn("all", F.lit(1)), "bin", "m", ["all"], least=3).select(F.col("ic").alias("mono"))
     ends = means.agg((F.max_by("m", "bin") - F.min_by("m", "bin")).alias("tmb"))
     ic, late = F.col("ic"), F.when(F.col("as_of") >= day(HOLDOUT), F.col("ic"))
-    out = ics(t, signal).agg(F.count("*").alias("n_rebalances"), F.avg(ic).alias("m"), F.stddev_pop(ic).alias("s"), (F.count_if(ic > 0) / F.count("*")).alias("hit"), F.avg(late).alias("late"))
-    out = out.crossJoin(shape).crossJoin(ends)  # one row each
+    out = ics(t, signal).agg(F.count("*").alias("n_rebalances"), F.avg(ic).alias("m"), F.stddev_pop(ic).alias("s"), ratio(F.count_if(ic > 0), F.count("*")).alias("hit"), F.avg(late).alias("late"))
+    out = out.join(shape, F.lit(True), "left").crossJoin(ends)  # one row each, the shape none where there are few bins
     return out.select(
         F.lit(signal).alias("signal"), "n_rebalances", half_up(F.col("m")).alias("mean_ic"), half_up(F.when(F.col("s") > 0, F.col("m") / F.col("s"))).alias("ic_ir"), half_up(F.col("hit")).alias("ic_hit_rate"),
         half_up(F.col("mono")).alias("monotonicity"), half_up(F.col("tmb")).alias("top_minus_bottom"), half_up(F.col("late")).alias("holdout_mean_ic"), F.lit(True).alias("survivorship_biased"),

@@ -81,9 +81,9 @@ def sig_insider(t: Tables, window: int = 20, lag: int = 4, min_txns: int = 2, as
     return _rated(agg, _first_reason((n == 0, "no_activity"), (n < min_txns, "below_min_txns")), net, n.alias("n_txns"), "n_insiders", direction.alias("direction"), (net < 0).alias("sales_are_noisier"))
 
 
-def sig_institutional_flow(t: Tables, as_of: str = AS_OF) -> DataFrame:
+def sig_institutional_flow(t: Tables, as_of: str = AS_OF, banked: DataFrame | None = None) -> DataFrame:
     """Net change from the last vintage banked by as_of, live data otherwise if it was observed by then."""
-    banked = flows.vintage_asof(flows.vintages(t), as_of).withColumn("known_at", F.col("banked_at")).drop("banked_at")
+    banked = flows.vintage_asof(flows.vintages(t) if banked is None else banked, as_of).withColumn("known_at", F.col("banked_at")).drop("banked_at")
     live = flows.inst_flow_ticker(t).withColumn("known_at", F.col("observed_at"))
     live = live.where(F.col("known_at") <= day(as_of)).join(banked.select("ticker"), "ticker", "left_anti")
     covered = flows.inst_flow_ticker(t).select("ticker", F.lit(True).alias("covered"))
