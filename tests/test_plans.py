@@ -126,7 +126,7 @@ def test_select(spark):
     assert [r.ticker for r in sorted(signals.select_rank(df, False).collect(), key=lambda r: r["rank"])] == ["Z", "B", "C", "A"]
 
 
-def holders(spark, n=6, change=1.0, held=10_000.0, latest="2026-03-31"):
+def holders(spark, n=6, change=1.0, held=20_000.0, latest="2026-03-31"):
     rows = [("T", f"h{k}", date.fromisoformat(latest if k else "2025-12-31"), date(2026, 4, 5), held, 1.0, 2.0, change, 5.0) for k in range(n)]
     return spark.createDataFrame(rows, "ticker string, holder_name string, report_date date, observed_at date, shares_held double, pct_shares double, pct_assets double, change_shares double, change_pct double")
 
@@ -138,7 +138,7 @@ def test_flows_label_and_anchor(spark):
     assert got == {"a": ("initiated", None), "b": ("unchanged", 9.0), "c": ("added", 9.0), "d": ("trimmed", 9.0)}
     one = flows.inst_flow_ticker(tables(spark, institutional_holders=holders(spark, 20, 100.0))).first()
     assert (one.top_n_holders, one.top_n_at_cap, one.holders_at_latest, one.holders_lagging) == (20, True, 19, 1)
-    assert one.net_change_pct == pytest.approx(1.01)
+    assert one.net_change_pct == pytest.approx(0.5)
 
 
 @pytest.mark.parametrize("kw,reason", [({}, None), ({"n": 4}, "below_min_holders"), ({"held": 100.0}, "below_min_prior_shares")])
