@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import backtest, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_strategies, portfolio, signals, ssg, strategies, writes
+from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_strategies, portfolio, signals, ssg, strategies, writes
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -33,6 +33,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **portfolio.PLANS,
     **ssg.PLANS,
     **writes.PLANS,
+    **dashboard.PLANS,
 }
 
 _VINTAGES = """older AS (SELECT DATE '2001-04-15' AS banked_at, * FROM inst_flow_ticker WHERE latest_filing <= DATE '2001-03-31'),
@@ -50,6 +51,7 @@ SQL: dict[str, str] = {
     **oracle_backtest.SQL,
     **oracle_rest.SQL,
     **writes.SQL,
+    **dashboard.SQL,
 }
 
 

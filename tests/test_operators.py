@@ -146,3 +146,29 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from seen").first()[0] == 2
+
+
+def test_sinks(spark, tmp_path):
+    from meridia.sources import store
+
+    df = spark.createDataFrame([("A", float("nan"), date(2001, 1, 2)), ("B", 2.0, None)], "k string, v double, d date")
+    store.write_csv(df, f"{tmp_path}/c")
+    assert sorted(x.k for x in spark.read.csv(f"{tmp_path}/c", header=True).collect()) == ["A", "B"]
+    store.write_json(df, str(tmp_path / "j"), "one")
+    store.write_json(df.where("k = 'B'"), str(tmp_path / "j"), "two")
+    assert [x.v for x in store.read_latest(spark, str(tmp_path / "j")).collect()] == [2.0]
+    for _ in range(2):
+        store.log_ingest(spark, f"{tmp_path}/log", "eod", "2001-01-02 03:04:05", "ok", 5)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+    assert store.validate_schema({"t": df}, {"t": ["k", "x"], "u": ["y"]}) == ["u", "t.x"]
+    assert store.distinct_values(df, "k") == ["A", "B"]
+
+
+def test_parameter_gate():
+    from meridia.plans.dashboard import checked
+
+    allowed = {"days": [], "benchmark": ["SPY.US"]}
+    assert checked({"days": 30, "benchmark": "SPY.US"}, allowed) == {"days": 30, "benchmark": "SPY.US"}
+    for bad in ({"days": True}, {"x": 1}, {"benchmark": "QQQ"}, {"days": "30; drop table t"}, {"days": None}):
+        with pytest.raises(ValueError):
+            checked(bad, allowed)
