@@ -134,7 +134,7 @@ def ranked(placed: DataFrame, curve: int) -> DataFrame:
     """vec_id, v, rank (from 0) in the ordering of one curve."""
     spark = placed.sparkSession
     ordered = placed.select("vec_id", "v", F.col("places")[curve].alias("place")).repartitionByRange("place", "vec_id").sortWithinPartitions("place", "vec_id")
-    ordered = written(ordered.select("vec_id", "v", F.monotonically_increasing_id().alias("at")), f"curve{curve}")
+    ordered = written(ordered.select("vec_id", "v", F.monotonically_increasing_id().alias("at")), f"curve{curve}", even=False)
     part = F.shiftright("at", 33).alias("part")
     sizes = ordered.groupBy(part).agg(F.count("*").alias("n"))
     # a row for each partition
@@ -148,19 +148,23 @@ def ranked(placed: DataFrame, curve: int) -> DataFrame:
     return ordered.join(F.broadcast(start), F.shiftright("at", 33) == F.col("p")).select("vec_id", "v", rank.alias("rank"))
 
 
-def _best(k: int, query: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row of scores, leaving out a query's own id; ties to smaller ids."""
-    scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
+def _best(k: int, query: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of v for each row of q, without a query's own id; ties to smaller ids.
+
+    Products of matrices may differ in the last bits from place to place, so all that reach the k-th within a hair
+    are summed again in order of the components, which gives equal vectors equal scores.
+    """
+    scores = np.where(ids[None, :] == query[:, None], -np.inf, scores)
+    edge = np.full((len(scores), 1), -np.inf)
     if scores.shape[1] > k:
         edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    else:
-        edge = np.full((len(scores), 1), -np.inf)
+        edge = edge - 1e-9 * np.where(np.isfinite(edge), np.abs(edge), 0) - 1e-300
     i, j = np.nonzero((scores >= edge) & (scores > -np.inf))
-    order = np.lexsort((ids[j], -scores[i, j], i))
-    i, j = i[order], j[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    i, j = i[place < k], j[place < k]
-    return query[i], ids[j], scores[i, j]
+    exact = np.add.accumulate(q[i] * v[j], axis=1)[:, -1] if len(i) else np.zeros(0)
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return query[i[best]], ids[j[best]], exact[best]
 
 
 def _found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
@@ -181,9 +185,9 @@ def _windows(k: int, window: int):
             q = at[s : s + 64]
             a, b = np.searchsorted(rank[data], (rank[q[0]] - window, rank[q[-1]] + window + 1))
             near = data[a:b]
-            scores = np.einsum("qd,nd->qn", v[q], v[near])
+            scores = v[q] @ v[near].T
             scores = np.where(np.abs(rank[near][None, :] - rank[q][:, None]) <= window, scores, -np.inf)
-            out.append(_best(k, ids[q], scores, ids[near], ids[q]))
+            out.append(_best(k, ids[q], v[q], ids[near], v[near], scores))
         return _found(out)
 
     return run
@@ -245,26 +249,22 @@ def _checked(k: int):
         out = []
         for packed_ids, packed, floors in zip(*(asked.column(c).to_pylist() for c in ("ids", "vectors", "floors"))):
             q = np.frombuffer(packed_ids, np.int64)
-            scores = np.einsum("qd,nd->qn", np.frombuffer(packed).reshape(len(q), -1), v, optimize=True)
+            asking = np.frombuffer(packed).reshape(len(q), -1)
+            scores = asking @ v.T
             floor_ = np.frombuffer(floors)
             scores = np.where(scores >= np.where(np.isnan(floor_), -np.inf, floor_ - 1e-9 * np.abs(floor_))[:, None], scores, -np.inf)
-            out.append(_best(k, q, scores, ids, q))
+            out.append(_best(k, q, asking, ids, v, scores))
         return _found(out)
 
     return run
 
 
-def exact_score(a: str, b: str):
-    """Inner product in double precision, summed in order of the components."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-
-
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, curves: int = CURVES, window: int = WINDOW, complete: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product for each vec_id divisible by `every`.
 
     complete=False leaves out step 3 and gives what the curves' windows alone find.
     """
-    vectors = written(usable(embeddings), "vectors")
+    vectors = written(usable(embeddings), "vectors", even=False)
     spark = vectors.sparkSession
     n = vectors.count()
     out = "query_id long, rank int, vec_id long, score double"
@@ -275,7 +275,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, curves: int = C
     if not sample.num_rows:
         sample = vectors.select("v").limit(100).toArrow()
     placing = spark.sparkContext.broadcast(Curves(_matrix(sample.column("v")), curves))
-    placed = written(vectors.mapInArrow(_placed(placing), "vec_id long, v array<double>, places array<long>"), "placed")
+    placed = written(vectors.mapInArrow(_placed(placing), "vec_id long, v array<double>, places array<long>"), "placed", even=False)
     orders = [ranked(placed, c) for c in range(curves)]
     found = _neighbours_on(orders[0], every, k, window)
     for order in orders[1:]:
@@ -293,11 +293,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, curves: int = C
         asked = queries.mapInArrow(_asked(spark.sparkContext.broadcast(summary), per), "block long, ids binary, vectors binary, floors binary")
         more = asked.groupBy("block").cogroup(blocks.select("vec_id", "v", "block").groupBy("block")).applyInArrow(_checked(k), "query_id long, vec_id long, score double")
         found = written(found.select("query_id", "vec_id", "score").unionByName(more), "checked")
-    # near the k-th place scores are summed again in one order, so that every path gives the same number
-    wide = _top(found.select("query_id", "vec_id", "score").dropDuplicates(["query_id", "vec_id"]), k + 5).select("query_id", "vec_id")
-    a = vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("a"))
-    scored = wide.join(a, "query_id").join(vectors.withColumnRenamed("v", "b"), "vec_id")
-    return _top(scored.select("query_id", "vec_id", exact_score("a", "b").alias("score")), k).select("query_id", "rank", "vec_id", "score")
+    return _top(found.select("query_id", "vec_id", "score").distinct(), k).select("query_id", "rank", "vec_id", "score")
 
 
 def _merged(blocks: DataFrame, per: int) -> DataFrame:
