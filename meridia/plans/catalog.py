@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meridia.sources.domain import AS_OF, Tables
 
@@ -34,6 +35,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **ssg.PLANS,
     **writes.PLANS,
     **dashboard.PLANS,
+    "count_by_type": lambda t: t.fundamentals.groupBy("type").agg(F.count("*").alias("n")),
 }
 
 _VINTAGES = """older AS (SELECT DATE '2001-04-15' AS banked_at, * FROM inst_flow_ticker WHERE latest_filing <= DATE '2001-03-31'),
@@ -55,5 +57,20 @@ SQL: dict[str, str] = {
 }
 
 
+_SIGNALS = " UNION ALL ".join(f"SELECT ticker, '{name}' AS strategy FROM ({sql})" for name, sql in oracle_strategies.SQL.items() if name != "institutional_holder_alpha")
+_MULTI = f"SELECT ticker, string_agg(strategy, ',' ORDER BY strategy) AS signals, count(*) AS signal_count FROM ({_SIGNALS}) GROUP BY ticker HAVING count(*) >= 2"
+SQL |= {
+    "multi_signal": _MULTI,
+    "conviction_facts": f"""WITH m AS ({_MULTI}), t AS (SELECT *, CAST(row_number() OVER (ORDER BY signal_count DESC, ticker) AS INTEGER) AS conviction_rank FROM m ORDER BY signal_count DESC, ticker LIMIT 10)
+      SELECT t.*, price_date, price, name, sector FROM t LEFT JOIN latest_price p ON p.ticker = t.ticker LEFT JOIN fundamentals f ON f.ticker = t.ticker""",
+    "sig_institutional_flow": f"""WITH {_VINTAGES}, banked AS (SELECT * RENAME (banked_at AS known_at) FROM vintages WHERE banked_at <= DATE '2001-06-30' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY banked_at DESC) = 1),
+      v AS (SELECT * FROM banked UNION ALL BY NAME SELECT *, observed_at AS known_at FROM inst_flow_ticker WHERE observed_at <= DATE '2001-06-30' AND ticker NOT IN (SELECT ticker FROM banked)),
+      r AS (SELECT l.ticker, v.* EXCLUDE (ticker), CASE WHEN c.ticker IS NULL THEN 'not_covered' WHEN known_at IS NULL THEN 'no_vintage_as_of' WHEN v.net_change_pct IS NULL THEN 'net_change_null' WHEN v.top_n_holders < 5 THEN 'below_min_holders'
+        WHEN v.holders_at_latest < 4 THEN 'below_min_holders_at_latest' WHEN v.prior_shares_at_latest < 50000 THEN 'below_min_prior_shares' END AS reason FROM listed l LEFT JOIN inst_flow_ticker c ON c.ticker = l.ticker LEFT JOIN v ON v.ticker = l.ticker)
+      SELECT ticker, CASE WHEN reason IS NULL THEN net_change_pct END AS value, reason, top_n_at_cap AND net_change_pct < 0 AS reading_is_lower_bound, CAST(DATE '2001-06-30' - latest_filing AS INTEGER) AS stale_days FROM r""",
+    "count_by_type": "SELECT type, count(*) AS n FROM fundamentals GROUP BY type",
+}
+
+
 def oracles() -> dict[str, str]:
     return {name: oracle(sql) for name, sql in SQL.items()}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from meridia.functions.numbers import half_up, money
 from meridia.sources.domain import Tables, day
 
+from .oracle import R
+
 TICKER = "Brand#7"
 
 
@@ -78,4 +80,9 @@ SQL = {
     "insider_recent": f"SELECT * FROM insider_transactions WHERE {_T} ORDER BY transaction_date DESC, event_id LIMIT 100",
     "top_holders": f"""(SELECT 'institution' AS kind, {_H} FROM institutional_holders WHERE {_T} ORDER BY pct_shares DESC NULLS LAST, holder_name LIMIT 50)
       UNION ALL (SELECT 'fund' AS kind, {_H} FROM fund_holders WHERE {_T} ORDER BY pct_shares DESC NULLS LAST, holder_name LIMIT 50)""",
+    "overview": f"""SELECT ticker, unnest(['Name', 'Sector', 'Industry', 'Market cap', 'P/E', 'PEG', 'Profit margin', 'ROE', 'Dividend yield']) AS label, unnest([name, sector, industry,
+        CASE WHEN market_cap >= 1e12 THEN printf('$%.1fT', market_cap / 1e12) WHEN market_cap >= 1e9 THEN printf('$%.1fB', market_cap / 1e9) WHEN market_cap >= 1e6 THEN printf('$%.1fM', market_cap / 1e6)
+          WHEN market_cap >= 1e3 THEN printf('$%.1fK', market_cap / 1e3) ELSE printf('$%.0f', market_cap) END,
+        printf('%.2f', {R('pe_ratio', 2)}), printf('%.2f', {R('peg_ratio', 2)}), {", ".join(f"printf('%.2f%%', {R(f'{c} * 100', 2)})" for c in ("profit_margin", "return_on_equity", "dividend_yield"))}]) AS value
+      FROM fundamentals WHERE {_T}""",
 }
