@@ -192,3 +192,52 @@ def test_growth_estimators(spark):
 
 def test_entry(spark):
     assert "ret_1d" in __spark_entry__.entry(spark).columns
+
+
+def brute_growth(name, s):
+    import numpy as np
+
+    def ends(x):
+        return (x[-1] / x[0]) ** (1 / (len(x) - 1)) - 1 if len(x) > 1 and x[0] > 0 and x[-1] > 0 else None
+
+    steps = [(b / a - 1, k) for k, (a, b) in enumerate(zip(s, s[1:]), 1) if a > 0]
+    return {
+        "logfit_trend": lambda: float(np.exp(np.polyfit(range(len(s)), np.log(s), 1)[0]) - 1) if len(s) > 2 and min(s) > 0 else None,
+        "cagr_5yr": lambda: ends(s[-6:]),
+        "cagr_3yr": lambda: ends(s[-4:]),
+        "mean_yoy": lambda: sum(g * k for g, k in steps) / sum(k for _, k in steps) if steps else None,
+        "cagr_full": lambda: ends(s),
+        "last_yoy": lambda: s[-1] / s[-2] - 1 if len(s) > 1 and s[-2] > 0 else None,
+    }[name]()
+
+
+def brute_method(s):
+    errors = {}
+    for name in ESTIMATORS:
+        if brute_growth(name, s) is None:
+            continue
+        tried = []
+        for h in range(1, min(3, len(s) - 2) + 1):
+            g = brute_growth(name, s[:-h])
+            if g is not None:
+                guesses = [s[-h - 1] * (1 + g) ** (k + 1) for k in range(h)]
+                each = [abs(a - p) / ((abs(a) + abs(p)) / 2) for a, p in zip(s[-h:], guesses) if abs(a) + abs(p) > 0]
+                tried += [sum(each) / len(each)] if each else []
+        errors[name] = (not tried, sum(tried) / len(tried) if tried else 0.0)
+    return min(errors, key=lambda n: (errors[n][0], round(errors[n][1], 10), list(ESTIMATORS).index(n)), default=None)
+
+
+def test_focus_forecast_against_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    series = {str(k): [r.uniform(-1, 9) if k % 4 == 0 else r.uniform(1, 9) for _ in range(r.randint(3, 9))] for k in range(60)}
+    got = {x.t: x for x in focus_forecast(spark.createDataFrame(list(series.items()), "t string, levels array<double>"), ["t"]).collect()}
+    for t, s in series.items():
+        want = brute_method(s)
+        if want is None:
+            assert t not in got
+            continue
+        assert got[t].method == want
+        assert got[t].growth == pytest.approx(brute_growth(want, s))
+        assert got[t].projected_level == pytest.approx(s[-1] * (1 + got[t].growth) ** 5)
