@@ -166,6 +166,7 @@ def _signatures(width: int):
                     ["row", "doc_id", "fp", "n_shingles", "set_key", "bands", "sketch"],
                 )
                 row += batch.num_rows
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return run
 

@@ -151,6 +151,7 @@ def _write(folder: str, path: str, end_id: int, kind: str):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
                     writer.add(doc_id, ids + end)
             writer.close()
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
         yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "n_docs": len(writer.lengths), "n_tokens": sum(writer.lengths)}])
 
     return run
