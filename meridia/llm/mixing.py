@@ -126,13 +126,14 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     Documents without words are never served.
     """
     items, _, _ = queues(documents, weights, share, cap)
-    served = items.groupBy("doc_id", "text_hash", "size").agg(F.sum("words").alias("taken"))
+    # One key for join and window, so that texts are shuffled once.
+    key = F.concat_ws(":", "doc_id", "text_hash").alias("key")
+    served = items.groupBy(key, "size").agg(F.sum("words").alias("taken"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), F.md5(text.cast("binary")).alias("text_hash"))
-    one = Window.partitionBy(F.col("whole.doc_id"), F.col("d.text_hash")).orderBy("whole.doc_id")
-    same = F.col("whole.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash"))
+    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), F.concat_ws(":", F.col("doc_id").cast("long"), F.md5(text.cast("binary"))).alias("key"))
     # Repeated rows share what they were served: the first of them stands for all.
-    found = docs.alias("d").join(served.alias("s"), same).withColumn("place", F.row_number().over(one)).where("place = 1")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("size"))
+    found = docs.join(served, "key").withColumn("place", place).where("place = 1")
     part = F.col("taken") % F.col("size")
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     found = found.select("whole", part.alias("part"), (F.col("taken") / F.col("size")).alias("times"), F.explode(copies).alias("copy"))
