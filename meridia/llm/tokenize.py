@@ -76,6 +76,15 @@ class Encoder:
         coded = parts.dictionary_encode()
         return pa.array(self._known(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
 
+    def _tails(self, units: pa.Array, cores: pa.Array) -> pa.Array:
+        """The ids of what follows the core of each unit; most units have no tail and stay out of Python."""
+        longer = pc.not_equal(pc.binary_length(units), pc.binary_length(cores))
+        tails = [u[len(c) :] for u, c in zip(units.filter(longer).to_pylist(), cores.filter(longer).to_pylist())]
+        coded = pa.array(tails, pa.string()).dictionary_encode()
+        at = np.zeros(len(units), np.int32)
+        at[longer.to_numpy(zero_copy_only=False)] = coded.indices.to_numpy() + 1
+        return pa.array([b"", *self._known(coded.dictionary.to_pylist())], pa.binary()).take(pa.array(at))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -90,8 +99,7 @@ class Encoder:
         coded = units.flatten().dictionary_encode()
         core = pc.utf8_rtrim(coded.dictionary, _TAIL)
         core = pc.if_else(pc.utf8_is_alpha(pc.utf8_ltrim(core, " ")), core, coded.dictionary)
-        tail = pa.array([u[len(c) :] for u, c in zip(coded.dictionary.to_pylist(), core.to_pylist())], pa.string())
-        ids = pc.binary_join_element_wise(self._column(core), self._column(tail), b"").take(coded.indices)
+        ids = pc.binary_join_element_wise(self._column(core), self._tails(coded.dictionary, core), b"").take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4) if len(ids) else np.zeros(1, np.int32)
         first = units.offsets.to_numpy() - units.offsets[0].as_py() if len(units) else np.zeros(1, np.int32)
         raw, at = memoryview(ids.buffers()[2] or b""), iter(ends[first].tolist())
