@@ -1,14 +1,20 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Both models are bigram models over one vocabulary, the most frequent words of all documents (at
-most VOCABULARY, one more for the rest), with the same smoothing. The background model counts
+Both models are bigram models over one vocabulary, all words of all documents and of the target of at most
+LONGEST bytes (longer ones are one word more), with the same smoothing. The background model counts
 all documents, the target model the target's. Background counts are scaled to the target's number
 of words before smoothing, so the models differ in what they have read, not in how much.
 
-Words are white-space-separated runs, ASCII capitals folded. A bigram's count is held in one of
-SLOTS slots by hash, so a model has a fixed size whatever the corpus; a count that chance has made
-larger than its context's is cut to that. Each task counts its documents into the slots and sends blocks
-of them, which are summed by block.
+Words are white-space-separated runs, ASCII capitals folded. Counts are whole and grow with the corpus: no word
+or bigram is left out or shares a count with others. They are summed where they are used:
+
+1. Words are counted in a Spark table. The most frequent, HOT at most, are broadcast with their counts.
+2. Bigrams of the DENSE most frequent words are counted in a matrix, so that no frequent bigram lies in one task.
+3. Each document's other bigrams are sent to buckets, packed by task: by the bigram where its second word is
+   broadcast, else by that word, so that a bucket holds all occurrences of its bigrams and of its rare words. It counts them,
+   and sends each document the sum of its terms. The number of buckets grows with the words.
+
+Rare words are known by 63 bits of BLAKE2b; two of 10^8 share them with a probability of 5e-4.
 
 p(w | u) = (c(u, w) + PRIOR * p(w)) / (c(u) + PRIOR), p(w) = (c(w) + 1) / (N + V).
 
@@ -21,145 +27,270 @@ equal or null doc_ids each give a row; an empty table gives none. Columns other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, frequent
+from .common import documents_of, frequent, written
 from .token_count import task_counts
 
-VOCABULARY = 1 << 15
-SLOTS = 1 << 20
+LONGEST = 64
+HOT = 1 << 16
+DENSE = 1 << 10
+#: Words of the corpus a bucket, about.
+BUCKET = 1 << 20
+#: Words and rare words' numbers that a task holds at once.
+HELD, MEMO = 250_000, 100_000
 BLOCK = 1 << 13
 PRIOR = 50.0
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Numbers of the mark of a text's start, of all long words, and of the mark of a text's end.
+START, LONG, END = 0, 1, 2
+MARKS = (b" ", b"", b"  ")
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def slots(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    x = (before.astype(np.uint64) * _P) ^ ((after.astype(np.uint64) + np.uint64(1)) * _Q)
-    x = (x ^ (x >> np.uint64(31))) * _P
-    return (x >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
-
 def word_ids(text: str, vocabulary: dict[bytes, int]) -> np.ndarray:
     """The text's ids after the mark of its start, which has the id of all other words plus one."""
     rest = len(vocabulary)
     return np.array([rest + 1, *(vocabulary.get(w, rest) for w in words_of(text))], np.int64)
 
 
-def _count(shared):
-    """Blocks of counts: of words from block 0 on, of bigrams from block -1 down."""
+def marked(text: str) -> list[bytes]:
+    """The text's words after the mark of its start."""
+    return [MARKS[START], *(w if len(w) <= LONGEST else MARKS[LONG] for w in words_of(text))]
+
+
+class Numbers(dict):
+    """Numbers of words: ranks of the frequent ones, negative hashes of the rest, of which it keeps some."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1)
+        self[word] = found
+        return found
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 8 bytes, laid out by byte, so that equal leading bytes cost little."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, 8, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+
+
+@dataclass
+class Model:
+    """What tasks know of both models: counts of frequent words, and of bigrams of the most frequent ones."""
+
+    words: list[bytes]
+    single: np.ndarray  # by number: of all documents, of the target
+    n_all: int
+    n_target: int
+    size: int
+    dense: int
+    buckets: int
+    pairs: np.ndarray | None = None
+
+    def scaled(self, counts: np.ndarray) -> np.ndarray:
+        """Counts (all documents, target) as counts of the models (target, background)."""
+        if not self.n_target:
+            return np.stack([counts[0], counts[0]]).astype(float)
+        return np.stack([counts[1].astype(float), counts[0] * (self.n_target / max(1, self.n_all))])
+
+    def terms(self, pairs: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """What each bigram adds to the losses but for its context, given the counts of it and of its second word."""
+        p = (self.scaled(after) + 1) / ((self.n_target or self.n_all) + self.size)
+        return -np.log(self.scaled(pairs) + PRIOR * p)
+
+    def contexts(self, counts: np.ndarray) -> np.ndarray:
+        return np.log(self.scaled(counts) + PRIOR)
+
+    def numbers(self) -> Numbers:
+        return Numbers({w: k for k, w in enumerate(self.words)})
+
+
+def _texts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[np.ndarray, list]]:
+    """The numbers of some texts, one after the other, and their doc_ids."""
+    ids, held, docs = model.numbers(), [], []
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            held += map(ids.__getitem__, marked(text))
+            docs.append(doc_id)
+            if len(held) > HELD:
+                yield np.array(held, np.int64), docs
+                held, docs = [], []
+            if len(ids) > len(model.words) + MEMO:
+                ids = model.numbers()
+    if docs:
+        yield np.array(held, np.int64), docs
+
+
+def _matrix(shared):
+    """Counts of the bigrams of the most frequent words, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        vocabulary = shared.value
-        size = -(-(len(vocabulary) + 2) // BLOCK) * BLOCK
-        single, pairs = np.zeros(size, np.int64), np.zeros(SLOTS, np.int64)
-
-        def add(ids: list[np.ndarray]) -> None:
-            before, after = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
-            single[:] += np.bincount(after, minlength=size)
-            pairs[:] += np.bincount(slots(before, after), minlength=SLOTS)
-
-        for batch in batches:
-            held, n = [], 0
-            for text in batch.column("text").to_pylist():
-                held.append(word_ids(text, vocabulary))
-                n += len(held[-1])
-                if n > 1_000_000:
-                    add(held)
-                    held, n = [], 0
-            if held:
-                add(held)
-                single[len(vocabulary) + 1] += len(batch)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for counts, sign in ((single, 1), (pairs, -1)):
-            for k in range(0, len(counts), BLOCK):
-                part = counts[k : k + BLOCK]
-                if part.any():
-                    block = k // BLOCK if sign > 0 else -1 - k // BLOCK
-                    yield pa.record_batch([pa.array([block], pa.int32()), pa.array([pack(part.tobytes())])], ["block", "counts"])
+        model = shared.value
+        counts = np.zeros(-(-(model.dense**2) // BLOCK) * BLOCK, np.int64)
+        for x, _ in _texts(batches, model):
+            before, after = x[:-1], x[1:]
+            both = (before >= 0) & (before < model.dense) & (after > START) & (after < model.dense)
+            counts += np.bincount(before[both] * model.dense + after[both], minlength=len(counts))
+        for k in range(0, len(counts), BLOCK):
+            if counts[k : k + BLOCK].any():
+                yield pa.record_batch([pa.array([k // BLOCK], pa.int32()), pa.array([pack(counts[k : k + BLOCK])])], ["block", "counts"])
 
     return run
 
 
 def _total(rows: pa.Table) -> pa.Table:
-    import zstandard
+    total = sum(unpack(c, BLOCK)[0] for c in rows.column("counts").to_pylist())
+    return pa.table({"block": rows.column("block").slice(0, 1), "counts": [pack(total)]})
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    total = sum(np.frombuffer(unpack(c), np.int64) for c in rows.column("counts").to_pylist())
-    return pa.table({"block": rows.column("block").slice(0, 1), "counts": [zstandard.ZstdCompressor(level=1).compress(total.tobytes())]})
 
+def matrix(docs: DataFrame, shared) -> np.ndarray:
+    size = shared.value.dense
+    out = np.zeros(-(-(size**2) // BLOCK) * BLOCK, np.int64)
+    counted = docs.mapInArrow(_matrix(shared), "block int, counts binary").groupBy("block").applyInArrow(_total, "block int, counts binary")
+    for r in counted.toLocalIterator():
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = unpack(bytes(r.counts), BLOCK)[0]
+    return out[: size**2].reshape(size, size)
 
-class Counts:
-    """A model's counts: a fixed number of blocks, gathered from all documents."""
 
-    def __init__(self, docs: DataFrame, shared):
-        import zstandard
+#: Kinds of packed rows: bigrams of documents, bigrams of the target, documents.
+OF_DOCUMENTS, OF_TARGET, DOCUMENTS = 0, 1, 2
+PACKED = "bucket int, kind int, n int, data binary"
 
-        n = len(shared.value) + 2
-        self.words, self.pairs = np.zeros(-(-n // BLOCK) * BLOCK, np.int64), np.zeros(SLOTS, np.int64)
-        counted = docs.select("text").mapInArrow(_count(shared), "block int, counts binary")
-        unpack = zstandard.ZstdDecompressor().decompress
-        for r in counted.groupBy("block").applyInArrow(_total, "block int, counts binary").toLocalIterator():
-            part, k = np.frombuffer(unpack(bytes(r.counts)), np.int64), r.block
-            into, at = (self.words, k) if k >= 0 else (self.pairs, -1 - k)
-            into[at * BLOCK : at * BLOCK + len(part)] = part
-        self.words = self.words[:n]
 
+def _postings(shared, target: bool):
+    """For each bucket the bigrams of some texts that the matrix lacks; for documents also what is known of their losses here."""
 
-class Model:
-    def __init__(self, counts: Counts, scale: float):
-        words = counts.words * scale
-        spoken = words[:-1]  # all but the mark of a text's start
-        self.context = words
-        self.single = (spoken + 1) / (spoken.sum() + len(spoken))
-        self.pairs = (counts.pairs * scale).astype(np.float32)
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "n", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        model = shared.value
+        known = model.terms(model.pairs, model.single[:, None, : model.dense])
+        contexts = model.contexts(model.single)
+        key = TaskContext.get().partitionId() << 40
+        for x, docs in _texts(batches, model):
+            starts = x == START
+            doc = np.cumsum(starts) - 1
+            token = np.flatnonzero(~starts)
+            before, after, doc = x[token - 1], x[token], doc[token]
+            dense = (before >= 0) & (before < model.dense) & (after >= 0) & (after < model.dense)
+            parts = []
+            if not target:
+                n, hot = np.bincount(doc, minlength=len(docs)), before >= 0
+                sums = [
+                    np.bincount(doc[dense], known[m][before[dense], after[dense]], len(docs)) + np.bincount(doc[hot], contexts[m][before[hot]], len(docs)) for m in (0, 1)
+                ]
+                ids = np.array([d or 0 for d in docs], np.int64)
+                parts.append((key // 7919 % model.buckets, DOCUMENTS, len(docs), pack(np.arange(key, key + len(docs)), ids, np.array([d is not None for d in docs], np.int64), n, *sums)))
+                last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if len(doc) else np.zeros(0, np.int64)
+                last = last[after[last] < 0]
+            rest = ~dense
+            before, after, whose = before[rest], after[rest], np.zeros(rest.sum(), np.int64) if target else doc[rest]
+            if not target:
+                before, after, whose = np.append(before, np.full(len(last), END)), np.append(after, x[token[last]]), np.append(whose, doc[last])
+            mixed = after.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(after < 0, 0, before).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            bucket = ((mixed >> np.uint64(33)) % np.uint64(model.buckets)).astype(np.int64)
+            order = np.lexsort((whose, before, after, bucket))
+            bucket, before, after, whose = bucket[order], before[order], after[order], whose[order]
+            if len(order):
+                new = np.append(True, (bucket[1:] != bucket[:-1]) | (after[1:] != after[:-1]) | (before[1:] != before[:-1]) | (whose[1:] != whose[:-1]))
+                at = np.flatnonzero(new)
+                times = np.diff(np.append(at, len(new)))
+                bucket, before, after, whose = bucket[at], before[at], after[at], whose[at] + key
+                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
+                    parts.append((int(bucket[a]), OF_TARGET if target else OF_DOCUMENTS, b - a, pack(before[a:b], after[a:b], whose[a:b], times[a:b])))
+            key += len(docs)
+            if parts:
+                yield rows(parts)
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
-    def loss(self, before: np.ndarray, after: np.ndarray, slot: np.ndarray) -> float:
-        seen = np.minimum(self.pairs[slot], self.context[before])
-        return float(-np.log((seen + PRIOR * self.single[after]) / (self.context[before] + PRIOR)).mean())
+    return run
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, target, background = shared.value
-        for batch in batches:
-            n, t, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = word_ids(text, vocabulary)
-                before, after = ids[:-1], ids[1:]
-                slot = slots(before, after)
-                n.append(len(after))
-                t.append(target.loss(before, after, slot) if len(after) else 0.0)
-                b.append(background.loss(before, after, slot) if len(after) else 0.0)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], ["doc_id", "n_words", "target_loss", "background_loss"])
+def _sums(shared):
+    """The terms of a bucket's bigrams and rare words, summed by document; its documents' own sums beside."""
+
+    def run(table: pa.Table) -> pa.Table:
+        model = shared.value
+        held, out = [], []
+        for kind, n, data in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "data"))):
+            got = unpack(data, n)
+            if kind == DOCUMENTS:
+                key, ids, given, size, t, b = got
+                out.append([pa.array(key), pa.array(ids, mask=given == 0), pa.array(size), pa.array(t.view(float)), pa.array(b.view(float))])
+            else:
+                held.append(np.vstack([got, np.full(n, kind)]))
+        if held:
+            before, after, key, times, kind = np.concatenate(held, axis=1)
+            del held
+            order = np.lexsort((before, after))
+            before, after, key, times, kind = before[order], after[order], key[order], times[order], kind[order]
+            word = np.cumsum(np.append(True, after[1:] != after[:-1])) - 1
+            pair = np.cumsum(np.append(True, (after[1:] != after[:-1]) | (before[1:] != before[:-1]))) - 1
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            real = before != END
+            counts = lambda by: np.stack([np.bincount(by, times * (real & (kind == k)), by[-1] + 1) for k in (OF_DOCUMENTS, OF_TARGET)])
+            pairs, words = counts(pair), counts(word)[:, word[first]]
+            rare = after[first] < 0
+            words[:, ~rare] = model.single[:, after[first][~rare]]
+            terms, contexts = model.terms(pairs, words), np.where(rare, model.contexts(words), 0.0)
+            mine = kind == OF_DOCUMENTS
+            pair, times, real = pair[mine], times[mine], real[mine]
+            key, row = np.unique(key[mine], return_inverse=True)
+            t, b = (np.bincount(row, times * np.where(real, terms[m][pair] + contexts[m][pair], -contexts[m][pair]), len(key)) for m in (0, 1))
+            out.append([pa.array(key), pa.nulls(len(key), pa.int64()), pa.array(np.zeros(len(key), np.int64)), pa.array(t), pa.array(b)])
+        return pa.concat_tables([pa.table(c, ["key", "doc_id", "n", "t", "b"]) for c in out])
 
     return run
 
 
-def vocabulary_of(docs: DataFrame, most: int) -> dict[bytes, int]:
-    counts = docs.select("text").mapInArrow(task_counts(words_of), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {w: k for k, w in enumerate(sorted(bytes(r.word) for r in frequent(counts.where(F.octet_length("word") <= 64), most).select("word").collect()))}
+def word_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """word, n (in all documents), t (in the target) of each word and of the marks."""
+    count = task_counts(marked, HELD)
+    of = lambda df, n, t: df.select("text").mapInArrow(count, "word binary, n long").select("word", n.alias("n"), t.alias("t"))
+    every = of(docs, F.col("n"), F.lit(0).cast("long")).unionByName(of(target, F.lit(0).cast("long"), F.col("n")))
+    return written(every.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words", even=False)
 
 
-def cross_entropy_difference(documents: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(documents: DataFrame, target: DataFrame, hot: int = HOT, dense: int = DENSE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, difference of each document. target: documents of the target, with a column text."""
     docs = documents_of(documents)
+    wanted = target.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(vocabulary_of(docs, vocabulary))
-    background = Counts(docs, shared)
-    wanted = Counts(target.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), shared)
-    all_words, target_words = int(background.words[:-1].sum()), int(wanted.words[:-1].sum())
-    if not target_words:
-        wanted, target_words = background, all_words
-    models = context.broadcast((shared.value, Model(wanted, 1.0), Model(background, target_words / max(1, all_words))))
-    scored = docs.mapInArrow(_scored(models), "doc_id long, n_words long, target_loss double, background_loss double")
-    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    counted = word_counts(docs, wanted)
+    words = counted.where(~F.col("word").isin(*[F.lit(m) for m in MARKS]))
+    marks = {bytes(r.word): (r.n, r.t) for r in counted.where(F.col("word").isin(*[F.lit(m) for m in MARKS])).collect()}
+    size, n, t = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    top = sorted(((-r.n, bytes(r.word), r.t) for r in frequent(words.where("n > 0"), hot).toLocalIterator()))
+    single = np.array([*(marks.get(m, (0, 0)) for m in MARKS), *((-m, u) for m, _, u in top)], np.int64).T
+    long = marks.get(MARKS[LONG], (0, 0))
+    model = Model([*MARKS, *(w for _, w, _ in top)], single, n + long[0], t + long[1], size + 1, min(dense, len(top) + len(MARKS)), max(8, n // bucket))
+    shared = context.broadcast(model)
+    model.pairs = np.stack([matrix(docs, shared), matrix(wanted, shared)])
+    shared = context.broadcast(model)
+    packed = docs.mapInArrow(_postings(shared, False), PACKED).unionByName(wanted.mapInArrow(_postings(shared, True), PACKED))
+    sums = packed.groupBy("bucket").applyInArrow(_sums(shared), "key long, doc_id long, n long, t double, b double")
+    found = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    a_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
+    return found.select("doc_id", "n_words", a_word("t").alias("target_loss"), a_word("b").alias("background_loss")).withColumn("difference", F.col("target_loss") - F.col("background_loss"))

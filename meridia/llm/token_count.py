@@ -39,7 +39,7 @@ def pre_tokens(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def task_counts(split):
+def task_counts(split, most: int = HELD):
     """Occurrences of what split finds in the texts of a task: rows word, n; a word may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def task_counts(split):
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 held.update(split(text))
-                if len(held) > HELD:
+                if len(held) > most:
                     yield out()
         yield out()
 

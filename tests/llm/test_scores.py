@@ -182,6 +182,34 @@ def test_lm_scores_without_target_or_documents(spark):
     assert lm_score.cross_entropy_difference(frame(spark, []), frame(spark, [])).count() == 0
 
 
+def test_lm_scores_count_every_word_and_bigram(spark):
+    """More words than 2^15, by ranks and, with few ranks and many buckets, by hashes."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(50_000 * r.random() ** 2)}" for _ in range(150)) for _ in range(700)] + [" ".join(f"w{k}" for k in range(40_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    some = [t.split() for k, t in enumerate(texts) if k % 3 == 0]
+
+    def model(split, scale):
+        single, pairs = Counter(w for x in split for w in x), Counter(p for x in split for p in zip(["", *x], x))
+        n, v = sum(single.values()) * scale, len({w for t in texts for w in t.split()}) + 1
+        single[""] = len(split)
+
+        def loss(x):
+            smooth = (lm_score.PRIOR * (single[w] * scale + 1) / (n + v) for w in x)
+            return -sum(math.log((pairs[p] * scale + s) / (single[p[0]] * scale + lm_score.PRIOR)) for p, s in zip(zip(["", *x], x), smooth)) / len(x)
+
+        return loss
+
+    every = [t.split() for t in texts]
+    t, b = model(some, 1.0), model(every, sum(map(len, some)) / sum(map(len, every)))
+    for given in ({}, {"hot": 40, "dense": 9, "bucket": 5000}):
+        got = lm_score.cross_entropy_difference(docs, docs.where("doc_id % 3 = 0"), **given).collect()
+        assert len(got) == len(texts)
+        for x in got:
+            assert x.n_words == len(every[x.doc_id])
+            assert math.isclose(x.target_loss, t(every[x.doc_id]), rel_tol=1e-9) and math.isclose(x.background_loss, b(every[x.doc_id]), rel_tol=1e-9)
+
+
 def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     import corpus_pipeline
 
