@@ -2,7 +2,8 @@
 
 A payload is JSON text. A field is looked up under several spellings, cleaned (empty text, 'N/A', '0000-00-00',
 NaN and infinities are null) and typed; rows without their key fields are dropped; of rows of one key the
-last payload stands. Nested payloads are opened with explode before that.
+last payload stands. Nested payloads are opened with explode before that; a spelling 'Section.Field' looks
+into an object of the payload.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ KINDS = {
     "number": to_number,
     "integer": to_integer,
     "boolean": lambda c: F.lower(c).isin("true", "1", "t", "yes"),
+    "flag": lambda c: F.coalesce(F.lower(c).isin("true", "1", "t", "yes"), F.lit(False)),
     "timestamp": lambda c: F.coalesce(F.timestamp_seconds(to_integer(c)), F.try_to_timestamp(c)),
     "texts": lambda c: F.from_json(c, "array<string>"),
     "json": lambda c: c,
+    "block": lambda c: F.coalesce(c, F.lit("{}")),
 }
 
 
@@ -54,7 +57,23 @@ SPECS = {
     "dividends": Spec(("ticker", "ex_date"), _fields(("text", "ticker period currency"), ("date", "ex_date=date declaration_date=declarationDate record_date=recordDate payment_date=paymentDate"), ("number", "value unadjusted_value=unadjustedValue"))),
     "splits": Spec(("ticker", "date"), _fields(("text", "ticker split_text=split"), ("date", "date"))),
     "earnings_history": Spec(("ticker", "report_date"), _fields(("text", "ticker before_after_market=beforeAfterMarket currency"), ("date", "report_date=reportDate|key date"), ("number", "eps_actual=epsActual eps_estimate=epsEstimate eps_difference=epsDifference surprise_pct=surprisePercent"))),
-    "earnings_trend": Spec(("ticker", "date", "period"), _fields(("text", "ticker period"), ("date", "date"), ("number", "growth earnings_estimate_avg=earningsEstimateAvg revenue_estimate_avg=revenueEstimateAvg"))),
+    "earnings_trend": Spec(("ticker", "date", "period"), _fields(("text", "ticker period"), ("date", "date"), ("number", "growth earnings_estimate_avg=earningsEstimateAvg earnings_estimate_low=earningsEstimateLow earnings_estimate_high=earningsEstimateHigh revenue_estimate_avg=revenueEstimateAvg revenue_estimate_low=revenueEstimateLow revenue_estimate_high=revenueEstimateHigh"))),
+    "earnings_calendar": Spec(("ticker", "report_date"), _fields(("text", "ticker=code|ticker before_after_market currency"), ("date", "report_date date"), ("number", "eps_actual=actual eps_estimate=estimate eps_difference=difference surprise_pct=percent"))),
+    "fundamentals": Spec(
+        ("ticker",),
+        _fields(
+            ("text", "ticker asset_type=General.Type name=General.Name description=General.Description sector=General.Sector industry=General.Industry gic_sector=General.GicSector gic_industry=General.GicIndustry"),
+            ("text", "country=General.CountryName country_iso=General.CountryISO currency=General.CurrencyCode web_url=General.WebURL logo_url=General.LogoURL"),
+            ("text", "fiscal_year_end=General.FiscalYearEnd cik=General.CIK isin=General.ISIN primary_ticker=General.PrimaryTicker"),
+            ("integer", "full_time_employees=General.FullTimeEmployees"), ("date", "ipo_date=General.IPODate"), ("flag", "is_delisted=General.IsDelisted"),
+            ("number", "market_cap=Highlights.MarketCapitalization ebitda=Highlights.EBITDA pe_ratio=Highlights.PERatio peg_ratio=Highlights.PEGRatio eps=Highlights.EarningsShare book_value=Highlights.BookValue"),
+            ("number", "dividend_share=Highlights.DividendShare dividend_yield=Highlights.DividendYield profit_margin=Highlights.ProfitMargin operating_margin=Highlights.OperatingMarginTTM"),
+            ("number", "return_on_assets=Highlights.ReturnOnAssetsTTM return_on_equity=Highlights.ReturnOnEquityTTM revenue_ttm=Highlights.RevenueTTM gross_profit_ttm=Highlights.GrossProfitTTM"),
+            ("number", "quarterly_revenue_growth=Highlights.QuarterlyRevenueGrowthYOY quarterly_earnings_growth=Highlights.QuarterlyEarningsGrowthYOY wall_street_target_price=Highlights.WallStreetTargetPrice"),
+            ("block", "general=General highlights=Highlights valuation=Valuation shares_stats=SharesStats technicals=Technicals splits_dividends=SplitsDividends analyst_ratings=AnalystRatings holders=Holders"),
+            ("block", "insider_transactions=InsiderTransactions esg_scores=ESGScores outstanding_shares=outstandingShares earnings=Earnings financials=Financials etf_data=ETF_Data components=Components"),
+        ),
+    ),
     "statements": Spec(("ticker", "date", "period_type"), _fields(("text", "ticker period_type currency=currency_symbol"), ("date", "date filing_date"), ("number", "total_revenue=totalRevenue gross_profit=grossProfit net_income=netIncome total_assets=totalAssets free_cash_flow=freeCashFlow"))),
     "shares_outstanding": Spec(("ticker", "date", "frequency"), _fields(("text", "ticker frequency"), ("date", "date=dateFormatted|date"), ("number", "shares"))),
     "holders": Spec(("ticker", "holder_name", "report_date"), _fields(("text", "ticker holder_name=name"), ("date", "report_date=date"), ("number", "pct_shares=totalShares pct_assets=totalAssets shares_held=currentShares change_shares=change change_pct=change_p"))),
@@ -69,7 +88,12 @@ SPECS = {
     "economic_events": Spec(("event_date", "country", "type"), _fields(("timestamp", "event_date=date"), ("text", "country type comparison period"), ("number", "actual previous estimate change change_pct=change_percentage"))),
     "macro_indicators": Spec(("country", "indicator", "date"), _fields(("text", "country=CountryCode|country indicator=Indicator|indicator"), ("date", "date=Date|date"), ("number", "value=Value|value"))),
     "options_chains": Spec(
-        ("ticker", "expiration_date", "option_type", "strike"), _fields(("text", "ticker option_type=type"), ("date", "expiration_date=expirationDate"), ("number", "strike last=lastPrice bid ask implied_volatility=impliedVolatility"), ("integer", "volume open_interest=openInterest"))
+        ("ticker", "expiration_date", "option_type", "strike", "snapshot_date"),
+        _fields(
+            ("text", "ticker option_type=type"), ("date", "expiration_date=expirationDate snapshot_date"), ("timestamp", "last_trade_date=lastTradeDateTime"),
+            ("number", "strike last=lastPrice change change_pct=changePercent bid ask implied_volatility=impliedVolatility delta gamma theta vega rho theoretical intrinsic_value=intrinsicValue time_value=timeValue"),
+            ("integer", "volume open_interest=openInterest"), ("flag", "in_the_money=inTheMoney"),
+        ),
     ),
 }
 
@@ -79,8 +103,12 @@ def ingest(payloads: DataFrame, spec: Spec, payload: str = "payload", order: str
     fields = F.from_json(payload, "map<string,string>")
     rows = payloads.withColumn("_f", fields)
 
+    def field(spelling: str) -> Column:
+        section, _, inner = spelling.partition(".")
+        return F.get_json_object(F.col("_f")[section], f"$.{inner}") if inner else F.col("_f")[section]
+
     def value(name: str, kind: str, spellings: tuple[str, ...]) -> Column:
-        found = [F.nullif(F.col("_f")[s], F.lit("")) for s in spellings]
+        found = [F.nullif(field(s), F.lit("")) for s in spellings]
         beside = [F.col(name).cast("string")] if name in payloads.columns else []
         return KINDS[kind](F.coalesce(*found, *beside)).alias(name)
 
@@ -100,6 +128,18 @@ def explode_dated(payloads: DataFrame, payload: str, *sections: str) -> DataFram
     return opened.select(*beside, "section", F.explode("rows").alias("key", payload))
 
 
+def explode_options(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Payloads {data: [{expirationDate, options: {CALL: [contract], PUT: [contract]}}]} as a row a contract, beside the input's other columns.
+
+    The input brings snapshot_date, the day the chain was seen.
+    """
+    beside = [c for c in payloads.columns if c != payload]
+    chains = F.from_json(payload, "struct<data:array<struct<expirationDate:string,options:map<string,array<string>>>>>")
+    opened = payloads.select(*beside, F.explode(chains["data"]).alias("_c")).where(to_date(F.col("_c.expirationDate")).isNotNull())
+    sides = opened.select(*beside, F.col("_c.expirationDate").alias("expiration_date"), F.explode("_c.options").alias("option_type", "_contracts")).where(F.col("option_type").isin("CALL", "PUT"))
+    return sides.select(*beside, "expiration_date", "option_type", F.explode("_contracts").alias(payload))
+
+
 def split_ratio(text: Column) -> tuple[Column, Column]:
     """'a/b' as two numbers."""
     return to_number(F.split_part(text, F.lit("/"), F.lit(1))), to_number(F.split_part(text, F.lit("/"), F.lit(2)))

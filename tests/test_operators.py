@@ -11,7 +11,7 @@ from meridia.functions.numbers import half_up, money, to_date, to_integer, to_nu
 from meridia.operators import upsert as up
 from meridia.operators.latest import as_of_join, latest_by
 from meridia.operators.stats import average_rank, equal_bins, rank_correlation, winsorise, z_score
-from meridia.sources.ingest import SPECS, explode_dated, ingest, split_ratio, ticker_parts, without_nan
+from meridia.sources.ingest import SPECS, explode_dated, explode_options, ingest, split_ratio, ticker_parts, without_nan
 
 
 def days(n):
@@ -115,6 +115,27 @@ def test_nested_payloads(spark):
     assert [(x.ticker, x.date, x.total_revenue) for x in ingest(opened, SPECS["statements"]).collect()] == [("A", date(2000, 12, 31), 5.0)]
 
 
+def test_option_chains_keep_each_snapshot_and_all_fields(spark):
+    chain = '{"data":[{"expirationDate":"2024-03-15","options":{"CALL":[{"strike":10,"lastPrice":%s,"delta":0.5,"timeValue":1.5,"inTheMoney":true,"lastTradeDateTime":"2024-01-02T10:00:00Z"}],"PUT":[{"strike":10,"gamma":0.1},{"bid":1}]}},{"options":{"CALL":[{"strike":1}]}}]}'
+    payloads = spark.createDataFrame([("A", chain % 2, "2024-01-02"), ("A", chain % 3, "2024-01-03"), ("A", "x", "2024-01-04")], "ticker string, payload string, snapshot_date string")
+    got = {(x.option_type, x.snapshot_date.day): x for x in ingest(explode_options(payloads), SPECS["options_chains"]).collect()}
+    assert sorted(got) == [("CALL", 2), ("CALL", 3), ("PUT", 2), ("PUT", 3)] and len(SPECS["options_chains"].columns) == 23
+    x, y = got["CALL", 3], got["PUT", 2]
+    assert (x.last, x.delta, x.time_value, x.in_the_money, x.last_trade_date is not None, x.expiration_date) == (3.0, 0.5, 1.5, True, True, date(2024, 3, 15))
+    assert (y.gamma, y.in_the_money, y.last) == (0.1, False, None)
+
+
+def test_fundamentals_and_earnings_payloads(spark):
+    payload = lambda text: spark.createDataFrame([("A", text)], "ticker string, payload string")
+    x = ingest(payload('{"General":{"Type":"Common Stock","IPODate":"2000-01-02","FullTimeEmployees":7},"Highlights":{"PERatio":"12.5"},"Valuation":{"a":1}}'), SPECS["fundamentals"]).first()
+    assert (x.asset_type, x.ipo_date, x.full_time_employees, x.is_delisted, x.pe_ratio, x.eps) == ("Common Stock", date(2000, 1, 2), 7, False, 12.5, None)
+    assert (x.valuation, x.components, len(x)) == ('{"a":1}', "{}", 1 + 36 + 15)
+    x = ingest(payload('{"date":"2024-03-31","period":"0q","earningsEstimateLow":1,"earningsEstimateHigh":2,"revenueEstimateLow":3,"revenueEstimateHigh":4}'), SPECS["earnings_trend"]).first()
+    assert (x.earnings_estimate_low, x.earnings_estimate_high, x.revenue_estimate_low, x.revenue_estimate_high) == (1.0, 2.0, 3.0, 4.0)
+    x = ingest(payload('{"code":"B","report_date":"2024-04-01","actual":1,"estimate":2,"percent":-50}'), SPECS["earnings_calendar"]).first()
+    assert (x.ticker, x.report_date, x.eps_actual, x.eps_estimate, x.surprise_pct) == ("B", date(2024, 4, 1), 1.0, 2.0, -50.0)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("2001-02-03T10:00", "1e3", "-7.9"), ("N/A", "inf", ""), ("2001-02-30", "abc", None)], "a string, b string, c string")
     got = [tuple(x) for x in df.select(to_date(F.col("a")), to_number(F.col("b")), to_integer(F.col("c"))).collect()]
