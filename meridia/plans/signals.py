@@ -66,7 +66,7 @@ def sig_value(t: Tables, quarters: int = 4, as_of: str = AS_OF) -> DataFrame:
     return _rated(rows, reason, half_up(F.col("ttm") / F.col("adjusted_close"), 8), (F.col("ttm") < 0).alias("negative_earnings"), "latest_earnings_date")
 
 
-def sig_insider(t: Tables, window: int = 20, lag: int = 4, min_txns: int = 2, as_of: str = EVENTS_AS_OF) -> DataFrame:
+def sig_insider(t: Tables, window: int = 30, lag: int = 4, min_txns: int = 2, as_of: str = EVENTS_AS_OF) -> DataFrame:
     """Buys less sells in (as_of - window, as_of] that were knowable: by report date, else some days after the trade."""
     at = day(as_of)
     knowable = F.coalesce("report_date", F.date_add("transaction_date", lag))
@@ -117,7 +117,7 @@ PLANS = {
     "universe_select": universe_select,
     "sig_momentum": sig_momentum,
     "sig_value": sig_value,
-    "sig_insider": sig_insider,
+    "sig_insider": lambda t: sig_insider(t, window=20),  # as its SQL
     "sig_institutional_flow": sig_institutional_flow,
     "sig_ssg": sig_ssg,
     "select_rank": lambda t: select_rank(sig_value(t)),

@@ -5,6 +5,8 @@ All take their parameters as arguments and an as-of date from the domain, and br
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +60,14 @@ def _insiders(t: Tables, days: int) -> DataFrame:
     )
 
 
-def congressional_trading(t: Tables, days: int = 10, limit: int = 25) -> DataFrame:
+def congressional_trading(t: Tables, days: int = 30, limit: int = 25) -> DataFrame:
     rows = _insiders(t, days).drop("seller_names").join(listed(t, "name", "sector", "market_cap", "pe_ratio"), "ticker").join(latest_price(t).drop("price_date"), "ticker")
     signal = F.when(F.col("buyers") > F.col("sellers"), "BUY_SIGNAL").when(F.col("sellers") > F.col("buyers"), "SELL_SIGNAL").otherwise("MIXED")
     rows = rows.where("buyers > 0 or sellers > 0").withColumns({"signal": signal, "net_trades": F.col("buy_trades") - F.col("sell_trades")})
     return _top(rows, F.desc("net_trades"), limit=limit)
 
 
-def congressional_selling_alert(t: Tables, days: int = 10, limit: int = 25) -> DataFrame:
+def congressional_selling_alert(t: Tables, days: int = 30, limit: int = 25) -> DataFrame:
     rows = _insiders(t, days).select("ticker", "buyers", "sellers", "sell_trades", "seller_names").where("sellers > buyers")
     rows = rows.join(listed(t, "name", "sector", "market_cap", "pe_ratio"), "ticker").join(latest_price(t).drop("price_date"), "ticker")
     return _top(rows, F.desc("sell_trades"), limit=limit)
@@ -177,6 +179,7 @@ STRATEGIES = {
         fund_holder_conviction, price_momentum_leaders, dividend_income, institutional_holder_alpha, smart_institution_holdings,
     )
 }
+STRATEGIES |= {f.__name__: partial(f, days=10) for f in (congressional_trading, congressional_selling_alert)}  # as their SQL
 
 
 def multi_signal(t: Tables, least: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from meridia.plans import flows, signals
+from meridia.plans import flows, signals, strategies
 from meridia.plans.catalog import PLANS, oracles
 from meridia.plans.ssg import ESTIMATORS, focus_forecast
 from meridia.sources.domain import Tables
@@ -112,6 +112,14 @@ def test_insider(spark, rows, value, reason):
     assert (got.value, got.reason) == (value, reason)
 
 
+def test_insider_windows_are_thirty_days(spark):
+    old = trades(spark, ("2024-01-05", "P", 1e5, None), ("2024-01-06", "P", 1e5, None), ("2023-12-31", "P", 1e5, None))
+    got = signals.sig_insider(tables(spark, insider_transactions=old)).first()
+    assert (got.value, got.n_txns) == (2e5, 2)
+    days = {f.__name__: f.__defaults__[0] for f in (strategies.congressional_trading, strategies.congressional_selling_alert)}
+    assert set(days.values()) == {30}
+
+
 def test_what_is_learned_later_changes_nothing(spark):
     rows = [("2026-03-30", "P", 9e5, None), ("2026-03-31", "S", 2e5, None)]
     late = [("2026-04-01", "P", 5e5, "2026-05-01"), ("2026-04-11", "P", 5e5, None)]
