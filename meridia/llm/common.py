@@ -62,14 +62,18 @@ def fold(doc_id: Column) -> Column:
 def frequent(counted: DataFrame, most: int) -> DataFrame:
     """The rows with the largest n, at most `most` of them: all above a cut that a histogram of n gives.
 
-    Rows of about the same n are taken together or not at all; no task gathers more than a histogram.
+    Of the rows of about the same n that cross `most`, some are taken by hash; no task gathers more than a histogram.
     """
-    step = F.floor(F.log2("n") * 16).cast("int")
+    step, part = F.floor(F.log2("n") * 16).cast("int"), F.pmod(F.xxhash64(*counted.columns), F.lit(1024)).cast("int")
     sizes = {r.step: r.rows for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()}
-    cut, taken = None, 0
+    taken = 0
     for k in sorted(sizes, reverse=True):
+        if taken + sizes[k] > most:
+            parts = {r.part: r.rows for r in counted.where(step == k).groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect()}
+            end = 0
+            while taken + parts.get(end, 0) <= most:
+                taken += parts.get(end, 0)
+                end += 1
+            return counted.where((step > k) | ((step == k) & (part < end)))
         taken += sizes[k]
-        if taken > most:
-            break
-        cut = k
-    return counted.where(step >= cut) if cut is not None else counted.where("false")
+    return counted

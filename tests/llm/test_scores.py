@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from meridia.llm import lm_score, mixing, quality, toxicity
+from meridia.llm.common import frequent
 from meridia.llm.labelled import training_rows
 
 from .cases import frame, rows
@@ -210,6 +211,14 @@ def test_lm_scores_count_every_word_and_bigram(spark):
             assert math.isclose(x.target_loss, t(every[x.doc_id]), rel_tol=1e-9) and math.isclose(x.background_loss, b(every[x.doc_id]), rel_tol=1e-9)
 
 
+def test_frequent_rows_of_one_count_are_split(spark):
+    counted = spark.range(5000).selectExpr("cast(id as string) as word", "if(id < 10, 900L, 7L) as n")
+    for most in (4, 1000, 5000):
+        got = [r.word for r in frequent(counted, most).collect()]
+        assert most * 0.9 - 5 <= len(got) <= most and (most < 10 or {str(k) for k in range(10)} <= set(got))
+    assert frequent(counted.where("n = 7"), 1000).count() > 900
+
+
 def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     import corpus_pipeline
 
