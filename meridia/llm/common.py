@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,13 @@ def documents_of(df: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers, one to one, with all their bits mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, modulo 4. A null doc_id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)), F.lit(0)).cast("int")

@@ -1,78 +1,87 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Both models are bigram models over one vocabulary, all words of all documents and of the target of at most
-LONGEST bytes (longer ones are one word more), with the same smoothing. The background model counts
-all documents, the target model the target's. Background counts are scaled to the target's number
-of words before smoothing, so the models differ in what they have read, not in how much.
+Both models are bigram models over one vocabulary, all words of all documents and of the target, with the
+same smoothing. The background model counts all documents, the target model the target's. Background counts are
+scaled to the target's number of words before smoothing, so the models differ in what they have read, not in how much.
 
-Words are white-space-separated runs, ASCII capitals folded. Counts are whole and grow with the corpus: no word
-or bigram is left out or shares a count with others. They are summed where they are used:
+Words are white-space-separated runs, ASCII capitals folded. A document is scored by models that have not read it: its own counts are
+taken from the background's, and from the target's if its doc_id is one of the target's. Else membership, not likeness,
+would show, and a document that occurs once would look as foreseen as one that occurs twice.
+
+Counts are whole and grow with the corpus: no word or bigram is left out. They are exchanged between partitions:
 
 1. Words are counted in a Spark table. The most frequent, HOT at most, are broadcast with their counts.
-2. Bigrams of the DENSE most frequent words are counted in a matrix, so that no frequent bigram lies in one task.
-3. Each document's other bigrams are sent to buckets, packed by task: by the bigram where its second word is
-   broadcast, else by that word, so that a bucket holds all occurrences of its bigrams and of its rare words. It counts them,
-   and sends each document the sum of its terms. The number of buckets grows with the words.
+2. Each task cuts its documents into blocks of about BLOCK words. Bigrams of the DENSE most frequent words are counted in a
+   matrix for each task. The other distinct bigrams and the rare words of a block go, with their number in the
+   block, to the owners of ranges of the hash space, sorted and compressed.
+3. An owner adds up what all blocks sent, and answers each block with the totals in the order of its message.
+4. Each block meets its answers and sums the losses of its documents.
+
+So a bigram crosses the network once a block, however many documents of the block hold it, and a bigram in every block costs
+its owner one entry a block. The number of owners grows with the words. A document is never divided, so a block is as large as
+the longest document at least.
 
-Rare words are known by 63 bits of BLAKE2b; two of 10^8 share them with a probability of 5e-4.
+Rare words and bigrams are known by 63 and 64 bits of hash: of m of them about m**2 / 2**65 share one with another.
 
-p(w | u) = (c(u, w) + PRIOR * p(w)) / (c(u) + PRIOR), p(w) = (c(w) + 1) / (N + V).
+p(w | u) = (c(u, w) + PRIOR * p(w)) / (c(u) + PRIOR), p(w) = (c(w) + 1) / (N + V), for V of the vocabulary and one word more.
 
 A document's losses are in nats a word; difference is target less background loss, lower for
 documents more like the target. Null, empty and blank texts have no words and losses of 0. Without any target
 document both models are those of the background and differences are 0. Repeated rows and
-equal or null doc_ids each give a row; an empty table gives none. Columns other than doc_id and text are left out.
+equal or null doc_ids each give a row, scored without that row's own counts; an empty table gives none. Columns other than
+doc_id and text are left out.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, frequent, written
-from .token_count import task_counts
+from .common import documents_of, frequent, mixed, written
 
-LONGEST = 64
 HOT = 1 << 16
 DENSE = 1 << 10
-#: Words of the corpus a bucket, about.
-BUCKET = 1 << 20
-#: Words and rare words' numbers that a task holds at once.
-HELD, MEMO = 250_000, 100_000
-BLOCK = 1 << 13
+#: Words of a block, about.
+BLOCK = 1 << 19
+#: Words of the corpus an owner, about.
+OWNED = 1 << 20
+#: Distinct words that a task counts before it passes them on, and words whose numbers it remembers.
+HELD, MEMO = 250_000, 200_000
+#: Cells of a piece of the matrix.
+PIECE = 1 << 13
 PRIOR = 50.0
-#: Numbers of the mark of a text's start, of all long words, and of the mark of a text's end.
-START, LONG, END = 0, 1, 2
-MARKS = (b" ", b"", b"  ")
+#: The number of the mark of a text's start; its count is the number of texts.
+START = 0
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_ids(text: str, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """The text's ids after the mark of its start, which has the id of all other words plus one."""
-    rest = len(vocabulary)
-    return np.array([rest + 1, *(vocabulary.get(w, rest) for w in words_of(text))], np.int64)
+def word_code(word: bytes) -> int:
+    """A negative hash."""
+    import xxhash
 
+    return -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
 
-def marked(text: str) -> list[bytes]:
-    """The text's words after the mark of its start."""
-    return [MARKS[START], *(w if len(w) <= LONGEST else MARKS[LONG] for w in words_of(text))]
 
+class Codes(dict):
+    """Numbers of words: ranks from 1 of the frequent ones, negative hashes of the rest. Emptied when full."""
 
-class Numbers(dict):
-    """Numbers of words: ranks of the frequent ones, negative hashes of the rest, of which it keeps some."""
+    def __init__(self, ranks: dict[int, int]):
+        self.ranks = ranks
 
     def __missing__(self, word: bytes) -> int:
-        found = -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1)
-        self[word] = found
+        if len(self) > MEMO:
+            self.clear()
+        code = word_code(word)
+        self[word] = found = self.ranks.get(code, code)
         return found
 
 
@@ -85,6 +94,7 @@ def pack(*columns: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
+    """Columns of n signed integers."""
     import zstandard
 
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, 8, n)
@@ -95,202 +105,232 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 class Model:
     """What tasks know of both models: counts of frequent words, and of bigrams of the most frequent ones."""
 
-    words: list[bytes]
-    single: np.ndarray  # by number: of all documents, of the target
+    hot: np.ndarray  # hashes of the frequent words, by rank from 1
+    single: np.ndarray  # counts by number: of all documents, of the target
     n_all: int
     n_target: int
     size: int
     dense: int
-    buckets: int
+    owners: int
     pairs: np.ndarray | None = None
 
-    def scaled(self, counts: np.ndarray) -> np.ndarray:
-        """Counts (all documents, target) as counts of the models (target, background)."""
-        if not self.n_target:
-            return np.stack([counts[0], counts[0]]).astype(float)
-        return np.stack([counts[1].astype(float), counts[0] * (self.n_target / max(1, self.n_all))])
+    def codes(self) -> Codes:
+        return Codes({h: k + 1 for k, h in enumerate(self.hot.tolist())})
 
-    def terms(self, pairs: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """What each bigram adds to the losses but for its context, given the counts of it and of its second word."""
-        p = (self.scaled(after) + 1) / ((self.n_target or self.n_all) + self.size)
-        return -np.log(self.scaled(pairs) + PRIOR * p)
+    def is_dense(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return (before >= 0) & (before < self.dense) & (after >= 0) & (after < self.dense)
 
-    def contexts(self, counts: np.ndarray) -> np.ndarray:
-        return np.log(self.scaled(counts) + PRIOR)
+    def log_p(self, pair: np.ndarray, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """ln p(w | u) from counts of the bigram, of its two words, and of all words."""
+        p = (after + 1) / (n + self.size)
+        return np.log(pair + PRIOR * p) - np.log(before + PRIOR)
 
-    def numbers(self) -> Numbers:
-        return Numbers({w: k for k, w in enumerate(self.words)})
 
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mixed(mixed(before.view(np.uint64)) + after.view(np.uint64))
 
-def _texts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[np.ndarray, list]]:
-    """The numbers of some texts, one after the other, and their doc_ids."""
-    ids, held, docs = model.numbers(), [], []
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            held += map(ids.__getitem__, marked(text))
-            docs.append(doc_id)
-            if len(held) > HELD:
-                yield np.array(held, np.int64), docs
-                held, docs = [], []
-            if len(ids) > len(model.words) + MEMO:
-                ids = model.numbers()
-    if docs:
-        yield np.array(held, np.int64), docs
 
+def word_keys(codes: np.ndarray) -> np.ndarray:
+    return mixed(~codes.view(np.uint64))
 
-def _matrix(shared):
-    """Counts of the bigrams of the most frequent words, in blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        counts = np.zeros(-(-(model.dense**2) // BLOCK) * BLOCK, np.int64)
-        for x, _ in _texts(batches, model):
-            before, after = x[:-1], x[1:]
-            both = (before >= 0) & (before < model.dense) & (after > START) & (after < model.dense)
-            counts += np.bincount(before[both] * model.dense + after[both], minlength=len(counts))
-        for k in range(0, len(counts), BLOCK):
-            if counts[k : k + BLOCK].any():
-                yield pa.record_batch([pa.array([k // BLOCK], pa.int32()), pa.array([pack(counts[k : k + BLOCK])])], ["block", "counts"])
+#: Kinds of rows: a block's document ids, its words in order, the numbers of its distinct words, its keys for an owner,
+#: keys of the target, an owner's answer, and pieces of the matrices of documents and target.
+IDS, TOKENS, CODES, KEYS, TARGET_KEYS, ANSWER, MATRIX, TARGET_MATRIX = range(8)
+ROWS = "kind int, block long, owner int, n int, data binary"
+_NAMES = ["kind", "block", "owner", "n", "data"]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-    return run
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _TYPES)], _NAMES)
 
-def _total(rows: pa.Table) -> pa.Table:
-    total = sum(unpack(c, BLOCK)[0] for c in rows.column("counts").to_pylist())
-    return pa.table({"block": rows.column("block").slice(0, 1), "counts": [pack(total)]})
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of words and, as START, the number of texts; a word may come more than once."""
+    held: Counter = Counter()
+    texts = 0
 
-def matrix(docs: DataFrame, shared) -> np.ndarray:
-    size = shared.value.dense
-    out = np.zeros(-(-(size**2) // BLOCK) * BLOCK, np.int64)
-    counted = docs.mapInArrow(_matrix(shared), "block int, counts binary").groupBy("block").applyInArrow(_total, "block int, counts binary")
-    for r in counted.toLocalIterator():
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = unpack(bytes(r.counts), BLOCK)[0]
-    return out[: size**2].reshape(size, size)
+    def out() -> pa.RecordBatch:
+        made = pa.record_batch([pa.array([START, *map(word_code, held)], pa.int64()), pa.array([texts, *held.values()], pa.int64())], ["word", "n"])
+        held.clear()
+        return made
 
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            held.update(words_of(text))
+            texts += 1
+            if len(held) > HELD:
+                yield out()
+                texts = 0
+    yield out()
 
-#: Kinds of packed rows: bigrams of documents, bigrams of the target, documents.
-OF_DOCUMENTS, OF_TARGET, DOCUMENTS = 0, 1, 2
-PACKED = "bucket int, kind int, n int, data binary"
 
+def word_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """word, n (in all documents), t (in the target) of each word and of START."""
+    none = F.lit(0).cast("long")
+    of = lambda df, n, t: df.select("text").mapInArrow(_count_words, "word long, n long").select("word", n.alias("n"), t.alias("t"))
+    every = of(docs, F.col("n"), none).unionByName(of(target, none, F.col("n")))
+    return written(every.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words", even=False)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], codes: Codes, most: int) -> Iterator[tuple[np.ndarray, list]]:
+    """The numbers of the words of some texts, each after START, and the texts' doc_ids."""
+    held: list[int] = []
+    docs: list[int | None] = []
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            held.append(START)
+            held += map(codes.__getitem__, words_of(text))
+            docs.append(doc_id)
+            if len(held) >= most:
+                yield np.array(held, np.int64), docs
+                held, docs = [], []
+    if docs:
+        yield np.array(held, np.int64), docs
 
-def _postings(shared, target: bool):
-    """For each bucket the bigrams of some texts that the matrix lacks; for documents also what is known of their losses here."""
 
-    def rows(parts: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "n", "data"])
+def _postings(shared, target: bool, most: int):
+    """Blocks of texts and their messages to owners; of the target the messages alone. A matrix for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model = shared.value
-        known = model.terms(model.pairs, model.single[:, None, : model.dense])
-        contexts = model.contexts(model.single)
-        key = TaskContext.get().partitionId() << 40
-        for x, docs in _texts(batches, model):
-            starts = x == START
-            doc = np.cumsum(starts) - 1
-            token = np.flatnonzero(~starts)
-            before, after, doc = x[token - 1], x[token], doc[token]
-            dense = (before >= 0) & (before < model.dense) & (after >= 0) & (after < model.dense)
-            parts = []
+        block = TaskContext.get().partitionId() << 40
+        matrix = np.zeros(-(-(model.dense**2) // PIECE) * PIECE, np.int64)
+        for x, docs in _blocks(batches, model.codes(), most):
+            token = np.flatnonzero(x != START)
+            before, after = x[token - 1], x[token]
+            dense = model.is_dense(before, after)
+            matrix += np.bincount(before[dense] * model.dense + after[dense], minlength=len(matrix))
+            keys, times = np.unique(np.concatenate([pair_keys(before[~dense], after[~dense]), word_keys(x[x < 0])]), return_counts=True)
+            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(model.owners) >> np.uint64(32), np.arange(model.owners + 1, dtype=np.uint64))
+            gaps = np.diff(keys, prepend=np.uint64(0))
+            gaps[cuts[:-1][cuts[:-1] < len(keys)]] = keys[cuts[:-1][cuts[:-1] < len(keys)]]  # each message starts from zero
+            out = [
+                (TARGET_KEYS if target else KEYS, block, k, b - a, pack(gaps[a:b], times[a:b]))
+                for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                if a < b
+            ]
             if not target:
-                n, hot = np.bincount(doc, minlength=len(docs)), before >= 0
-                sums = [
-                    np.bincount(doc[dense], known[m][before[dense], after[dense]], len(docs)) + np.bincount(doc[hot], contexts[m][before[hot]], len(docs)) for m in (0, 1)
-                ]
-                ids = np.array([d or 0 for d in docs], np.int64)
-                parts.append((key // 7919 % model.buckets, DOCUMENTS, len(docs), pack(np.arange(key, key + len(docs)), ids, np.array([d is not None for d in docs], np.int64), n, *sums)))
-                last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if len(doc) else np.zeros(0, np.int64)
-                last = last[after[last] < 0]
-            rest = ~dense
-            before, after, whose = before[rest], after[rest], np.zeros(rest.sum(), np.int64) if target else doc[rest]
-            if not target:
-                before, after, whose = np.append(before, np.full(len(last), END)), np.append(after, x[token[last]]), np.append(whose, doc[last])
-            mixed = after.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(after < 0, 0, before).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            bucket = ((mixed >> np.uint64(33)) % np.uint64(model.buckets)).astype(np.int64)
-            order = np.lexsort((whose, before, after, bucket))
-            bucket, before, after, whose = bucket[order], before[order], after[order], whose[order]
-            if len(order):
-                new = np.append(True, (bucket[1:] != bucket[:-1]) | (after[1:] != after[:-1]) | (before[1:] != before[:-1]) | (whose[1:] != whose[:-1]))
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(new)))
-                bucket, before, after, whose = bucket[at], before[at], after[at], whose[at] + key
-                edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)]):
-                    parts.append((int(bucket[a]), OF_TARGET if target else OF_DOCUMENTS, b - a, pack(before[a:b], after[a:b], whose[a:b], times[a:b])))
-            key += len(docs)
-            if parts:
-                yield rows(parts)
+                codes, local = np.unique(x, return_inverse=True)
+                given = np.array([d is not None for d in docs], np.int64)
+                out += [
+                    (IDS, block, 0, len(docs), pack(np.array([d or 0 for d in docs], np.int64), given)),
+                    (TOKENS, block, 0, len(local), pack(local)),
+                    (CODES, block, 0, len(codes), pack(codes)),
+                ]
+            yield _rows(out)
+            block += 1
+        kind = TARGET_MATRIX if target else MATRIX
+        pieces = matrix.reshape(-1, PIECE)
+        yield _rows([(kind, block, k, PIECE, pack(pieces[k])) for k in np.flatnonzero(pieces.any(axis=1)).tolist()])
         pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return run
 
 
-def _sums(shared):
-    """The terms of a bucket's bigrams and rare words, summed by document; its documents' own sums beside."""
-
-    def run(table: pa.Table) -> pa.Table:
+def _total(rows: pa.Table) -> pa.Table:
+    total = sum(unpack(d, PIECE)[0] for d in rows.column("data").to_pylist())
+    return pa.Table.from_batches([_rows([(*(rows.column(c)[0].as_py() for c in ("kind", "block", "owner", "n")), pack(total))])])
+
+
+def matrices(sent: DataFrame, size: int) -> np.ndarray:
+    """Counts of the most frequent words' bigrams: of all documents, of the target. 256 tasks are added up at first."""
+    out = np.zeros((2, -(-(size**2) // PIECE) * PIECE), np.int64)
+    parts = sent.where(F.col("kind").isin(MATRIX, TARGET_MATRIX))
+    for bits in (48, 62):
+        parts = parts.withColumn("block", F.shiftright("block", bits)).groupBy("kind", "block", "owner").applyInArrow(_total, ROWS)
+    for r in parts.toLocalIterator():
+        out[int(r.kind == TARGET_MATRIX), r.owner * PIECE : (r.owner + 1) * PIECE] = unpack(bytes(r.data), PIECE)[0]
+    return out[:, : size**2].reshape(2, size, size)
+
+
+def _answers(rows: pa.Table) -> pa.Table:
+    """An owner's totals, of all documents and of the target, for each message of a block."""
+    kinds, blocks, owners, ns, data = (rows.column(c).to_pylist() for c in _NAMES)
+    got = [unpack(d, n) for d, n in zip(data, ns)]
+    keys, at = np.unique(np.concatenate([np.cumsum(g.view(np.uint64), dtype=np.uint64) for g, _ in got]), return_inverse=True)
+    times, of_target = np.concatenate([t for _, t in got]), np.repeat(np.array(kinds) == TARGET_KEYS, ns)
+    totals = np.stack([np.bincount(at, times * (of_target == t), len(keys)).astype(np.int64) for t in (False, True)])
+    ends = np.cumsum(ns)
+    out = [
+        (ANSWER, b, o, n, pack(*totals[:, at[e - n : e]]))
+        for kind, b, o, n, e in zip(kinds, blocks, owners, ns, ends.tolist())
+        if kind == KEYS
+    ]
+    return pa.Table.from_batches([_rows(out)])
+
+
+def _losses(shared):
+    """The summed losses of a block's documents: as one outside the target, as one of it, and of the background."""
+
+    def run(rows: pa.Table) -> pa.Table:
         model = shared.value
-        held, out = [], []
-        for kind, n, data in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "data"))):
-            got = unpack(data, n)
-            if kind == DOCUMENTS:
-                key, ids, given, size, t, b = got
-                out.append([pa.array(key), pa.array(ids, mask=given == 0), pa.array(size), pa.array(t.view(float)), pa.array(b.view(float))])
-            else:
-                held.append(np.vstack([got, np.full(n, kind)]))
-        if held:
-            before, after, key, times, kind = np.concatenate(held, axis=1)
-            del held
-            order = np.lexsort((before, after))
-            before, after, key, times, kind = before[order], after[order], key[order], times[order], kind[order]
-            word = np.cumsum(np.append(True, after[1:] != after[:-1])) - 1
-            pair = np.cumsum(np.append(True, (after[1:] != after[:-1]) | (before[1:] != before[:-1]))) - 1
-            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            real = before != END
-            counts = lambda by: np.stack([np.bincount(by, times * (real & (kind == k)), by[-1] + 1) for k in (OF_DOCUMENTS, OF_TARGET)])
-            pairs, words = counts(pair), counts(word)[:, word[first]]
-            rare = after[first] < 0
-            words[:, ~rare] = model.single[:, after[first][~rare]]
-            terms, contexts = model.terms(pairs, words), np.where(rare, model.contexts(words), 0.0)
-            mine = kind == OF_DOCUMENTS
-            pair, times, real = pair[mine], times[mine], real[mine]
-            key, row = np.unique(key[mine], return_inverse=True)
-            t, b = (np.bincount(row, times * np.where(real, terms[m][pair] + contexts[m][pair], -contexts[m][pair]), len(key)) for m in (0, 1))
-            out.append([pa.array(key), pa.nulls(len(key), pa.int64()), pa.array(np.zeros(len(key), np.int64)), pa.array(t), pa.array(b)])
-        return pa.concat_tables([pa.table(c, ["key", "doc_id", "n", "t", "b"]) for c in out])
+        got = sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "owner", "n", "data"))), key=lambda r: r[:2])
+        parts = {k: unpack(d, n) for k, _, n, d in got if k != ANSWER}
+        counts = np.concatenate([np.zeros((2, 0), np.int64), *(unpack(d, n) for k, _, n, d in got if k == ANSWER)], axis=1)
+        (ids, given), (x,), (codes,) = parts[IDS], parts[TOKENS], parts[CODES]
+        start = x == np.searchsorted(codes, START)
+        doc = np.cumsum(start) - 1
+        token = np.flatnonzero(~start)
+        # distinct bigrams of the block and their counts
+        pair, of = np.unique(x[token - 1] * len(codes) + x[token], return_inverse=True)
+        u, w = pair // len(codes), pair % len(codes)
+        dense, rare = model.is_dense(codes[u], codes[w]), codes < 0
+        asked, words = pair_keys(codes[u[~dense]], codes[w[~dense]]), word_keys(codes[rare])
+        keys = np.unique(np.concatenate([asked, words]))
+        of_pair, of_word = np.zeros((2, len(pair))), np.zeros((2, len(codes)))
+        of_pair[:, dense] = model.pairs[:, codes[u[dense]], codes[w[dense]]]
+        of_pair[:, ~dense] = counts[:, np.searchsorted(keys, asked)]
+        of_word[:, ~rare] = model.single[:, codes[~rare]]
+        of_word[:, rare] = counts[:, np.searchsorted(keys, words)]
+        # distinct words and bigrams of each document, and how often it holds them itself
+        _, held, own = np.unique(doc * len(codes) + x, return_inverse=True, return_counts=True)
+        _, first, times = np.unique(doc[token] * max(1, len(pair)) + of, return_index=True, return_counts=True)
+        own, at, d = own[held], token[first], doc[token[first]]
+        size = np.bincount(doc[token], minlength=len(ids))
+        mine = (times, own[at - 1], own[at], size[d])
+        of_all = (of_pair[0][of[first]], of_word[0][x[at - 1]], of_word[0][x[at]], model.n_all)
+        of_target = (of_pair[1][of[first]], of_word[1][x[at - 1]], of_word[1][x[at]], model.n_target)
+        share = model.n_target / max(1, model.n_all) if model.n_target else 1.0
+        less = lambda counts: [np.maximum(0, c - own) for c, own in zip(counts, mine)]
+        background = model.log_p(*(c * share for c in less(of_all)))
+        outside = model.log_p(*of_target) if model.n_target else background
+        inside = model.log_p(*less(of_target)) if model.n_target else background
+        sums = [pa.array(np.bincount(d, -times * p, len(ids))) for p in (outside, inside, background)]
+        return pa.table([pa.array(ids, mask=given == 0), pa.array(size), *sums], ["doc_id", "n_words", "outside", "inside", "background"])
 
     return run
 
 
-def word_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """word, n (in all documents), t (in the target) of each word and of the marks."""
-    count = task_counts(marked, HELD)
-    of = lambda df, n, t: df.select("text").mapInArrow(count, "word binary, n long").select("word", n.alias("n"), t.alias("t"))
-    every = of(docs, F.col("n"), F.lit(0).cast("long")).unionByName(of(target, F.lit(0).cast("long"), F.col("n")))
-    return written(every.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words", even=False)
-
+def cross_entropy_difference(documents: DataFrame, target: DataFrame, hot: int = HOT, dense: int = DENSE, block: int = BLOCK, owned: int = OWNED) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, difference of each document.
 
-def cross_entropy_difference(documents: DataFrame, target: DataFrame, hot: int = HOT, dense: int = DENSE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, difference of each document. target: documents of the target, with a column text."""
+    target: texts of the target in a column text. Those that are documents of the corpus bear their doc_id.
+    """
     docs = documents_of(documents)
-    wanted = target.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    of_corpus: Column = F.col("doc_id").cast("long") if "doc_id" in target.columns else F.lit(None).cast("long")
+    wanted = written(target.select(of_corpus.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "target")
     context = docs.sparkSession.sparkContext
     counted = word_counts(docs, wanted)
-    words = counted.where(~F.col("word").isin(*[F.lit(m) for m in MARKS]))
-    marks = {bytes(r.word): (r.n, r.t) for r in counted.where(F.col("word").isin(*[F.lit(m) for m in MARKS])).collect()}
+    texts = counted.where(F.col("word") == START).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    words = counted.where(F.col("word") != START)
     size, n, t = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    top = sorted(((-r.n, bytes(r.word), r.t) for r in frequent(words.where("n > 0"), hot).toLocalIterator()))
-    single = np.array([*(marks.get(m, (0, 0)) for m in MARKS), *((-m, u) for m, _, u in top)], np.int64).T
-    long = marks.get(MARKS[LONG], (0, 0))
-    model = Model([*MARKS, *(w for _, w, _ in top)], single, n + long[0], t + long[1], size + 1, min(dense, len(top) + len(MARKS)), max(8, n // bucket))
+    top = sorted((-r.n, r.word, r.t) for r in frequent(words.where("n > 0"), hot).toLocalIterator())
+    single = np.array([(texts.n, texts.t), *((-m, u) for m, _, u in top)], np.int64).T
+    model = Model(np.array([w for _, w, _ in top], np.int64), single, n, t, size + 1, min(dense, len(top) + 1), max(1, n // owned))
     shared = context.broadcast(model)
-    model.pairs = np.stack([matrix(docs, shared), matrix(wanted, shared)])
+    sent = docs.mapInArrow(_postings(shared, False, block), ROWS).unionByName(wanted.mapInArrow(_postings(shared, True, block), ROWS))
+    sent = written(sent, "exchange", even=False)
+    model.pairs = matrices(sent, model.dense)
     shared = context.broadcast(model)
-    packed = docs.mapInArrow(_postings(shared, False), PACKED).unionByName(wanted.mapInArrow(_postings(shared, True), PACKED))
-    sums = packed.groupBy("bucket").applyInArrow(_sums(shared), "key long, doc_id long, n long, t double, b double")
-    found = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    a_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
-    return found.select("doc_id", "n_words", a_word("t").alias("target_loss"), a_word("b").alias("background_loss")).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    answers = sent.where(F.col("kind").isin(KEYS, TARGET_KEYS)).groupBy("owner").applyInArrow(_answers, ROWS)
+    blocks = sent.where(F.col("kind").isin(IDS, TOKENS, CODES)).unionByName(answers)
+    sums = blocks.groupBy("block").applyInArrow(_losses(shared), "doc_id long, n_words long, outside double, inside double, background double")
+    members = wanted.where("doc_id is not null").select("doc_id", F.lit(True).alias("member")).distinct()
+    a_word = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words")).otherwise(0.0)
+    loss = F.when(F.col("member"), F.col("inside")).otherwise(F.col("outside"))
+    found = sums.join(members, "doc_id", "left").select("doc_id", "n_words", a_word(loss).alias("target_loss"), a_word(F.col("background")).alias("background_loss"))
+    return found.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, written
+from .common import documents_of, mixed, written
 from .components import components
 from .exact_dedup import bloom_filter, bloom_table, in_bloom
 
@@ -47,19 +47,9 @@ CHUNK = 1024
 GROUP_ROWS = 4096
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xBF58476D1CE4E5B9)
-_R = np.uint64(0x94D049BB133111EB)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _Q
-    x = (x ^ (x >> np.uint64(27))) * _R
-    return x ^ (x >> np.uint64(31))
-
-
 _COUNT = np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64)
-_A = (_mixed(_COUNT[:SAMPLES] * _P) | np.uint64(1))[:, None]
-_B = _mixed(_COUNT[SAMPLES:] * _P)[:, None]
+_A = (mixed(_COUNT[:SAMPLES] * _P) | np.uint64(1))[:, None]
+_B = mixed(_COUNT[SAMPLES:] * _P)[:, None]
 
 
 class _Words(dict):
@@ -89,7 +79,7 @@ def shingles(text: str, width: int) -> np.ndarray:
     n = len(h) - span + 1
     x = np.full(n, span, np.uint64)
     for k in range(span):
-        x = _mixed(x * _P + h[k : k + n])
+        x = mixed(x * _P + h[k : k + n])
     return np.unique(x)
 
 
@@ -102,7 +92,7 @@ def minhash(x: np.ndarray) -> np.ndarray:
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
     """The parities of the samples that fall on each bit."""
-    bit = _mixed(low + _COUNT[:SAMPLES] * _P) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
+    bit = mixed(low + _COUNT[:SAMPLES] * _P) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
     odd = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -111,7 +101,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     bands = low.reshape(BANDS, ROWS)
     key = _COUNT[:BANDS]
     for k in range(ROWS):
-        key = _mixed(key * _P + bands[:, k])
+        key = mixed(key * _P + bands[:, k])
     return key.view(np.int64)
 
 

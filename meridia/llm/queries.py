@@ -37,9 +37,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import cross_entropy_difference
 
     documents = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold(F.col("doc_id")) != HELD_OUT)).select(doc_id)
     maybe = bloom_filter(good.select(F.xxhash64("doc_id").alias("fp")))
-    return cross_entropy_difference(documents, documents.select("doc_id", "text").where(maybe(F.xxhash64("doc_id"))).join(good, "doc_id", "left_semi"))
+    return cross_entropy_difference(documents, documents.select(doc_id, "text").where(maybe(F.xxhash64("doc_id"))).join(good, "doc_id", "left_semi"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

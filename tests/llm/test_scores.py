@@ -143,38 +143,47 @@ def test_mix_of_nothing(spark):
     assert mixing.mixed_documents(blank).count() == 0
 
 
+class BruteModels:
+    """Both models over (doc_id, text) of all documents and of the target; scores leave a row's own counts out."""
+
+    def __init__(self, data, target):
+        self.all, self.target, self.members = self.counts(t for _, t in data), self.counts(t for _, t in target), {k for k, _ in target}
+        self.size = len(set(self.all[0]) | set(self.target[0])) + 1
+
+    @staticmethod
+    def counts(texts):
+        single, pairs, n = Counter(), Counter(), 0
+        for text in texts:
+            words = lm_score.words_of(text or "")
+            single.update([b"", *words])
+            pairs.update(zip([b"", *words], words))
+            n += len(words)
+        return single, pairs, n
+
+    def loss(self, text, model, own, scale):
+        words, total = lm_score.words_of(text or ""), 0.0
+        c = lambda k, key: max(0, model[k][key] - own[k][key]) * scale
+        for u, w in zip([b"", *words], words):
+            p = (c(0, w) + 1) / (max(0, model[2] - own[2]) * scale + self.size - 1)
+            total -= math.log((c(1, (u, w)) + lm_score.PRIOR * p) / (c(0, u) + lm_score.PRIOR))
+        return total / max(1, len(words))
+
+    def losses(self, doc_id, text):
+        own, nothing = self.counts([text]), (Counter(), Counter(), 0)
+        target = self.loss(text, self.target, own if doc_id in self.members else nothing, 1.0)
+        return target, self.loss(text, self.all, own, self.target[2] / self.all[2])
+
+
 def test_lm_scores_against_brute_force(spark):
-    data = [r for r in rows() if r[0] is not None and r[0] != 107]
+    data = [r for r in rows() if r[0] is not None]
     target = [r for r in data if r[0] % 3 == 0]
-    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(frame(spark, data), frame(spark, target)).collect()}
-    vocabulary = sorted({w for r in data for w in lm_score.words_of(r[1] or "") if len(w) <= 64})
-    ids = {w: k for k, w in enumerate(vocabulary)}
-
-    def counts(docs):
-        single, pairs = Counter(), Counter()
-        for r in docs:
-            x = lm_score.word_ids(r[1] or "", ids)
-            single.update(x.tolist())
-            pairs.update(zip(x[:-1].tolist(), x[1:].tolist()))
-        return single, pairs
-
-    def loss(text, model, scale):
-        single, pairs = model
-        x, total = lm_score.word_ids(text or "", ids).tolist(), 0.0
-        v = len(ids) + 1
-        n = sum(c for k, c in single.items() if k != len(ids) + 1) * scale
-        for u, w in zip(x, x[1:]):
-            p = (single[w] * scale + 1) / (n + v)
-            total -= math.log((pairs[(u, w)] * scale + lm_score.PRIOR * p) / (single[u] * scale + lm_score.PRIOR))
-        return total / max(1, len(x) - 1)
-
-    all_, some = counts(data), counts(target)
-    mark = len(ids) + 1
-    scale = sum(c for k, c in some[0].items() if k != mark) / sum(c for k, c in all_[0].items() if k != mark)
-    for r in data:
-        t, b = loss(r[1], some, 1.0), loss(r[1], all_, scale)
-        assert math.isclose(got[r[0]].target_loss, t, rel_tol=1e-4, abs_tol=1e-9)
-        assert math.isclose(got[r[0]].background_loss, b, rel_tol=1e-4, abs_tol=1e-9)
+    got = lm_score.cross_entropy_difference(frame(spark, data), frame(spark, target)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in data)
+    models, texts = BruteModels([r[:2] for r in data], [r[:2] for r in target]), dict(r[:2] for r in data)
+    for r in got:
+        t, b = models.losses(r.doc_id, texts[r.doc_id])
+        assert math.isclose(r.target_loss, t, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.background_loss, b, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.difference, t - b, rel_tol=1e-6, abs_tol=1e-9)
 
 
 def test_lm_scores_without_target_or_documents(spark):
@@ -184,31 +193,31 @@ def test_lm_scores_without_target_or_documents(spark):
 
 
 def test_lm_scores_count_every_word_and_bigram(spark):
-    """More words than 2^15, by ranks and, with few ranks and many buckets, by hashes."""
+    """More words than any table of fixed size, by ranks and, with few ranks, small blocks and many owners, by hashes."""
     r = random.Random(5)
     texts = [" ".join(f"w{int(50_000 * r.random() ** 2)}" for _ in range(150)) for _ in range(700)] + [" ".join(f"w{k}" for k in range(40_000))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    some = [t.split() for k, t in enumerate(texts) if k % 3 == 0]
-
-    def model(split, scale):
-        single, pairs = Counter(w for x in split for w in x), Counter(p for x in split for p in zip(["", *x], x))
-        n, v = sum(single.values()) * scale, len({w for t in texts for w in t.split()}) + 1
-        single[""] = len(split)
-
-        def loss(x):
-            smooth = (lm_score.PRIOR * (single[w] * scale + 1) / (n + v) for w in x)
-            return -sum(math.log((pairs[p] * scale + s) / (single[p[0]] * scale + lm_score.PRIOR)) for p, s in zip(zip(["", *x], x), smooth)) / len(x)
-
-        return loss
-
-    every = [t.split() for t in texts]
-    t, b = model(some, 1.0), model(every, sum(map(len, some)) / sum(map(len, every)))
-    for given in ({}, {"hot": 40, "dense": 9, "bucket": 5000}):
-        got = lm_score.cross_entropy_difference(docs, docs.where("doc_id % 3 = 0"), **given).collect()
+    outside = [(None, "words w1 w2 that no document has"), (None, "w1 w2")]
+    target = docs.where("doc_id % 3 = 0").unionByName(spark.createDataFrame(outside, "doc_id long, text string"))
+    models = BruteModels(list(enumerate(texts)), [(k, t) for k, t in enumerate(texts) if k % 3 == 0] + outside)
+    want = {k: models.losses(k, t) for k, t in enumerate(texts)}
+    for given in ({}, {"hot": 40, "dense": 9, "block": 3000, "owned": 5000}):
+        got = lm_score.cross_entropy_difference(docs, target, **given).collect()
         assert len(got) == len(texts)
         for x in got:
-            assert x.n_words == len(every[x.doc_id])
-            assert math.isclose(x.target_loss, t(every[x.doc_id]), rel_tol=1e-9) and math.isclose(x.background_loss, b(every[x.doc_id]), rel_tol=1e-9)
+            assert x.n_words == len(texts[x.doc_id].split())
+            assert math.isclose(x.target_loss, want[x.doc_id][0], rel_tol=1e-9) and math.isclose(x.background_loss, want[x.doc_id][1], rel_tol=1e-9)
+
+
+def test_lm_scores_tell_texts_that_occur_twice(spark):
+    """A copy foresees a text; a text's own words do not."""
+    r = random.Random(2)
+    texts = [" ".join(f"w{int(500 * r.random() ** 2)}" for _ in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string")
+    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(docs, docs.where("doc_id between 40 and 60")).collect()}
+    twice, once = [got[k].difference for k in [*range(5), *range(80, 85)]], [got[k].difference for k in range(5, 80)]
+    assert min(twice) > max(once)
+    assert abs(np.mean([got[k].difference for k in range(40, 61)]) - np.mean([got[k].difference for k in range(5, 40)])) < 0.1
 
 
 def test_frequent_rows_of_one_count_are_split(spark):
