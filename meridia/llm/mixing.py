@@ -8,13 +8,17 @@ cap by weight.
 
 Each source is a queue of its documents in hash order, CAP times over, each time in another
 order. A document's virtual finish time is the running total of its queue divided by the
-queue's target, so all queues are served at rates in proportion to their targets. The items
-are range-sorted by finish time and cut where the total served reaches the budget, the
-sum of targets: items that end by then are taken whole, the one in service of each queue
-in part, by the words served.
+queue's target, so all queues are served at rates in proportion to their targets. All items of all queues
+are range-sorted by finish time, words are accumulated over the ordered partitions, and the order is cut where
+this running total reaches the budget, SHARE of all sizes: totals of partitions tell the one in which it does, and
+the items of that one are accumulated. The last item is served in part.
 
-Running totals need no task that holds a source: rows are dealt to buckets by hash, buckets
-are totalled and accumulated, and rows are accumulated within their bucket alone.
+A queue's target is reached at virtual time 1, so the item that a queue serves then is queued as PACKETS packets at most, of a
+word each unless it is longer, with finish times of their own. So each source ends within a packet of its
+target, and never a whole document away from it.
+
+Running totals of queues need no task that holds a source: rows are dealt to buckets by hash, buckets
+are totalled and accumulated by groups of GROUP of them, groups by source, and rows within their bucket alone.
 
 Null text has size 0. Rows that repeat a doc_id are documents of their own. Ties of the
 hash order are rows alike in doc_id and text. A source whose sizes are all 0 has target 0. An empty table
@@ -32,8 +36,11 @@ from .common import WORD, written
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
-#: Rows that a bucket gets, about.
-BUCKET_ROWS = 2048
+PACKETS = 1 << 16
+#: Rows that a bucket gets, about, and buckets of a group.
+BUCKET_ROWS, GROUP = 64, 4096
+#: A total order of items.
+ORDER = ("finish", "doc_id", "turn", "row", "end")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -54,10 +61,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.select("source_key", "source_size", target.alias("target"))
 
 
+def accumulated(items: DataFrame) -> DataFrame:
+    """items with end, the running total of size in their queue: source_key, bucket, then h and row."""
+    buckets = items.groupBy("source_key", "bucket").agg(F.sum("size").alias("held")).withColumn("group", F.floor(F.col("bucket") / GROUP))
+    groups = buckets.groupBy("source_key", "group").agg(F.sum("held").alias("held"))
+    before = lambda w: F.coalesce(F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("source_key", "group", before(Window.partitionBy("source_key").orderBy("group")).alias("of_groups"))
+    of_buckets = before(Window.partitionBy("source_key", "group").orderBy("bucket"))
+    starts = buckets.withColumn("of_buckets", of_buckets).join(groups, ["source_key", "group"]).select("source_key", "bucket", (F.col("of_groups") + F.col("of_buckets")).alias("ahead"))
+    within = Window.partitionBy("source_key", "bucket").orderBy("h", "row")
+    return items.withColumn("within", F.sum("size").over(within)).join(starts, ["source_key", "bucket"]).withColumn("end", F.col("ahead") + F.col("within"))
+
+
+def truncated(items: DataFrame, budget: int) -> DataFrame:
+    """The items whose running total of words, in order of ORDER, does not pass the budget; the one that crosses it in part."""
+    ordered = items.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id())
+    ordered = written(ordered, "ordered", even=False)
+    ahead, edge = 0, None
+    for r in sorted(ordered.groupBy("part").agg(F.sum("words").alias("words")).collect()):  # a row for each partition
+        if ahead + r.words > budget:
+            edge = r.part
+            break
+        ahead += r.words
+    if edge is None:
+        return ordered
+    running = F.sum("words").over(Window.partitionBy("part").orderBy(*ORDER))
+    room = F.lit(budget - ahead) - (running - F.col("words"))
+    last = ordered.where(F.col("part") == edge).withColumn("words", F.least(F.col("words"), room)).where("words > 0")
+    return ordered.where(F.col("part") < edge).unionByName(last)
+
+
 def queues(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The items that are served, range-sorted by virtual finish time; the documents' sizes; the sources' targets.
+    """The items that are served; the documents' sizes; the sources' targets.
 
-    An item is row, doc_id, text_hash, turn, size, words (served of it), finish.
+    An item is row, doc_id, turn, end, words (served of it), finish.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -70,45 +107,35 @@ def queues(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
     )
     docs = written(docs, "sizes", even=False)
-    sources = docs.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.first("source").alias("source"))
-    sources = written(targets(sources, weights, share, cap), "targets")
-    buckets = max(1, docs.count() // BUCKET_ROWS)
-    turns = F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))
+    sources = docs.groupBy("source_key").agg(
+        F.sum("size").alias("source_size"), F.first("source").alias("source"), F.ceil(F.count("*") / BUCKET_ROWS).alias("buckets")
+    )
+    known = written(sources, "sources")
+    sources = written(targets(known.drop("buckets"), weights, share, cap), "targets")
+    total = known.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    place = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2.0**32))
     items = (
         docs.where("size > 0")
-        .withColumn("turn", turns)
+        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
         .withColumn("h", F.md5(F.concat_ws(":", "doc_id", "turn", "text_hash").cast("binary")))
-        .withColumn("bucket", F.col("turn") * buckets + F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(2.0**32)))
-    )
-    ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        items.groupBy("source_key", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
-        .withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
-        .join(sources, "source_key")
-        .where("ahead < target")
-        .select("source_key", "bucket", "ahead", "target")
-    )
-    within = Window.partitionBy("source_key", "bucket").orderBy("h", "row")
-    end = F.col("ahead") + F.sum("size").over(within)
-    # All targets add up to the budget, so the total served reaches it at virtual time 1: what a queue has served then is its target.
-    served = F.least(F.floor("target"), F.col("end")) - F.col("end") + F.col("size")
-    order = ("finish", "row", "turn")
-    items = (
-        items.join(starts, ["source_key", "bucket"])
-        .withColumn("end", end)
-        .select("row", "doc_id", "text_hash", "turn", "size", F.greatest(F.lit(0), served).cast("long").alias("words"), (F.col("end") / F.col("target")).alias("finish"))
-        .where("words > 0")
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        .join(known.select("source_key", "buckets"), "source_key")
+        .select("row", "doc_id", "turn", "size", "h", "source_key", (F.col("turn") * F.col("buckets") + place).alias("bucket"))
     )
-    return items, docs, sources
+    items = accumulated(items).join(sources.select("source_key", "target"), "source_key")
+    in_service = (F.col("end") > F.col("target")) & (F.col("end") - F.col("size") < F.col("target"))
+    length = F.when(in_service, F.ceil(F.col("size") / PACKETS)).otherwise(F.col("size"))
+    items = items.withColumns({"length": length, "start": F.col("end") - F.col("size"), "last": F.col("end")})
+    items = items.withColumn("packet", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("size") / F.col("length")))))
+    end = F.least(F.col("start") + F.col("packet") * F.col("length"), F.col("last"))
+    words = end - F.col("start") - (F.col("packet") - 1) * F.col("length")
+    items = items.select("row", "doc_id", "turn", end.alias("end"), words.alias("words"), (end / F.col("target")).alias("finish"))
+    return truncated(items, int(min(share, cap) * total)), docs, sources
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, first_finish of each document.
 
-    taken counts repeats; first_finish is the virtual time at which the document is first served, null if never.
+    taken counts repeats; first_finish is the finish time of the first item, or packet of one, that is served, null if none is.
     """
     items, docs, sources = queues(documents, weights, share, cap)
     taken = items.groupBy("row").agg(F.sum("words").alias("taken"), F.min("finish").alias("first_finish"))
@@ -125,10 +152,11 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     One served in part keeps its first words, joined by single spaces, and n_chars, where there, is made to fit.
     Documents without words are never served.
     """
-    items, _, _ = queues(documents, weights, share, cap)
+    items, sizes, _ = queues(documents, weights, share, cap)
     # One key for join and window, so that texts are shuffled once.
     key = F.concat_ws(":", "doc_id", "text_hash").alias("key")
-    served = items.groupBy(key, "size").agg(F.sum("words").alias("taken"))
+    served = items.groupBy("row").agg(F.sum("words").alias("taken")).join(sizes.select("row", key, "size"), "row")
+    served = served.groupBy("key", "size").agg(F.sum("taken").alias("taken"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), F.concat_ws(":", F.col("doc_id").cast("long"), F.md5(text.cast("binary"))).alias("key"))
     # Repeated rows share what they were served: the first of them stands for all.

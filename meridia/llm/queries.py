@@ -116,14 +116,26 @@ ORACLES: dict[str, str] = {
                  least(cap, weight * (SELECT level FROM l WHERE level * weight <= cap ORDER BY r, source LIMIT 1)) AS target
           FROM l),
         q AS (
-          SELECT d.doc_id, d.source, d.text_hash, d.size, t.target, turn,
-                 sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, md5(concat_ws(':', d.doc_id, turn, d.text_hash)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended
+          SELECT d.doc_id, d.text_hash, CAST(d.size AS BIGINT) AS size, t.target, turn,
+                 CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, md5(concat_ws(':', d.doc_id, turn, d.text_hash)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS ended
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS u(turn)
           WHERE d.size > 0),
+        l2 AS (
+          SELECT *, ended - size AS start,
+                 CASE WHEN ended > target AND ended - size < target THEN CAST(ceil(size / 65536) AS BIGINT) ELSE size END AS length
+          FROM q),
+        p AS (
+          SELECT *, unnest(range(1, CAST(ceil(size / length) AS BIGINT) + 1)) AS packet FROM l2),
+        e AS (
+          SELECT doc_id, text_hash, target, turn, least(start + packet * length, ended) AS last, least(length, ended - start - (packet - 1) * length) AS words
+          FROM p),
+        r AS (
+          SELECT *, last / target AS finish, sum(words) OVER (ORDER BY last / target, doc_id, turn, last ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+          FROM e),
+        c AS (
+          SELECT doc_id, text_hash, finish, least(words, (SELECT floor(1.5 * sum(source_size)) FROM s) - (run - words)) AS served FROM r),
         k AS (
-          SELECT doc_id, text_hash, sum(greatest(0, least(floor(target), ended) - ended + size)) AS taken,
-                 min(CASE WHEN least(floor(target), ended) - ended + size > 0 THEN ended / target END) AS first_finish
-          FROM q GROUP BY doc_id, text_hash)
+          SELECT doc_id, text_hash, sum(served) AS taken, min(finish) AS first_finish FROM c WHERE served > 0 GROUP BY doc_id, text_hash)
         SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, k.first_finish
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.doc_id = d.doc_id AND k.text_hash = d.text_hash""",
 }

@@ -122,6 +122,40 @@ def test_mix_against_brute_force(spark):
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
 
 
+@pytest.mark.parametrize("packets", [1 << 16, 2])
+def test_mix_is_cut_where_the_running_total_reaches_the_budget(spark, monkeypatch, packets):
+    import hashlib
+
+    monkeypatch.setattr(mixing, "PACKETS", packets)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    data = [r for r in rows(90, 9) if r[0] is not None and r[0] != 107]
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    size = {r[0]: len((r[1] or "").encode().split()) for r in data}
+    sizes = Counter()
+    for r in data:
+        sizes[r[3]] += size[r[0]]
+    target, items = brute_targets(sizes), []
+    for source in sizes:
+        end = 0
+        for turn in (0, 1):
+            for _, k in sorted((md5(f"{r[0]}:{turn}:{md5(r[1] or '')}"), r[0]) for r in data if r[3] == source):
+                start, end = end, end + size[k]
+                step = -(-size[k] // packets) if start < target[source] < end else size[k]
+                items += [(min(at + step, end) / target[source], k, turn, min(at + step, end) - at) for at in range(start, end, step or 1)]
+    budget, taken, first = int(1.5 * sum(size.values())), Counter(), {}
+    for finish, k, _, words in sorted(items):
+        served = min(words, budget)
+        budget -= served
+        taken[k] += served
+        if served:
+            first.setdefault(k, finish)
+    assert budget == 0
+    got = mixing.mix(frame(spark, data)).collect()
+    assert {r.doc_id: r.taken for r in got} == {k: taken[k] for k in size}
+    assert {r.doc_id: r.first_finish for r in got if r.taken} == first
+
+
 def test_mixed_documents_are_what_is_taken(spark):
     data = rows()
     docs = frame(spark, data)
