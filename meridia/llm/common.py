@@ -1,14 +1,13 @@
-"""What the training-data operators share: reading tables, cutting lineage, hashing."""
+"""What the training-data operators share: reading tables, cutting lineage, hashing, choosing frequent rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.sources.workspace import discard, new_folder, written  # noqa: F401  for the operators
+
 #: ASCII white space, as the contracts define words: space, tab, LF, VT, FF, CR.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,34 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="meridia-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return spark.conf.get("spark.checkpoint.dir", None) or found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, even: bool = True) -> DataFrame:
-    """Cut the lineage: write df to the shared folder as Parquet and read it again.
-
-    What is read no longer depends on shuffle files or on the executors that made it. even deals the rows out
-    anew, so that a small table becomes a few files however many tasks made it; it is left out for large ones,
-    whose tasks write as they are.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    (df.hint("rebalance") if even else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text as string (null: empty), and further columns; all other columns are left out."""
     return df.select(

@@ -3,11 +3,10 @@
 1. Each partition of fingerprints (the sender) sends every owner of a range of the hash space its
    distinct fingerprints of that range, sorted and Golomb-Rice coded.
 2. An owner answers each sender with a bitmap: which of these some other sender has too.
-3. The fingerprints marked so, and those a sender has twice itself, are suspects. They make a
-   Bloom filter of at most BLOOM_BITS bits, whatever the input; past its best load it lets more texts
-   through, never fewer.
-4. Only texts that pass are shuffled: Spark groups them by their bytes, after partial
-   aggregation, so a large group of copies sends one row a task.
+3. The fingerprints marked so, and those a sender has twice itself, are suspects. Up to MOST_SUSPECTS of them make
+   a Bloom filter of 16 to 32 bits each, which is broadcast; more are joined with the rows by fingerprint.
+4. Only suspects' rows and texts are shuffled: Spark groups texts by their bytes, after partial
+   aggregation, so a large group of copies sends one row a task. All other rows stay where they are read.
 
 Texts are compared after each run of ASCII white space is replaced by one space; null counts as
 empty. The row with the smallest doc_id of a group stays; null doc_ids come last. Of rows that
@@ -29,7 +28,8 @@ from .common import documents_of, written
 
 #: Fingerprints that an owner has to hold, about.
 OWNED = 1_000_000
-BLOOM_BITS = 1 << 26
+#: Suspects that a Bloom filter is made of, at most; it has 16 MB then.
+MOST_SUSPECTS = 1 << 22
 BLOOM_HASHES = 4
 #: Runs of white space other than one space, so that most texts are only looked through.
 _ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -128,8 +128,7 @@ def in_bloom(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
 
 def bloom_table(suspects: DataFrame):
     """The broadcast bits of a filter over the column fp of suspects."""
-    n = suspects.count()
-    bits = min(BLOOM_BITS, 1 << max(10, (16 * n).bit_length()))
+    bits = 1 << max(10, (16 * suspects.count()).bit_length())
     at = F.expr(f"transform(sequence(0, {BLOOM_HASHES - 1}), i -> ((fp & 4294967295) + i * shiftrightunsigned(fp, 32)) & {bits - 1})")
     words = (
         suspects.select(F.explode(at).alias("bit"))
@@ -153,35 +152,55 @@ def bloom_filter(suspects: DataFrame):
     return maybe
 
 
+class Suspects:
+    """Tells rows whose fingerprints are in the column fp of a table from others. May take some others for suspects."""
+
+    def __init__(self, fingerprints: DataFrame):
+        self.fingerprints = fingerprints
+        self.maybe = bloom_filter(fingerprints) if fingerprints.count() <= MOST_SUSPECTS else None
+
+    def among(self, df: DataFrame, fp: Column) -> tuple[DataFrame, DataFrame]:
+        """The suspects of df, and the others."""
+        if self.maybe:
+            return df.where(self.maybe(fp)), df.where(~self.maybe(fp))
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), fp.alias("fp"))
+        known = self.fingerprints.select("fp").distinct()
+        suspects, others = (rows.join(known, "fp", how).select("whole.*") for how in ("left_semi", "left_anti"))
+        return suspects, others
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each document."""
     docs = documents_of(documents).select("doc_id", normal_text(F.col("text")).alias("normal"))
-    each = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("normal").alias("fp"), F.unhex(F.sha2(F.col("normal").cast("binary"), 256)).alias("sha"))
+    sha = F.unhex(F.sha2(F.col("normal").cast("binary"), 256)).alias("sha")
+    each = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64("normal").alias("fp"), sha)
     each = written(each, "fingerprinted", even=False)
-    maybe = bloom_filter(suspect_fingerprints(each.select("fp"), each.count()))
-    texts = docs.select("normal").where(maybe(F.xxhash64("normal"))).groupBy("normal").agg(F.count("*").alias("group_size"))
-    verified = texts.where("group_size > 1").select(F.unhex(F.sha2(F.col("normal").cast("binary"), 256)).alias("sha"), "group_size")
+    suspects = Suspects(suspect_fingerprints(each.select("fp"), each.count()))
+    texts, _ = suspects.among(docs.select("normal"), F.xxhash64("normal"))
+    verified = texts.groupBy("normal").agg(F.count("*").alias("group_size")).where("group_size > 1").select(sha, "group_size")
+    asked, others = suspects.among(each, F.col("fp"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = each.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = asked.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     found = verified.join(first, "sha").select("sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
     found = written(found, "groups")  # so that the next join's hot keys can be split
     single = F.col("group_size").isNull()
-    return each.join(found, "sha", "left").select(
+    text_sha256 = F.lower(F.hex("sha")).alias("text_sha256")
+    told = asked.join(found, "sha", "left").select(
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("row") == F.col("keep_row"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        text_sha256,
     )
+    return told.unionByName(others.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), text_sha256))
 
 
 def first_copies(documents: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     fp = F.xxhash64(normal_text(F.col("text")))
-    n = documents.count()
-    maybe = bloom_filter(suspect_fingerprints(documents.select(fp.alias("fp")), n))
+    asked, others = Suspects(suspect_fingerprints(documents.select(fp.alias("fp")), documents.count())).among(documents, fp)
     whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
-    suspects = documents.where(maybe(fp)).select(normal_text(F.col("text")).alias("normal"), whole.alias("whole"), order.alias("order"))
-    stay = suspects.groupBy("normal").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
-    return documents.where(~maybe(fp)).unionByName(stay)
+    asked = asked.select(normal_text(F.col("text")).alias("normal"), whole.alias("whole"), order.alias("order"))
+    stay = asked.groupBy("normal").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
+    return others.unionByName(stay)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, mixed, written
 from .components import components
-from .exact_dedup import bloom_filter, bloom_table, in_bloom
+from .exact_dedup import Suspects
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
@@ -161,14 +161,13 @@ def _signatures(width: int):
     return run
 
 
-def _sets(width: int, wanted):
-    """set_key and members of the texts whose fingerprints are in the filter."""
+def _sets(width: int):
+    """set_key and members of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = in_bloom(wanted.value, batch.column("fp").to_numpy())
             seen, keys, sets = set(), [], []
-            for text in batch.column("text").filter(pa.array(asked)).to_pylist():
+            for text in batch.column("text").to_pylist():
                 x = shingles(text, width)
                 if len(x) and (key := set_key(x)) not in seen:
                     seen.add(key)
@@ -192,8 +191,8 @@ class _Confirm:
     def sets(self, rows: DataFrame) -> DataFrame:
         """row, n_shingles, members of each distinct row of rows."""
         ends = written(self.standing.select("row", "fp", "set_key", "n_shingles").join(rows.distinct(), "row"), "ends")
-        wanted = bloom_table(ends.select("fp"))
-        sets = self.docs.select("fp", "text").mapInArrow(_sets(self.width, wanted), "set_key binary, members array<long>")
+        texts, _ = Suspects(ends.select("fp")).among(self.docs.select("fp", "text"), F.col("fp"))
+        sets = texts.select("text").mapInArrow(_sets(self.width), "set_key binary, members array<long>")
         sets = sets.groupBy("set_key").agg(F.first("members").alias("members"))
         return written(ends.join(sets, "set_key").select("row", "n_shingles", "members"), "sets", even=False)
 
@@ -343,9 +342,9 @@ def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8) -
     fp = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     again = decided.groupBy("doc_id", "fp").agg(F.max("kept").alias("kept"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")).where("not kept or (n > 1 and n_shingles > 0)")
     again = written(again, "dropped")
-    maybe = bloom_filter(again.select("fp"))
-    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), fp.alias("fp"), F.col("doc_id").cast("long").alias("id"))
-    asked = whole.where(maybe("fp")).join(again.select("doc_id", F.col("fp").alias("f"), "kept"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("fp") == F.col("f")), "left")
+    asked, others = Suspects(again.select("fp")).among(documents, fp)
+    whole = asked.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), fp.alias("fp"), F.col("doc_id").cast("long").alias("id"))
+    asked = whole.join(again.select("doc_id", F.col("fp").alias("f"), "kept"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("fp") == F.col("f")), "left")
     place = F.row_number().over(Window.partitionBy("id", "fp").orderBy("id"))
     stay = asked.withColumn("place", place).where("kept is null or (kept and place = 1)")
-    return documents.where(~maybe(fp)).unionByName(stay.select("whole.*"))
+    return others.unionByName(stay.select("whole.*"))

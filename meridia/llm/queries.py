@@ -28,19 +28,19 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what labels call good, without the held-out fold. A filter of bounded size keeps most other texts out of the join."""
+    """The target is what labels call good, without the held-out fold. A filter keeps most other texts out of the join."""
     from pyspark.sql import functions as F
 
     from .common import fold
-    from .exact_dedup import bloom_filter
+    from .exact_dedup import Suspects
     from .labelled import HELD_OUT
     from .lm_score import cross_entropy_difference
 
     documents = table(spark, sf_dir, "documents")
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold(F.col("doc_id")) != HELD_OUT)).select(doc_id)
-    maybe = bloom_filter(good.select(F.xxhash64("doc_id").alias("fp")))
-    return cross_entropy_difference(documents, documents.select(doc_id, "text").where(maybe(F.xxhash64("doc_id"))).join(good, "doc_id", "left_semi"))
+    likely, _ = Suspects(good.select(F.xxhash64("doc_id").alias("fp"))).among(documents.select(doc_id, "text"), F.xxhash64("doc_id"))
+    return cross_entropy_difference(documents, likely.join(good, "doc_id", "left_semi"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

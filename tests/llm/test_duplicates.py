@@ -57,9 +57,23 @@ def test_first_copies_keep_columns(spark):
     assert {r.doc_id for r in got} >= {0, 1, 2, 5, 100, 107, 400}
 
 
-def test_small_bloom_filter_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BLOOM_BITS", 64)
-    assert exact_dedup.first_copies(frame(spark, copies())).count() == len({squeeze(r[1]) for r in copies()})
+def test_more_suspects_than_a_filter_holds(spark, monkeypatch):
+    """Suspects are joined then, with the same results."""
+    data = copies()
+    want = Counter(exact_dedup.groups(frame(spark, data)).collect())
+    near = brute(varied(7, 4, 10), 2, 80)
+    monkeypatch.setattr(exact_dedup, "MOST_SUSPECTS", 2)
+    assert Counter(exact_dedup.groups(frame(spark, data)).collect()) == want
+    assert exact_dedup.first_copies(frame(spark, data)).count() == len({squeeze(r[1]) for r in data})
+    got = near_dedup.near_duplicates(frame(spark, varied(7, 4, 10)), 2, 0.8).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near
+
+
+def test_only_suspects_are_shuffled(spark):
+    """Rows that the exchange clears go from the scan to the result."""
+    plan = exact_dedup.groups(frame(spark, [*rows()]))._jdf.queryExecution().optimizedPlan().toString()
+    told, clear = plan.split("\n+- ")  # the two sides of the union
+    assert "Join" in told and "NOT" in clear and "Join" not in clear and "Aggregate" not in clear
 
 
 def test_golomb_round_trip():
