@@ -10,18 +10,20 @@ would show, and a document that occurs once would look as foreseen as one that o
 
 Counts are whole and grow with the corpus: no word or bigram is left out. They are exchanged between partitions:
 
-1. Words are counted in a Spark table. The most frequent, HOT at most, are broadcast with their counts.
-2. Each task cuts its documents into blocks of about BLOCK words. Bigrams of the DENSE most frequent words are counted in a
-   matrix for each task. The other distinct bigrams and the rare words of a block go, with their number in the
-   block, to the owners of ranges of the hash space, sorted and compressed.
-3. An owner adds up what all blocks sent, and answers each block with the totals in the order of its message.
-4. Each block meets its answers and sums the losses of its documents.
+1. Words are counted in a Spark table. The most frequent, HOT at most, are broadcast with their counts and numbers.
+2. Each task turns its documents into blocks of about BLOCK words' numbers, which are written. Bigrams of the DENSE most
+   frequent words are counted in a matrix for each task.
+3. The other distinct bigrams and the rare words of a block go, with their number in the block, to the owners of ranges of
+   the hash space, sorted and compressed.
+4. An owner adds up what all blocks sent, and answers each block with the totals in the order of its message.
+5. Each block meets its answers and sums the losses of its documents.
 
 So a bigram crosses the network once a block, however many documents of the block hold it, and a bigram in every block costs
 its owner one entry a block. The number of owners grows with the words. A document is never divided, so a block is as large as
 the longest document at least.
 
-Rare words and bigrams are known by 63 and 64 bits of hash: of m of them about m**2 / 2**65 share one with another.
+Bigrams of frequent words are known by both numbers, scrambled. Rare words and other bigrams are known by 63 and 64 bits of hash: of
+m of them about m**2 / 2**65 share one with another.
 
 p(w | u) = (c(u, w) + PRIOR * p(w)) / (c(u) + PRIOR), p(w) = (c(w) + 1) / (N + V), for V of the vocabulary and one word more.
 
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, frequent, mixed, written
 
-HOT = 1 << 16
+HOT = (1 << 16) - 1
 DENSE = 1 << 10
 #: Words of a block, about.
 BLOCK = 1 << 19
@@ -85,20 +87,26 @@ class Codes(dict):
         return found
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 8 bytes, laid out by byte, so that equal leading bytes cost little."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-byte items, laid out by byte, so that equal leading bytes cost little."""
     import zstandard
 
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    sizes = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes, *planes]))
 
 
-def unpack(data: bytes, n: int) -> np.ndarray:
-    """Columns of n signed integers."""
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays, as signed integers."""
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, 8, n)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    many = int.from_bytes(raw[:8], "little")
+    at, out = 8 + 8 * many, []
+    for n in np.frombuffer(raw, "<i8", many, 8).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel())
+        at += 8 * n
+    return out
 
 
 @dataclass
@@ -126,24 +134,32 @@ class Model:
         return np.log(pair + PRIOR * p) - np.log(before + PRIOR)
 
 
-def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mixed(mixed(before.view(np.uint64)) + after.view(np.uint64))
+    def keys(self, before: np.ndarray, after: np.ndarray, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """What owners are asked for, by form: bits of its keys, keys, and which bigrams, then words, they are of.
 
+        Bigrams of the most frequent words, which the matrix has, and frequent words are of neither form.
+        """
+        hot = (before >= 0) & (after >= 0)
+        wide, rare = np.flatnonzero(~hot), np.flatnonzero(words < 0)
+        narrow = np.flatnonzero(hot & ~self.is_dense(before, after))
+        bits = max(1, len(self.hot).bit_length())
+        scrambled = ((before[narrow] << bits) + after[narrow]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << 2 * bits) - 1)
+        hashed = mixed(mixed(before[wide].view(np.uint64)) + after[wide].view(np.uint64))
+        return [(2 * bits, scrambled, narrow), (64, np.concatenate([hashed, mixed(~words[rare].view(np.uint64))]), np.concatenate([wide, len(before) + rare]))]
 
-def word_keys(codes: np.ndarray) -> np.ndarray:
-    return mixed(~codes.view(np.uint64))
 
-
-#: Kinds of rows: a block's document ids, its words in order, the numbers of its distinct words, its keys for an owner,
-#: keys of the target, an owner's answer, and pieces of the matrices of documents and target.
-IDS, TOKENS, CODES, KEYS, TARGET_KEYS, ANSWER, MATRIX, TARGET_MATRIX = range(8)
-ROWS = "kind int, block long, owner int, n int, data binary"
-_NAMES = ["kind", "block", "owner", "n", "data"]
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+#: Kinds of rows: a block's document ids, words in order and distinct words; pieces of a task's matrix; keys for an owner; an owner's answer.
+#: The numbers of keys and answers are those of narrow ones; wide ones follow.
+TEXTS, MATRIX, KEYS, ANSWER = 0, 1, 2, 4
+#: Blocks of the target have this bit.
+TARGET = 1 << 61
+ROWS = "kind int, block long, owner int, data binary"
+_NAMES = ["kind", "block", "owner", "data"]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _TYPES)], _NAMES)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_TYPES), _TYPES)], _NAMES)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,76 +206,87 @@ def _blocks(batches: Iterator[pa.RecordBatch], codes: Codes, most: int) -> Itera
         yield np.array(held, np.int64), docs
 
 
-def _postings(shared, target: bool, most: int):
-    """Blocks of texts and their messages to owners; of the target the messages alone. A matrix for each task."""
+def _numbered(shared, target: bool, most: int):
+    """Blocks of texts, and a matrix for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model = shared.value
-        block = TaskContext.get().partitionId() << 40
+        block = (TaskContext.get().partitionId() << 40) + (TARGET if target else 0)
         matrix = np.zeros(-(-(model.dense**2) // PIECE) * PIECE, np.int64)
         for x, docs in _blocks(batches, model.codes(), most):
             token = np.flatnonzero(x != START)
             before, after = x[token - 1], x[token]
             dense = model.is_dense(before, after)
             matrix += np.bincount(before[dense] * model.dense + after[dense], minlength=len(matrix))
-            keys, times = np.unique(np.concatenate([pair_keys(before[~dense], after[~dense]), word_keys(x[x < 0])]), return_counts=True)
-            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(model.owners) >> np.uint64(32), np.arange(model.owners + 1, dtype=np.uint64))
-            gaps = np.diff(keys, prepend=np.uint64(0))
-            gaps[cuts[:-1][cuts[:-1] < len(keys)]] = keys[cuts[:-1][cuts[:-1] < len(keys)]]  # each message starts from zero
-            out = [
-                (TARGET_KEYS if target else KEYS, block, k, b - a, pack(gaps[a:b], times[a:b]))
-                for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                if a < b
-            ]
-            if not target:
-                codes, local = np.unique(x, return_inverse=True)
-                given = np.array([d is not None for d in docs], np.int64)
-                out += [
-                    (IDS, block, 0, len(docs), pack(np.array([d or 0 for d in docs], np.int64), given)),
-                    (TOKENS, block, 0, len(local), pack(local)),
-                    (CODES, block, 0, len(codes), pack(codes)),
-                ]
-            yield _rows(out)
+            codes, local = np.unique(x, return_inverse=True)
+            ids, given = np.array([d or 0 for d in docs], np.int64), np.array([d is not None for d in docs], np.int64)
+            yield _rows([(TEXTS, block, 0, pack(ids, given, local, codes))])
             block += 1
-        kind = TARGET_MATRIX if target else MATRIX
         pieces = matrix.reshape(-1, PIECE)
-        yield _rows([(kind, block, k, PIECE, pack(pieces[k])) for k in np.flatnonzero(pieces.any(axis=1)).tolist()])
+        yield _rows([(MATRIX, block, k, pack(pieces[k])) for k in np.flatnonzero(pieces.any(axis=1)).tolist()])
         pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return run
 
 
 def _total(rows: pa.Table) -> pa.Table:
-    total = sum(unpack(d, PIECE)[0] for d in rows.column("data").to_pylist())
-    return pa.Table.from_batches([_rows([(*(rows.column(c)[0].as_py() for c in ("kind", "block", "owner", "n")), pack(total))])])
+    total = sum(unpack(d)[0] for d in rows.column("data").to_pylist())
+    return pa.Table.from_batches([_rows([(MATRIX, rows.column("block")[0].as_py(), rows.column("owner")[0].as_py(), pack(total))])])
 
 
 def matrices(sent: DataFrame, size: int) -> np.ndarray:
     """Counts of the most frequent words' bigrams: of all documents, of the target. 256 tasks are added up at first."""
     out = np.zeros((2, -(-(size**2) // PIECE) * PIECE), np.int64)
-    parts = sent.where(F.col("kind").isin(MATRIX, TARGET_MATRIX))
-    for bits in (48, 62):
-        parts = parts.withColumn("block", F.shiftright("block", bits)).groupBy("kind", "block", "owner").applyInArrow(_total, ROWS)
+    parts = sent.where(F.col("kind") == MATRIX)
+    for bits in (48, 13):
+        parts = parts.withColumn("block", F.shiftright("block", bits)).groupBy("block", "owner").applyInArrow(_total, ROWS)
     for r in parts.toLocalIterator():
-        out[int(r.kind == TARGET_MATRIX), r.owner * PIECE : (r.owner + 1) * PIECE] = unpack(bytes(r.data), PIECE)[0]
+        out[r.block, r.owner * PIECE : (r.owner + 1) * PIECE] = unpack(bytes(r.data))[0]
     return out[:, : size**2].reshape(2, size, size)
 
 
+def _messages(shared):
+    """The distinct bigrams and rare words of blocks, with their numbers there, for each owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                _, _, x, codes = unpack(data)
+                x = codes[x]
+                token = np.flatnonzero(x != START)
+                out = []
+                for form, (bits, keys, _) in enumerate(model.keys(x[token - 1], x[token], x)):
+                    keys, times = np.unique(keys, return_counts=True)
+                    cuts = owner_cuts(keys, bits, model.owners)
+                    out += [(KEYS + form, block, k, pack(np.diff(keys[a:b], prepend=np.uint64(0)), times[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+                yield _rows(out)
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
+
+    return run
+
+
+def owner_cuts(keys: np.ndarray, bits: int, owners: int) -> list[int]:
+    """Where the keys of each owner begin, and the end: owners have even ranges of the sorted keys of so many bits."""
+    at = [min(-(-(k << bits) // owners), (1 << bits) - 1) for k in range(1, owners)]
+    return [0, *np.searchsorted(keys, np.array(at, np.uint64)).tolist(), len(keys)]
+
+
 def _answers(rows: pa.Table) -> pa.Table:
     """An owner's totals, of all documents and of the target, for each message of a block."""
-    kinds, blocks, owners, ns, data = (rows.column(c).to_pylist() for c in _NAMES)
-    got = [unpack(d, n) for d, n in zip(data, ns)]
-    keys, at = np.unique(np.concatenate([np.cumsum(g.view(np.uint64), dtype=np.uint64) for g, _ in got]), return_inverse=True)
-    times, of_target = np.concatenate([t for _, t in got]), np.repeat(np.array(kinds) == TARGET_KEYS, ns)
-    totals = np.stack([np.bincount(at, times * (of_target == t), len(keys)).astype(np.int64) for t in (False, True)])
-    ends = np.cumsum(ns)
-    out = [
-        (ANSWER, b, o, n, pack(*totals[:, at[e - n : e]]))
-        for kind, b, o, n, e in zip(kinds, blocks, owners, ns, ends.tolist())
-        if kind == KEYS
-    ]
+    out = []
+    for form in (0, 1):
+        mine = [(b, o, unpack(d)) for k, b, o, d in zip(*(rows.column(c).to_pylist() for c in _NAMES)) if k == KEYS + form]
+        if not mine:
+            continue
+        keys, at = np.unique(np.concatenate([np.cumsum(gaps.view(np.uint64), dtype=np.uint64) for _, _, (gaps, _) in mine]), return_inverse=True)
+        sizes = [len(gaps) for _, _, (gaps, _) in mine]
+        times, of_target = np.concatenate([t for _, _, (_, t) in mine]), np.repeat([b >= TARGET for b, _, _ in mine], sizes)
+        totals = np.stack([np.bincount(at, times * (of_target == t), len(keys)).astype(np.int64) for t in (False, True)])
+        ends = np.cumsum([0, *sizes])
+        out += [(ANSWER + form, b, o, pack(*totals[:, at[ends[i] : ends[i + 1]]])) for i, (b, o, _) in enumerate(mine) if b < TARGET]
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -268,24 +295,23 @@ def _losses(shared):
 
     def run(rows: pa.Table) -> pa.Table:
         model = shared.value
-        got = sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "owner", "n", "data"))), key=lambda r: r[:2])
-        parts = {k: unpack(d, n) for k, _, n, d in got if k != ANSWER}
-        counts = np.concatenate([np.zeros((2, 0), np.int64), *(unpack(d, n) for k, _, n, d in got if k == ANSWER)], axis=1)
-        (ids, given), (x,), (codes,) = parts[IDS], parts[TOKENS], parts[CODES]
+        got = sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "owner", "data"))), key=lambda r: r[:2])
+        ids, given, x, codes = unpack(got[0][2])
         start = x == np.searchsorted(codes, START)
         doc = np.cumsum(start) - 1
         token = np.flatnonzero(~start)
-        # distinct bigrams of the block and their counts
+        # distinct bigrams of the block and the counts of them and of its words
         pair, of = np.unique(x[token - 1] * len(codes) + x[token], return_inverse=True)
-        u, w = pair // len(codes), pair % len(codes)
-        dense, rare = model.is_dense(codes[u], codes[w]), codes < 0
-        asked, words = pair_keys(codes[u[~dense]], codes[w[~dense]]), word_keys(codes[rare])
-        keys = np.unique(np.concatenate([asked, words]))
-        of_pair, of_word = np.zeros((2, len(pair))), np.zeros((2, len(codes)))
-        of_pair[:, dense] = model.pairs[:, codes[u[dense]], codes[w[dense]]]
-        of_pair[:, ~dense] = counts[:, np.searchsorted(keys, asked)]
-        of_word[:, ~rare] = model.single[:, codes[~rare]]
-        of_word[:, rare] = counts[:, np.searchsorted(keys, words)]
+        u, w = codes[pair // len(codes)], codes[pair % len(codes)]
+        totals = np.zeros((2, len(pair) + len(codes)))
+        for form, (_, keys, which) in enumerate(model.keys(u, w, codes)):
+            told = [unpack(d) for k, _, d in got if k == ANSWER + form]
+            if told:
+                totals[:, which] = np.concatenate(told, axis=1)[:, np.searchsorted(np.unique(keys), keys)]
+        of_pair, of_word = totals[:, : len(pair)], totals[:, len(pair) :]
+        dense, hot = model.is_dense(u, w), codes >= 0
+        of_pair[:, dense] = model.pairs[:, u[dense], w[dense]]
+        of_word[:, hot] = model.single[:, codes[hot]]
         # distinct words and bigrams of each document, and how often it holds them itself
         _, held, own = np.unique(doc * len(codes) + x, return_inverse=True, return_counts=True)
         _, first, times = np.unique(doc[token] * max(1, len(pair)) + of, return_index=True, return_counts=True)
@@ -315,19 +341,20 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, hot: int =
     wanted = written(target.select(of_corpus.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "target")
     context = docs.sparkSession.sparkContext
     counted = word_counts(docs, wanted)
-    texts = counted.where(F.col("word") == START).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    every = counted.where(F.col("word") == START).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     words = counted.where(F.col("word") != START)
     size, n, t = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     top = sorted((-r.n, r.word, r.t) for r in frequent(words.where("n > 0"), hot).toLocalIterator())
-    single = np.array([(texts.n, texts.t), *((-m, u) for m, _, u in top)], np.int64).T
+    single = np.array([(every.n, every.t), *((-m, u) for m, _, u in top)], np.int64).T
     model = Model(np.array([w for _, w, _ in top], np.int64), single, n, t, size + 1, min(dense, len(top) + 1), max(1, n // owned))
     shared = context.broadcast(model)
-    sent = docs.mapInArrow(_postings(shared, False, block), ROWS).unionByName(wanted.mapInArrow(_postings(shared, True, block), ROWS))
-    sent = written(sent, "exchange", even=False)
-    model.pairs = matrices(sent, model.dense)
+    numbered = docs.mapInArrow(_numbered(shared, False, block), ROWS).unionByName(wanted.mapInArrow(_numbered(shared, True, block), ROWS))
+    numbered = written(numbered, "blocks", even=False)
+    texts = numbered.where(F.col("kind") == TEXTS)
+    answers = texts.select("block", "data").mapInArrow(_messages(shared), ROWS).groupBy("owner").applyInArrow(_answers, ROWS)
+    model.pairs = matrices(numbered, model.dense)
     shared = context.broadcast(model)
-    answers = sent.where(F.col("kind").isin(KEYS, TARGET_KEYS)).groupBy("owner").applyInArrow(_answers, ROWS)
-    blocks = sent.where(F.col("kind").isin(IDS, TOKENS, CODES)).unionByName(answers)
+    blocks = texts.where(F.col("block") < TARGET).unionByName(answers)
     sums = blocks.groupBy("block").applyInArrow(_losses(shared), "doc_id long, n_words long, outside double, inside double, background double")
     members = wanted.where("doc_id is not null").select("doc_id", F.lit(True).alias("member")).distinct()
     a_word = lambda c: F.when(F.col("n_words") > 0, c / F.col("n_words")).otherwise(0.0)
