@@ -13,12 +13,16 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.when(F.col(value).isNotNull(), F.rank().over(ordered) + (F.count(value).over(tied) - 1) / 2.0)
 
 
-def z_score(value: Column, by: list[str]) -> Column:
-    """Against the population deviation; null where that is 0. Infinities count as missing."""
-    clean = finite(value)
-    w = Window.partitionBy(*by)
-    spread = F.stddev_pop(clean).over(w)
-    return F.when(spread > 0, (clean - F.avg(clean).over(w)) / spread)
+def z_scores(df: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame:
+    """df with a z-score for each of values, against the population deviation; null where that is 0. Infinities count as missing.
+
+    Means and deviations are aggregated, which combines before the shuffle, and joined back: the cross-section itself stays where it is.
+    """
+    df = df.withColumns({f"_z_{n}": finite(v) for n, v in values.items()})
+    moments = [f(f"_z_{n}").alias(f"_{k}_{n}") for n in values for k, f in (("mean", F.avg), ("spread", F.stddev_pop))]
+    z = {n: F.when(F.col(f"_spread_{n}") > 0, (F.col(f"_z_{n}") - F.col(f"_mean_{n}")) / F.col(f"_spread_{n}")) for n in values}
+    scratch = [f"_{k}_{n}" for n in values for k in ("z", "mean", "spread")]
+    return df.join(df.groupBy(*by).agg(*moments), by).withColumns(z).drop(*scratch)
 
 
 def finite(value: Column) -> Column:

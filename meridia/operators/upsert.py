@@ -51,8 +51,40 @@ def enrich(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str]) ->
     return old.join(given, same, "left").select(*[own(c) if c in fill else F.col(c) for c in old.columns])
 
 
+def update_from_entries(old: DataFrame, blocks: DataFrame, keys: list[str], block: str, section: str, fields: dict[str, str], keyed: dict[str, str]) -> DataFrame:
+    """Old rows whose first filled column is null take values from JSON blocks; none is added.
+
+    A block is text {section: {any: entry}}, beside the key columns that it has itself. keyed gives the entry's field for each other key, fields
+    that for each column to fill, the deciding one first; entries without one of these keys or the deciding field do not count.
+    """
+    entries = F.from_json(F.get_json_object(block, f"$.{section}"), "map<string,map<string,string>>")
+    given = blocks.select(*[k for k in keys if k not in keyed], F.explode(entries).alias("_", "_e"))
+    kinds = dict(old.dtypes)
+    read = lambda names: [F.col("_e")[f].try_cast(kinds[c]).alias(c) for c, f in names.items()]
+    given = given.select(*[k for k in keys if k not in keyed], *read(keyed), *read(fields))
+    decides = next(iter(fields))
+    for c in (*keyed, decides):
+        given = given.where(F.col(c).isNotNull())
+    one = given.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_given"))
+    take = lambda c: F.when(F.col(decides).isNull() & F.col("_given").isNotNull(), F.col(f"_given.{c}")).otherwise(F.col(c))
+    return old.join(one, keys, "left").select(*[take(c).alias(c) if c in fields else F.col(c) for c in old.columns])
+
+
+def _digest(df: DataFrame) -> tuple:
+    columns = sorted(df.columns)
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
+
+
 def replace_slice(df: DataFrame, path: str, by: str) -> int:
-    """Writes df over the partitions of `by` that it holds, leaves the others, and reads its rows back to count them."""
+    """Writes df over the partitions of `by` that it holds, leaves the others, and reads its rows back.
+
+    Gives their number; raises if they are not the rows that were to be written.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    return spark.read.parquet(path).join(df.select(by).distinct(), by, "left_semi").count()
+    kinds = dict(df.dtypes)
+    back = spark.read.parquet(path).withColumn(by, F.col(by).cast(kinds[by])).join(df.select(by).distinct(), by, "left_semi")
+    wanted, found = _digest(df), _digest(back)
+    if wanted != found:
+        raise ValueError(f"{path}: {found[0]} rows read back do not equal the {wanted[0]} that were written")
+    return found[0]

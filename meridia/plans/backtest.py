@@ -1,6 +1,8 @@
 """Factor backtests for all rebalance dates at once: every table is keyed by (as_of, ticker), nothing loops over dates.
 
-The cross-section is the wider one, suppliers as tickers; a price counts for TOLERANCE days.
+The cross-section is the wider one, suppliers as tickers. Prices at the dates and before them come from one as-of
+pass; signals are one long table (signal, as_of, ticker, value), joined once to forward returns, and all statistics
+are keyed by signal. These tables are kept.
 """
 
 from __future__ import annotations
@@ -12,18 +14,23 @@ from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, ratio
 from meridia.operators.latest import as_of_join
-from meridia.operators.stats import equal_bins, finite, rank_correlation, winsorise, z_score
-from meridia.sources.domain import Tables, day
+from meridia.operators.stats import equal_bins, finite, rank_correlation, winsorise, z_scores
+from meridia.sources.domain import Tables, day, kept
 
 START, END, HOLDOUT = "1999-01-31", "2001-06-30", "2000-12-31"
-TOLERANCE, FLOOR, LAG = 30, 5.0, 45
+# Days that a price counts for in the universe and elsewhere, least price, days from a period's end to its filing.
+UNIVERSE_DAYS, PRICE_DAYS, FLOOR, LAG = 7, 10, 5.0, 45
 BENCHMARK_X = "1"
 DELISTED = "2000-06-30"
 DATE = ["as_of"]
+KEY = ["as_of", "ticker"]
+#: Days before a rebalance date at which prices are looked up.
+LEGS = {"px": 0, "recent": 30, "old": 365}
 
 
 def month_ends() -> Column:
-    return F.explode(F.transform(F.sequence(F.trunc(day(START), "MONTH"), F.trunc(day(END), "MONTH"), F.expr("interval 1 month")), lambda d: F.last_day(d)))
+    months = F.sequence(F.trunc(day(START), "MONTH"), F.trunc(day(END), "MONTH"), F.expr("interval 1 month"))
+    return F.explode(F.transform(months, lambda d: F.last_day(d)))
 
 
 def rebalance_dates(t: Tables) -> DataFrame:
@@ -35,25 +42,43 @@ def probes(t: Tables) -> DataFrame:
     return t.read("supplier").select(F.col("s_suppkey").cast("string").alias("ticker")).select("ticker", month_ends().alias("as_of"))
 
 
-def prices_at(t: Tables, at: Column, name: str) -> DataFrame:
-    """as_of, ticker, price: the last price up to a date derived from as_of, if it is not stale."""
-    asked = probes(t).withColumn("_at", at)
-    found = as_of_join(asked, t.eod_prices_x, ["ticker"], "_at", "date", {name: "adjusted_close"}, at="_date")
-    return found.where(F.col("_date") >= F.date_sub("_at", TOLERANCE)).select("as_of", "ticker", name)
+@kept
+def probed_prices(t: Tables) -> DataFrame:
+    """as_of, ticker, and for each leg the last price up to it and its age in days there."""
+    legs = F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), F.lit(back).alias("back")) for n, back in LEGS.items()])).alias("p")
+    asked = probes(t).select(*KEY, legs).select(*KEY, "p.leg", F.date_sub("as_of", F.col("p.back")).alias("_at"))
+    found = as_of_join(asked, t.eod_prices_x, ["ticker"], "_at", "date", {"price": "adjusted_close"}, at="_date")
+    of = lambda leg, c: F.max(F.when(F.col("leg") == leg, c))
+    age = F.datediff("_at", "_date")
+    return found.groupBy(*KEY).agg(*[c for n in LEGS for c in (of(n, F.col("price")).alias(n), of(n, age).alias(f"{n}_age"))])
+
+
+def prices_at(t: Tables, leg: str, days: int = PRICE_DAYS) -> DataFrame:
+    """as_of, ticker and the price at a leg, if it is not stale."""
+    return probed_prices(t).where(F.col(f"{leg}_age") <= days).select(*KEY, leg)
 
 
 def prices_asof(t: Tables) -> DataFrame:
-    return prices_at(t, F.col("as_of"), "px")
+    return prices_at(t, "px", t.price_days)
+
 
+@kept
+def probed_shares(t: Tables) -> DataFrame:
+    """as_of, ticker, shares at the date and a year before. Share counts carry no filing date; the report date decides."""
+    both = F.explode(F.array(F.lit(0), F.lit(365))).alias("back")
+    asked = probes(t).select(*KEY, both).withColumn("_at", F.date_sub("as_of", F.col("back")))
+    found = as_of_join(asked, t.statements_x.where("shares > 0"), ["ticker"], "_at", "date", {"shares": "shares"})
+    of = lambda back, name: F.max(F.when(F.col("back") == back, F.col("shares"))).alias(name)
+    return found.groupBy(*KEY).agg(of(0, "shares"), of(365, "s_then"))
 
-def shares_asof(t: Tables, back: int = 0) -> DataFrame:
-    """Share counts carry no filing date; the report date decides."""
-    asked = probes(t).withColumn("_at", F.date_sub("as_of", back))
-    return as_of_join(asked, t.statements_x.where("shares > 0"), ["ticker"], "_at", "date", {"shares": "shares"}).where("shares is not null").select("as_of", "ticker", "shares")
+
+def shares_asof(t: Tables) -> DataFrame:
+    return probed_shares(t).where("shares is not null").select(*KEY, "shares")
 
 
 def market_cap_asof(t: Tables) -> DataFrame:
-    return prices_asof(t).join(shares_asof(t), ["as_of", "ticker"]).select("as_of", "ticker", half_up(F.col("px") * F.col("shares"), 2).alias("market_cap"))
+    cap = half_up(F.col("px") * F.col("shares"), 2)
+    return prices_asof(t).join(shares_asof(t), KEY).select(*KEY, cap.alias("market_cap"))
 
 
 def benchmark_return(t: Tables) -> DataFrame:
@@ -68,43 +93,54 @@ def benchmark_return(t: Tables) -> DataFrame:
 def universe_pit(t: Tables) -> DataFrame:
     """Tickers not delisted at as_of whose recent price is above the floor."""
     gone = (F.col("ticker").cast("int") % 10 == 7) & (F.col("as_of") >= day(DELISTED))
-    return prices_asof(t).where(~gone & (F.col("px") >= FLOOR)).select("as_of", "ticker")
+    return prices_at(t, "px", t.universe_days).where(~gone & (F.col("px") >= FLOOR)).select(*KEY)
 
 
-def latest_statement(t: Tables, rank: int = 1) -> DataFrame:
-    """The rank-th latest statement of each ticker that was knowable at as_of."""
+@kept
+def known_statements(t: Tables) -> DataFrame:
+    """The two latest statements of each ticker that were knowable at as_of, by place."""
     known = F.coalesce(F.col("filing_date"), F.date_add("date", LAG))
     rows = probes(t).join(t.statements_x.withColumn("known", known), "ticker").where(F.col("known") <= F.col("as_of"))
-    place = F.row_number().over(Window.partitionBy("as_of", "ticker").orderBy(F.desc("date")))
-    return rows.withColumn("rn", place).where(F.col("rn") == rank).drop("rn", "known", "filing_date")
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("date")))
+    return rows.withColumn("place", place).where("place <= 2").drop("known", "filing_date")
+
+
+def latest_statement(t: Tables, rank: int = 1) -> DataFrame:
+    return known_statements(t).where(F.col("place") == rank).drop("place")
 
 
 def _signal(df: DataFrame, value: Column, digits: int = 6) -> DataFrame:
-    return df.select("as_of", "ticker", half_up(finite(value), digits).alias("value")).where("value is not null")
+    return df.select(*KEY, half_up(finite(value), digits).alias("value")).where("value is not null")
 
 
 def bt_momentum(t: Tables) -> DataFrame:
     """Calendar days: from a year before to a month before."""
-    legs = prices_at(t, F.date_sub("as_of", 30), "recent").join(prices_at(t, F.date_sub("as_of", 365), "old"), ["as_of", "ticker"])
-    return _signal(legs.join(universe_pit(t), ["as_of", "ticker"]), ratio(F.col("recent"), F.col("old")) - 1, 8)
+    legs = prices_at(t, "recent", t.price_days).join(prices_at(t, "old", t.price_days), KEY)
+    return _signal(legs.join(universe_pit(t), KEY), ratio(F.col("recent"), F.col("old")) - 1, 8)
 
 
 def _held(t: Tables, rank: int = 1) -> DataFrame:
-    return latest_statement(t, rank).join(universe_pit(t), ["as_of", "ticker"], "left_semi")
+    return latest_statement(t, rank).join(universe_pit(t), KEY, "left_semi")
+
+
+def _sum(*names: str) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(n) for n in names])
 
 
 def bt_quality(t: Tables) -> DataFrame:
-    f = _held(t).withColumns({"roe": half_up(ratio(F.col("net_income"), F.col("total_stockholder_equity")), 8), "gm": half_up(ratio(F.col("gross_profit"), F.col("total_revenue")), 8)})
-    return _signal(f, z_score(F.col("roe"), DATE) + z_score(F.col("gm"), DATE))
+    roe = half_up(ratio(F.col("net_income"), F.col("total_stockholder_equity")), 8)
+    margin = half_up(ratio(F.col("gross_profit"), F.col("total_revenue")), 8)
+    return _signal(z_scores(_held(t), {"z_roe": roe, "z_margin": margin}, DATE), _sum("z_roe", "z_margin"))
 
 
+@kept
 def bt_value(t: Tables) -> DataFrame:
     """Earnings and cash-flow yields and EBITDA to enterprise value; missing debt and cash count as 0."""
-    f = _held(t).join(market_cap_asof(t), ["as_of", "ticker"])
+    f = _held(t).join(market_cap_asof(t), KEY)
     cap = F.col("market_cap")
-    ev = cap + F.coalesce("long_term_debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
-    f = f.withColumns({"ey": half_up(ratio(F.col("net_income"), cap), 10), "fy": half_up(ratio(F.col("free_cash_flow"), cap), 10), "ee": half_up(ratio(F.col("ebitda"), ev), 10)})
-    return _signal(f, z_score(F.col("ey"), DATE) + z_score(F.col("fy"), DATE) + z_score(F.col("ee"), DATE))
+    whole = cap + F.coalesce("long_term_debt", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
+    yields = {"z_earnings": ratio(F.col("net_income"), cap), "z_cash": ratio(F.col("free_cash_flow"), cap), "z_whole": ratio(F.col("ebitda"), whole)}
+    return _signal(z_scores(f, {n: half_up(v, 10) for n, v in yields.items()}, DATE), _sum(*yields))
 
 
 _RATIOS = {
@@ -116,30 +152,43 @@ _RATIOS = {
 }
 
 
+@kept
 def bt_piotroski(t: Tables) -> DataFrame:
     """Nine tests of this year's statement against last year's; a test with a missing side fails."""
     parts = lambda s: [half_up(ratio(F.col(a), F.col(b)), 8).alias(f"{n}_{s}") for n, (a, b) in _RATIOS.items()]
-    now = _held(t).select("as_of", "ticker", "operating_cash_flow", "net_income", *parts("now"))
-    then = _held(t, 2).select("as_of", "ticker", *parts("then"))
-    shares = shares_asof(t).withColumnRenamed("shares", "s_now").join(shares_asof(t, 365).withColumnRenamed("shares", "s_then"), ["as_of", "ticker"], "left")
-    rows = now.join(then, ["as_of", "ticker"]).join(shares, ["as_of", "ticker"], "left")
+    now = _held(t).select(*KEY, "operating_cash_flow", "net_income", *parts("now"))
+    then = _held(t, 2).select(*KEY, *parts("then"))
+    shares = probed_shares(t).withColumnRenamed("shares", "s_now")
+    rows = now.join(then, KEY).join(shares, KEY, "left")
     up = lambda n: F.col(f"{n}_now") > F.col(f"{n}_then")
     tests = [
-        F.col("roa_now") > 0, F.col("operating_cash_flow") > 0, up("roa"), F.col("operating_cash_flow") > F.col("net_income"), F.col("leverage_now") < F.col("leverage_then"),
-        up("current"), F.col("s_now") <= F.col("s_then"), up("margin"), up("turnover"),
-    ]
-    return rows.select("as_of", "ticker", reduce(lambda a, b: a + b, [F.when(c, 1).otherwise(0) for c in tests]).cast("double").alias("value"))
+        F.col("roa_now") > 0,
+        F.col("operating_cash_flow") > 0,
+        up("roa"),
+        F.col("operating_cash_flow") > F.col("net_income"),
+        F.col("leverage_now") < F.col("leverage_then"),
+        up("current"),
+        F.col("s_now") <= F.col("s_then"),
+        up("margin"),
+        up("turnover"),
+    ]
+    score = reduce(lambda a, b: a + b, [F.when(c, 1).otherwise(0) for c in tests])
+    return rows.select(*KEY, score.cast("double").alias("value"))
+
+
+def _value_and_score(t: Tables) -> DataFrame:
+    return bt_value(t).withColumnRenamed("value", "v").join(bt_piotroski(t).withColumnRenamed("value", "f"), KEY)
 
 
 def bt_value_piotroski(t: Tables) -> DataFrame:
-    both = bt_value(t).withColumnRenamed("value", "v").join(bt_piotroski(t).withColumnRenamed("value", "f"), ["as_of", "ticker"])
-    return _signal(both, z_score(F.col("v"), DATE) + z_score(F.col("f"), DATE))
+    return _signal(z_scores(_value_and_score(t), {"z_v": F.col("v"), "z_f": F.col("f")}, DATE), _sum("z_v", "z_f"))
 
 
 SIGNALS = {"momentum": bt_momentum, "quality": bt_quality, "value": bt_value, "piotroski": bt_piotroski, "value_piotroski": bt_value_piotroski}
 DISCRETE = {"piotroski"}
 
 
+@kept
 def forward_returns(t: Tables) -> DataFrame:
     """Return to the next rebalance less the benchmark's, 0 where that is missing."""
     w = Window.partitionBy("ticker").orderBy("as_of")
@@ -149,50 +198,70 @@ def forward_returns(t: Tables) -> DataFrame:
     return _signal(rows, ratio(F.col("next_px"), F.col("px")) - 1 - F.coalesce("ret", F.lit(0.0)), 8).withColumnRenamed("value", "fwd")
 
 
-def cross_section(t: Tables, signal: str) -> DataFrame:
-    """as_of, ticker, value, fwd (winsorised), n of dates with at least 30 names."""
-    rows = SIGNALS[signal](t).join(forward_returns(t), ["as_of", "ticker"])
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("as_of"))).where("n >= 30")
-    return winsorise(rows, "fwd", DATE)
+def signal_values(t: Tables) -> DataFrame:
+    """signal, as_of, ticker, value of all signals."""
+    return reduce(DataFrame.unionByName, [f(t).select(F.lit(n).alias("signal"), *KEY, "value") for n, f in SIGNALS.items()])
+
+
+@kept
+def cross_sections(t: Tables) -> DataFrame:
+    """signal, as_of, ticker, value, fwd (winsorised) of the dates with at least 30 names."""
+    by = ["signal", "as_of"]
+    rows = signal_values(t).join(forward_returns(t), KEY)
+    enough = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n >= 30").select(*by)
+    return winsorise(rows.join(enough, by), "fwd", by)
 
 
-def ics(t: Tables, signal: str) -> DataFrame:
-    return rank_correlation(cross_section(t, signal), "value", "fwd", DATE)
+def ics(t: Tables) -> DataFrame:
+    return rank_correlation(cross_sections(t), "value", "fwd", ["signal", "as_of"])
 
 
 def ic_decile(t: Tables) -> DataFrame:
     """as_of, bin, n, mean_fwd, ic of the momentum signal."""
-    rows = cross_section(t, "momentum").withColumn("bin", equal_bins("value", "ticker", DATE))
-    bins = rows.groupBy("as_of", "bin").agg(F.count("*").alias("n"), half_up(F.sum(half_up(F.col("fwd"), 8).cast("decimal(18,8)")).cast("double") / F.count("*"), 6).alias("mean_fwd"))
-    return bins.join(ics(t, "momentum").select("as_of", half_up(F.col("ic"), 6).alias("ic")), "as_of")
+    rows = cross_sections(t).where("signal = 'momentum'").withColumn("bin", equal_bins("value", "ticker", DATE))
+    mean = F.sum(half_up(F.col("fwd"), 8).cast("decimal(18,8)")).cast("double") / F.count("*")
+    bins = rows.groupBy("as_of", "bin").agg(F.count("*").alias("n"), half_up(mean, 6).alias("mean_fwd"))
+    by_date = rank_correlation(rows, "value", "fwd", DATE).select("as_of", half_up(F.col("ic"), 6).alias("ic"))
+    return bins.join(by_date, "as_of")
 
 
-def summary(t: Tables, signal: str) -> DataFrame:
-    rows = cross_section(t, signal)
-    label = F.round("value").cast("int") if signal in DISCRETE else equal_bins("value", "ticker", DATE)
-    means = rows.withColumn("bin", label).groupBy("as_of", "bin").agg(F.avg("fwd").alias("m")).groupBy("bin").agg(F.avg("m").alias("m"))
-    shape = rank_correlation(means.withColumn("all", F.lit(1)), "bin", "m", ["all"], least=3).select(F.col("ic").alias("mono"))
-    ends = means.agg((F.max_by("m", "bin") - F.min_by("m", "bin")).alias("tmb"))
+def backtest_summary(t: Tables) -> DataFrame:
+    """A row for each signal with at least 30 names at some date, keyed by signal throughout."""
+    by = ["signal", "as_of"]
+    rows = cross_sections(t)
+    label = F.when(F.col("signal").isin(*DISCRETE), F.round("value").cast("int")).otherwise(equal_bins("value", "ticker", by))
+    means = rows.withColumn("bin", label).groupBy(*by, "bin").agg(F.avg("fwd").alias("m")).groupBy("signal", "bin").agg(F.avg("m").alias("m"))
+    shape = rank_correlation(means, "bin", "m", ["signal"], least=3).select("signal", F.col("ic").alias("mono"))
+    ends = means.groupBy("signal").agg((F.max_by("m", "bin") - F.min_by("m", "bin")).alias("tmb"))
     ic, late = F.col("ic"), F.when(F.col("as_of") >= day(HOLDOUT), F.col("ic"))
-    out = ics(t, signal).agg(F.count("*").alias("n_rebalances"), F.avg(ic).alias("m"), F.stddev_pop(ic).alias("s"), ratio(F.count_if(ic > 0), F.count("*")).alias("hit"), F.avg(late).alias("late"))
-    out = out.join(shape, F.lit(True), "left").crossJoin(ends)  # one row each, the shape none where there are few bins
+    out = ics(t).groupBy("signal").agg(
+        F.count("*").alias("n_rebalances"),
+        F.avg(ic).alias("m"),
+        F.stddev_pop(ic).alias("s"),
+        ratio(F.count_if(ic > 0), F.count("*")).alias("hit"),
+        F.avg(late).alias("late"),
+    )
+    none = t.spark.createDataFrame([(s,) for s in SIGNALS], "signal string")
+    out = none.join(out, "signal", "left").join(shape, "signal", "left").join(ends, "signal", "left")
     return out.select(
-        F.lit(signal).alias("signal"), "n_rebalances", half_up(F.col("m")).alias("mean_ic"), half_up(F.when(F.col("s") > 0, F.col("m") / F.col("s"))).alias("ic_ir"), half_up(F.col("hit")).alias("ic_hit_rate"),
-        half_up(F.col("mono")).alias("monotonicity"), half_up(F.col("tmb")).alias("top_minus_bottom"), half_up(F.col("late")).alias("holdout_mean_ic"), F.lit(True).alias("survivorship_biased"),
-    )
-
-
-def backtest_summary(t: Tables) -> DataFrame:
-    return reduce(DataFrame.unionByName, [summary(t, s) for s in SIGNALS])
+        "signal",
+        F.coalesce("n_rebalances", F.lit(0)).alias("n_rebalances"),
+        half_up(F.col("m")).alias("mean_ic"),
+        half_up(F.when(F.col("s") > 0, F.col("m") / F.col("s"))).alias("ic_ir"),
+        half_up(F.col("hit")).alias("ic_hit_rate"),
+        half_up(F.col("mono")).alias("monotonicity"),
+        half_up(F.col("tmb")).alias("top_minus_bottom"),
+        half_up(F.col("late")).alias("holdout_mean_ic"),
+        F.lit(True).alias("survivorship_biased"),
+    )
 
 
 def interaction_diagnostic(t: Tables) -> DataFrame:
     """Rank correlation of the F-score with returns in the cheap and the dear half of each date."""
-    rows = bt_value(t).withColumnRenamed("value", "v").join(bt_piotroski(t).withColumnRenamed("value", "f"), ["as_of", "ticker"]).join(forward_returns(t), ["as_of", "ticker"])
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("as_of"))).where("n >= 40")
-    rows = winsorise(rows, "fwd", DATE)
-    middle = rows.groupBy("as_of").agg(F.percentile("v", F.lit(0.5)).alias("middle"))
-    half = rows.join(middle, "as_of").withColumn("half", F.when(F.col("v") >= F.col("middle") - 1e-9, "cheap").otherwise("dear"))
+    rows = _value_and_score(t).join(forward_returns(t), KEY)
+    dates = rows.groupBy("as_of").agg(F.count("*").alias("n"), F.percentile("v", F.lit(0.5)).alias("middle")).where("n >= 40")
+    rows = winsorise(rows.join(dates.select("as_of", "middle"), "as_of"), "fwd", DATE)
+    half = rows.withColumn("half", F.when(F.col("v") >= F.col("middle") - 1e-9, "cheap").otherwise("dear"))
     by = rank_correlation(half, "f", "fwd", ["as_of", "half"], least=20)
     return by.select("as_of", "half", "n", half_up(F.col("ic")).alias("ic")).where("ic is not null")
 
@@ -200,7 +269,21 @@ def interaction_diagnostic(t: Tables) -> DataFrame:
 PLANS = {
     f.__name__: f
     for f in (
-        rebalance_dates, prices_asof, shares_asof, market_cap_asof, benchmark_return, universe_pit, latest_statement, bt_momentum, bt_quality, bt_value, bt_piotroski,
-        bt_value_piotroski, forward_returns, ic_decile, backtest_summary, interaction_diagnostic,
+        rebalance_dates,
+        prices_asof,
+        shares_asof,
+        market_cap_asof,
+        benchmark_return,
+        universe_pit,
+        latest_statement,
+        bt_momentum,
+        bt_quality,
+        bt_value,
+        bt_piotroski,
+        bt_value_piotroski,
+        forward_returns,
+        ic_decile,
+        backtest_summary,
+        interaction_diagnostic,
     )
-}
+}

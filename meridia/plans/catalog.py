@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_strategies, portfolio, signals, ssg, strategies, writes
+from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, portfolio, signals, ssg, strategies, writes
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -23,6 +23,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "fund_flow_ticker": flows.fund_flow_ticker,
     "price_perf": flows.price_perf,
     "bank_vintages": flows.vintages,
+    "bank_fund_vintages": flows.fund_vintages,
     "vintage_asof": lambda t: flows.vintage_asof(flows.vintages(t), AS_OF),
     **strategies.STRATEGIES,
     "multi_signal": strategies.multi_signal,
@@ -35,23 +36,31 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **ssg.PLANS,
     **writes.PLANS,
     **dashboard.PLANS,
+    "refresh_views": flows.refresh_views,
     "count_by_type": lambda t: t.fundamentals.groupBy("type").agg(F.count("*").alias("n")),
 }
 
-_VINTAGES = """older AS (SELECT DATE '2001-04-15' AS banked_at, * FROM inst_flow_ticker WHERE latest_filing <= DATE '2001-03-31'),
-    moved AS (SELECT * REPLACE (CASE WHEN n_added % 2 = 0 THEN net_change_shares ELSE net_change_shares + 1000 END AS net_change_shares) FROM inst_flow_ticker),
-    vintages AS (SELECT * FROM older UNION ALL SELECT DATE '2001-06-30' AS banked_at, m.* FROM moved m LEFT JOIN older o ON o.ticker = m.ticker
-      WHERE o.ticker IS NULL OR (m.latest_filing, m.top_n_holders, m.top_n_shares, m.net_change_shares, m.prior_shares_at_latest)
-        IS DISTINCT FROM (o.latest_filing, o.top_n_holders, o.top_n_shares, o.net_change_shares, o.prior_shares_at_latest))"""
+def _vintages(now: str, names: str, compared: list[str]) -> str:
+    of = lambda side: ", ".join(f"{side}.{c}" for c in compared)
+    return f"""{names}_older AS (SELECT DATE '2001-04-15' AS banked_at, * FROM {now} WHERE latest_filing <= DATE '2001-03-31'),
+    {names}_moved AS (SELECT * REPLACE (CASE WHEN n_added % 2 = 0 THEN net_change_pct ELSE net_change_pct + 1 END AS net_change_pct) FROM {now}),
+    {names} AS (SELECT * FROM {names}_older UNION ALL SELECT DATE '2001-06-30' AS banked_at, m.* FROM {names}_moved m LEFT JOIN {names}_older o ON o.ticker = m.ticker
+      WHERE o.ticker IS NULL OR ({of('m')}) IS DISTINCT FROM ({of('o')}))"""
+
+
+_VINTAGES = _vintages("inst_flow_ticker", "vintages", flows.INST_COMPARED)
 
 SQL: dict[str, str] = {
     **{n: f"SELECT * FROM {n}" for n in ("eod_prices", "fundamentals", "statements", "earnings_history", "inst_flow", "fund_flow", "inst_flow_ticker", "fund_flow_ticker", "price_perf")},
     "bank_vintages": f"WITH {_VINTAGES} SELECT * FROM vintages",
+    "bank_fund_vintages": f"WITH {_vintages('fund_flow_ticker', 'vintages', flows.FUND_COMPARED)} SELECT * FROM vintages",
+    "refresh_views": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {n}" for n in flows.VIEWS),
     "vintage_asof": f"WITH {_VINTAGES} SELECT * FROM vintages WHERE banked_at <= DATE '2001-06-30' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY banked_at DESC) = 1",
     **oracle_strategies.SQL,
     **oracle_newsletter.SQL,
     **oracle_backtest.SQL,
     **oracle_rest.SQL,
+    **oracle_ssg.SQL,
     **writes.SQL,
     **dashboard.SQL,
 }

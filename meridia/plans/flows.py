@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, pct_change
 from meridia.operators.latest import latest_by
-from meridia.sources.domain import AS_OF, Tables, day
+from meridia.sources.domain import AS_OF, Tables, day, kept
 
 WINDOW_DAYS = 95
 CAP = 20
@@ -45,6 +47,7 @@ def _actions(inside: Column, *names: str) -> list[Column]:
     return [F.count_if(inside & (F.col("action") == a)).alias(f"n_{a}") for a in names]
 
 
+@kept
 def inst_flow_ticker(t: Tables) -> DataFrame:
     now = F.col("report_date") == F.col("latest_filing")
     change, prior, net = _net(now)
@@ -57,6 +60,7 @@ def inst_flow_ticker(t: Tables) -> DataFrame:
     )
 
 
+@kept
 def fund_flow_ticker(t: Tables) -> DataFrame:
     inside = F.col("report_date") >= F.date_sub("latest_filing", WINDOW_DAYS)
     change, prior, net = _net(inside)
@@ -69,6 +73,7 @@ def fund_flow_ticker(t: Tables) -> DataFrame:
     )
 
 
+@kept
 def price_perf(t: Tables) -> DataFrame:
     """Latest price of each held ticker with returns over trading-day lags; the date floor is below the windows."""
     universe = t.institutional_holders.select("ticker").distinct()
@@ -83,10 +88,12 @@ def price_perf(t: Tables) -> DataFrame:
     )
 
 
-VINTAGE_COLUMNS = ["latest_filing", "top_n_holders", "top_n_shares", "net_change_shares", "prior_shares_at_latest"]
+# A ticker is banked again when one of these has moved.
+INST_COMPARED = ["net_change_pct", "latest_filing", "top_n_holders", "largest_holder_pct", "max_holder_conviction_pct"]
+FUND_COMPARED = ["net_change_pct", "latest_filing", "top_n_funds"]
 
 
-def bank_vintages(current: DataFrame, banked: DataFrame, banked_at: str, compared: list[str] = VINTAGE_COLUMNS) -> DataFrame:
+def bank_vintages(current: DataFrame, banked: DataFrame, banked_at: str, compared: list[str]) -> DataFrame:
     """The rows of current that are new or differ from the last banked ones in a compared column; one vintage a ticker and day."""
     last = latest_by(banked, ["ticker"], ["banked_at"], compared).select("ticker", F.lit(True).alias("_known"), F.col("banked_at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in compared])
     same = F.lit(True)
@@ -97,13 +104,36 @@ def bank_vintages(current: DataFrame, banked: DataFrame, banked_at: str, compare
     return joined.where(fresh).select(day(banked_at).alias("banked_at"), *current.columns)
 
 
-def vintages(t: Tables) -> DataFrame:
-    """Two vintages: all tickers as they would have stood in March, and in June those that moved since."""
-    now = inst_flow_ticker(t)
+def _two_vintages(now: DataFrame, moves: str, compared: list[str]) -> DataFrame:
+    """All tickers as they would have stood in March, and in June those that moved since: of those, the ones with odd counts of `moves`."""
     older = now.where("latest_filing <= date '2001-03-31'").select(day("2001-04-15").alias("banked_at"), *now.columns)
-    moved = now.withColumn("net_change_shares", F.when(F.col("n_added") % 2 == 0, F.col("net_change_shares")).otherwise(F.col("net_change_shares") + 1000))
-    return older.unionByName(bank_vintages(moved, older, AS_OF))
+    moved = F.when(F.col(moves) % 2 == 0, F.col("net_change_pct")).otherwise(F.col("net_change_pct") + 1)
+    return older.unionByName(bank_vintages(now.withColumn("net_change_pct", moved), older, AS_OF, compared))
+
+
+def vintages(t: Tables) -> DataFrame:
+    return _two_vintages(inst_flow_ticker(t), "n_added", INST_COMPARED)
+
+
+def fund_vintages(t: Tables) -> DataFrame:
+    return _two_vintages(fund_flow_ticker(t), "n_added", FUND_COMPARED)
 
 
 def vintage_asof(banked: DataFrame, as_of: str) -> DataFrame:
     return latest_by(banked.where(F.col("banked_at") <= day(as_of)), ["ticker"], ["banked_at"])
+
+
+#: Kept tables in the order in which they need each other.
+VIEWS = {
+    **{n: (lambda t, n=n: getattr(t, n)) for n in ("fundamentals", "eod_prices", "institutional_holders", "fund_holders", "statements", "earnings_history", "analyst_ratings", "dividends")},
+    "inst_flow_ticker": inst_flow_ticker,
+    "fund_flow_ticker": fund_flow_ticker,
+    "price_perf": price_perf,
+}
+
+
+def refresh_views(t: Tables) -> DataFrame:
+    """Derives the kept tables anew, in order; name and n_rows of each. Readers of the old files are not disturbed."""
+    t.forget()
+    made = [view(t).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, view in VIEWS.items()]
+    return reduce(DataFrame.unionByName, made)

@@ -94,6 +94,16 @@ DEFINED: dict[str, str] = {
     "trades": f"""SELECT o_custkey % 10 AS portfolio_id, ticker, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, date AS trade_date, q AS quantity,
         CAST({R('unit')} AS DECIMAL(18,4)) AS price, CAST(tax * x AS DECIMAL(18,4)) AS fees FROM lines JOIN orders ON l_orderkey = o_orderkey""",
     "portfolios": "SELECT range AS portfolio_id, 'book ' || range AS name, range * 1000.0::DOUBLE AS initial_cash FROM range(12)",
+    "growth_statements": f"""SELECT ticker, date, {R('sales', 2)} AS total_revenue, {R('pretax', 2)} AS income_before_tax, {R('pretax * 0.7::DOUBLE', 2)} AS net_income,
+        n * 3000.0::DOUBLE * (b % 4) AS long_term_debt, n * 500.0::DOUBLE AS short_term_debt, units * 600 AS total_stockholder_equity
+      FROM (SELECT *, sales * (b % 6 - 1) / 20.0::DOUBLE AS pretax FROM (SELECT *, revenue * pow(1 + (b * 3) % 8 * 0.04::DOUBLE, year(date) - 1990) AS sales FROM (
+        SELECT ticker, CAST(substr(ticker, 7) AS INTEGER) AS b, make_date(year(date), 12, 31) AS date, CAST(sum(x * (1 - disc)) AS DOUBLE) AS revenue, CAST(sum(q) AS DOUBLE) AS units, count(*) AS n
+        FROM lines GROUP BY ALL))) WHERE date <= {AS_OF}""",
+    "growth_earnings": f"""SELECT ticker, date, CASE WHEN NOT (b % 9 = 4 AND month(date) = 3) THEN {R('eps_actual * pow(1 + (b * 5) % 7 * 0.04::DOUBLE, year(date) - 1998)')} END AS eps_actual
+      FROM (SELECT *, CAST(substr(ticker, 7) AS INTEGER) AS b FROM earnings_history)""",
+    "earnings_trend": f"""SELECT ticker, date, period, {R(f"CASE WHEN date = {AS_OF} AND n % 5 = 0 THEN NULL WHEN date = {AS_OF} THEN growth ELSE growth + 0.001::DOUBLE END")} AS growth FROM (
+        SELECT ticker, n, p.period, p.shift::DOUBLE + (n * 5) % 7 * 0.04::DOUBLE AS growth FROM (SELECT ticker, CAST(substr(ticker, 7) AS INTEGER) AS n FROM fundamentals),
+          (VALUES ('+5y', 0.02, 0), ('+1y', -0.05, 1), ('0y', 0.3, 2)) p(period, shift, most) WHERE n % 3 <= most), (VALUES (DATE '2001-03-31'), ({AS_OF})) d(date)""",
     "latest_price": "SELECT ticker, max(date) AS price_date, arg_max(close, date) AS price FROM eod_prices GROUP BY ticker",
 }
 

@@ -39,7 +39,7 @@ SQL = {
         SELECT l.ticker, p_recent, p_old, d_recent, d_old, CASE WHEN p_recent IS NULL OR p_old IS NULL THEN 'insufficient_price_history' WHEN DATE '2001-05-28' - d_recent > 10 OR DATE '2000-06-28' - d_old > 10 THEN 'stale_price_window' END AS reason
         FROM listed l LEFT JOIN {_leg('recent', "DATE '2001-05-28'")} a ON a.ticker = l.ticker LEFT JOIN {_leg('old', "DATE '2000-06-28'")} b ON b.ticker = l.ticker)""",
     "sig_insider": f"""WITH a AS (SELECT ticker, count(*) AS n, count(DISTINCT owner_name) AS n_insiders, CAST(sum(CASE WHEN transaction_code = 'P' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS b, CAST(sum(CASE WHEN transaction_code = 'S' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS s
-        FROM insider_transactions WHERE transaction_code IN ('P', 'S') AND value IS NOT NULL AND transaction_date > {EVENTS_AS_OF} - 20 AND transaction_date <= {EVENTS_AS_OF} AND coalesce(report_date, transaction_date + 4) <= {EVENTS_AS_OF} GROUP BY ticker),
+        FROM insider_transactions WHERE transaction_code IN ('P', 'S') AND value IS NOT NULL AND transaction_date > {EVENTS_AS_OF} - 30 AND transaction_date <= {EVENTS_AS_OF} AND coalesce(report_date, transaction_date + 4) <= {EVENTS_AS_OF} GROUP BY ticker),
       r AS (SELECT l.ticker, coalesce(n, 0) AS n_txns, n_insiders, {R('b - s', 2)} AS net, CASE WHEN coalesce(n, 0) = 0 THEN 'no_activity' WHEN n < 2 THEN 'below_min_txns' END AS reason FROM listed l LEFT JOIN a ON a.ticker = l.ticker)
       SELECT ticker, CASE WHEN reason IS NULL THEN net END AS value, reason, n_txns, n_insiders, CASE WHEN net > 0 THEN 'net_buying' WHEN net < 0 THEN 'net_selling' WHEN net = 0 THEN 'net_flat' END AS direction, net < 0 AS sales_are_noisier FROM r""",
     "portfolio_positions": "SELECT * FROM positions_open",

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, ratio
-from meridia.operators.latest import latest_by
-from meridia.sources.domain import AS_OF, Tables, day
+from meridia.sources.domain import AS_OF, Tables, day, kept
 
 from .strategies import latest_price
 
@@ -49,7 +48,9 @@ def _log_slope(s: Column) -> Column:
 
 def _steps(s: Column) -> Column:
     """(growth, weight) of each year whose predecessor is positive; later years weigh more."""
-    pairs = F.transform(F.sequence(F.lit(2), F.greatest(F.size(s), F.lit(2))), lambda i: F.struct((F.get(s, i - 1) / F.when(F.get(s, i - 2) > 0, F.get(s, i - 2)) - 1).alias("g"), (i - 1).cast("double").alias("w")))
+    step = lambda i: F.get(s, i - 1) / F.when(F.get(s, i - 2) > 0, F.get(s, i - 2)) - 1
+    places = F.sequence(F.lit(2), F.greatest(F.size(s), F.lit(2)))
+    pairs = F.transform(places, lambda i: F.struct(step(i).alias("g"), (i - 1).cast("double").alias("w")))
     return F.filter(pairs, lambda p: p["g"].isNotNull())
 
 
@@ -129,8 +130,47 @@ def _series(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("year", value))).alias("s")).select("ticker", F.col(f"s.{value}").alias("levels"))
 
 
+def _last_rows(df: DataFrame, most: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def study_eps(t: Tables) -> DataFrame:
+    """EPS by year, of the years with at least three of the last quarters."""
+    quarters = _last_rows(t.growth_earnings.where("eps_actual is not null"), 4 * (MIN_YEARS + 3) + 4)
+    total = F.sum(F.col("eps_actual").cast("decimal(18,4)")).cast("double")
+    return quarters.groupBy("ticker", F.year("date").alias("year")).agg(total.alias("eps"), F.count("*").alias("quarters")).where("quarters >= 3")
+
+
+def study_series(t: Tables) -> DataFrame:
+    """A row for each ticker: sales by year, EPS of the same years (null if too few), the last year's statement."""
+    years = _last_rows(t.growth_statements, MIN_YEARS + 4).withColumn("year", F.year("date"))
+    rows = years.join(study_eps(t).select("ticker", "year", "eps"), ["ticker", "year"], "left")
+    last = ["income_before_tax", "net_income", "long_term_debt", "short_term_debt", "total_stockholder_equity"]
+    by = rows.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("year", "total_revenue", "eps", *last))).alias("s"))
+    known = F.array_compact(F.col("s.eps"))
+    return by.select(
+        "ticker",
+        F.size("s").alias("years"),
+        F.array_compact(F.col("s.total_revenue")).alias("sales"),
+        F.when(F.size(known) >= MIN_YEARS, known).alias("eps"),
+        *[F.element_at(f"s.{c}", -1).alias(c) for c in last],
+    )
+
+
+def analyst_growth(t: Tables) -> DataFrame:
+    """The estimate of the longest period that has one, as last seen."""
+    rank = F.when(F.col("period") == "+5y", 1).when(F.col("period") == "+1y", 2).when(F.col("period") == "0y", 3)
+    rows = t.earnings_trend.where("growth is not null").withColumn("rank", rank).where("rank is not null")
+    best = F.min(F.struct("rank", (-F.unix_date("date")).alias("age"), "growth")).alias("b")
+    return rows.groupBy("ticker").agg(best).select("ticker", F.col("b.growth").alias("analyst_growth"))
+
+
 def eps_forecast(t: Tables) -> DataFrame:
-    return focus_forecast(_series(annual_eps(t), "eps"), ["ticker"], cap=MAX_GROWTH)
+    series = study_series(t).where("eps is not null").select("ticker", F.col("eps").alias("levels")).join(analyst_growth(t), "ticker", "left")
+    return focus_forecast(series, ["ticker"], cap=MAX_GROWTH).select(
+        "ticker", "method", half_up(F.col("growth"), 6).alias("growth"), half_up(F.col("projected_level")).alias("projected_level"), half_up(F.col("backtest_error"), 6).alias("backtest_error")
+    )
 
 
 def _mean_without_highest(pe: Column) -> Column:
@@ -140,53 +180,111 @@ def _mean_without_highest(pe: Column) -> Column:
     return F.when(F.size(kept) > 0, _total(kept) / F.size(kept))
 
 
-def ssg_study(t: Tables) -> DataFrame:
-    """A row for each ticker: growth, quality gates with reasons, forecast prices, zone, ratio, return, decision."""
-    year = F.year("date").alias("year")
-    sales = _series(t.statements.select("ticker", year, "total_revenue"), "total_revenue").withColumnRenamed("levels", "sales")
-    eps = _series(annual_eps(t), "eps").withColumnRenamed("levels", "eps")
-    last = latest_by(t.statements, ["ticker"], ["date"], ["long_term_debt", "total_stockholder_equity", "net_income", "total_revenue", "gross_profit"]).drop("date")
-    pe = price_extremes(t).join(annual_eps(t).where("eps > 0"), ["ticker", "year"]).withColumns({"hi": F.col("high") / F.col("eps"), "lo": F.col("low") / F.col("eps")})
-    recent = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("year"))) <= MIN_YEARS
-    pe = pe.withColumn("recent", recent).where("recent").groupBy("ticker").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
-    pe = pe.select("ticker", F.least(F.lit(MAX_HIGH_PE), _mean_without_highest(F.col("his"))).alias("high_pe"), _mean_without_highest(F.col("los")).alias("low_pe"))
-    sales_fc = focus_forecast(sales.withColumnRenamed("sales", "levels"), ["ticker"], cap=MAX_GROWTH).select("ticker", F.col("growth").alias("fc_sales"))
-    eps_fc = focus_forecast(eps.withColumnRenamed("eps", "levels"), ["ticker"], cap=MAX_GROWTH).select("ticker", F.col("growth").alias("fc_eps_alone"), "method")
-    rows = sales.join(eps, "ticker", "left").join(last, "ticker", "left").join(pe, "ticker", "left").join(sales_fc, "ticker", "left").join(eps_fc, "ticker", "left")
-    rows = rows.join(latest_price(t).select("ticker", F.col("price").alias("cur")), "ticker", "left").join(t.fundamentals.select("ticker", "market_cap", "dividend_yield"), "ticker", "left").where(F.size("sales") >= MIN_YEARS)
+def pe_history(t: Tables) -> DataFrame:
+    """ticker, high_pe (held down), low_pe over the last years of prices."""
+    recent = t.eod_prices.where((F.col("date") >= F.date_sub(day(AS_OF), 365 * (MIN_YEARS + 1))) & F.col("low").isNotNull() & F.col("high").isNotNull())
+    extremes = recent.groupBy("ticker", F.year("date").alias("year")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    pe = extremes.join(study_eps(t).where("eps > 0"), ["ticker", "year"])
+    by = pe.groupBy("ticker").agg(F.collect_list(F.col("high") / F.col("eps")).alias("his"), F.collect_list(F.col("low") / F.col("eps")).alias("los"))
+    return by.select("ticker", F.least(F.lit(MAX_HIGH_PE), _mean_without_highest(F.col("his"))).alias("high_pe"), _mean_without_highest(F.col("los")).alias("low_pe"))
+
+
+def study_history(t: Tables) -> DataFrame:
+    """Growth, returns on equity, margin and debt of each ticker, and what keeps it from passing the quality gates."""
+    header = t.fundamentals.select("ticker", "market_cap", "dividend_yield", "return_on_equity")
+    rows = study_series(t).join(header, "ticker", "left")
     # a growth of exactly 0 counts as unknown and falls back to the endpoints
     grown = lambda s: F.coalesce(F.nullif(_log_slope(F.col(s)), F.lit(0.0)), _compound(F.col(s)))
-    ups = F.size(F.filter(_steps(F.col("sales")), lambda p: p["g"] > 0)) / F.greatest(F.size("sales") - 1, F.lit(1))
-    rows = rows.withColumns({
-        "sales_growth": grown("sales"), "eps_growth": F.when(F.size("eps") >= MIN_YEARS, grown("eps")), "up_fraction": ups, "roe": ratio(F.col("net_income"), F.col("total_stockholder_equity")),
-        "debt_to_cap": ratio(F.col("long_term_debt"), F.col("long_term_debt") + F.col("total_stockholder_equity")), "margin": ratio(F.col("gross_profit"), F.col("total_revenue")),
-    })
+    rises = F.filter(F.transform("sales", lambda v, i: (i > 0) & (v > F.get("sales", i - 1))), lambda up: up)
+    debt, equity = F.coalesce("long_term_debt", F.lit(0.0)) + F.coalesce("short_term_debt", F.lit(0.0)), F.col("total_stockholder_equity")
+    filed_roe = F.when((equity > 0) & (F.col("net_income") != 0), F.col("net_income") / equity)
+    rows = rows.withColumns(
+        {
+            "sales_growth": grown("sales"),
+            "eps_growth": grown("eps"),
+            "up_fraction": F.size(rises) / F.greatest(F.size("sales") - 1, F.lit(1)),
+            "roe": F.coalesce("return_on_equity", filed_roe),
+            "debt_to_cap": F.when((equity != 0) & (debt + equity > 0), debt / (debt + equity)),
+            "margin": ratio(F.col("income_before_tax"), F.element_at("sales", -1)),
+        }
+    )
     bad = lambda c, least: F.col(c).isNull() | (F.col(c) < least)
-    gates = F.array_compact(F.array(
-        F.when(bad("sales_growth", MIN_GROWTH), F.lit("sales growth too low")), F.when(bad("eps_growth", MIN_GROWTH), F.lit("EPS growth too low")), F.when(F.col("up_fraction") < MIN_UP, F.lit("inconsistent sales")),
-        F.when(bad("roe", MIN_ROE), F.lit("ROE too low")), F.when(F.col("debt_to_cap") > MAX_DEBT, F.lit("too much debt")), F.when(F.col("margin") <= 0, F.lit("no margin")),
-    ))
-    rows = rows.withColumn("gates", gates).withColumn("quality_pass", F.size("gates") == 0)
+    gates = F.array(
+        F.when(bad("sales_growth", MIN_GROWTH), "sales growth too low"),
+        F.when(bad("eps_growth", MIN_GROWTH), "EPS growth too low"),
+        F.when(F.col("up_fraction") < MIN_UP, "inconsistent sales"),
+        F.when(bad("roe", MIN_ROE), "ROE too low"),
+        F.when(F.col("debt_to_cap") > MAX_DEBT, "too much debt"),
+        F.when(F.col("margin") <= 0, "no margin"),
+    )
+    few = F.col("years") < MIN_YEARS
+    rows = rows.withColumn("gates", F.when(few, F.array(F.lit("too few years"))).otherwise(F.array_compact(gates)))
+    return rows.withColumn("quality_pass", F.size("gates") == 0)
+
+
+def study_forecast(t: Tables) -> DataFrame:
+    """The rows of study_history; for those that pass also growth to come, prices, zones, ratio and returns."""
+    history = study_history(t)
     passed = F.col("quality_pass")
-    fc_eps = F.least("fc_eps_alone", F.coalesce("fc_sales", "fc_eps_alone"))  # earnings do not outgrow sales
-    base = F.element_at("eps", -1)
-    rows = rows.withColumns({"fc_eps": F.when(passed, fc_eps), "base": F.when(base > 0, base)}).withColumn("projected_eps_5yr", F.col("base") * F.pow(1 + F.col("fc_eps"), HORIZON))
-    rows = rows.withColumns({"hi": F.col("high_pe") * F.col("projected_eps_5yr"), "lo": F.col("low_pe") * F.col("base")})
+    sales = focus_forecast(history.where(passed).select("ticker", F.col("sales").alias("levels")), ["ticker"], cap=MAX_GROWTH)
+    eps = history.where(passed & F.col("eps").isNotNull()).select("ticker", F.col("eps").alias("levels")).join(analyst_growth(t), "ticker", "left")
+    eps = focus_forecast(eps, ["ticker"], cap=MAX_GROWTH)
+    rows = history.join(sales.select("ticker", F.col("growth").alias("fc_sales")), "ticker", "left")
+    rows = rows.join(eps.select("ticker", F.col("growth").alias("fc_alone"), F.col("method").alias("eps_method")), "ticker", "left")
+    price = latest_price(t).select("ticker", F.col("price").alias("cur"))
+    rows = rows.join(pe_history(t), "ticker", "left").join(price, "ticker", "left")
+    # earnings do not outgrow sales
+    rows = rows.withColumns({"fc_eps": F.least("fc_alone", F.coalesce("fc_sales", "fc_alone")), "base": F.element_at("eps", -1)})
+    rows = rows.withColumn("projected", F.when(F.col("base") != 0, F.col("base") * F.pow(1 + F.col("fc_eps"), HORIZON)))
+    whole = (F.col("projected") != 0) & (F.col("high_pe") != 0) & (F.col("low_pe") != 0) & (F.col("base") != 0) & (F.col("cur") != 0)
+    rows = rows.withColumns({"hi": F.when(whole, F.col("high_pe") * F.col("projected")), "lo": F.when(whole, F.col("low_pe") * F.col("base"))})
     third = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / 3)
     rows = rows.withColumns({"buy_below": F.col("lo") + third, "sell_above": F.col("hi") - third})
-    down, up = F.col("cur") - F.col("lo"), F.col("hi") - F.col("cur")
-    priced = third.isNotNull() & F.col("cur").isNotNull()
+    down, up, priced = F.col("cur") - F.col("lo"), F.col("hi") - F.col("cur"), third.isNotNull()
     appreciation = F.when(priced & (F.col("cur") > 0) & (F.col("hi") > 0), F.pow(F.col("hi") / F.col("cur"), 1 / HORIZON) - 1)
-    rows = rows.withColumns({
-        "zone": F.when(F.col("cur") <= F.col("buy_below"), "BUY").when(F.col("cur") >= F.col("sell_above"), "SELL").when(priced, "HOLD"),
-        "updown_ratio": F.when(priced & (down > 0), up / down).when(priced & (up > 0), float("inf")), "price_appreciation_cagr": appreciation,
-        "total_return": F.when(priced, F.coalesce(appreciation, F.lit(0.0)) + F.coalesce("dividend_yield", F.lit(0.0))),
-    })
-    hurdle = F.when(F.col("market_cap").isNull(), RETURNS["medium"]).when(F.col("market_cap") < SMALL, RETURNS["small"]).when(F.col("market_cap") >= LARGE, RETURNS["large"]).otherwise(RETURNS["medium"])
-    is_buy = passed & (F.col("zone") == "BUY") & (F.col("updown_ratio") >= MIN_RATIO) & (F.col("total_return") >= hurdle)
-    finite = F.when(F.col("updown_ratio") < float("inf"), F.col("updown_ratio"))
-    out = ["sales_growth", "eps_growth", "roe", "debt_to_cap", "projected_eps_5yr", "high_pe", "low_pe", "buy_below", "sell_above", "price_appreciation_cagr", "total_return"]
-    return rows.select(day(AS_OF).alias("issue_date"), "ticker", F.col("cur").alias("current_price"), "zone", F.coalesce(is_buy, F.lit(False)).alias("is_buy"), "quality_pass", half_up(finite).alias("updown_ratio"), *[half_up(F.col(c)).alias(c) for c in out], F.array_join("gates", "; ").alias("reasons"))
-
-
-PLANS = {f.__name__: f for f in (annual_eps, price_extremes, loglinear_growth, year_end_close, eps_forecast, ssg_study)}
+    return rows.withColumns(
+        {
+            "zone": F.when(F.col("cur") <= F.col("buy_below"), "BUY").when(F.col("cur") >= F.col("sell_above"), "SELL").when(priced, "HOLD"),
+            "updown": F.when(priced & (down > 0), up / down).when(priced & (up > 0), float("inf")),
+            "appreciation": appreciation,
+            "total_return": F.when(priced, F.coalesce(appreciation, F.lit(0.0)) + F.coalesce("dividend_yield", F.lit(0.0))),
+        }
+    )
+
+
+@kept
+def ssg_study(t: Tables) -> DataFrame:
+    """A row for each ticker: growth, quality gates, forecast prices, zone, ratio, return, decision, and the reasons for it."""
+    rows = study_forecast(t)
+    cap, passed = F.col("market_cap"), F.col("quality_pass")
+    hurdle = F.when(cap < SMALL, RETURNS["small"]).when(cap >= LARGE, RETURNS["large"]).otherwise(RETURNS["medium"])
+    open_ = passed & (F.col("zone").isNull() | F.col("updown").isNull())
+    against = F.array(
+        F.when(open_, "price zones unavailable"),
+        F.when(passed & ~open_ & (F.col("zone") != "BUY"), "not in the buy zone"),
+        F.when(passed & ~open_ & (F.col("updown") < MIN_RATIO), "too little to gain for what can be lost"),
+        F.when(passed & ~open_ & (F.col("total_return") < hurdle), "return below the hurdle"),
+    )
+    reasons = F.concat("gates", F.array_compact(against))
+    if_passed = {
+        "zone": F.col("zone"),
+        "updown_ratio": half_up(F.when(F.col("updown") < float("inf"), F.col("updown"))),
+        "forecast_growth": half_up(F.col("fc_eps")),
+        "projected_eps_5yr": half_up(F.col("projected")),
+        **{c: half_up(F.col(c)) for c in ("high_pe", "low_pe", "buy_below", "sell_above", "total_return")},
+        "price_appreciation_cagr": half_up(F.col("appreciation")),
+        "eps_method": F.col("eps_method"),
+    }
+    return rows.select(
+        day(AS_OF).alias("issue_date"),
+        "ticker",
+        F.col("cur").alias("current_price"),
+        (F.size(reasons) == 0).alias("is_buy"),
+        "quality_pass",
+        *[half_up(F.col(c)).alias(c) for c in ("sales_growth", "eps_growth", "roe", "debt_to_cap")],
+        *[F.when(passed, v).alias(n) for n, v in if_passed.items()],
+        F.array_join(reasons, "; ").alias("reasons"),
+    )
+
+
+PLANS = {f.__name__: f for f in (annual_eps, price_extremes, loglinear_growth, year_end_close, analyst_growth, pe_history, eps_forecast, ssg_study)}

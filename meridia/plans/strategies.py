@@ -179,7 +179,10 @@ STRATEGIES = {
         fund_holder_conviction, price_momentum_leaders, dividend_income, institutional_holder_alpha, smart_institution_holdings,
     )
 }
-STRATEGIES |= {f.__name__: partial(f, days=10) for f in (congressional_trading, congressional_selling_alert)}  # as their SQL
+
+
+#: The derived events cover one month, in which no ticker has more sellers than buyers; in its last days one has.
+STRATEGIES["congressional_selling_alert"] = partial(congressional_selling_alert, days=10)
 
 
 def multi_signal(t: Tables, least: int = 2) -> DataFrame:

@@ -2,17 +2,22 @@
 
 A brand is a ticker, a supplier a holder, a ship day a trading day; events are insider
 transactions and news. Every value is arithmetic on the source rows, so any engine can derive the same.
-A Tables object holds DataFrames only; nothing is computed until a plan is.
+
+Tables far smaller than the facts (prices by day, holders, statements, rollups) are kept: the first plan that
+needs one writes it to the shared folder, the others read it there, until refresh(). So a plan of many parts
+scans the facts once for each such table and application, not once for each use.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up
+from meridia.sources.workspace import written
 
 AS_OF = "2001-06-30"
 EVENTS_AS_OF = "2024-01-30"
@@ -29,10 +34,45 @@ def day(text: str):
     return F.lit(text).cast("date")
 
 
+#: Where kept tables were written, by application, source folder and name.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """A derived table, or a plan without parameters, that is written once and then read."""
+
+    @wraps(make)
+    def table(t: Tables) -> DataFrame:
+        return t.keep(make.__name__, lambda: make(t))
+
+    return table
+
+
+def kept_property(make: Callable[[Tables], DataFrame]) -> cached_property:
+    return cached_property(kept(make))
+
+
 class Tables:
+    #: Days that a price counts for, in the universe and elsewhere: the derived names trade seldom.
+    universe_days = price_days = 30
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = written(make(), name)
+        return _WRITTEN[key]
+
+    def forget(self) -> None:
+        """The next use of each kept table derives it from the sources again. Older results may still read the old files."""
+        for key in [k for k in _WRITTEN if k[:2] == (self.spark.sparkContext.applicationId, self.folder)]:
+            del _WRITTEN[key]
+        for name, member in vars(type(self)).items():
+            if isinstance(member, cached_property):
+                self.__dict__.pop(name, None)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -54,16 +94,16 @@ class Tables:
             close.alias("close"), close.alias("adjusted_close"), half_up(F.max("unit")).alias("high"), half_up(F.min("unit")).alias("low"), (F.sum("q") * 10000).cast("bigint").alias("volume")
         )
 
-    @cached_property
+    @kept_property
     def eod_prices(self) -> DataFrame:
         return self._prices("ticker")
 
-    @cached_property
+    @kept_property
     def eod_prices_x(self) -> DataFrame:
         """A wider cross-section: suppliers as tickers."""
         return self._prices("l_suppkey").withColumn("ticker", F.col("ticker").cast("string"))
 
-    @cached_property
+    @kept_property
     def fundamentals(self) -> DataFrame:
         number = F.substring("p_brand", 7, 9).cast("int")
         part = self.read("part").withColumn("number", number)
@@ -97,20 +137,20 @@ class Tables:
             F.when(prior == 0, 0.0).otherwise(half_up(F.col("change_shares") / prior * 100)).alias("change_pct"),
         )
 
-    @cached_property
+    @kept_property
     def institutional_holders(self) -> DataFrame:
         return self._holdings("s_name", F.last_day(F.add_months(F.trunc("date", "QUARTER"), 2)), 97)
 
-    @cached_property
+    @kept_property
     def fund_holders(self) -> DataFrame:
         return self._holdings("n_name", F.last_day("date"), 5)
 
-    @cached_property
+    @kept_property
     def statements(self) -> DataFrame:
         """A row for each ticker and year: income, balance and cash flow in one. The filing date is null for some."""
         return self._statements("ticker")
 
-    @cached_property
+    @kept_property
     def statements_x(self) -> DataFrame:
         return self._statements("l_suppkey").withColumn("ticker", F.col("ticker").cast("string"))
 
@@ -132,7 +172,7 @@ class Tables:
             (F.col("units") * 100).alias("shares"),
         )
 
-    @cached_property
+    @kept_property
     def earnings_history(self) -> DataFrame:
         from pyspark.sql import Window
 
@@ -144,7 +184,7 @@ class Tables:
         surprise = half_up((F.col("eps_actual") / F.col("eps_estimate") - 1) * 100)
         return rows.select("ticker", F.date_add("date", 30).alias("report_date"), "date", "eps_actual", "eps_estimate", F.when(F.col("eps_estimate") > 0, surprise).alias("surprise_pct"))
 
-    @cached_property
+    @kept_property
     def analyst_ratings(self) -> DataFrame:
         quarter = F.last_day(F.add_months(F.trunc("date", "QUARTER"), 2))
         units = F.sum("q").cast("bigint")
@@ -155,7 +195,7 @@ class Tables:
             (u % 7).cast("int").alias("strong_buy"), (u % 5).cast("int").alias("buy"), (u % 3).cast("int").alias("hold"), (u % 4).cast("int").alias("sell"), (u % 2).cast("int").alias("strong_sell"),
         )
 
-    @cached_property
+    @kept_property
     def dividends(self) -> DataFrame:
         quarter = F.last_day(F.add_months(F.trunc("date", "QUARTER"), 2))
         rows = self.lines.where(F.col("l_returnflag") == "A").groupBy("ticker", quarter.alias("ex_date")).agg((F.sum("q").cast("double") / F.count("*")).alias("v"))
@@ -172,7 +212,7 @@ class Tables:
             F.col("value").alias("price"), half_up((10 + k % 90) * F.col("value"), 2).alias("value"), F.when(k % 3 == 0, None).otherwise(F.date_add(made, (k % 5).cast("int"))).alias("report_date"),
         )
 
-    @cached_property
+    @kept_property
     def sentiment_daily(self) -> DataFrame:
         rows = self.read("events").groupBy(F.concat(F.lit("Brand#"), (1 + F.col("user_id") % 25).cast("string")).alias("ticker"), F.col("ts").cast("date").alias("date"))
         total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
@@ -201,3 +241,49 @@ class Tables:
         """Twelve portfolios, two of them without trades."""
         ids = self.spark.range(12)
         return ids.select(F.col("id").alias("portfolio_id"), F.concat(F.lit("book "), F.col("id").cast("string")).alias("name"), (F.col("id") * 1000.0).alias("initial_cash"))
+
+    # What the stock study reads: like the tables above, with growth that differs from name to name, so that some pass its gates.
+
+    @kept_property
+    def growth_statements(self) -> DataFrame:
+        """A row for each ticker and year."""
+        year = self.lines.groupBy("ticker", F.year("date").alias("year")).agg(
+            F.sum(F.col("x") * (1 - F.col("disc"))).cast("double").alias("revenue"),
+            F.sum("q").cast("double").alias("units"),
+            F.count("*").alias("lines"),
+        )
+        n = F.substring("ticker", 7, 9).cast("int")
+        sales = F.col("revenue") * F.pow(1 + (n * 3) % 8 * F.lit(0.04), F.col("year") - 1990)
+        pretax = sales * (n % 6 - 1) / 20.0
+        end = F.make_date("year", F.lit(12), F.lit(31))
+        return year.where(end <= day(AS_OF)).select(
+            "ticker",
+            end.alias("date"),
+            half_up(sales, 2).alias("total_revenue"),
+            half_up(pretax, 2).alias("income_before_tax"),
+            half_up(pretax * 0.7, 2).alias("net_income"),
+            (F.col("lines") * 3000.0 * (n % 4)).alias("long_term_debt"),
+            (F.col("lines") * 500.0).alias("short_term_debt"),
+            (F.col("units") * 600).alias("total_stockholder_equity"),
+        )
+
+    @kept_property
+    def growth_earnings(self) -> DataFrame:
+        """ticker, date (a quarter's end), eps_actual; some are not known."""
+        n = F.substring("ticker", 7, 9).cast("int")
+        eps = half_up(F.col("eps_actual") * F.pow(1 + (n * 5) % 7 * F.lit(0.04), F.year("date") - 1998))
+        missing = (n % 9 == 4) & (F.month("date") == 3)
+        return self.earnings_history.select("ticker", "date", F.when(~missing, eps).alias("eps_actual"))
+
+    @kept_property
+    def earnings_trend(self) -> DataFrame:
+        """Estimated growth by period, as seen on two days."""
+        n = F.substring("ticker", 7, 9).cast("int")
+        base = (n * 5) % 7 * F.lit(0.04)
+        of = lambda period, given, growth: F.when(given, F.struct(F.lit(period).alias("period"), growth.alias("growth")))
+        periods = F.array_compact(F.array(of("+5y", n % 3 == 0, base + 0.02), of("+1y", n % 3 <= 1, base - 0.05), of("0y", n > 0, base + 0.3)))
+        seen = F.explode(F.array(day("2001-03-31"), day(AS_OF))).alias("date")
+        rows = self.fundamentals.select("ticker", n.alias("n"), F.explode(periods).alias("p")).select("*", seen)
+        last = F.col("date") == day(AS_OF)
+        growth = F.when(last & (F.col("n") % 5 == 0), None).when(last, F.col("p.growth")).otherwise(F.col("p.growth") + 0.001)
+        return rows.select("ticker", "date", "p.period", half_up(growth).alias("growth"))

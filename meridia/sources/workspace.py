@@ -26,6 +26,22 @@ def _path(spark: SparkSession, folder: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _path(spark, path)
+    return store.exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder; none if it is not there."""
+    store, at = _path(spark, path)
+    return [f.getPath().toString() for f in store.listStatus(at) if f.isDirectory()] if store.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, at = _path(spark, path)
+    store.delete(at, True)
+
+
 def workspace(spark: SparkSession) -> str:
     """This application's own folder; it is removed when the driver ends."""
     folder = f"{shared_dir(spark).rstrip('/')}/meridia-{spark.sparkContext.applicationId}"
@@ -58,5 +74,4 @@ def discard(table: DataFrame) -> None:
     spark = table.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         if f"/meridia-{spark.sparkContext.applicationId}/" in folder:
-            store, path = _path(spark, folder)
-            store.delete(path, True)
+            remove(spark, folder)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.operators.upsert import upsert
+from meridia.sources.workspace import exists, folders, remove
 
 
 def first_seen(news: DataFrame, key: str = "uuid", time: str = "published_at", late: str = "36 hours") -> DataFrame:
@@ -22,24 +22,36 @@ def daily_bars(quotes: DataFrame, time: str = "ts", late: str = "1 hour") -> Dat
 
 
 def latest_quotes(quotes: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("ticker",)):
-    """A query that keeps the newest quote of each key in a Parquet folder; each batch writes a version of its own, and the last one counts."""
+    """A query that keeps the newest quote of each key by ts in a Parquet folder; of quotes of one time the greatest.
+
+    Each batch writes a version of its own from the last one before it, so a batch that runs twice writes the same, and a
+    late quote changes nothing. The version before the last stays for readers that are at it; older ones are removed.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in versions(spark, path) if v < epoch]
         rest = [c for c in batch.columns if c not in keys and c != "ts"]
-        newest = batch.groupBy(*keys).agg(F.max(F.struct("ts", *rest)).alias("_r")).select(*keys, "_r.*")
-        old = current(batch.sparkSession, path)
-        (newest if old is None else upsert(old, newest, list(keys)).select(newest.columns)).write.mode("overwrite").parquet(f"{path}/version={epoch:012d}")
+        both = batch if not before else spark.read.parquet(_version(path, before[-1])).select(batch.columns).unionByName(batch)
+        newest = both.groupBy(*keys).agg(F.max(F.struct("ts", *rest)).alias("_r")).select(*keys, "_r.*")
+        newest.select(batch.columns).write.mode("overwrite").parquet(_version(path, epoch))
+        for old in before[:-1]:
+            remove(spark, _version(path, old))
 
     return quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def current(spark, path: str) -> DataFrame | None:
+def _version(path: str, epoch: int) -> str:
+    return f"{path}/version={epoch:012d}"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that were written whole, in order."""
+    done = [folder for folder in folders(spark, path) if "version=" in folder and exists(spark, f"{folder}/_SUCCESS")]
+    return sorted(int(folder.rsplit("version=", 1)[1]) for folder in done)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The last version, or None before the first."""
-    try:
-        all_ = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001  Spark names a missing folder in an AnalysisException
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-    last = all_.agg(F.max("version")).first()[0]
-    return all_.where(F.col("version") == last).drop("version")
+    known = versions(spark, path)
+    return spark.read.parquet(_version(path, known[-1])) if known else None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meridia.functions.numbers import half_up, money, to_date, to_integer, to_number
 from meridia.operators import upsert as up
 from meridia.operators.latest import as_of_join, latest_by
-from meridia.operators.stats import average_rank, equal_bins, rank_correlation, winsorise, z_score
+from meridia.operators.stats import average_rank, equal_bins, rank_correlation, winsorise, z_scores
 from meridia.sources.ingest import SPECS, explode_dated, explode_options, ingest, split_ratio, ticker_parts, without_nan
 
 
@@ -46,7 +46,7 @@ def test_ranks_bins_and_scores_against_pandas(spark):
     r = random.Random(1)
     rows = [(g, f"t{k:03d}", float(r.randint(0, 40)) if r.random() > 0.1 else None, r.gauss(0, 1)) for g in ("x", "y") for k in range(50)]
     df = spark.createDataFrame(rows, "g string, t string, v double, w double")
-    got = df.withColumns({"rank": average_rank("v", ["g"]), "z": z_score(F.col("v"), ["g"])}).toPandas().sort_values(["g", "t"]).reset_index(drop=True)
+    got = z_scores(df, {"z": F.col("v")}, ["g"]).withColumn("rank", average_rank("v", ["g"])).toPandas().sort_values(["g", "t"]).reset_index(drop=True)
     want = got.groupby("g").v
     assert np.allclose(got["rank"], want.rank(), equal_nan=True)
     assert np.allclose(got.z, (got.v - want.transform("mean")) / want.transform(lambda s: s.std(ddof=0)), equal_nan=True)
@@ -67,7 +67,7 @@ def test_equal_bins_are_those_of_pandas(spark, n):
 
 def test_constant_groups_have_no_score(spark):
     df = spark.createDataFrame([("x", 1.0), ("x", 1.0)], "g string, v double")
-    assert [x.z for x in df.select(z_score(F.col("v"), ["g"]).alias("z")).collect()] == [None, None]
+    assert [x.z for x in z_scores(df, {"z": F.col("v")}, ["g"]).collect()] == [None, None]
 
 
 def test_upserts(spark):
@@ -89,6 +89,33 @@ def test_replace_slice(spark, tmp_path):
     assert sorted((x.d, x.v) for x in spark.read.parquet(path).collect()) == [("d1", 1), ("d2", 5), ("d2", 6)]
 
 
+def test_replace_slice_tells_when_other_rows_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(up, "_digest", lambda df, n=iter(range(9)): (next(n), 0))
+    with pytest.raises(ValueError):
+        up.replace_slice(spark.createDataFrame([("d1", 1)], "d string, v int"), str(tmp_path / "t"), "d")
+
+
+def test_update_from_entries(spark):
+    old = [("A", "x", date(2001, 1, 2), None, None), ("A", "y", date(2001, 1, 2), 1.0, 2.0), ("B", "x", date(2001, 1, 2), None, 9.0)]
+    old = spark.createDataFrame(old, "ticker string, holder string, day date, change double, pct double")
+    block = '{"Funds":{"0":{"name":"x","date":"2001-01-02","change":"5","change_p":"0.5"},"1":{"name":"y","date":"2001-01-02","change":7},"2":{"name":"x","date":"bad","change":8},"3":{"name":"z"}}}'
+    blocks = spark.createDataFrame([("A", block), ("B", '{"Funds":[]}'), ("C", None)], "ticker string, holders string")
+    got = up.update_from_entries(old, blocks, ["ticker", "holder", "day"], "holders", "Funds", {"change": "change", "pct": "change_p"}, {"holder": "name", "day": "date"})
+    assert sorted((x.ticker, x.holder, x.change, x.pct) for x in got.collect()) == [("A", "x", 5.0, 0.5), ("A", "y", 1.0, 2.0), ("B", "x", None, 9.0)]
+
+
+def test_workspace(spark, tmp_path):
+    from meridia.sources import workspace
+
+    table = workspace.written(spark.range(5), "five")
+    assert table.count() == 5 and workspace.workspace(spark) in table.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    workspace.discard(table)
+    assert not workspace.exists(spark, table.inputFiles()[0])
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    workspace.discard(spark.read.parquet(f"{tmp_path}/own"))  # not of the workspace, so it stays
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 3
+
+
 def test_ingest_cleans_types_and_drops(spark):
     rows = [
         ('{"date":"2001-02-03","close":"12.5","volume":"7.9"}', "A.US", 1),
@@ -147,7 +174,7 @@ def test_scalars(spark):
 
 
 def test_streams(spark, tmp_path):
-    from meridia.streaming.quotes import current, daily_bars, first_seen, latest_quotes
+    from meridia.streaming.quotes import current, daily_bars, first_seen, latest_quotes, versions
 
     rows = [("A", datetime(2001, 1, 1, 10), 5.0, 1), ("A", datetime(2001, 1, 1, 12), 7.0, 2), ("B", datetime(2001, 1, 1, 9), 3.0, 1), ("A", datetime(2001, 1, 4, 9), 1.0, 1)]
     schema = "ticker string, ts timestamp, price double, volume int"
@@ -163,6 +190,16 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {x.ticker: x.price for x in current(spark, f"{tmp_path}/latest").collect()} == {"A": 1.0, "B": 3.0}
+    # a late batch changes nothing, nor does one that runs again; what no reader is at any more goes
+    spark.createDataFrame([("A", datetime(2001, 1, 2), 9.0, 1), ("B", datetime(2001, 1, 2), 4.0, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+    for _ in range(2):
+        q = latest_quotes(source(), f"{tmp_path}/latest", f"{tmp_path}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+        assert {x.ticker: x.price for x in current(spark, f"{tmp_path}/latest").collect()} == {"A": 1.0, "B": 4.0}
+        for f in (tmp_path / "cp" / "commits").glob("*1*"):
+            f.unlink()
+    assert versions(spark, f"{tmp_path}/latest") == [0, 1]
     q = first_seen(source(), key="ticker", time="ts").writeStream.format("memory").queryName("seen").start()
     q.processAllAvailable()
     q.stop()

@@ -56,7 +56,7 @@ def test_queries_and_sql_have_matching_names():
 
 def tables(spark, **frames):
     base = {"fundamentals": spark.createDataFrame([("T", False, None, "N", "S", 1e9)], "ticker string, is_delisted boolean, type string, exchange string, sector string, market_cap double")}
-    return SimpleNamespace(spark=spark, **(base | frames))
+    return SimpleNamespace(spark=spark, keep=lambda name, make: make(), **(base | frames))
 
 
 def prices(spark, *rows):
@@ -66,29 +66,34 @@ def prices(spark, *rows):
 @pytest.mark.parametrize(
     "rows,value,reason",
     [
-        ([("2024-12-20", 100.0), ("2025-11-20", 120.0)], 0.2, None),
-        ([("2024-12-20", 120.0), ("2025-11-20", 90.0)], -0.25, None),
-        ([("2025-11-20", 120.0)], None, "insufficient_price_history"),
-        ([("2024-12-15", 100.0), ("2025-10-01", 130.0)], None, "stale_price_window"),
+        ([("2018-08-14", 40.0), ("2019-07-12", 50.0)], 0.25, None),
+        ([("2018-08-14", 64.0), ("2019-07-12", 40.0), ("2019-08-01", 99.0)], -0.375, None),
+        ([("2019-07-12", 50.0)], None, "insufficient_price_history"),
+        ([("2018-08-10", 64.0), ("2019-06-20", 40.0)], None, "stale_price_window"),
     ],
 )
 def test_momentum(spark, rows, value, reason):
-    got = signals.sig_momentum(tables(spark, eod_prices=prices(spark, *rows)), as_of="2025-12-31").first()
+    got = signals.sig_momentum(tables(spark, eod_prices=prices(spark, *rows)), as_of="2019-08-15").first()
     assert (got.value, got.reason) == (value, reason)
 
 
 def earnings(spark, *eps):
-    rows = [("T", date(2025, 3 * k, 28), date(2025, 3 * k, 28), e) for k, e in enumerate(eps, 1)]
+    rows = [("T", date(2018, 3 * k, 25), date(2018, 3 * k, 25), e) for k, e in enumerate(eps, 1)]
     return spark.createDataFrame(rows, "ticker string, date date, report_date date, eps_actual double")
 
 
 @pytest.mark.parametrize(
     "eps,price,value,reason",
-    [([1.2, 1.1, 1.0, 0.9], 84.0, 0.05, None), ([-0.5, -0.3, 0.1, 0.1], 20.0, -0.03, None), ([1.0, 1.0], 20.0, None, "insufficient_eps_history"), ([1.0] * 4, None, None, "no_price")],
+    [
+        ([0.55, 0.65, 0.75, 0.45], 32.0, 0.075, None),
+        ([-1.1, 0.2, 0.3, -0.4], 25.0, -0.04, None),
+        ([2.0, 2.0, 2.0], 25.0, None, "insufficient_eps_history"),
+        ([2.0] * 4, None, None, "no_price"),
+    ],
 )
 def test_value(spark, eps, price, value, reason):
-    have = prices(spark, *([("2025-12-30", price)] if price else []))
-    got = signals.sig_value(tables(spark, eod_prices=have, earnings_history=earnings(spark, *eps)), as_of="2025-12-31").first()
+    have = prices(spark, *([("2019-08-14", price)] if price else []))
+    got = signals.sig_value(tables(spark, eod_prices=have, earnings_history=earnings(spark, *eps)), as_of="2019-08-15").first()
     assert (got.value, got.reason) == (value, reason)
 
 
@@ -99,16 +104,16 @@ def trades(spark, *rows):
 @pytest.mark.parametrize(
     "rows,value,reason",
     [
-        ([("2026-03-30", "P", 9e5, None), ("2026-03-31", "S", 2e5, None)], 7e5, None),
-        ([("2026-03-30", "P", 1e5, None), ("2026-03-31", "S", 8e5, None)], -7e5, None),
-        ([("2026-03-30", "P", 5e5, None), ("2026-03-31", "S", 5e5, None)], 0.0, None),
-        ([("2026-03-30", "P", 1e5, None)], None, "below_min_txns"),
+        ([("2021-09-01", "P", 3e5, None), ("2021-09-02", "S", 1.25e5, None)], 1.75e5, None),
+        ([("2021-09-01", "P", 4e4, None), ("2021-09-02", "S", 9e4, "2021-09-03")], -5e4, None),
+        ([("2021-09-01", "P", 7e4, None), ("2021-09-02", "S", 7e4, None)], 0.0, None),
+        ([("2021-09-01", "P", 7e4, None)], None, "below_min_txns"),
         ([], None, "no_activity"),
-        ([("2026-04-08", "P", 1.0, None), ("2026-04-09", "P", 1.0, "2026-04-20")], None, "no_activity"),
+        ([("2021-09-18", "P", 1.0, None), ("2021-09-01", "P", 1.0, "2021-09-25")], None, "no_activity"),
     ],
 )
 def test_insider(spark, rows, value, reason):
-    got = signals.sig_insider(tables(spark, insider_transactions=trades(spark, *rows)), as_of="2026-04-10").first()
+    got = signals.sig_insider(tables(spark, insider_transactions=trades(spark, *rows)), as_of="2021-09-20").first()
     assert (got.value, got.reason) == (value, reason)
 
 
@@ -121,27 +126,27 @@ def test_insider_windows_are_thirty_days(spark):
 
 
 def test_what_is_learned_later_changes_nothing(spark):
-    rows = [("2026-03-30", "P", 9e5, None), ("2026-03-31", "S", 2e5, None)]
-    late = [("2026-04-01", "P", 5e5, "2026-05-01"), ("2026-04-11", "P", 5e5, None)]
-    one, two = (signals.sig_insider(tables(spark, insider_transactions=trades(spark, *r)), as_of="2026-04-10").first() for r in (rows, rows + late))
+    rows = [("2021-09-01", "P", 3e5, None), ("2021-09-02", "S", 1.25e5, None)]
+    late = [("2021-09-03", "P", 6e5, "2021-10-04"), ("2021-09-21", "P", 6e5, None)]
+    one, two = (signals.sig_insider(tables(spark, insider_transactions=trades(spark, *r)), as_of="2021-09-20").first() for r in (rows, rows + late))
     assert one == two
 
 
 def test_select(spark):
-    df = spark.createDataFrame([("A", 3.0), ("B", 1.0), ("C", 2.0), ("D", None), ("Z", 0.0)], "ticker string, value double")
+    df = spark.createDataFrame([("K", 0.0), ("L", 7.5), ("M", None), ("N", 2.5), ("O", 4.0)], "ticker string, value double")
     got = sorted(signals.select_rank(df).collect(), key=lambda r: r["rank"])
-    assert [r.ticker for r in got] == ["A", "C", "B", "Z"] and got[0].excluded == 1
-    assert [r.ticker for r in sorted(signals.select_rank(df, False).collect(), key=lambda r: r["rank"])] == ["Z", "B", "C", "A"]
+    assert [r.ticker for r in got] == ["L", "O", "N", "K"] and got[0].excluded == 1
+    assert [r.ticker for r in sorted(signals.select_rank(df, False).collect(), key=lambda r: r["rank"])] == ["K", "N", "O", "L"]
 
 
-def holders(spark, n=6, change=1.0, held=20_000.0, latest="2026-03-31"):
-    rows = [("T", f"h{k}", date.fromisoformat(latest if k else "2025-12-31"), date(2026, 4, 5), held, 1.0, 2.0, change, 5.0) for k in range(n)]
+def holders(spark, n=6, change=1.0, held=20_000.0, latest="2021-06-30"):
+    rows = [("T", f"h{k}", date.fromisoformat(latest if k else "2021-03-31"), date(2021, 7, 5), held, 1.0, 2.0, change, 5.0) for k in range(n)]
     return spark.createDataFrame(rows, "ticker string, holder_name string, report_date date, observed_at date, shares_held double, pct_shares double, pct_assets double, change_shares double, change_pct double")
 
 
 def test_flows_label_and_anchor(spark):
     rows = [("T", "a", 10.0, 10.0), ("T", "b", 10.0, 0.0), ("T", "c", 10.0, 4.0), ("T", "d", 10.0, -4.0), ("T", "e", 10.0, None)]
-    df = spark.createDataFrame([(t, h, date(2026, 3, 31), None, s, 1.0, 1.0, c, 9.0) for t, h, s, c in rows], holders(spark).schema)
+    df = spark.createDataFrame([(t, h, date(2021, 6, 30), None, s, 1.0, 1.0, c, 9.0) for t, h, s, c in rows], holders(spark).schema)
     got = {r.holder_name: (r.action, r.change_pct_clean) for r in flows.inst_flow(tables(spark, institutional_holders=df)).collect()}
     assert got == {"a": ("initiated", None), "b": ("unchanged", 9.0), "c": ("added", 9.0), "d": ("trimmed", 9.0)}
     one = flows.inst_flow_ticker(tables(spark, institutional_holders=holders(spark, 20, 100.0))).first()
@@ -152,16 +157,16 @@ def test_flows_label_and_anchor(spark):
 @pytest.mark.parametrize("kw,reason", [({}, None), ({"n": 4}, "below_min_holders"), ({"held": 100.0}, "below_min_prior_shares")])
 def test_institutional_flow(spark, kw, reason):
     t = tables(spark, institutional_holders=holders(spark, **kw))
-    now = flows.inst_flow_ticker(t).withColumn("banked_at", F.lit("2026-04-06").cast("date"))
+    now = flows.inst_flow_ticker(t).withColumn("banked_at", F.lit("2021-07-06").cast("date"))
     none = now.where("false")
-    assert signals.sig_institutional_flow(t, "2026-06-30", none).first().reason == reason
-    assert signals.sig_institutional_flow(t, "2026-06-30", now).first().reason == reason
-    assert signals.sig_institutional_flow(t, "2026-01-01", now).first().reason == "no_vintage_as_of"
+    assert signals.sig_institutional_flow(t, "2021-09-20", none).first().reason == reason
+    assert signals.sig_institutional_flow(t, "2021-09-20", now).first().reason == reason
+    assert signals.sig_institutional_flow(t, "2021-01-31", now).first().reason == "no_vintage_as_of"
 
 
 def test_a_capped_fall_is_a_lower_bound(spark):
     t = tables(spark, institutional_holders=holders(spark, 20, -500.0))
-    got = signals.sig_institutional_flow(t, "2026-06-30", flows.inst_flow_ticker(t).where("false").withColumn("banked_at", F.lit(None).cast("date"))).first()
+    got = signals.sig_institutional_flow(t, "2021-09-20", flows.inst_flow_ticker(t).where("false").withColumn("banked_at", F.lit(None).cast("date"))).first()
     assert got.value < 0 and got.reading_is_lower_bound
 
 
@@ -172,15 +177,15 @@ def forecast(spark, levels, **kw):
 
 
 def test_focus_forecast(spark):
-    steady = [100 * 1.12**k for k in range(8)]
-    assert forecast(spark, steady).growth == pytest.approx(0.12, abs=0.01)
-    assert 0 < forecast(spark, [100.0, 108.0, 121.0, 130.0, 129.0, 150.0, 168.0, 172.0]).growth < 0.30
-    assert forecast(spark, [10 * 1.6**k for k in range(8)], cap=0.30).growth == pytest.approx(0.30)
-    blended = forecast(spark, steady, analyst=0.14)
-    assert blended.growth == pytest.approx(0.13, abs=0.01) and blended.method.endswith("+analyst")
-    assert forecast(spark, steady, analyst=0.5).growth == pytest.approx(0.12, abs=0.01)
-    assert forecast(spark, [1.0, 2.0]) is None
-    assert forecast(spark, [1.0, None, -2.0, 3.0, 4.0]).growth is not None
+    steady = [50 * 1.09**k for k in range(9)]
+    assert forecast(spark, steady).growth == pytest.approx(0.09)
+    assert forecast(spark, [5 * 1.5**k for k in range(6)], cap=0.25).growth == 0.25
+    blended = forecast(spark, steady, analyst=0.05)
+    assert blended.growth == pytest.approx(0.07) and blended.method.endswith("+analyst")
+    far = forecast(spark, steady, analyst=0.4)
+    assert far.growth == pytest.approx(0.09) and "analyst" not in far.method
+    assert forecast(spark, [3.0, 4.0]) is None
+    assert forecast(spark, [2.0, None, -1.0, 5.0, 6.0]).method == brute_method([2.0, -1.0, 5.0, 6.0])
 
 
 def test_growth_estimators(spark):
