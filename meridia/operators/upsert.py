@@ -43,11 +43,16 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(one.join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
-def enrich(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str]) -> DataFrame:
-    """Old rows matched null-safely take the new values of `fill` where their own is null or 0; none is added."""
+def enrich(old: DataFrame, new: DataFrame, keys: list[str], fill: list[str], zero: list[str] | None = None) -> DataFrame:
+    """Old rows matched null-safely take the new values of `fill` where their own is null, or 0 in the columns `zero` (all, if not given).
+
+    None is added.
+    """
+    zero = fill if zero is None else zero
     given = new.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[F.max(c).alias(f"_n_{c}") for c in fill])
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    own = lambda c: F.coalesce(F.when(F.col(c) != 0, F.col(c)), F.col(f"_n_{c}"), F.col(c)).alias(c)
+    mine = lambda c: F.when(F.col(c) != 0, F.col(c)) if c in zero else F.col(c)
+    own = lambda c: F.coalesce(mine(c), F.col(f"_n_{c}"), F.col(c)).alias(c)
     return old.join(given, same, "left").select(*[own(c) if c in fill else F.col(c) for c in old.columns])
 
 

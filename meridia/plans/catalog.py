@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, portfolio, signals, ssg, strategies, writes
+from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, payloads, portfolio, signals, ssg, strategies, writes
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -27,14 +27,18 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "vintage_asof": lambda t: flows.vintage_asof(flows.vintages(t), AS_OF),
     **strategies.STRATEGIES,
     "multi_signal": strategies.multi_signal,
+    "strategy_signals": strategies.strategy_signals,
     "conviction_facts": strategies.conviction_facts,
+    "drawn_run": strategies.drawn_run,
     **newsletter.SECTIONS,
     "newsletter_payload": newsletter.newsletter_payload,
+    "newsletter_findings": newsletter.newsletter_findings,
     **backtest.PLANS,
     **signals.PLANS,
     **portfolio.PLANS,
     **ssg.PLANS,
     **writes.PLANS,
+    **payloads.PLANS,
     **dashboard.PLANS,
     "refresh_views": flows.refresh_views,
     "count_by_type": lambda t: t.fundamentals.groupBy("type").agg(F.count("*").alias("n")),
@@ -62,16 +66,12 @@ SQL: dict[str, str] = {
     **oracle_rest.SQL,
     **oracle_ssg.SQL,
     **writes.SQL,
+    **payloads.SQL,
     **dashboard.SQL,
 }
 
 
-_SIGNALS = " UNION ALL ".join(f"SELECT ticker, '{name}' AS strategy FROM ({sql})" for name, sql in oracle_strategies.SQL.items() if name != "institutional_holder_alpha")
-_MULTI = f"SELECT ticker, string_agg(strategy, ',' ORDER BY strategy) AS signals, count(*) AS signal_count FROM ({_SIGNALS}) GROUP BY ticker HAVING count(*) >= 2"
 SQL |= {
-    "multi_signal": _MULTI,
-    "conviction_facts": f"""WITH m AS ({_MULTI}), t AS (SELECT *, CAST(row_number() OVER (ORDER BY signal_count DESC, ticker) AS INTEGER) AS conviction_rank FROM m ORDER BY signal_count DESC, ticker LIMIT 10)
-      SELECT t.*, price_date, price, name, sector FROM t LEFT JOIN latest_price p ON p.ticker = t.ticker LEFT JOIN fundamentals f ON f.ticker = t.ticker""",
     "sig_institutional_flow": f"""WITH {_VINTAGES}, banked AS (SELECT * RENAME (banked_at AS known_at) FROM vintages WHERE banked_at <= DATE '2001-06-30' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY banked_at DESC) = 1),
       v AS (SELECT * FROM banked UNION ALL BY NAME SELECT *, observed_at AS known_at FROM inst_flow_ticker WHERE observed_at <= DATE '2001-06-30' AND ticker NOT IN (SELECT ticker FROM banked)),
       r AS (SELECT l.ticker, v.* EXCLUDE (ticker), CASE WHEN c.ticker IS NULL THEN 'not_covered' WHEN known_at IS NULL THEN 'no_vintage_as_of' WHEN v.net_change_pct IS NULL THEN 'net_change_null' WHEN v.top_n_holders < 5 THEN 'below_min_holders'

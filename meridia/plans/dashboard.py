@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from typing import Any
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +13,6 @@ from .oracle import R
 TICKER = "Brand#7"
 
 
-def checked(given: dict[str, Any], allowed: dict[str, list]) -> dict[str, Any]:
-    """The parameters, if each is known, of its kind and, for text, one of those allowed and plain; else ValueError."""
-    for name, value in given.items():
-        if name not in allowed:
-            raise ValueError(f"unknown parameter {name}")
-        if isinstance(value, bool) or not isinstance(value, (int, float, str)):
-            raise ValueError(f"{name} must be a number or text")
-        if isinstance(value, str) and (value not in allowed[name] or not re.fullmatch(r"[A-Za-z0-9_.#-]{1,20}", value)):
-            raise ValueError(f"{name} is not allowed")
-    return given
-
-
 def price_range(t: Tables, ticker: str = TICKER, start: str = "2000-01-01", end: str = "2000-12-31") -> DataFrame:
     return t.eod_prices.where((F.col("ticker") == ticker) & F.col("date").between(day(start), day(end)))
 

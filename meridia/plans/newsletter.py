@@ -6,10 +6,13 @@ headline, facts as JSON), payload() into one JSON document by section.
 
 from __future__ import annotations
 
+from functools import reduce
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.functions.numbers import half_up, pct_change
+from meridia.functions.numbers import half_up, money, pct_change
 from meridia.operators.latest import as_of_join, latest_by
 from meridia.sources.domain import AS_OF, BENCHMARKS, CONFIG, EARNINGS_DAY, EVENTS_AS_OF, HOLIDAYS, Tables, day
 
@@ -38,7 +41,7 @@ def provenance(t: Tables) -> DataFrame:
     ratings = t.analyst_ratings.agg(F.count("*").alias("analyst_ratings_rows"))
     rows = price.crossJoin(held).crossJoin(ratings)  # one row each
     lag = F.datediff(day(AS_OF), F.col("institutional_as_of"))
-    return rows.select(F.lit(1).alias("rank"), "*", lag.alias("institutional_lag_days"), F.format_string("Prices as of %s; filings up to %s, %d days before publication.", F.col("price_as_of").cast("string"), F.col("institutional_as_of").cast("string"), lag).alias("headline"))
+    return rows.select(F.lit(1).alias("rank"), "*", lag.alias("institutional_lag_days"))
 
 
 def market_breadth(t: Tables) -> DataFrame:
@@ -57,7 +60,7 @@ _MOVE = ["ticker", "as_of", "close", "ret_1d", "ret_5d", "ret_1m", "ret_3m", "re
 def _movers(t: Tables, up: bool) -> DataFrame:
     rows = _named(_liquid(t).where(F.col("ret_1d") > 0 if up else F.col("ret_1d") < 0), t, "name", "sector", "market_cap")
     ranked = _ranked(rows, F.desc("ret_1d") if up else F.asc("ret_1d"), limit=TOP)
-    return ranked.select("rank", *_MOVE, F.format_string("%s (%s) " + ("+" if up else "") + "%.2f%% on %.2fx average volume.", F.coalesce("name", "ticker"), "ticker", "ret_1d", F.coalesce("vol_ratio", F.lit(0.0))).alias("headline"))
+    return ranked.select("rank", *_MOVE)
 
 
 def movers_up(t: Tables) -> DataFrame:
@@ -152,9 +155,6 @@ def analyst_consensus(t: Tables) -> DataFrame:
     )
 
 
-
-
-
 def market_holidays(t: Tables) -> DataFrame:
     """Today's closure and the nearest one after it, from a JSON map whose key spellings vary."""
     entries = t.spark.createDataFrame([(HOLIDAYS,)], "holidays string").select(F.explode(F.from_json("holidays", "map<string,map<string,string>>")).alias("key", "v"))
@@ -166,15 +166,14 @@ def market_holidays(t: Tables) -> DataFrame:
     return rows.select(F.row_number().over(Window.orderBy("date", "name")).alias("rank"), "name", "type", "date", (F.col("date") == day(AS_OF)).alias("is_today"), away.alias("days_away"))
 
 
-
-
-
 def earnings_reports(t: Tables) -> DataFrame:
     rows = _named(t.earnings_history.where(F.col("report_date") == day(EARNINGS_DAY)), t, "name", "sector", "market_cap").withColumn("size", F.coalesce("market_cap", F.lit(0.0)))
     ranked = _ranked(rows, F.desc("size"), limit=2 * TOP)
     status = F.when(F.col("eps_actual").isNotNull(), "reported").otherwise("scheduled")
-    headline = F.format_string("%s (%s) reported EPS of %.2f vs %.2f estimate.", F.coalesce("name", "ticker"), "ticker", half_up(F.col("eps_actual"), 2), half_up(F.col("eps_estimate"), 2))
-    return ranked.select("rank", "ticker", "name", "sector", "market_cap", "report_date", "eps_actual", "eps_estimate", half_up(F.col("eps_actual") - F.col("eps_estimate")).alias("eps_difference"), "surprise_pct", status.alias("status"), headline.alias("headline"))
+    difference = half_up(F.col("eps_actual") - F.col("eps_estimate")).alias("eps_difference")
+    return ranked.select(
+        "rank", "ticker", "name", "sector", "market_cap", "report_date", "eps_actual", "eps_estimate", difference, "surprise_pct", status.alias("status")
+    )
 
 
 def index_overview(t: Tables) -> DataFrame:
@@ -196,16 +195,10 @@ def _verdict_ranked(picks: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("vpri", *order, "ticker"))).where(F.col("bucket_rank") <= 2 * TOP).drop("vpri", "bucket_rank")
 
 
-def strategy_signals(t: Tables) -> DataFrame:
-    """What a run of the strategies leaves behind: signals by ticker, the first five with a conviction rank."""
-    rows = t.fundamentals.select("ticker", F.substring("ticker", 7, 3).cast("int").alias("n")).where("n % 2 = 1 or n % 5 = 0")
-    return rows.select("ticker", (2 + F.col("n") % 3).alias("signal_count"), (F.col("n") <= 5).alias("is_top_conviction"), F.when(F.col("n") <= 5, F.col("n")).alias("conviction_rank"))
-
-
 def strategy_picks(t: Tables) -> DataFrame:
-    """Flagged names by analyst consensus; without coverage they are held."""
+    """Names that the last run of the strategies flagged, by analyst consensus; without coverage they are held."""
     rating = latest_by(t.analyst_ratings.where("rating is not null"), ["ticker"], ["date"], ["rating", "target_price", "strong_buy", "buy", "hold", "sell", "strong_sell"]).drop("date")
-    rows = strategy_signals(t).join(rating, "ticker", "left").join(flows.price_perf(t).select("ticker", "close", "ret_1d", "ret_3m", "ret_12m"), "ticker", "left")
+    rows = strategies.strategy_signals(t).join(rating, "ticker", "left").join(flows.price_perf(t).select("ticker", "close", "ret_1d", "ret_3m", "ret_12m"), "ticker", "left")
     verdict = F.when(F.col("rating").isNull(), "hold").when(F.col("rating") >= 3.5, "buy").when(F.col("rating") >= 2.5, "hold").otherwise("sell")
     n = sum((F.coalesce(c, F.lit(0)) for c in ("strong_buy", "buy", "hold", "sell", "strong_sell")), F.lit(0))
     picks = _named(rows, t, "name", "sector").withColumns({"verdict": verdict, "rated": F.col("rating").isNotNull(), "n_ratings": n, "target_vs_close_pct": pct_change(F.col("target_price"), F.col("close"))})
@@ -248,18 +241,87 @@ SECTIONS = {
 }
 
 
-def findings(t: Tables, sections: dict | None = None) -> DataFrame:
-    """issue_date, section, rank, ticker, headline, facts (JSON) of all sections. A section without rows leaves none."""
+#: What a section says when nothing was run for it.
+NO_RUN = {"strategy_picks": "No run of the strategies to go by.", "ssg_picks": "No stock study to go by."}
+
+#: Headlines by section: the first whose condition holds. In braces a column, then how it is shown: as text, with two
+#: digits, or as money; who is the name and the ticker. Conditions are plain SQL, so the same text serves another engine.
+HEADLINES: dict[str, list[tuple[str, str]]] = {
+    "provenance": [("true", "Prices to {price_as_of:s}, filings to {institutional_as_of:s}, which is {institutional_lag_days:s} days back.")],
+    "market_breadth": [("true", "{advancers:s} of {total:s} liquid names rose and {decliners:s} fell; half of them moved by more than {median_ret_1d:2}%.")],
+    "movers_up": [("true", "{who} gained {ret_1d:2}% in a day; volume was {vol_ratio:2} times its mean.")],
+    "movers_down": [("true", "{who} lost ground, {ret_1d:2}% in a day; volume was {vol_ratio:2} times its mean.")],
+    "inst_accumulation": [("true", "{who}: large holders reported {net_change_pct:2}% more shares at {latest_filing:s}; {n_added:s} bought more, {n_initiated:s} are new.")],
+    "inst_distribution": [("true", "{who}: holdings of large holders changed by {net_change_pct:2}% at {latest_filing:s}; {n_trimmed:s} sold, {n_added:s} bought more.")],
+    "inst_ownership": [("true", "{who}: the first of {top_n_holders:s} holders has {largest_holder_pct:2}% of the shares; for one they are {max_holder_conviction_pct:2}% of its book.")],
+    "fund_flow_notable": [("true", "{who}: shares held by funds changed by {net_change_pct:2}%, by {funds_in_window:s} filings since {window_earliest_filing:s}.")],
+    "insider_activity": [
+        ("net_value < 0", "{who}: {n_insiders:s} insiders sold more than they bought in {n_txns:s} trades, net {net_value:money}."),
+        ("true", "{who}: {n_insiders:s} insiders bought as much as they sold or more in {n_txns:s} trades, net {net_value:money}."),
+    ],
+    "analyst_consensus": [("true", "{who}: the mean rating went from {prev_rating:2} to {curr_rating:2} of 5 after {prev_date:s}.")],
+    "market_holidays": [("is_today", "Markets rest today: {name:s}."), ("true", "Markets rest next on {date:s}, in {days_away:s} days: {name:s}.")],
+    "earnings_reports": [
+        ("eps_actual IS NULL", "{who} reports on {report_date:s}; {eps_estimate:2} a share is expected."),
+        ("eps_estimate IS NULL", "{who} earned {eps_actual:2} a share; no estimate was known."),
+        ("true", "{who} earned {eps_actual:2} a share where {eps_estimate:2} was expected."),
+    ],
+    "index_overview": [("true", "{display_name:s}: {ret_1d:2}% in a day, {ret_1m:2}% in a month, {ret_ytd:2}% this year.")],
+    "strategy_picks": [
+        ("NOT rated", "{who}: hold, as no analyst covers it; {signal_count:s} strategies name it."),
+        ("true", "{who}: {verdict:s} by a rating of {rating:2} from {n_ratings:s} analysts; {signal_count:s} strategies name it."),
+    ],
+    "ssg_picks": [
+        ("verdict = 'buy'", "{who}: worth buying below {buy_below:2}, now {current_price:2}; {updown_ratio:2} to gain for 1 to lose."),
+        ("verdict = 'sell'", "{who}: at {current_price:2} above the {sell_above:2} where selling begins."),
+        ("true", "{who}: good enough to hold; a return of {total_return:2} a year is foreseen."),
+    ],
+    "news_recap": [("true", "{title:s}")],
+    "movers_advancing": [("true", "{who}: {ret_1d:2}% up on {volume:s} shares.")],
+    "movers_declining": [("true", "{who}: {ret_1d:2}% on {volume:s} shares.")],
+    "sector_heatmap": [("true", "{sector:s}: {weighted_ret_1d:2}% by market value; {n_advancing:s} of {n:s} names up, {n_declining:s} down.")],
+}
+
+
+def headline_parts(template: str) -> list[tuple[str, str, str]]:
+    """(text, column, how) in order; text comes before the column, which may be empty."""
+    return [(text, field or "", how or "s") for text, field, how, _ in Formatter().parse(template)]
+
+
+def headline(section: str) -> Column:
+    def shown(field: str, how: str) -> Column:
+        if field == "who":
+            return F.concat(F.coalesce("name", "ticker"), F.lit(" ("), "ticker", F.lit(")"))
+        text = {"s": F.col(field).cast("string"), "2": F.format_string("%.2f", half_up(F.col(field).cast("double"), 2)), "money": money(F.col(field))}[how]
+        return F.when(F.col(field).isNull(), "n/a").otherwise(text)
+
     out = None
+    for condition, template in HEADLINES[section]:
+        parts = [p for text, field, how in headline_parts(template) for p in (F.lit(text), *([shown(field, how)] if field else []))]
+        out = F.when(F.expr(condition), F.concat(*parts)) if out is None else out.when(F.expr(condition), F.concat(*parts))
+    return out
+
+
+def findings(t: Tables, sections: dict | None = None) -> DataFrame:
+    """issue_date, section, rank, ticker, headline, facts (JSON) of all sections.
+
+    A section without rows leaves none, but for those that classify a run: they say that there was none.
+    """
+    rows = []
     for name, f in (sections or SECTIONS).items():
         df = f(t)
         have = set(df.columns)
-        one = df.select(
-            day(AS_OF).alias("issue_date"), F.lit(name).alias("section"), (F.col("rank") if "rank" in have else F.lit(1)).cast("int").alias("rank"), (F.col("ticker") if "ticker" in have else F.lit(None).cast("string")).alias("ticker"),
-            (F.col("headline") if "headline" in have else F.concat_ws(" ", F.lit(name), *([F.col("ticker")] if "ticker" in have else []))).alias("headline"), F.to_json(F.struct(*[c for c in df.columns if c not in ("rank", "headline")])).alias("facts"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+        rank = (F.col("rank") if "rank" in have else F.lit(1)).cast("int").alias("rank")
+        ticker = (F.col("ticker") if "ticker" in have else F.lit(None).cast("string")).alias("ticker")
+        facts = F.to_json(F.struct(*[c for c in df.columns if c != "rank"])).alias("facts")
+        one = df.select(day(AS_OF).alias("issue_date"), F.lit(name).alias("section"), rank, ticker, headline(name).alias("headline"), facts)
+        if name in NO_RUN:
+            note = t.spark.range(1).join(df.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_anti")
+            status = F.to_json(F.struct(F.lit("no_run").alias("status"))).alias("facts")
+            note = note.select(day(AS_OF).alias("issue_date"), F.lit(name).alias("section"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("ticker"), F.lit(NO_RUN[name]).alias("headline"), status)
+            one = one.unionByName(note)
+        rows.append(one)
+    return reduce(DataFrame.unionByName, rows)
 
 
 def newsletter_payload(t: Tables) -> DataFrame:
@@ -267,3 +329,10 @@ def newsletter_payload(t: Tables) -> DataFrame:
     item = F.struct("rank", "headline", "facts")
     by = findings(t).groupBy("issue_date", "section").agg(F.sort_array(F.collect_list(item)).alias("items"))
     return by.groupBy("issue_date").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "items"))))).alias("payload"))
+
+
+def newsletter_findings(t: Tables) -> DataFrame:
+    """issue_date, section, rank, ticker, headline, as the document has them."""
+    opened = F.from_json("payload", "map<string,array<struct<rank:int,headline:string,facts:string>>>")
+    rows = newsletter_payload(t).select("issue_date", F.explode(opened).alias("section", "items")).select("issue_date", "section", F.explode("items").alias("i"))
+    return rows.select("issue_date", "section", "i.rank", F.get_json_object("i.facts", "$.ticker").alias("ticker"), "i.headline")

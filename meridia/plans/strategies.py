@@ -5,16 +5,22 @@ All take their parameters as arguments and an as-of date from the domain, and br
 
 from __future__ import annotations
 
-from functools import partial
+import json
+import random
+import re
+from functools import partial, reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, ratio
 from meridia.operators.latest import as_of_join, latest_by
-from meridia.sources.domain import AS_OF, BENCHMARK, EVENTS_AS_OF, Tables, day
+from meridia.operators.upsert import replace_slice
+from meridia.sources.domain import AS_OF, BENCHMARK, EVENTS_AS_OF, Tables, day, kept
 
 
+@kept
 def latest_price(t: Tables) -> DataFrame:
     return latest_by(t.eod_prices, ["ticker"], ["date"], ["close"]).select("ticker", F.col("date").alias("price_date"), F.col("close").alias("price"))
 
@@ -172,32 +178,98 @@ def smart_institution_holdings(t: Tables, lookback: int = 365, min_positions: in
     return _top(rows, F.desc("smart_holders"), limit=limit)
 
 
-STRATEGIES = {
-    f.__name__: f
-    for f in (
-        value_quality_composite, congressional_trading, congressional_selling_alert, sentiment_divergence, earnings_beaters, earnings_miss_opportunity,
-        fund_holder_conviction, price_momentum_leaders, dividend_income, institutional_holder_alpha, smart_institution_holdings,
-    )
-}
+_ALL = (
+    value_quality_composite, congressional_trading, congressional_selling_alert, sentiment_divergence, earnings_beaters, earnings_miss_opportunity,
+    fund_holder_conviction, price_momentum_leaders, dividend_income, institutional_holder_alpha, smart_institution_holdings,
+)
+STRATEGIES = {f.__name__: f for f in _ALL}
 
 
 #: The derived events cover one month, in which no ticker has more sellers than buyers; in its last days one has.
 STRATEGIES["congressional_selling_alert"] = partial(congressional_selling_alert, days=10)
 
 
-def multi_signal(t: Tables, least: int = 2) -> DataFrame:
+# What a run of the strategies draws its parameters from.
+DRAWN: dict[str, dict[str, list[int]]] = {
+    "value_quality_composite": {"min_mcap": [100000000, 500000000, 1000000000], "pctile": [25, 30, 40, 50], "limit": [25, 50]},
+    "congressional_trading": {"days": [30, 60, 90, 180], "limit": [25, 50]},
+    "congressional_selling_alert": {"days": [30, 60, 90, 180], "limit": [25, 50]},
+    "sentiment_divergence": {"recent": [7, 14], "total": [30, 60], "limit": [25, 50]},
+    "earnings_beaters": {"months": [12, 24], "quarters": [3, 4], "limit": [25, 50]},
+    "earnings_miss_opportunity": {"limit": [25, 50]},
+    "fund_holder_conviction": {"months": [6, 12], "min_funds": [5, 10, 25], "limit": [25, 50]},
+    "price_momentum_leaders": {"limit": [25, 50]},
+    "dividend_income": {"limit": [25, 50]},
+    "institutional_holder_alpha": {"lookback": [180, 365], "min_positions": [5, 10, 20], "limit": [25, 50]},
+    "smart_institution_holdings": {"lookback": [180, 365], "min_positions": [5, 10], "min_smart_holders": [2, 3, 5], "limit": [25, 50]},
+}
+VARIATIONS = 3
+
+
+def checked(given: dict[str, Any], allowed: dict[str, list]) -> dict[str, Any]:
+    """The parameters, if each is known, of its kind and, for text, one of those allowed and plain; else ValueError."""
+    for name, value in given.items():
+        if name not in allowed:
+            raise ValueError(f"unknown parameter {name}")
+        if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+            raise ValueError(f"{name} must be a number or text")
+        if isinstance(value, str) and (value not in allowed[name] or not re.fullmatch(r"[A-Za-z0-9_.#-]{1,20}", value)):
+            raise ValueError(f"{name} is not allowed")
+    return given
+
+
+def draws(seed: int) -> list[tuple[str, int, dict[str, Any]]]:
+    """(strategy, variation, parameters) of a run."""
+    r = random.Random(seed)
+    return [(name, k, checked({p: r.choice(v) for p, v in allowed.items()}, allowed)) for name, allowed in DRAWN.items() for k in range(VARIATIONS)]
+
+
+def drawn_run(t: Tables, seed: int = 1) -> DataFrame:
+    """strategy, variation, parameters, key of each row that a run with drawn parameters finds; key is the ticker, or the holder."""
+    made = {f.__name__: f for f in _ALL}
+    rows = []
+    for name, k, parameters in draws(seed):
+        found = made[name](t, **parameters)
+        key = "ticker" if "ticker" in found.columns else "holder_name"
+        rows.append(found.select(F.lit(name).alias("strategy"), F.lit(k).alias("variation"), F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), F.col(key).alias("key")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@kept
+def strategy_runs(t: Tables) -> DataFrame:
+    """strategy, ticker of each strategy with its registered parameters."""
+    runs = [f(t).select("ticker", F.lit(name).alias("strategy")) for name, f in STRATEGIES.items() if name != "institutional_holder_alpha"]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def agreeing(runs: DataFrame, least: int = 2) -> DataFrame:
     """Tickers that several strategies name, with how many and which."""
-    runs = None
-    for name, f in STRATEGIES.items():
-        if name != "institutional_holder_alpha":
-            one = f(t).select("ticker", F.lit(name).alias("strategy"))
-            runs = one if runs is None else runs.unionByName(one)
     by = runs.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("signals"), F.count_distinct("strategy").alias("signal_count"))
     return by.where(F.col("signal_count") >= least)
 
 
+def multi_signal(t: Tables) -> DataFrame:
+    return agreeing(strategy_runs(t))
+
+
+def _convictions(signals: DataFrame, most: int) -> DataFrame:
+    top = signals.orderBy(F.desc("signal_count"), "ticker").limit(most)
+    return top.withColumn("conviction_rank", F.row_number().over(Window.orderBy(F.desc("signal_count"), "ticker")))
+
+
+def strategy_signals(t: Tables, most: int = 10) -> DataFrame:
+    """What a run leaves behind: signals by ticker, those that most strategies name with a conviction rank."""
+    top = _convictions(multi_signal(t), most).select("ticker", "conviction_rank")
+    rows = multi_signal(t).join(top, "ticker", "left")
+    return rows.select("ticker", "signal_count", F.col("conviction_rank").isNotNull().alias("is_top_conviction"), "conviction_rank")
+
+
+def persist_run(t: Tables, path: str) -> int:
+    """Writes the run's signals over those of its day, reads them back, and gives their number."""
+    return replace_slice(strategy_signals(t).withColumn("issue_date", F.lit(AS_OF)), path, "issue_date")
+
+
 def conviction_facts(t: Tables, most: int = 10) -> DataFrame:
     """The tickers most strategies name, with their latest price and rank."""
-    top = multi_signal(t).orderBy(F.desc("signal_count"), "ticker").limit(most)
-    top = top.withColumn("conviction_rank", F.row_number().over(Window.orderBy(F.desc("signal_count"), "ticker")))
+    top = _convictions(multi_signal(t), most)
     return top.join(latest_price(t), "ticker", "left").join(t.fundamentals.select("ticker", "name", "sector"), "ticker", "left")

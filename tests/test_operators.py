@@ -163,6 +163,23 @@ def test_fundamentals_and_earnings_payloads(spark):
     assert (x.ticker, x.report_date, x.eps_actual, x.eps_estimate, x.surprise_pct) == ("B", date(2024, 4, 1), 1.0, 2.0, -50.0)
 
 
+def test_run_all_goes_on_after_a_failure(spark):
+    from meridia.sources.ingest import run_all
+
+    def fails():
+        raise RuntimeError("no answer")
+
+    made, log = run_all({"one": lambda: spark.range(1), "two": fails, "three": lambda: spark.range(3)})
+    assert sorted(made) == ["one", "three"] and log[1] == ("two", "failed", "RuntimeError: no answer")
+    assert [x[1] for x in log] == ["ok", "failed", "ok"]
+
+
+def test_the_last_payload_of_a_key_stands(spark):
+    rows = [("A", '{"date":"2001-02-03","close":"9"}'), ("A", '{"date":"2001-02-03","close":"2"}')]
+    got = ingest(spark.createDataFrame(rows, "ticker string, payload string").coalesce(1), SPECS["eod_prices"]).first()
+    assert got.close == 2.0
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("2001-02-03T10:00", "1e3", "-7.9"), ("N/A", "inf", ""), ("2001-02-30", "abc", None)], "a string, b string, c string")
     got = [tuple(x) for x in df.select(to_date(F.col("a")), to_number(F.col("b")), to_integer(F.col("c"))).collect()]
@@ -223,7 +240,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_parameter_gate():
-    from meridia.plans.dashboard import checked
+    from meridia.plans.strategies import checked
 
     allowed = {"days": [], "benchmark": ["SPY.US"]}
     assert checked({"days": 30, "benchmark": "SPY.US"}, allowed) == {"days": 30, "benchmark": "SPY.US"}

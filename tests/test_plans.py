@@ -203,6 +203,43 @@ def test_growth_estimators(spark):
     assert set(none) == {None}
 
 
+def test_a_section_without_a_run_says_so(spark):
+    from meridia.plans import newsletter
+
+    t = tables(spark)
+    some = spark.createDataFrame([(1, "T", "Tea", "hold", False, 2.5, 3, 4)], "rank int, ticker string, name string, verdict string, rated boolean, rating double, n_ratings int, signal_count long")
+    got = newsletter.findings(t, {"strategy_picks": lambda t: some.where("false")}).collect()
+    assert [(r.section, r.rank, r.ticker, r.facts) for r in got] == [("strategy_picks", 1, None, '{"status":"no_run"}')]
+    got = newsletter.findings(t, {"strategy_picks": lambda t: some}).collect()
+    assert [(r.ticker, r.headline) for r in got] == [("T", "Tea (T): hold, as no analyst covers it; 4 strategies name it.")]
+
+
+def test_draws_are_checked_and_repeatable():
+    drawn = strategies.draws(4)
+    assert len(drawn) == 33 and drawn == strategies.draws(4) != strategies.draws(5)
+    assert {name for name, _, _ in drawn} == set(strategies.STRATEGIES)
+    for name, _, given in drawn:
+        assert all(v in strategies.DRAWN[name][p] for p, v in given.items())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_a_run_is_persisted_and_read_back(spark, tmp_path):
+    t = Tables(spark, FOLDER)
+    n = strategies.persist_run(t, f"{tmp_path}/run")
+    assert n == strategies.strategy_signals(t).count() == spark.read.parquet(f"{tmp_path}/run").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_kept_tables_are_derived_once(spark):
+    t = Tables(spark, FOLDER)
+    plan = lambda name: PLANS[name](t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan("backtest_summary") + plan("inst_accumulation") + plan("conviction_facts")
+    before = t.eod_prices
+    assert t.eod_prices is before
+    t.forget()
+    assert t.eod_prices.inputFiles() != before.inputFiles() and t.eod_prices.count() == before.count()
+
+
 def test_entry(spark):
     assert "ret_1d" in __spark_entry__.entry(spark).columns
 
