@@ -43,3 +43,20 @@ def to_number(x: Column) -> Column:
 def to_integer(x: Column) -> Column:
     """Truncated towards zero."""
     return to_number(x).try_cast("bigint")
+
+
+def shown_number(x: Column) -> Column:
+    """1,234.50; a dash for null."""
+    return F.when(x.isNull(), "–").otherwise(F.format_string("%,.2f", half_up(x, 2)))
+
+
+def shown_percent(x: Column) -> Column:
+    return F.when(x.isNull(), "–").otherwise(F.concat(F.format_string("%,.2f", half_up(x * 100, 2)), F.lit("%")))
+
+
+def shown_big(x: Column) -> Column:
+    """2.34B and the like."""
+    out = F.format_string("%,.2f", half_up(x, 2))
+    for size, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
+        out = F.when(F.abs(x) >= size, F.concat(F.format_string("%,.2f", half_up(x / size, 2)), F.lit(mark))).otherwise(out)
+    return F.when(x.isNull(), "–").otherwise(out)

@@ -81,5 +81,10 @@ SQL |= {
 }
 
 
+_RATED = ("sig_momentum", "sig_value", "sig_insider", "sig_institutional_flow", "sig_ssg")
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS signal, coalesce(reason, 'rated') AS reason FROM ({SQL[n]})" for n in _RATED)
+SQL["signal_coverage"] = f"SELECT signal, reason, count(*) AS n FROM ({_COUNTS}) GROUP BY 1, 2"
+
+
 def oracles() -> dict[str, str]:
     return {name: oracle(sql) for name, sql in SQL.items()}

@@ -42,6 +42,8 @@ SQL = {
         FROM insider_transactions WHERE transaction_code IN ('P', 'S') AND value IS NOT NULL AND transaction_date > {EVENTS_AS_OF} - 30 AND transaction_date <= {EVENTS_AS_OF} AND coalesce(report_date, transaction_date + 4) <= {EVENTS_AS_OF} GROUP BY ticker),
       r AS (SELECT l.ticker, coalesce(n, 0) AS n_txns, n_insiders, {R('b - s', 2)} AS net, CASE WHEN coalesce(n, 0) = 0 THEN 'no_activity' WHEN n < 2 THEN 'below_min_txns' END AS reason FROM listed l LEFT JOIN a ON a.ticker = l.ticker)
       SELECT ticker, CASE WHEN reason IS NULL THEN net END AS value, reason, n_txns, n_insiders, CASE WHEN net > 0 THEN 'net_buying' WHEN net < 0 THEN 'net_selling' WHEN net = 0 THEN 'net_flat' END AS direction, net < 0 AS sales_are_noisier FROM r""",
+    "booked_trades": """SELECT portfolio_id, side, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS quantity FROM trades WHERE day(trade_date) > 2 AND portfolio_id <> 3 GROUP BY 1, 2""",
+    "renamed_portfolios": "SELECT portfolio_id, CASE WHEN portfolio_id = 1 THEN 'first' ELSE name END AS name, CASE WHEN portfolio_id = 2 THEN 5.0 ELSE initial_cash END AS initial_cash FROM portfolios",
     "portfolio_positions": "SELECT * FROM positions_open",
     "portfolio_summary": """SELECT p.*, count(t.ticker) AS trade_count, count(DISTINCT t.ticker) AS ticker_count, coalesce(CAST(sum(CASE WHEN side = 'BUY' THEN quantity * price + fees ELSE 0 END) AS DOUBLE), 0) AS gross_invested,
         coalesce(CAST(sum(CASE WHEN side = 'SELL' THEN quantity * price - fees ELSE 0 END) AS DOUBLE), 0) AS gross_proceeds FROM portfolios p LEFT JOIN trades t ON t.portfolio_id = p.portfolio_id GROUP BY p.portfolio_id, name, initial_cash""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, ratio
 from meridia.operators.latest import as_of_join
+from meridia.operators.upsert import coalescing_upsert
 from meridia.sources.domain import Tables
 
 from .strategies import latest_price
@@ -16,6 +17,51 @@ def _signed(buy: Column, sell: Column) -> Column:
     return F.when(F.col("side") == "BUY", buy).otherwise(sell)
 
 
+def valid_trades(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trades that can be booked, with their side in capitals, and the others with a reason."""
+    side = F.upper("side")
+    reason = (
+        F.when(~F.coalesce(side.isin("BUY", "SELL"), F.lit(False)), "side must be BUY or SELL")
+        .when(F.col("ticker").isNull() | (F.col("ticker") == ""), "no ticker")
+        .when(F.col("trade_date").isNull(), "no date")
+        .when(F.col("quantity").isNull() | F.col("price").isNull(), "no quantity or price")
+    )
+    judged = trades.withColumns({"side": side, "reason": reason})
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
+def change_trades(trades: DataFrame, changes: DataFrame, key: str = "trade_id") -> DataFrame:
+    """Trades with the fields that a change gives; a null leaves a field as it was, and a side that is none raises when it is read."""
+    side = F.when(F.upper("side").isin("BUY", "SELL"), F.upper("side")).when(F.col("side").isNotNull(), F.raise_error(F.lit("side must be BUY or SELL")))
+    given = changes.withColumn("side", side.cast("string")) if "side" in changes.columns else changes
+    return coalescing_upsert(trades, given.join(trades.select(key), key, "left_semi"), [key])
+
+
+def drop_portfolios(portfolios: DataFrame, trades: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the portfolios and their trades."""
+    keep = ~F.coalesce(F.col("portfolio_id").isin(ids), F.lit(False))
+    return portfolios.where(keep), trades.where(keep)
+
+
+def rename_portfolios(portfolios: DataFrame, changes: DataFrame) -> DataFrame:
+    """Portfolios with new names, trimmed, or other fields; a null leaves a field as it was, and no portfolio comes in."""
+    given = changes.withColumn("name", F.trim("name")) if "name" in changes.columns else changes
+    return coalescing_upsert(portfolios, given.join(portfolios.select("portfolio_id"), "portfolio_id", "left_semi"), ["portfolio_id"])
+
+
+def booked_trades(t: Tables) -> DataFrame:
+    """What of a batch of trades with errors can be booked, after portfolio 3 was dropped."""
+    sent = t.trades.withColumns({"side": F.when(F.day("trade_date") == 1, "HOLD").otherwise(F.lower("side")), "price": F.when(F.day("trade_date") != 2, F.col("price"))})
+    good, _ = valid_trades(sent)
+    _, kept_trades = drop_portfolios(t.portfolios, good, [3])
+    return kept_trades.groupBy("portfolio_id", "side").agg(F.count("*").alias("n"), F.sum("quantity").cast("double").alias("quantity"))
+
+
+def renamed_portfolios(t: Tables) -> DataFrame:
+    changes = t.spark.createDataFrame([(1, " first ", None), (2, None, 5.0), (99, "none", 1.0)], "portfolio_id long, name string, initial_cash double")
+    return rename_portfolios(t.portfolios, changes)
+
+
 def portfolio_positions(t: Tables) -> DataFrame:
     """Open positions; sales lower the cost basis by what they brought."""
     q, amount = F.col("quantity"), F.col("quantity") * F.col("price")
@@ -104,5 +150,5 @@ def news_props(t: Tables) -> DataFrame:
 
 
 PLANS = {
-    f.__name__: f for f in (portfolio_positions, portfolio_summary, positions, portfolio_value_history, trades_with_symbol, sma_overlays, bollinger, symbol_search, news_for_symbol, news_props)
+    f.__name__: f for f in (booked_trades, renamed_portfolios, portfolio_positions, portfolio_summary, positions, portfolio_value_history, trades_with_symbol, sma_overlays, bollinger, symbol_search, news_for_symbol, news_props)
 }

@@ -5,6 +5,9 @@ A null value means not rankable, never zero; a value of 0 is a reading. Flags tr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +116,44 @@ def select_rank(signal: DataFrame, descending: bool = True) -> DataFrame:
     return ranked.crossJoin(everyone).withColumn("excluded", F.col("universe") - F.col("rankable"))  # one row of counts
 
 
+Signal = Callable[..., DataFrame]
+
+
+class Registry:
+    """Signals by name; a new one is added with register(), which also serves as a decorator."""
+
+    def __init__(self) -> None:
+        self._known: dict[str, Signal] = {}
+
+    def register(self, signal: Signal, name: str | None = None) -> Signal:
+        name = name or signal.__name__
+        if name in self._known:
+            raise ValueError(f"there is a signal {name} already")
+        self._known[name] = signal
+        return signal
+
+    def __getitem__(self, name: str) -> Signal:
+        if name not in self._known:
+            raise KeyError(f"no signal {name}; there are {', '.join(self._known) or 'none'}")
+        return self._known[name]
+
+    def names(self) -> list[str]:
+        return list(self._known)
+
+
+REGISTRY = Registry()
+for _signal in (sig_momentum, sig_value, sig_insider, sig_institutional_flow, sig_ssg):
+    REGISTRY.register(_signal)
+
+
+def coverage(t: Tables) -> DataFrame:
+    """For each registered signal how many tickers it rates, and how many it leaves out for each reason."""
+    rows = [REGISTRY[name](t).select(F.lit(name).alias("signal"), "reason", "value") for name in REGISTRY.names()]
+    return reduce(DataFrame.unionByName, rows).groupBy("signal", F.coalesce("reason", F.lit("rated")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 PLANS = {
+    "signal_coverage": coverage,
     "universe_select": universe_select,
     "sig_momentum": sig_momentum,
     "sig_value": sig_value,
