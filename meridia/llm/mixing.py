@@ -38,7 +38,7 @@ SHARE = 1.5
 CAP = 2
 PACKETS = 1 << 16
 #: Rows that a bucket gets, about, and buckets of a group.
-BUCKET_ROWS, GROUP = 64, 4096
+BUCKET_ROWS, GROUP = 64, 256
 #: A total order of items.
 ORDER = ("finish", "doc_id", "turn", "row", "end")
 

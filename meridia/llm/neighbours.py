@@ -12,12 +12,13 @@
    are read. On directions drawn evenly from a sphere of many dimensions no ordering separates near from
    far and most blocks are read: queries against all rows, in blocks.
 
-All work on a block is one grouped task of at most about BLOCK rows and the queries that ask it, in
-slices of at most SLICE queries. Past MOST_BLOCKS blocks, neighbouring blocks share one bound, so what is
+All work on a block is done in groups of at most about BLOCK rows and of one of the even parts, of at most about PART queries, that
+the queries are dealt to, in slices of at most SLICE queries; a block's rows are sent once for each part. Past MOST_BLOCKS blocks, neighbouring blocks share one bound, so what is
 broadcast stays below MOST_BLOCKS centres.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
-Ties go to the smaller vec_id. Rows that repeat a vec_id are rows of their own; a query's own row is left out by vec_id.
+Ties go to the smaller vec_id. Rows that repeat a vec_id with another vector are rows of their own; repeats of a row count once. A query's own
+row is left out by vec_id.
 Rows with null vec_id take no part. An empty table gives no rows; other columns are left out.
 """
 
@@ -38,6 +39,7 @@ BITS = 7
 WINDOW = 128
 BLOCK = 2048
 SLICE = 512
+PART = 1 << 16
 MOST_BLOCKS = 4096
 SAMPLE = 20_000
 
@@ -216,14 +218,21 @@ def _summaries(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bound").applyInArrow(run, "bound long, centre array<double>, radius double, n long")
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])).tolist() if len(x) else []
+    return list(zip(at, [*at[1:], len(x)]))
+
+
 def _asked(summary, per: int):
-    """The blocks that a query has to see: (block, slice of queries)."""
+    """The blocks that a query has to see: (block, part, slice of queries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, centres, radii, last = summary.value
         for whole in batches:
-            for s in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(s, SLICE)
+            parts = whole.column("part").to_numpy()
+            for s, e in ((s, e) for a, b in _runs(parts) for s, e in ((k, min(k + SLICE, b)) for k in range(a, b, SLICE))):
+                batch = whole.slice(s, e - s)
                 v, floor_ = _matrix(batch.column("v")), batch.column("floor").to_numpy(zero_copy_only=False).astype(float)
                 reach = v @ centres.T + np.sqrt((v**2).sum(axis=1))[:, None] * radii[None, :]
                 open_ = reach >= np.where(np.isnan(floor_), -np.inf, floor_ - 1e-9 * np.abs(floor_))[:, None]
@@ -232,8 +241,8 @@ def _asked(summary, per: int):
                     q = open_[:, b]
                     for block in range(bounds[b] * per, min((bounds[b] + 1) * per, last + 1)):
                         yield pa.record_batch(
-                            [pa.array([block], pa.int64()), pa.array([ids[q].tobytes()]), pa.array([v[q].tobytes()]), pa.array([floor_[q].tobytes()])],
-                            ["block", "ids", "vectors", "floors"],
+                            [pa.array([block], pa.int64()), pa.array([parts[s]], pa.int32()), pa.array([ids[q].tobytes()]), pa.array([v[q].tobytes()]), pa.array([floor_[q].tobytes()])],
+                            ["block", "part", "ids", "vectors", "floors"],
                         )
 
     return run
@@ -284,14 +293,18 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, curves: int = C
     if complete:
         floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("floor"))
         queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-        queries = queries.join(floors, F.col("vec_id") == F.col("q"), "left").select("vec_id", "v", "floor")
+        queries = queries.join(floors, F.col("vec_id") == F.col("q"), "left")
+        parts = max(1, -(-vectors.where(F.col("vec_id") % every == 0).count() // PART))
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part")
+        queries = queries.select("vec_id", "v", "floor", part).sortWithinPartitions("part")
         per = -(-(n // BLOCK + 1) // MOST_BLOCKS)
         block = F.floor(F.col("rank") / BLOCK)
         blocks = orders[0].select("vec_id", "v", block.alias("block"), F.floor(block / per).alias("bound"))
         s = _summaries(blocks.select("bound", "v")).toArrow() if per == 1 else _merged(blocks, per).toArrow()
         summary = (s.column("bound").to_numpy(), _matrix(s.column("centre")), s.column("radius").to_numpy(), (n - 1) // BLOCK)
-        asked = queries.mapInArrow(_asked(spark.sparkContext.broadcast(summary), per), "block long, ids binary, vectors binary, floors binary")
-        more = asked.groupBy("block").cogroup(blocks.select("vec_id", "v", "block").groupBy("block")).applyInArrow(_checked(k), "query_id long, vec_id long, score double")
+        asked = queries.mapInArrow(_asked(spark.sparkContext.broadcast(summary), per), "block long, part int, ids binary, vectors binary, floors binary")
+        sent = blocks.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        more = asked.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(_checked(k), "query_id long, vec_id long, score double")
         found = written(found.select("query_id", "vec_id", "score").unionByName(more), "checked")
     return _top(found.select("query_id", "vec_id", "score").distinct(), k).select("query_id", "rank", "vec_id", "score")
 

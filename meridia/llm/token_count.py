@@ -3,8 +3,8 @@
 1. Each task counts the white-space pre-tokens of its documents; Spark sums the counts into
    one row for each distinct pre-token of the corpus.
 2. The tokenizer counts the pieces of each distinct pre-token once.
-3. The most frequent pre-tokens are broadcast: at most HOT entries of at most HOT_BYTES
-   each, whatever the corpus. A document's frequencies of these are summed where it is read.
+3. The most frequent pre-tokens are broadcast: at most HOT entries, whatever the corpus, those of more than HOT_BYTES
+   by their MD5. A document's frequencies of these are summed where it is read.
    All other (document, pre-token, frequency) rows are joined with the pieces by pre-token.
 No token id is kept anywhere.
 
@@ -18,6 +18,7 @@ give a row of their own. Columns other than doc_id and text are left out.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -71,6 +72,11 @@ def _pieces(path: str):
     return run
 
 
+def hot_key(word: bytes) -> bytes:
+    """The word, or for a long one a mark that no pre-token has and its digest."""
+    return word if len(word) <= HOT_BYTES else b" " + hashlib.md5(word).digest()
+
+
 def _frequencies(hot):
     """For each document one row with its size and the pieces of its hot pre-tokens, and one for each other pre-token.
 
@@ -89,7 +95,7 @@ def _frequencies(hot):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 total, rare = 0, {}
                 for word, n in Counter(pre_tokens(text)).items():
-                    p = pieces.get(word)
+                    p = pieces.get(word if len(word) <= HOT_BYTES else hot_key(word))
                     if p is None:
                         rare[word] = n
                     else:
@@ -120,8 +126,9 @@ def token_counts(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
     docs = documents_of(documents)
     spark = docs.sparkSession
     words = vocabulary(docs, path)
-    top = frequent(words.where(F.octet_length("word") <= HOT_BYTES), HOT)
-    hot = spark.sparkContext.broadcast({bytes(r.word): r.pieces for r in top.select("word", "pieces").toLocalIterator()})
+    long = F.concat(F.lit(" ").cast("binary"), F.unhex(F.md5("word")))
+    key = F.when(F.octet_length("word") <= HOT_BYTES, F.col("word")).otherwise(long).alias("key")
+    hot = spark.sparkContext.broadcast({bytes(r.key): r.pieces for r in frequent(words, HOT).select(key, "pieces").toLocalIterator()})
     rows = docs.mapInArrow(_frequencies(hot), "key long, doc_id long, n_bytes long, word binary, freq long")
     return (
         rows.join(words.select("word", "pieces"), "word", "left")

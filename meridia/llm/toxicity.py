@@ -6,7 +6,8 @@ tiers by likelihood ratio. Features of training rows use a lexicon learned witho
 
 Features: densities of both lexicons, hits near second-person words, hits that only show when
 look-alike characters are put back (obfuscation), capitals, exclamation marks, punctuation,
-symbols, digits, repeated words, lengths.
+symbols, digits, repeated words, lengths. Counts of hits are held at 50, beyond which trees of this size tell nothing apart;
+densities are not held.
 
 Trees are fitted on folds 0 and 1, the isotonic curve on fold 3, on a sample of at most about
 MAX_ROWS labelled rows. The score is the calibrated probability, with a hundredth of the uncalibrated
@@ -22,10 +23,11 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of, fold, written
@@ -44,8 +46,10 @@ _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 _EDGE = "\"'()[]{}.,;:!?*&%$#|<>-_…«»¿¡"
 
 MIN_PREFIX, MAX_PREFIX = 4, 8
-#: Prefixes that a lexicon holds at most, by likelihood ratio.
+#: Prefixes that a lexicon holds at most, by likelihood ratio: a parameter of the fit, as the bounds of the ratio are.
 LEXICON = 4000
+#: Word hashes in which near copies are alike.
+SKETCH = 6
 STRONG, WEAK = 22.0, 12.0
 NEAR = 4
 _INSULT, _STRONG, _WEAK, _SECOND, _HIDDEN = 1, 2, 4, 8, 16
@@ -68,6 +72,15 @@ def ratio(toxic: float, clean: float, all_toxic: float, all_clean: float) -> flo
     return 2 * (toxic * math.log(toxic / n / rate) + (clean * math.log(clean / n / (1 - rate)) if clean else 0.0))
 
 
+def _ratio(toxic: Column, clean: Column, all_toxic: float, all_clean: float) -> Column:
+    """ratio() over columns."""
+    n, rate = toxic + clean, all_toxic / max(1.0, all_toxic + all_clean)
+    if not 0 < rate < 1:
+        return F.lit(0.0)
+    of_clean = F.when(clean > 0, clean * F.ln(clean / n / (1 - rate))).otherwise(0.0)
+    return F.when((n > 0) & (toxic / n > rate), 2 * (toxic * F.ln(toxic / n / rate) + of_clean)).otherwise(0.0)
+
+
 class Lexicon(dict):
     """Flags by word; prefixes decide, and words are remembered until there are too many."""
 
@@ -159,26 +172,26 @@ def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def learn_lexicons(rows: DataFrame) -> dict[int | None, tuple[frozenset[str], frozenset[str]]]:
     """(strong, weak) prefixes, without each training fold, and under None from all of them.
 
-    Of copies and near copies, rows alike in their three least word hashes, one counts: else every word of a
-    toxic text that was copied would look toxic.
+    Of copies and near copies, rows of one label alike in their SKETCH least word hashes, the one with the smallest
+    doc_id counts: else every word of a toxic text that was copied would look toxic.
     """
     words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    alike = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 3)
-    rows = written(rows.withColumn("alike", alike).dropDuplicates(["alike"]).drop("alike"), "unlike")
+    alike = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, SKETCH)
+    first = F.min_by(F.struct("doc_id", "text", "label", "fold"), F.struct("doc_id", F.xxhash64("text"))).alias("row")
+    rows = written(rows.groupBy(alike.alias("alike"), F.col("label").alias("of")).agg(first).select("row.*"), "unlike")
     totals = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     sides = [2 * f + y for f in (0, 1, 3) for y in (0, 1)]
     counts = rows.mapInArrow(_count_prefixes, "prefix string, side int, n long").groupBy("prefix")
     counts = counts.agg(*[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in sides])
-    toxic, clean = F.col("n1") + F.col("n3") + F.col("n7"), F.col("n0") + F.col("n2") + F.col("n6")
-    all_toxic, all_clean = (sum(n for (_, y), n in totals.items() if y == label) for label in (1, 0))
-    rate = all_toxic / max(1, all_toxic + all_clean)
-    # A prefix that clears the weaker tier without a fold is in at least two toxic documents, and leans to them.
-    likely = counts.where((toxic >= 3) & (toxic > 2 * rate * (toxic + clean))).withColumn("lean", toxic * toxic / (toxic + clean))
-    found = likely.orderBy(F.desc("lean"), "prefix").limit(4 * LEXICON).collect()
+    made = {None: (0, 1, 3), 0: (1, 3), 1: (0, 3), 3: (0, 1)}
+    all_of = {left_out: tuple(sum(totals.get((f, y), 0) for f in inside) for y in (1, 0)) for left_out, inside in made.items()}
+    held = lambda inside, y: sum((F.col(f"n{2 * f + y}") for f in inside), F.lit(0))
+    # the sample is bounded, and so are the prefixes of it that lean to toxic texts
+    likely = [_ratio(held(inside, 1), held(inside, 0), *all_of[left_out]) >= WEAK for left_out, inside in made.items()]
+    found = counts.where(reduce(lambda a, b: a | b, likely)).collect()
     lexicons: dict[int | None, tuple[frozenset[str], frozenset[str]]] = {}
-    for left_out in (None, 0, 1, 3):
-        inside = [f for f in (0, 1, 3) if f != left_out]
-        t, c = (sum(totals.get((f, y), 0) for f in inside) for y in (1, 0))
+    for left_out, inside in made.items():
+        t, c = all_of[left_out]
         scored = sorted(((ratio(sum(r[f"n{2 * f + 1}"] for f in inside), sum(r[f"n{2 * f}"] for f in inside), t, c), r.prefix) for r in found), reverse=True)[:LEXICON]
         lexicons[left_out] = (frozenset(p for g, p in scored if g >= STRONG), frozenset(p for g, p in scored if g >= WEAK))
     return lexicons

@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
 
 
 def test_small_blocks_share_bounds(spark, monkeypatch):
-    for name, value in (("BLOCK", 16), ("MOST_BLOCKS", 5), ("SLICE", 3), ("WINDOW", 4)):
+    for name, value in (("BLOCK", 16), ("MOST_BLOCKS", 5), ("SLICE", 3), ("WINDOW", 4), ("PART", 4)):
         monkeypatch.setattr(neighbours, name, value)
     rows = data(200)
     check(neighbours.nearest(frame(spark, rows), 20, 7, window=4).collect(), brute(rows, 20, 7))

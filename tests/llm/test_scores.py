@@ -62,6 +62,98 @@ def test_held_out_labels_are_not_read(spark):
     assert training_rows(docs, labels, "toxic", most=50).count() < 100
 
 
+def test_toxicity_features_against_plain_loops():
+    strong, weak = frozenset({"zorg"}), frozenset({"zorg", "blam"})
+    lexicon = toxicity.Lexicon(strong, weak)
+    r = random.Random(3)
+    words = ["you", "idiot", "Zorgish,", "blamed", "fine", "1d1ot", "day!", "YOUR", "z0rg-x", "a.", "12", "|", "tu", "$$"]
+    for n in (0, 1, 3, 12, 60):
+        text = " ".join(r.choice(words) for _ in range(n))
+        got = toxicity.features(text, lexicon)
+        low = text.lower().split()
+        if not low:
+            assert not got.any()
+            continue
+        bare = [w.strip("\"'()[]{}.,;:!?*&%$#|<>-_…«»¿¡") for w in low]
+
+        def seen(w):
+            return (w in toxicity.INSULTS, any(w[:k] in strong for k in range(4, 9)), any(w[:k] in weak for k in range(4, 9)))
+
+        back = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": None, "_": None, "-": None, ".": None})
+        flags = []
+        for w in bare:
+            insult, hard, soft = seen(w)
+            hidden = False
+            if not (insult or hard) and not w.isalpha() and any(c.isalpha() for c in w):
+                i2, h2, s2 = seen(w.translate(back))
+                if i2 or h2:
+                    insult, hard, soft, hidden = i2, h2, soft or s2, True
+            flags.append((insult, hard, soft, hidden))
+        hits = [k for k, f in enumerate(flags) if f[0] or f[1]]
+        second = [k for k, w in enumerate(bare) if w in toxicity.SECOND_PERSON]
+        near = sum(any(abs(a - b) <= 4 for b in second) for a in hits)
+        counts = [sum(f[k] for f in flags) for k in range(4)]
+        assert np.allclose(got[:4], [100 * c / n for c in counts]) and got[4] == counts[0] and got[5] == counts[1]
+        assert np.allclose(got[6:8], [100 * near / n, 100 * len(hits) / n])
+        upper, letters = sum(c.isupper() for c in text), sum(c.isalpha() for c in text)
+        assert np.isclose(got[8], upper / (letters + 1)) and np.isclose(got[9], 100 * text.count("!") / len(text))
+        assert np.isclose(got[14], len(set(low)) / n) and np.isclose(got[15], math.log1p(n)) and got[17] == len(hits)
+
+
+def test_lexicons_against_counts(spark):
+    r = random.Random(6)
+    rows_ = []
+    for k in range(400):
+        text = [f"w{r.randrange(300)}word" for _ in range(25)]
+        label = int(r.random() < 0.25)
+        text += [f"vile{r.randrange(3)}"] if label and r.random() < 0.8 or not label and r.random() < 0.05 else []
+        rows_.append((k, " ".join(text), label, (0, 1, 3)[k % 3]))
+    rows_.append((900, rows_[5][1], rows_[5][2], 0))  # a copy counts once, and the first of the two
+    made = toxicity.learn_lexicons(spark.createDataFrame(rows_, "doc_id long, text string, label int, fold int"))
+    for left_out, (strong, weak) in made.items():
+        inside = [x for x in rows_[:400] if x[3] != left_out]
+        counts = {y: Counter(p for x in inside if x[2] == y for p in {p for w in x[1].split() for p in toxicity.prefixes(w)}) for y in (0, 1)}
+        t, c = (sum(x[2] == y for x in inside) for y in (1, 0))
+        found = {p: toxicity.ratio(counts[1][p], counts[0][p], t, c) for p in counts[1]}
+        assert strong == {p for p, g in found.items() if g >= toxicity.STRONG} and weak == {p for p, g in found.items() if g >= toxicity.WEAK}
+        assert "vile" in strong
+
+
+def test_quality_features_against_plain_loops():
+    r = random.Random(4)
+    for n in (0, 1, 30):
+        text = "".join(r.choice(["Word ", "12! ", "averyverylongword ", "same same ", "$|.\n", "line\nline\n", "\t"]) for _ in range(n))
+        got = dict(zip(quality.FEATURES, quality.features(text)))
+        words = text.split()
+        if not words:
+            assert not any(got.values())
+            continue
+        lines = [x for x in text.split("\n") if x]
+        w = len(words)
+        assert math.isclose(got["capitals"], sum(c.isupper() for c in text) / (sum(c.isalpha() for c in text) + 1))
+        assert math.isclose(got["digits"], sum(c.isdigit() for c in text) / len(text)) and math.isclose(got["bangs"], text.count("!") / w)
+        assert math.isclose(got["bars"], text.count("|") / w) and math.isclose(got["symbols"], text.count("$") / w) and math.isclose(got["points"], text.count(".") / w)
+        assert math.isclose(got["spaces"], (text.count(" ") + text.count("\t")) / len(text)) and math.isclose(got["word_length"], len(text) / w)
+        assert math.isclose(got["long_words"], sum(len(x) > 12 for x in words) / w) and math.isclose(got["distinct"], len(set(words)) / w)
+        assert math.isclose(got["top_word"], max(words.count(x) for x in words) / w)
+        assert math.isclose(got["same_as_last"], sum(a == b for a, b in zip(words, words[1:])) / w)
+        assert math.isclose(got["line_repeats"], 1 - len(set(lines)) / max(1, len(lines))) and math.isclose(got["words_per_line"], w / max(1, len(lines)))
+
+
+def test_additive_model_of_one_feature_is_a_boosted_table():
+    """One round on two values: the steps by hand."""
+    x = np.repeat([[0.0], [1.0]], [30, 50], axis=0)
+    y = np.concatenate([np.arange(30) % 3 == 0, np.arange(50) % 5 > 0]).astype(float)
+    rounds, quality.ROUNDS = quality.ROUNDS, 1
+    try:
+        model = quality.AdditiveModel.fit(x, y, np.zeros(80, bool))
+    finally:
+        quality.ROUNDS = rounds
+    p = y.mean()
+    step = lambda part: quality.RATE * sum(part - p) / (len(part) * p * (1 - p) + 1)
+    assert np.allclose(model.raw(x) - model.intercept, np.repeat([step(y[:30]), step(y[30:])], [30, 50]))
+
+
 def test_accepted_documents_keep_columns(spark):
     docs, labels, _ = labelled(spark, 400)
     kept = quality.accepted_documents(docs, labels)

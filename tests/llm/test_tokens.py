@@ -38,6 +38,27 @@ def test_counts_join_rare_pre_tokens(spark, monkeypatch):
     assert got == Counter(len(ids(WORDS, r[1])) for r in rows())
 
 
+def test_long_pre_tokens_can_be_hot(spark):
+    """One long pre-token in every document joins nothing."""
+    from meridia.llm import token_count
+
+    data = [(k, f"{'z' * 60} w{k}", "en", "a", 1, 1, 1, 1, 1, 1.0) for k in range(20)]
+    docs = frame(spark, data)
+    assert Counter(r.n_tokens for r in token_counts(docs, WORDS).collect()) == Counter(len(ids(WORDS, r[1])) for r in data)
+    hot = {token_count.hot_key(b"z" * 60): 9}
+    shared = spark.sparkContext.broadcast(hot)
+    rows_ = docs.select("doc_id", "text").mapInArrow(token_count._frequencies(shared), "key long, doc_id long, n_bytes long, word binary, freq long").collect()
+    assert not [r for r in rows_ if bytes(r.word).startswith(b"zz")] and {r.freq for r in rows_ if r.doc_id is not None} == {9}
+
+
+def test_shards_follow_bytes(spark, tmp_path, monkeypatch):
+    for least, most, n in ((1 << 30, 1 << 30, 1), (1, 1 << 30, 4), (1, 60_000, 6)):
+        monkeypatch.setattr("meridia.llm.token_files.LEAST", least)
+        monkeypatch.setattr("meridia.llm.token_files.MOST", most)
+        shards = write_token_files(frame(spark), BYTES, f"file://{tmp_path}/{least}-{most}").where("n_docs > 0").count()
+        assert abs(shards - n) <= 2
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert token_counts(empty, WORDS).count() == 0
