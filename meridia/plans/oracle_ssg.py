@@ -97,7 +97,7 @@ for _name in ("study_priced", "ssg_study"):  # after the forecasts that they rea
 
 SQL = {
     "analyst_growth": "SELECT * FROM analyst_growth",
-    "pe_history": "SELECT * FROM pe_history",
+    "pe_ratios": f"SELECT ticker, {R('high_pe', 6)} AS high_pe, {R('low_pe', 6)} AS low_pe FROM pe_history",
     "eps_forecast": f"SELECT ticker, method, {R('growth', 6)} AS growth, {R(f'last * pow(1 + growth, {HORIZON})')} AS projected_level, {R('err', 6)} AS backtest_error FROM eps_fc",
     "ssg_study": "SELECT * FROM ssg_study",
     "sig_ssg": "SELECT l.ticker, total_return AS value, CASE WHEN s.ticker IS NULL THEN 'not_covered' WHEN total_return IS NULL THEN 'no_projection' END AS reason FROM listed l LEFT JOIN ssg_study s ON s.ticker = l.ticker",

@@ -287,4 +287,8 @@ def ssg_study(t: Tables) -> DataFrame:
     )
 
 
-PLANS = {f.__name__: f for f in (annual_eps, price_extremes, loglinear_growth, year_end_close, analyst_growth, pe_history, eps_forecast, ssg_study)}
+def pe_ratios(t: Tables) -> DataFrame:
+    return pe_history(t).select("ticker", half_up(F.col("high_pe"), 6).alias("high_pe"), half_up(F.col("low_pe"), 6).alias("low_pe"))
+
+
+PLANS = {f.__name__: f for f in (annual_eps, price_extremes, loglinear_growth, year_end_close, analyst_growth, pe_ratios, eps_forecast, ssg_study)}
