@@ -1,7 +1,12 @@
 """Documents to packed training sequences: filter, deduplicate twice, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the
-shared folder and reads again for the next. All but the last return the columns of documents.
+shared folder and reads again for the next. All but the last return the columns of documents, extra ones with them.
+
+Null texts count as empty: the classifier scores them, exact dedup keeps one of them and of the empty ones, near dedup links them
+with nothing, and the mix, which deals in words, never serves them. Of rows that repeat a doc_id and text one stays
+after exact dedup; rows with equal or null doc_ids and other texts are documents of their own. Without any labels all
+documents pass the classifier. An empty table gives no rows.
 """
 
 from __future__ import annotations
