@@ -141,9 +141,8 @@ def bloom_table(suspects: DataFrame):
     return suspects.sparkSession.sparkContext.broadcast(table)
 
 
-def bloom_filter(suspects: DataFrame):
-    """A Column -> Column that is true for each fp of suspects, and seldom for others."""
-    shared = bloom_table(suspects)
+def bloom_filter(shared):
+    """A Column -> Column that is true for each fp of a broadcast filter, and seldom for others."""
 
     @F.pandas_udf("boolean")
     def maybe(fp: pd.Series) -> pd.Series:
@@ -153,11 +152,15 @@ def bloom_filter(suspects: DataFrame):
 
 
 class Suspects:
-    """Tells rows whose fingerprints are in the column fp of a table from others. May take some others for suspects."""
+    """Tells rows whose fingerprints are in the column fp of a table from others. May take some others for suspects.
+
+    bits is the broadcast filter, for tasks that run Python anyway; None if there are too many suspects for one.
+    """
 
     def __init__(self, fingerprints: DataFrame):
         self.fingerprints = fingerprints
-        self.maybe = bloom_filter(fingerprints) if fingerprints.count() <= MOST_SUSPECTS else None
+        self.bits = bloom_table(fingerprints) if fingerprints.count() <= MOST_SUSPECTS else None
+        self.maybe = bloom_filter(self.bits) if self.bits else None
 
     def among(self, df: DataFrame, fp: Column) -> tuple[DataFrame, DataFrame]:
         """The suspects of df, and the others."""

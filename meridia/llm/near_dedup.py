@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, mixed, written
 from .components import components
-from .exact_dedup import Suspects
+from .exact_dedup import Suspects, in_bloom
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
@@ -161,13 +161,15 @@ def _signatures(width: int):
     return run
 
 
-def _sets(width: int):
-    """set_key and members of texts."""
+def _sets(width: int, wanted):
+    """set_key and members of the texts whose fingerprints are in the filter, of all without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen, keys, sets = set(), [], []
-            for text in batch.column("text").to_pylist():
+            texts = batch.column("text")
+            texts = texts.filter(pa.array(in_bloom(wanted.value, batch.column("fp").to_numpy()))) if wanted else texts
+            for text in texts.to_pylist():
                 x = shingles(text, width)
                 if len(x) and (key := set_key(x)) not in seen:
                     seen.add(key)
@@ -191,8 +193,10 @@ class _Confirm:
     def sets(self, rows: DataFrame) -> DataFrame:
         """row, n_shingles, members of each distinct row of rows."""
         ends = written(self.standing.select("row", "fp", "set_key", "n_shingles").join(rows.distinct(), "row"), "ends")
-        texts, _ = Suspects(ends.select("fp")).among(self.docs.select("fp", "text"), F.col("fp"))
-        sets = texts.select("text").mapInArrow(_sets(self.width), "set_key binary, members array<long>")
+        suspects, texts = Suspects(ends.select("fp")), self.docs.select("fp", "text")
+        if not suspects.bits:
+            texts, _ = suspects.among(texts, F.col("fp"))
+        sets = texts.mapInArrow(_sets(self.width, suspects.bits), "set_key binary, members array<long>")
         sets = sets.groupBy("set_key").agg(F.first("members").alias("members"))
         return written(ends.join(sets, "set_key").select("row", "n_shingles", "members"), "sets", even=False)
 

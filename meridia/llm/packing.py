@@ -102,6 +102,7 @@ def _pack_texts(path: str, end_id: int, size: int, most: int):
             yield rows.batch()
         rows.emit(packer.close(), keep=True)
         yield rows.batch()
+        tok.rest()
         pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return run

@@ -35,6 +35,8 @@ from .tokenize import encoder
 MAGIC = b"MPLANES1"
 CHUNK = 1 << 16
 PLANES = ("byte", "bit")
+#: Bytes of text of a shard: not less while there are fewer shards than shuffle partitions, and not more, about.
+LEAST, MOST = 16 << 20, 256 << 20
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -151,6 +153,7 @@ def _write(folder: str, path: str, end_id: int, kind: str):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
                     writer.add(doc_id, ids + end)
             writer.close()
+        tok.rest()
         pa.default_memory_pool().release_unused()  # the worker stays for other stages
         yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "n_docs": len(writer.lengths), "n_tokens": sum(writer.lengths)}])
 
@@ -165,7 +168,9 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
     store.create_dir(root)
     docs = documents_of(documents).withColumn("h", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
-    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // MOST), min(-(-size // LEAST), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(ranged.mapInArrow(_write(folder, path, end_id, kind), "shard long, file string, n_docs long, n_tokens long"), "manifest")
 
 
@@ -173,6 +178,9 @@ def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
@@ -184,8 +192,11 @@ def _read(folder: str):
                             crc, n = zlib.crc32(p.tobytes(), crc), n + len(p)
                         rows.append((doc_id, start, n, crc))
                         start += n
-                for k in range(0, len(rows), 50_000):
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 50_000])], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == 50_000:
+                            yield batch_of(rows)
+                            rows = []
+                    if rows:
+                        yield batch_of(rows)
 
     return run
 

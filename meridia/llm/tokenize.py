@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each of the two generations of the memo; when the young one is full it replaces the old one.
-MEMO = 300_000
+MEMO = 200_000
 #: Bytes of text that are cut at once, about.
 AT_ONCE = 6 << 20
 _OTHER_SPACE = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -112,6 +112,10 @@ class Encoder:
                 yield raw[begin:end].tobytes()
                 begin = end
 
+    def rest(self) -> None:
+        """At a task's end: the worker stays for other stages, so only the young part of the memo is kept."""
+        self.old = {}
+
     def column(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text of a column; null: none."""
         texts = texts.cast(pa.large_string()).fill_null("")
