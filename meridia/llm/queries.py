@@ -28,7 +28,10 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what labels call good, without the held-out fold. A filter keeps most other texts out of the join."""
+    """The target is what labels call good, without the held-out fold. A filter keeps most other texts out of the join.
+
+    Labels with a null doc_id or quality are of no document; repeated labels count once, and all rows of a doc_id are of the target.
+    """
     from pyspark.sql import functions as F
 
     from .common import fold
