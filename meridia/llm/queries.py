@@ -89,9 +89,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_lm_scoring, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_near_dedup, op9_quality, op10_packing)
-}
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digests, fill_in_middle
+
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+_OPERATORS = (
+    op1_toxicity, op2_neighbours, op3_lm_scoring, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts,
+    op8_near_dedup, op9_quality, op10_packing, op12_fill_middle, op13_conversations,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -141,4 +155,85 @@ ORACLES: dict[str, str] = {
           SELECT doc_id, text_hash, sum(served) AS taken, min(finish) AS first_finish FROM c WHERE served > 0 GROUP BY doc_id, text_hash)
         SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, k.first_finish
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.doc_id = d.doc_id AND k.text_hash = d.text_hash""",
+    "op12_fill_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                 sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+          FROM documents),
+        g AS (SELECT doc_id, t, u, len(u) AS n, [CAST('0x' || h[8 * k + 1 : 8 * k + 8] AS BIGINT) FOR k IN range(4)] AS h FROM d),
+        f AS (
+          SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+          FROM g),
+        c AS (
+          SELECT doc_id, t, n, form, array_to_string(u[: low], '') AS p, array_to_string(u[low + 1 : high], '') AS m, array_to_string(u[high + 1 :], '') AS s
+          FROM f)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM c""",
+    "op13_conversations": r"""
+        WITH RECURSIVE k AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+          FROM conversations),
+        crc AS (
+          SELECT *, xor(list_reduce(list_prepend(4294967295, [ord(x) FOR x IN string_split(place, '')]),
+                   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda e, i: CASE WHEN e & 1 = 1 THEN xor(e >> 1, 3988292384) ELSE e >> 1 END)),
+                 4294967295) % 20 AS kind
+          FROM k),
+        d AS (
+          SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                 CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM crc, (VALUES (1), (2)) AS v(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+        s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
+        o AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i,
+                 rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS words
+          FROM s),
+        f AS (
+          SELECT *, coalesce(conv_id, -1) AS conv, role[1] AS initial,
+                 CASE WHEN words = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(words, '[.!?]$') THEN 'truncated' ELSE '' END AS fault
+          FROM o),
+        g(state, initial, next, name) AS (VALUES (0, 's', 1, NULL), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+        ins AS (
+          SELECT state, state AS next, '' AS edits, []::VARCHAR[] AS added, 0 AS cost FROM (VALUES (0), (1), (2), (3)) AS q(state)
+          UNION ALL SELECT state, next, 'I', [name || ':'], 5 FROM g WHERE name IS NOT NULL
+          UNION ALL SELECT a.state, b.next, 'II', [a.name || ':', b.name || ':'], 10 FROM g AS a JOIN g AS b ON b.state = a.next WHERE a.name IS NOT NULL),
+        e AS (
+          SELECT conv, i, q.state, q.state AS next, 'D' AS edit, []::VARCHAR[] AS line, 2 AS cost FROM f, (VALUES (0), (1), (2), (3)) AS q(state)
+          UNION ALL
+          SELECT conv, i, state, next, 'K', [role || ':' || text], CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END
+          FROM f JOIN g ON f.initial = g.initial WHERE fault NOT IN ('blank', 'duplicate')
+          UNION ALL
+          SELECT conv, i, state, next, 'R', [name || ':' || text], CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END
+          FROM f JOIN g ON g.name IS NOT NULL WHERE fault NOT IN ('blank', 'duplicate')),
+        t AS (
+          SELECT conv, i, e.state, ins.next, e.edit || ins.edits AS edit, list_concat(e.line, ins.added) AS line, e.cost + ins.cost AS cost
+          FROM e JOIN ins ON ins.state = e.next),
+        w AS (
+          SELECT c.conv, CAST(0 AS BIGINT) AS i, next AS state, CAST(cost AS BIGINT) AS cost, edits AS audit, added AS lines
+          FROM (SELECT DISTINCT coalesce(conv_id, -1) AS conv FROM conversations) AS c, (SELECT * FROM ins WHERE state = 0) AS first
+          UNION ALL
+          SELECT conv, i, state, best.cost, best.audit, best.lines
+          FROM (
+            SELECT w.conv, t.i, t.next AS state, min({'cost': w.cost + t.cost, 'audit': w.audit || t.edit, 'lines': list_concat(w.lines, t.line)}) AS best
+            FROM w JOIN t ON t.conv = w.conv AND t.i = w.i + 1 AND t.state = w.state
+            GROUP BY w.conv, t.i, t.next) AS layer),
+        n AS (
+          SELECT conv, max(i) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                 count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM (SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair FROM f) AS p GROUP BY conv),
+        z AS (
+          SELECT w.conv, min({'cost': w.cost, 'audit': w.audit, 'lines': w.lines}) AS best
+          FROM w LEFT JOIN n ON n.conv = w.conv WHERE w.i = coalesce(n.n, 0) AND w.state IN (0, 3) GROUP BY w.conv)
+        SELECT CASE WHEN z.conv >= 0 THEN z.conv END AS conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank,
+               coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+               z.best.cost AS cost, z.best.audit AS audit, sha256(array_to_string(z.best.lines, chr(10))) AS repaired_sha256
+        FROM z LEFT JOIN n ON n.conv = z.conv""",
 }

@@ -53,7 +53,7 @@ def test_queries_apply_their_operators_to_whole_tables(spark, folder):
     for name, column in (("op5_token_files", "n_tokens"), ("op10_packing", "length")):
         tokens = spark.createDataFrame([(x,) for x in run(name).groupBy().sum(column).first()], "n long").first().n
         assert tokens > docs.count()
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
 
 
 def test_neighbours_query(spark, folder):
