@@ -37,7 +37,7 @@ FINAL = (START, ASSISTANT)
 LEGAL = ("su", "ua", "au")
 #: Inserts in a row that can help: two reach any state of the grammar that can be reached so.
 INSERTS = 2
-#: Edits that all live paths share are set apart once a path is this long.
+#: Edits that a path holds in one string; older ones are a chain of such strings.
 TAIL = 256
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -45,37 +45,53 @@ _RESULT = "conv_id long, gaps long, blank long, duplicate long, truncated long,
 
 
 class Path:
-    """A best path into a state of the composition: its weight, and the digest of the rows it has written."""
+    """A best path into a state of the composition: its weight, and the digest of the rows it has written.
 
-    __slots__ = ("cost", "edits", "hash", "rows")
+    Strings are compared without walking them. Paths that end in the edit of one row are never each other's beginnings, so their order,
+    rank, settles that of all that follows them; where it is equal, the edits since then decide.
+    """
+
+    __slots__ = ("cost", "rank", "inserts", "edits", "before", "hash", "rows")
+
+    def __init__(self, cost=0, rank=0, inserts=0, edits="", before=None, digest=None, rows=0):
+        self.cost, self.rank, self.inserts = cost, rank, inserts
+        self.edits, self.before, self.hash, self.rows = edits, before, digest or hashlib.sha256(), rows
 
-    def __init__(self, cost: int = 0, edits: str = "", digest=None, rows: int = 0):
-        self.cost, self.edits, self.hash, self.rows = cost, edits, digest or hashlib.sha256(), rows
+    def weight(self) -> tuple:
+        return self.cost, self.rank, self.inserts
 
-    def then(self, edit: str, cost: int, role: str | None = None, text: str = "") -> Path:
+    def then(self, edit: str, cost: int, role: str | None, text: str) -> Path:
         digest = self.hash
         if role is not None:
             digest = digest.copy()
             digest.update((("\n" if self.rows else "") + role + ":" + text).encode("utf-8", "surrogatepass"))
-        return Path(cost, self.edits + edit, digest, self.rows + (role is not None))
+        inserts = self.inserts + 1 if edit == INSERT else 0
+        return Path(cost, self.rank, inserts, self.edits + edit, self.before, digest, self.rows + (role is not None))
+
+    def audit(self) -> str:
+        parts, before = [self.edits], self.before
+        while before:
+            before, part = before
+            parts.append(part)
+        return "".join(reversed(parts))
 
 
 class Repair:
     """The composition of one conversation with the edits and the grammar, row after row."""
 
     def __init__(self):
-        self.settled: list[str] = []
         self.paths = self._inserted({START: Path()})
 
     @staticmethod
-    def _best(arcs: list[tuple]) -> dict[int, Path]:
-        """The least weight into each state. arcs: (state, cost, path before, edit, role, text); rows are written for the best alone."""
+    def _best(arcs: list[tuple]) -> list[tuple]:
+        """The least weight into each state, in order of their strings. arcs: (state, cost, path before, edit, role, text)."""
+        order = lambda arc: (arc[2].rank, INSERT * arc[2].inserts + arc[3])
         best: dict[int, tuple] = {}
         for arc in arcs:
             other = best.get(arc[0])
-            if other is None or (arc[1], arc[2].edits + arc[3]) < (other[1], other[2].edits + other[3]):
+            if other is None or (arc[1], order(arc)) < (other[1], order(other)):
                 best[arc[0]] = arc
-        return {state: path.then(edit, cost, role, text) for state, cost, path, edit, role, text in best.values()}
+        return sorted(best.values(), key=order)
 
     def _inserted(self, layer: dict[int, Path]) -> dict[int, Path]:
         """The layer with its states that inserts reach, relaxed by number of inserts."""
@@ -87,7 +103,8 @@ class Repair:
                 for initial, to in ARCS[state].items()
                 if initial in ROLES
             ]
-            front = {s: p for s, p in self._best(arcs).items() if s not in best or (p.cost, p.edits) < (best[s].cost, best[s].edits)}
+            better = lambda a: a[0] not in best or (a[1], a[2].rank, a[2].inserts + 1) < best[a[0]].weight()
+            front = {a[0]: a[2].then(a[3], a[1], a[4], a[5]) for a in self._best(arcs) if better(a)}
             best |= front
         return best
 
@@ -102,21 +119,19 @@ class Repair:
                         arcs.append((to, stay + COST[KEEP], path, KEEP, role, text))
                     if initial in ROLES:
                         arcs.append((to, stay + COST[REROLE], path, REROLE, ROLES[initial], text))
-        self.paths = self._inserted(self._best(arcs))
-        if len(next(iter(self.paths.values())).edits) > TAIL:
-            self._settle()
-
-    def _settle(self) -> None:
-        low, high = (f(p.edits for p in self.paths.values()) for f in (min, max))
-        same = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-        self.settled.append(low[:same])
-        for path in self.paths.values():
-            path.edits = path.edits[same:]
+        layer = {}
+        for rank, (state, cost, path, edit, new_role, new_text) in enumerate(self._best(arcs)):
+            layer[state] = path.then(edit, cost, new_role, new_text)
+            layer[state].rank = rank
+        for path in layer.values():
+            if len(path.edits) > TAIL:
+                path.before, path.edits = (path.before, path.edits), ""
+        self.paths = self._inserted(layer)
 
     def end(self) -> tuple[int, str, str]:
         """Cost, edits and digest of the best path that the grammar accepts; deleting all rows is one."""
-        best = min((self.paths[s] for s in FINAL if s in self.paths), key=lambda p: (p.cost, p.edits))
-        return best.cost, "".join(self.settled) + best.edits, best.hash.hexdigest()
+        best = min((self.paths[s] for s in FINAL if s in self.paths), key=Path.weight)
+        return best.cost, best.audit(), best.hash.hexdigest()
 
 
 class _Conversation:

@@ -89,6 +89,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_middle import digests, fill_in_middle
 
@@ -103,7 +109,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_toxicity, op2_neighbours, op3_lm_scoring, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts,
-    op8_near_dedup, op9_quality, op10_packing, op12_fill_middle, op13_conversations,
+    op8_near_dedup, op9_quality, op10_packing, op11_page_text, op12_fill_middle, op13_conversations,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
