@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, payloads, portfolio, signals, ssg, strategies, writes
+from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, payloads, portfolio, signals, ssg, stored, strategies, writes
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -38,6 +38,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **portfolio.PLANS,
     **ssg.PLANS,
     **writes.PLANS,
+    **stored.PLANS,
     **payloads.PLANS,
     **dashboard.PLANS,
     "refresh_views": flows.refresh_views,
@@ -66,6 +67,7 @@ SQL: dict[str, str] = {
     **oracle_rest.SQL,
     **oracle_ssg.SQL,
     **writes.SQL,
+    **stored.SQL,
     **payloads.SQL,
     **dashboard.SQL,
 }

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up
-from meridia.sources.workspace import written
+from meridia.sources.stored import StoredTable
+from meridia.sources.workspace import fingerprint, remove, written
 
 AS_OF = "2001-06-30"
 EVENTS_AS_OF = "2024-01-30"
@@ -34,6 +35,8 @@ def day(text: str):
     return F.lit(text).cast("date")
 
 
+#: The setting that names a folder where kept tables outlast the application. Unset, they go when it ends.
+VIEWS_DIR = "spark.meridia.views.dir"
 #: Where kept tables were written, by application, source folder and name.
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -60,13 +63,28 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table as this application has it; else as an earlier one left it, if VIEWS_DIR is set; else made now."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _WRITTEN:
-            _WRITTEN[key] = written(make(), name)
+            lasting = self._lasting(name)
+            if lasting is None:
+                _WRITTEN[key] = written(make(), name)
+            else:
+                if not lasting.exists():
+                    lasting.replace(make())
+                _WRITTEN[key] = lasting.read()
         return _WRITTEN[key]
 
+    def _lasting(self, name: str) -> StoredTable | None:
+        """A stored table named after the sources' files, their sizes and times, so that changed sources are another table."""
+        views = self.spark.conf.get(VIEWS_DIR, None)
+        return StoredTable(self.spark, f"{views.rstrip('/')}/{fingerprint(self.spark, self.folder)}/{name}", F.lit("all")) if views else None
+
     def forget(self) -> None:
         """The next use of each kept table derives it from the sources again. Older results may still read the old files."""
+        views = self.spark.conf.get(VIEWS_DIR, None)
+        if views:
+            remove(self.spark, f"{views.rstrip('/')}/{fingerprint(self.spark, self.folder)}")
         for key in [k for k in _WRITTEN if k[:2] == (self.spark.sparkContext.applicationId, self.folder)]:
             del _WRITTEN[key]
         for name, member in vars(type(self)).items():

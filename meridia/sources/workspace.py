@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -37,6 +38,17 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().toString() for f in store.listStatus(at) if f.isDirectory()] if store.exists(at) else []
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files in a folder and the folders in it."""
+    store, at = _path(spark, path)
+    files = store.listFiles(at, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     store, at = _path(spark, path)
     store.delete(at, True)
