@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1 with ties at their mean; nulls get none."""
-    ordered = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    tied = Window.partitionBy(*by, value)
-    return F.when(F.col(value).isNotNull(), F.rank().over(ordered) + (F.count(value).over(tied) - 1) / 2.0)
+from .ordered import average_ranks, bin_of, percentiles, placed
 
 
 def z_scores(df: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame:
@@ -31,19 +26,19 @@ def finite(value: Column) -> Column:
 
 def winsorise(df: DataFrame, value: str, by: list[str], tails: float = 0.01) -> DataFrame:
     """value held between its interpolated quantiles of each group."""
-    edges = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(tails), F.lit(1 - tails))).alias("_edges"))
-    return df.join(edges, by).withColumn(value, F.greatest(F.col("_edges")[0], F.least(F.col("_edges")[1], F.col(value)))).drop("_edges")
+    found = percentiles(df, [value], [tails, 1 - tails], by)
+    of = lambda p: F.max(F.when(F.col("p") == p, F.col("percentile")))
+    edges = found.groupBy(*by).agg(of(tails).alias("_low"), of(1 - tails).alias("_high"))
+    return df.join(edges, by).withColumn(value, F.greatest(F.col("_low"), F.least(F.col("_high"), F.col(value)))).drop("_low", "_high")
 
 
-def equal_bins(value: str, key: str, by: list[str], bins: int = 10) -> Column:
-    """Bins from 0 by place in order of value then key: the place scaled to the whole range, in whole numbers."""
-    ordered, all_ = Window.partitionBy(*by).orderBy(value, key), Window.partitionBy(*by)
-    place, n = F.row_number().over(ordered), F.count("*").over(all_)
-    return F.greatest(F.lit(0), F.floor(((place - 1) * bins + n - 2) / F.greatest(n - 1, F.lit(1))) - 1).cast("int")
+def equal_bins(df: DataFrame, value: str, key: str, by: list[str], bins: int = 10) -> DataFrame:
+    """df with bin, from 0, by place in order of value then key."""
+    return placed(df, [F.col(value).asc(), F.col(key).asc()], by).withColumn("bin", bin_of(bins)).drop("_place", "_n")
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, by: list[str], least: int = 30) -> DataFrame:
     """by, n, ic: Spearman's correlation of each group of at least `least` rows where both are known."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = both.withColumns({"_a": average_rank(a, by), "_b": average_rank(b, by)})
+    ranked = average_ranks(average_ranks(both, a, by, "_a"), b, by, "_b")
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("ic")).where(F.col("n") >= least)

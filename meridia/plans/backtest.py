@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, ratio
+from meridia.operators.frames import Source, latest_as_of
 from meridia.operators.latest import as_of_join
+from meridia.operators.ordered import percentiles
 from meridia.operators.stats import equal_bins, finite, rank_correlation, winsorise, z_scores
 from meridia.sources.domain import Tables, day, kept
 
@@ -34,6 +36,13 @@ def month_ends() -> Column:
 
 
 def rebalance_dates(t: Tables) -> DataFrame:
+    """The ends of the months of the backtest in which anything was priced."""
+    end = F.last_day("date")
+    priced = t.eod_prices_x.where((F.col("date") >= day(START)) & (end <= day(END)))
+    return priced.select(end.alias("as_of")).distinct()
+
+
+def calendar(t: Tables) -> DataFrame:
     return t.spark.range(1).select(month_ends().alias("as_of"))
 
 
@@ -84,7 +93,7 @@ def market_cap_asof(t: Tables) -> DataFrame:
 def benchmark_return(t: Tables) -> DataFrame:
     """as_of, ret to the next rebalance; null where either end is missing."""
     own = prices_asof(t).where(F.col("ticker") == BENCHMARK_X).select("as_of", "px")
-    dated = rebalance_dates(t).join(own, "as_of", "left")
+    dated = calendar(t).join(own, "as_of", "left")
     w = Window.orderBy("as_of")  # a row for each date
     rows = dated.select("as_of", (ratio(F.lead("px").over(w), F.col("px")) - 1).alias("ret"), F.lead("as_of").over(w).alias("next"))
     return rows.where("next is not null").select("as_of", half_up(F.col("ret"), 8).alias("ret"))
@@ -96,19 +105,58 @@ def universe_pit(t: Tables) -> DataFrame:
     return prices_at(t, "px", t.universe_days).where(~gone & (F.col("px") >= FLOOR)).select(*KEY)
 
 
-@kept
+STATEMENT = [
+    "total_revenue", "gross_profit", "net_income", "ebitda", "total_assets", "total_current_assets", "total_current_liabilities",
+    "long_term_debt", "total_stockholder_equity", "cash", "free_cash_flow", "operating_cash_flow", "shares",
+]
+
+
+def _known() -> Column:
+    return F.coalesce(F.col("filing_date"), F.date_add("date", LAG))
+
+
 def known_statements(t: Tables) -> DataFrame:
-    """The two latest statements of each ticker that were knowable at as_of, by place."""
-    known = F.coalesce(F.col("filing_date"), F.date_add("date", LAG))
-    rows = probes(t).join(t.statements_x.withColumn("known", known), "ticker").where(F.col("known") <= F.col("as_of"))
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("date")))
-    return rows.withColumn("place", place).where("place <= 2").drop("known", "filing_date")
+    """The two latest statements of each ticker that were knowable at as_of, by place: one pass in order of time, no pairs of dates and statements."""
+    source = Source(t.statements_x, _known(), "date", STATEMENT)
+    found = latest_as_of(probes(t), {"statements": source}, ["ticker"], "as_of", k=2)
+    rows = found.select(*KEY, F.posexplode("statements").alias("_place", "_s"))
+    return rows.select(*KEY, "_s.*", (F.col("_place") + 1).alias("place"))
 
 
 def latest_statement(t: Tables, rank: int = 1) -> DataFrame:
     return known_statements(t).where(F.col("place") == rank).drop("place")
 
 
+#: The three statements of a year and what each gives; they are filed, and ranked, apart.
+INCOME = ["total_revenue", "gross_profit", "net_income", "ebitda"]
+BALANCE = ["total_assets", "total_current_assets", "total_current_liabilities", "long_term_debt", "total_stockholder_equity", "cash"]
+CASH_FLOW = ["operating_cash_flow", "free_cash_flow"]
+
+
+def statement_sources(t: Tables) -> dict[str, Source]:
+    """Balance sheets come 20 days after the income statements, those of every third ticker a year late; some years have no cash flow."""
+    rows = t.statements_x
+    n = F.col("ticker").cast("int") + F.year("date")
+    late = rows.withColumn("filing_date", F.date_add(_known(), F.when(n % 3 == 0, 385).otherwise(20)))
+    some = rows.where(n % 4 != 0)
+    return {"income": Source(rows, _known(), "date", INCOME), "balance": Source(late, "filing_date", "date", BALANCE), "cash_flow": Source(some, _known(), "date", CASH_FLOW)}
+
+
+def annual_fundamentals(t: Tables, ranks: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """as_of, ticker, rank, and the rank-th latest income statement, balance sheet and cash flow, each by its own rank, where all three are known."""
+    found = latest_as_of(probes(t), statement_sources(t), ["ticker"], "as_of", k=max(ranks))
+    ranked = found.select("*", F.explode(F.array(*[F.lit(r) for r in ranks])).alias("rank"))
+    nth = lambda name: F.try_element_at(name, F.col("rank")).alias(name)
+    rows = ranked.select(*KEY, "rank", nth("income"), nth("balance"), nth("cash_flow")).where("income is not null and balance is not null and cash_flow is not null")
+    dates = [F.col(f"{s}.date").alias(f"{s}_date") for s in ("income", "balance", "cash_flow")]
+    values = [F.col(f"{s}.{c}") for s, columns in (("income", INCOME), ("balance", BALANCE), ("cash_flow", CASH_FLOW)) for c in columns]
+    return rows.select(*KEY, "rank", *dates, *values)
+
+
+def _held(t: Tables, rank: int = 1) -> DataFrame:
+    return latest_statement(t, rank).join(universe_pit(t), KEY, "left_semi")
+
+
 def _signal(df: DataFrame, value: Column, digits: int = 6) -> DataFrame:
     return df.select(*KEY, half_up(finite(value), digits).alias("value")).where("value is not null")
 
@@ -119,10 +167,6 @@ def bt_momentum(t: Tables) -> DataFrame:
     return _signal(legs.join(universe_pit(t), KEY), ratio(F.col("recent"), F.col("old")) - 1, 8)
 
 
-def _held(t: Tables, rank: int = 1) -> DataFrame:
-    return latest_statement(t, rank).join(universe_pit(t), KEY, "left_semi")
-
-
 def _sum(*names: str) -> Column:
     return reduce(lambda a, b: a + b, [F.col(n) for n in names])
 
@@ -133,7 +177,6 @@ def bt_quality(t: Tables) -> DataFrame:
     return _signal(z_scores(_held(t), {"z_roe": roe, "z_margin": margin}, DATE), _sum("z_roe", "z_margin"))
 
 
-@kept
 def bt_value(t: Tables) -> DataFrame:
     """Earnings and cash-flow yields and EBITDA to enterprise value; missing debt and cash count as 0."""
     f = _held(t).join(market_cap_asof(t), KEY)
@@ -152,7 +195,6 @@ _RATIOS = {
 }
 
 
-@kept
 def bt_piotroski(t: Tables) -> DataFrame:
     """Nine tests of this year's statement against last year's; a test with a missing side fails."""
     parts = lambda s: [half_up(ratio(F.col(a), F.col(b)), 8).alias(f"{n}_{s}") for n, (a, b) in _RATIOS.items()]
@@ -188,7 +230,6 @@ SIGNALS = {"momentum": bt_momentum, "quality": bt_quality, "value": bt_value, "p
 DISCRETE = {"piotroski"}
 
 
-@kept
 def forward_returns(t: Tables) -> DataFrame:
     """Return to the next rebalance less the benchmark's, 0 where that is missing."""
     w = Window.partitionBy("ticker").orderBy("as_of")
@@ -218,7 +259,7 @@ def ics(t: Tables) -> DataFrame:
 
 def ic_decile(t: Tables) -> DataFrame:
     """as_of, bin, n, mean_fwd, ic of the momentum signal."""
-    rows = cross_sections(t).where("signal = 'momentum'").withColumn("bin", equal_bins("value", "ticker", DATE))
+    rows = equal_bins(cross_sections(t).where("signal = 'momentum'"), "value", "ticker", DATE)
     mean = F.sum(half_up(F.col("fwd"), 8).cast("decimal(18,8)")).cast("double") / F.count("*")
     bins = rows.groupBy("as_of", "bin").agg(F.count("*").alias("n"), half_up(mean, 6).alias("mean_fwd"))
     by_date = rank_correlation(rows, "value", "fwd", DATE).select("as_of", half_up(F.col("ic"), 6).alias("ic"))
@@ -228,9 +269,8 @@ def ic_decile(t: Tables) -> DataFrame:
 def backtest_summary(t: Tables) -> DataFrame:
     """A row for each signal with at least 30 names at some date, keyed by signal throughout."""
     by = ["signal", "as_of"]
-    rows = cross_sections(t)
-    label = F.when(F.col("signal").isin(*DISCRETE), F.round("value").cast("int")).otherwise(equal_bins("value", "ticker", by))
-    means = rows.withColumn("bin", label).groupBy(*by, "bin").agg(F.avg("fwd").alias("m")).groupBy("signal", "bin").agg(F.avg("m").alias("m"))
+    label = F.when(F.col("signal").isin(*DISCRETE), F.round("value").cast("int")).otherwise(F.col("bin"))
+    means = equal_bins(cross_sections(t), "value", "ticker", by).withColumn("bin", label).groupBy(*by, "bin").agg(F.avg("fwd").alias("m")).groupBy("signal", "bin").agg(F.avg("m").alias("m"))
     shape = rank_correlation(means, "bin", "m", ["signal"], least=3).select("signal", F.col("ic").alias("mono"))
     ends = means.groupBy("signal").agg((F.max_by("m", "bin") - F.min_by("m", "bin")).alias("tmb"))
     ic, late = F.col("ic"), F.when(F.col("as_of") >= day(HOLDOUT), F.col("ic"))
@@ -259,8 +299,9 @@ def backtest_summary(t: Tables) -> DataFrame:
 def interaction_diagnostic(t: Tables) -> DataFrame:
     """Rank correlation of the F-score with returns in the cheap and the dear half of each date."""
     rows = _value_and_score(t).join(forward_returns(t), KEY)
-    dates = rows.groupBy("as_of").agg(F.count("*").alias("n"), F.percentile("v", F.lit(0.5)).alias("middle")).where("n >= 40")
-    rows = winsorise(rows.join(dates.select("as_of", "middle"), "as_of"), "fwd", DATE)
+    middle = percentiles(rows, ["v"], [0.5], DATE).select("as_of", F.col("percentile").alias("middle"))
+    enough = rows.groupBy("as_of").agg(F.count("*").alias("n")).where("n >= 40").select("as_of")
+    rows = winsorise(rows.join(middle.join(enough, "as_of"), "as_of"), "fwd", DATE)
     half = rows.withColumn("half", F.when(F.col("v") >= F.col("middle") - 1e-9, "cheap").otherwise("dear"))
     by = rank_correlation(half, "f", "fwd", ["as_of", "half"], least=20)
     return by.select("as_of", "half", "n", half_up(F.col("ic")).alias("ic")).where("ic is not null")
@@ -276,6 +317,7 @@ PLANS = {
         benchmark_return,
         universe_pit,
         latest_statement,
+        annual_fundamentals,
         bt_momentum,
         bt_quality,
         bt_value,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, pct_change
+from meridia.operators.frames import in_blocks
 from meridia.operators.latest import latest_by
 from meridia.sources.domain import AS_OF, Tables, day, kept
 
@@ -35,7 +36,8 @@ def fund_flow(t: Tables) -> DataFrame:
 
 
 def _anchored(flow: DataFrame) -> DataFrame:
-    return flow.withColumn("latest_filing", F.max("report_date").over(Window.partitionBy("ticker")))
+    """The latest filing of each ticker joined to its rows: a maximum combines before the shuffle, and a skewed join can be split."""
+    return flow.join(flow.groupBy("ticker").agg(F.max("report_date").alias("latest_filing")), "ticker")
 
 
 def _net(inside: Column) -> tuple[Column, Column, Column]:
@@ -78,10 +80,11 @@ def price_perf(t: Tables) -> DataFrame:
     """Latest price of each held ticker with returns over trading-day lags; the date floor is below the windows."""
     universe = t.institutional_holders.select("ticker").distinct()
     recent = t.eod_prices.where((F.col("date") >= F.date_sub(day(AS_OF), 400)) & (F.col("adjusted_close") > 0)).join(universe, "ticker", "left_semi")
-    w = Window.partitionBy("ticker").orderBy("date")
     close, volume = F.col("adjusted_close"), F.col("avg_vol")
     lags = {"1d": 1, "5d": 5, "1m": 21, "3m": 63, "12m": 252}
-    wide = recent.withColumns({f"c_{n}": F.lag("adjusted_close", k).over(w) for n, k in lags.items()} | {"avg_vol": F.avg("volume").over(w.rowsBetween(-20, -1)), "next": F.lead("date").over(w)})
+    frames = {f"c_{n}": (lambda w, k=k: F.lag("adjusted_close", k).over(w)) for n, k in lags.items()}
+    frames |= {"avg_vol": lambda w: F.avg("volume").over(w.rowsBetween(-20, -1)), "next": lambda w: F.lead("date").over(w)}
+    wide = in_blocks(recent.select("ticker", "date", "adjusted_close", "volume"), ["ticker"], "date", frames, back=252, ahead=1)
     return wide.where("next is null").select(
         "ticker", F.col("date").alias("as_of"), close.alias("close"), "volume", F.floor(volume + 0.5).cast("double").alias("avg_vol_20d"),
         F.when(volume > 0, half_up(F.col("volume") / volume, 2)).alias("vol_ratio"), *[pct_change(close, F.col(f"c_{n}")).alias(f"ret_{n}") for n in lags],

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, money, pct_change
+from meridia.operators.ordered import percentiles
 from meridia.operators.latest import as_of_join, latest_by
 from meridia.sources.domain import AS_OF, BENCHMARKS, CONFIG, EARNINGS_DAY, EVENTS_AS_OF, HOLIDAYS, Tables, day
 
@@ -45,13 +46,22 @@ def provenance(t: Tables) -> DataFrame:
 
 
 def market_breadth(t: Tables) -> DataFrame:
+    """Counts and medians of all liquid names; the medians come from counts by range, so no task sorts the market."""
+    liquid = _liquid(t).where("ret_1d is not null")
     up, down = F.count_if(F.col("ret_1d") > 0), F.count_if(F.col("ret_1d") < 0)
-    median = lambda c: half_up(F.percentile(c, F.lit(0.5)), 2).alias(f"median_{c}")
     known = F.count("ret_12m")
-    return _liquid(t).where("ret_1d is not null").agg(
-        F.count("*").alias("total"), up.alias("advancers"), down.alias("decliners"), F.count_if(F.col("ret_1d") == 0).alias("unchanged"), F.when(down > 0, half_up(up / down, 2)).alias("advance_decline_ratio"),
-        median("ret_1d"), median("ret_5d"), median("ret_1m"), F.when(known > 0, half_up(100.0 * F.count_if(F.col("ret_12m") > 0) / known, 1)).alias("pct_above_zero_12m"),
-    ).where("total > 0")
+    counts = liquid.agg(
+        F.count("*").alias("total"),
+        up.alias("advancers"),
+        down.alias("decliners"),
+        F.count_if(F.col("ret_1d") == 0).alias("unchanged"),
+        F.when(down > 0, half_up(up / down, 2)).alias("advance_decline_ratio"),
+        F.when(known > 0, half_up(100.0 * F.count_if(F.col("ret_12m") > 0) / known, 1)).alias("pct_above_zero_12m"),
+    ).where("total > 0")
+    columns = ["ret_1d", "ret_5d", "ret_1m"]
+    of = lambda c: half_up(F.max(F.when(F.col("value") == c, F.col("percentile"))), 2).alias(f"median_{c}")
+    medians = percentiles(liquid, columns, [0.5]).agg(*[of(c) for c in columns])
+    return counts.crossJoin(medians)  # one row each
 
 
 _MOVE = ["ticker", "as_of", "close", "ret_1d", "ret_5d", "ret_1m", "ret_3m", "ret_12m", "volume", "avg_vol_20d", "vol_ratio", "name", "sector", "market_cap"]

@@ -93,7 +93,7 @@ DEFINED: dict[str, str] = {
         ts AS published_at, (event_id % 41) / 20.0::DOUBLE - 1.0 AS sentiment_polarity, props FROM events""",
     "trades": f"""SELECT o_custkey % 10 AS portfolio_id, ticker, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, date AS trade_date, q AS quantity,
         CAST({R('unit')} AS DECIMAL(18,4)) AS price, CAST(tax * x AS DECIMAL(18,4)) AS fees FROM lines JOIN orders ON l_orderkey = o_orderkey""",
-    "portfolios": "SELECT range AS portfolio_id, 'book ' || range AS name, range * 1000.0::DOUBLE AS initial_cash FROM range(12)",
+    "portfolios": "SELECT id AS portfolio_id, 'book ' || id AS name, id * 1000.0::DOUBLE AS initial_cash FROM (SELECT DISTINCT CAST(c_custkey % 12 AS BIGINT) AS id FROM customer)",
     "growth_statements": f"""SELECT ticker, date, {R('sales', 2)} AS total_revenue, {R('pretax', 2)} AS income_before_tax, {R('pretax * 0.7::DOUBLE', 2)} AS net_income,
         n * 3000.0::DOUBLE * (b % 4) AS long_term_debt, n * 500.0::DOUBLE AS short_term_debt, units * 600 AS total_stockholder_equity
       FROM (SELECT *, sales * (b % 6 - 1) / 20.0::DOUBLE AS pretax FROM (SELECT *, revenue * pow(1 + (b * 3) % 8 * 0.04::DOUBLE, year(date) - 1990) AS sales FROM (

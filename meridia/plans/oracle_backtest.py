@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .backtest import DELISTED, END, HOLDOUT, START, _RATIOS
+from .backtest import BALANCE, CASH_FLOW, DELISTED, END, HOLDOUT, INCOME, START, _RATIOS
 from .oracle import DEFINED, R
 
 
@@ -50,6 +50,20 @@ def _summary(signal: str) -> str:
           SELECT bin, avg(m) AS m FROM (SELECT as_of, bin, avg(fwd) AS m FROM (SELECT *, {label} AS bin FROM section_{signal}) GROUP BY 1, 2) GROUP BY bin)))"""
 
 
+def _annual() -> str:
+    """Each of the three statements ranked by itself among those known, then joined."""
+    sides = {"income": (INCOME, "income"), "balance": (BALANCE, "balance"), "cash_flow": (CASH_FLOW, "cash_flow")}
+    ranked = lambda source: f"""SELECT p.as_of, s.*, row_number() OVER (PARTITION BY p.as_of, p.ticker ORDER BY date DESC) AS rank
+      FROM probes p JOIN {source} s ON s.ticker = p.ticker WHERE s.known <= p.as_of"""
+    known, number = "coalesce(filing_date, date + 45)", "(CAST(ticker AS INTEGER) + year(date))"
+    values = ", ".join([f"{n}.date AS {n}_date" for n in sides] + [f"{n}.{c}" for n, (columns, _) in sides.items() for c in columns])
+    return f"""WITH income AS (SELECT *, {known} AS known FROM statements_x),
+      balance AS (SELECT *, {known} + CASE WHEN {number} % 3 = 0 THEN 385 ELSE 20 END AS known FROM statements_x),
+      cash_flow AS (SELECT *, {known} AS known FROM statements_x WHERE {number} % 4 <> 0)
+      SELECT income.as_of, income.ticker, income.rank, {values} FROM ({ranked("income")}) income
+      JOIN ({ranked("balance")}) balance USING (as_of, ticker, rank) JOIN ({ranked("cash_flow")}) cash_flow USING (as_of, ticker, rank) WHERE income.rank <= 2"""
+
+
 _MONTHS = f"SELECT last_day(CAST(d AS DATE)) AS as_of FROM (SELECT unnest(generate_series(date_trunc('month', DATE '{START}'), date_trunc('month', DATE '{END}'), INTERVAL 1 MONTH)) AS d)"
 DEFINED |= {
     "rebalance_dates": _MONTHS,
@@ -85,7 +99,9 @@ DEFINED |= {
 }
 
 SQL = {
-    **{n: f"SELECT * FROM {n}" for n in ("rebalance_dates", "prices_asof", "shares_asof", "market_cap_asof", "benchmark_return", "universe_pit", "latest_statement", "forward_returns", *_NAMES.values())},
+    "rebalance_dates": f"SELECT DISTINCT last_day(date) AS as_of FROM eod_prices_x WHERE date >= DATE '{START}' AND last_day(date) <= DATE '{END}'",
+    **{n: f"SELECT * FROM {n}" for n in ("prices_asof", "shares_asof", "market_cap_asof", "benchmark_return", "universe_pit", "latest_statement", "forward_returns", *_NAMES.values())},
+    "annual_fundamentals": _annual(),
     "ic_decile": f"""SELECT b.as_of, bin, b.n, mean_fwd, {R('ic', 6)} AS ic FROM (SELECT as_of, bin, count(*) AS n, {R(f"CAST(sum(CAST({R('fwd', 8)} AS DECIMAL(18,8))) AS DOUBLE) / count(*)", 6)} AS mean_fwd FROM (SELECT *, {_BIN} AS bin FROM section_momentum) GROUP BY 1, 2) b
       JOIN ics_momentum i ON i.as_of = b.as_of""",
     "backtest_summary": " UNION ALL ".join(_summary(s) for s in _NAMES),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, ratio
+from meridia.operators.frames import in_blocks
 from meridia.operators.latest import as_of_join
 from meridia.operators.upsert import coalescing_upsert
 from meridia.sources.domain import Tables
@@ -117,19 +118,27 @@ def _rolling(ticker_order, n: int):
     return ticker_order.rowsBetween(1 - n, 0)
 
 
-def sma_overlays(t: Tables) -> DataFrame:
-    w = Window.partitionBy("ticker").orderBy("date")
-    mean = lambda n: half_up(_full(F.sum(F.col("close").cast("decimal(18,4)")).over(_rolling(w, n)).cast("double") / n, _rolling(w, n), n)).alias(f"sma_{n}")
-    return t.eod_prices.select("ticker", "date", "close", mean(20), mean(50), mean(200), half_up(F.col("close") - F.lag("close").over(w)).alias("change"))
+def sma_overlays(t: Tables, block: int = 65_536) -> DataFrame:
+    """Means of the last 20, 50 and 200 closes; long histories lie in blocks of rows with the 199 rows before them."""
+    total = lambda n: lambda w: _full(F.sum(F.col("close").cast("decimal(18,4)")).over(_rolling(w, n)).cast("double") / n, _rolling(w, n), n)
+    frames = {f"sma_{n}": total(n) for n in (20, 50, 200)} | {"before": lambda w: F.lag("close").over(w)}
+    rows = in_blocks(t.eod_prices.select("ticker", "date", "close"), ["ticker"], "date", frames, back=199, block=block)
+    means = [half_up(F.col(f"sma_{n}")).alias(f"sma_{n}") for n in (20, 50, 200)]
+    return rows.select("ticker", "date", "close", *means, half_up(F.col("close") - F.col("before")).alias("change"))
 
 
-def bollinger(t: Tables, n: int = 20, width: float = 2.0) -> DataFrame:
+def bollinger(t: Tables, n: int = 20, width: float = 2.0, block: int = 65_536) -> DataFrame:
     """Bands of two sample deviations, from exact sums of the closes and their squares."""
-    w = _rolling(Window.partitionBy("ticker").orderBy("date"), n)
     c = F.col("close").cast("decimal(12,4)")
-    s, ss = F.sum(c).over(w).cast("double"), F.sum((c * c).cast("decimal(24,8)")).over(w).cast("double")
-    rows = t.eod_prices.select("ticker", "date", "close", _full(s / n, w, n).alias("m"), _full(F.sqrt(F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1))), w, n).alias("d"))
-    return rows.select("ticker", "date", half_up(F.col("m"), 3).alias("middle"), half_up(F.col("m") + width * F.col("d"), 3).alias("upper"), half_up(F.col("m") - width * F.col("d"), 3).alias("lower"))
+    s = lambda w: F.sum(c).over(_rolling(w, n)).cast("double")
+    squares = lambda w: F.sum((c * c).cast("decimal(24,8)")).over(_rolling(w, n)).cast("double")
+    frames = {
+        "m": lambda w: _full(s(w) / n, _rolling(w, n), n),
+        "d": lambda w: _full(F.sqrt(F.greatest(F.lit(0.0), (squares(w) - s(w) * s(w) / n) / (n - 1))), _rolling(w, n), n),
+    }
+    rows = in_blocks(t.eod_prices.select("ticker", "date", "close"), ["ticker"], "date", frames, back=n - 1, block=block)
+    band = lambda k, name: half_up(F.col("m") + k * F.col("d"), 3).alias(name)
+    return rows.select("ticker", "date", half_up(F.col("m"), 3).alias("middle"), band(width, "upper"), band(-width, "lower"))
 
 
 def symbol_search(t: Tables, text: str = "brand#2", limit: int = 20) -> DataFrame:

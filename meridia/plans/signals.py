@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up
 from meridia.operators.latest import as_of_join, latest_by
+from meridia.operators.ordered import placed
 from meridia.sources.domain import AS_OF, CONFIG, EVENTS_AS_OF, Tables, day
 
 from . import flows
@@ -112,7 +113,8 @@ def select_rank(signal: DataFrame, descending: bool = True) -> DataFrame:
     """Rankable tickers with ranks from 1, and how many were considered and left out."""
     order = F.desc("value") if descending else F.asc("value")
     everyone = signal.agg(F.count("*").alias("universe"), F.count("value").alias("rankable"))
-    ranked = signal.where("value is not null").select("ticker", "value", F.row_number().over(Window.orderBy(order, "ticker")).alias("rank"))
+    ranked = placed(signal.where("value is not null").select("ticker", "value"), [order, F.asc("ticker")])
+    ranked = ranked.select("ticker", "value", F.col("_place").cast("int").alias("rank"))
     return ranked.crossJoin(everyone).withColumn("excluded", F.col("universe") - F.col("rankable"))  # one row of counts
 
 

@@ -252,7 +252,6 @@ def study_forecast(t: Tables) -> DataFrame:
     )
 
 
-@kept
 def ssg_study(t: Tables) -> DataFrame:
     """A row for each ticker: growth, quality gates, forecast prices, zone, ratio, return, decision, and the reasons for it."""
     rows = study_forecast(t)

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from meridia.functions.numbers import half_up, ratio
 from meridia.operators.latest import as_of_join, latest_by
+from meridia.operators.ordered import percentiles, placed, tile
 from meridia.operators.upsert import replace_slice
 from meridia.sources.domain import AS_OF, BENCHMARK, EVENTS_AS_OF, Tables, day, kept
 
 
-@kept
 def latest_price(t: Tables) -> DataFrame:
     return latest_by(t.eod_prices, ["ticker"], ["date"], ["close"]).select("ticker", F.col("date").alias("price_date"), F.col("close").alias("price"))
 
@@ -39,16 +39,22 @@ def _top(df: DataFrame, *order: Column, limit: int) -> DataFrame:
 
 
 def value_quality_composite(t: Tables, min_mcap: float = 1e8, pctile: float = 60, limit: int = 25) -> DataFrame:
-    """Mean of four percentile ranks. NTILE over the filtered names: a ranking of all rows is one ordered pass by nature."""
+    """Mean of four percentile ranks: NTILE over the filtered names, each from its own range-partitioned order."""
     last = latest_by(t.statements, ["ticker"], ["date"], ["long_term_debt", "total_stockholder_equity", "total_current_assets", "total_current_liabilities", "free_cash_flow", "operating_cash_flow"])
     f = t.fundamentals.where(~F.col("is_delisted") & (F.col("market_cap") > min_mcap) & (F.col("pe_ratio") > 0)).join(last, "ticker")
-    tile = lambda *o: F.ntile(100).over(Window.orderBy(*o, "ticker"))
     ranked = f.select(
         "ticker", "name", "sector", "market_cap", "pe_ratio", half_up(ratio(F.col("long_term_debt"), F.col("total_stockholder_equity"))).alias("debt_to_equity"),
-        half_up(ratio(F.col("total_current_assets"), F.col("total_current_liabilities"))).alias("current_ratio"), "free_cash_flow",
-        tile(F.asc_nulls_last("pe_ratio")).alias("pe_rank"), tile(F.desc_nulls_first("return_on_equity")).alias("roe_rank"),
-        tile(F.desc_nulls_first("profit_margin")).alias("margin_rank"), tile(F.desc_nulls_last("free_cash_flow")).alias("fcf_rank"),
+        half_up(ratio(F.col("total_current_assets"), F.col("total_current_liabilities"))).alias("current_ratio"), "free_cash_flow", "return_on_equity", "profit_margin",
     )
+    orders = {
+        "pe_rank": F.asc_nulls_last("pe_ratio"),
+        "roe_rank": F.desc_nulls_first("return_on_equity"),
+        "margin_rank": F.desc_nulls_first("profit_margin"),
+        "fcf_rank": F.desc_nulls_last("free_cash_flow"),
+    }
+    for name, order in orders.items():
+        ranked = placed(ranked, [order, F.asc("ticker")]).withColumn(name, tile(100)).drop("_place", "_n")
+    ranked = ranked.drop("return_on_equity", "profit_margin")
     score = (F.col("pe_rank") + F.col("roe_rank") + F.col("margin_rank") + F.col("fcf_rank")) / 4.0
     return _top(ranked.withColumn("composite_score", score.cast("double")).where(F.col("composite_score") <= pctile), F.asc("composite_score"), limit=limit)
 
@@ -170,7 +176,7 @@ def institutional_holder_alpha(t: Tables, lookback: int = 365, min_positions: in
 def smart_institution_holdings(t: Tables, lookback: int = 365, min_positions: int = 5, min_smart_holders: int = 2, limit: int = 25) -> DataFrame:
     """Tickers by holders in the top quarter of alpha; holdings are those filed in the window."""
     perf = _positions(t, lookback).groupBy("holder_name").agg(F.count("*").alias("n"), half_up(_weighted_alpha(), 8).alias("alpha")).where(F.col("n") >= min_positions)
-    bar = perf.agg(F.percentile("alpha", F.lit(0.75)).alias("bar"))
+    bar = percentiles(perf, ["alpha"], [0.75]).select(F.col("percentile").alias("bar"))  # one row
     top = perf.join(bar, F.col("alpha") >= F.col("bar") - 1e-12).select("holder_name")
     held = t.institutional_holders.where(F.col("report_date") >= F.date_sub(day(AS_OF), lookback)).join(top, "holder_name", "left_semi")
     smart = held.groupBy("ticker").agg(F.count_distinct("holder_name").alias("smart_holders"), F.array_join(F.array_sort(F.collect_set("holder_name")), ", ").alias("holders"))

@@ -257,7 +257,7 @@ class Tables:
     @cached_property
     def portfolios(self) -> DataFrame:
         """Twelve portfolios, two of them without trades."""
-        ids = self.spark.range(12)
+        ids = self.read("customer").select((F.col("c_custkey") % 12).cast("bigint").alias("id")).distinct()
         return ids.select(F.col("id").alias("portfolio_id"), F.concat(F.lit("book "), F.col("id").cast("string")).alias("name"), (F.col("id") * 1000.0).alias("initial_cash"))
 
     # What the stock study reads: like the tables above, with growth that differs from name to name, so that some pass its gates.

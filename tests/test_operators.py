@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from meridia.functions.numbers import half_up, money, to_date, to_integer, to_number
 from meridia.operators import upsert as up
 from meridia.operators.latest import as_of_join, latest_by
-from meridia.operators.stats import average_rank, equal_bins, rank_correlation, winsorise, z_scores
+from meridia.operators.ordered import average_ranks
+from meridia.operators.stats import equal_bins, rank_correlation, winsorise, z_scores
 from meridia.sources.ingest import SPECS, explode_dated, explode_options, ingest, split_ratio, ticker_parts, without_nan
 
 
@@ -46,7 +47,7 @@ def test_ranks_bins_and_scores_against_pandas(spark):
     r = random.Random(1)
     rows = [(g, f"t{k:03d}", float(r.randint(0, 40)) if r.random() > 0.1 else None, r.gauss(0, 1)) for g in ("x", "y") for k in range(50)]
     df = spark.createDataFrame(rows, "g string, t string, v double, w double")
-    got = z_scores(df, {"z": F.col("v")}, ["g"]).withColumn("rank", average_rank("v", ["g"])).toPandas().sort_values(["g", "t"]).reset_index(drop=True)
+    got = average_ranks(z_scores(df, {"z": F.col("v")}, ["g"]), "v", ["g"], "rank").toPandas().sort_values(["g", "t"]).reset_index(drop=True)
     want = got.groupby("g").v
     assert np.allclose(got["rank"], want.rank(), equal_nan=True)
     assert np.allclose(got.z, (got.v - want.transform("mean")) / want.transform(lambda s: s.std(ddof=0)), equal_nan=True)
@@ -61,7 +62,7 @@ def test_ranks_bins_and_scores_against_pandas(spark):
 @pytest.mark.parametrize("n", [30, 37, 100])
 def test_equal_bins_are_those_of_pandas(spark, n):
     df = spark.createDataFrame([("x", k, float((k * 7) % n)) for k in range(n)], "g string, t int, v double")
-    got = df.withColumn("bin", equal_bins("v", "t", ["g"])).toPandas().sort_values("t")
+    got = equal_bins(df, "v", "t", ["g"]).toPandas().sort_values("t")
     assert list(got.bin) == list(pd.qcut(got.v.rank(method="first"), 10, labels=False))
 
 
