@@ -118,19 +118,20 @@ def ingest_insider_chain(t: Tables) -> DataFrame:
     """Old rows without shares or value are completed, new ones come in."""
     by = ["ticker", "transaction_date", "owner_name", "transaction_code"]
     first = F.row_number().over(Window.partitionBy(*by).orderBy("event_id"))
-    rows = t.insider_transactions.where("event_id < 2000").withColumn("first", first).where("first = 1")
+    rows = t.insider_transactions.withColumn("first", first).where("first = 1")
     sent = rows.select("ticker", _json(transactionDate=_day("transaction_date"), ownerName="owner_name", ownerTitle="relationship", transactionCode="transaction_code", transactionAmount="shares", transactionPrice="price", reportDate=_day("report_date")).alias("payload"))
     none = lambda kind: F.lit(None).cast(kind)
     old = rows.where("event_id % 4 = 0").select(
         "ticker", "transaction_date", none("string").alias("owner_cik"), "owner_name", none("string").alias("relationship"), "transaction_code", none("string").alias("acquisition_or_disposition"),
         F.lit(0.0).alias("shares"), "price", none("double").alias("value"), none("date").alias("report_date"), none("string").alias("owner_title"),
     )
-    return ingest_insider(old, sent).groupBy(*by).agg(F.count("*").alias("n"), F.count("value").alias("n_value"), F.count("owner_title").alias("n_title"), F.count_if(F.col("shares") > 0).alias("n_shares"))
+    columns = [*by, "shares", "price", "value", "report_date", "relationship", "owner_title"]
+    return ingest_insider(old, sent).select(*columns)
 
 
 def ingest_options(t: Tables) -> DataFrame:
     """Two chains a ticker, seen on two days; strikes are closes."""
-    strikes = t.eod_prices.where("date >= date '2001-06-15'").select("ticker", "date", "close", "volume")
+    strikes = t.eod_prices.select("ticker", "date", "close", "volume")
     contract = F.sort_array(F.collect_list(_json(strike="close", volume="volume", lastPrice=F.lit(1.5), impliedVolatility=F.lit("N/A"))))
     by = strikes.groupBy("ticker", "date").agg(F.concat(F.lit("["), F.array_join(contract, ","), F.lit("]")).alias("c"))
     chain = F.concat(F.lit('{"expirationDate":"'), _day("date"), F.lit('","options":{"CALL":'), "c", F.lit(',"PUT":'), "c", F.lit(',"OTHER":[{}]}}'))
@@ -175,8 +176,7 @@ def ingest_dividends(t: Tables) -> DataFrame:
 
 def ingest_news(t: Tables) -> DataFrame:
     """Stories by id; each is sent twice."""
-    rows = t.news.where("event_id < 3000")
-    sent = rows.select(_json(id=F.col("event_id").cast("string"), ticker="ticker", title="title", symbols="symbols", date=F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), polarity="sentiment_polarity").alias("payload"))
+    sent = t.news.select(_json(id=F.col("event_id").cast("string"), ticker="ticker", title="title", symbols="symbols", date=F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), polarity="sentiment_polarity").alias("payload"))
     return ingest(sent.unionByName(sent), SPECS["news"]).select("uuid", "ticker", "title", F.array_join("symbols", ",").alias("symbols"), "sentiment_polarity")
 
 
@@ -187,8 +187,7 @@ def ingest_sentiment(t: Tables) -> DataFrame:
 
 def ingest_quotes(t: Tables) -> DataFrame:
     """Epoch seconds; the last quote of a ticker stands."""
-    rows = t.eod_prices.where("date >= date '2001-06-01'")
-    sent = rows.select(F.unix_date("date").alias("seen"), _json(code="ticker", timestamp=F.unix_date("date") * 86400, close="close", volume="volume", change_p=F.lit("N/A")).alias("payload"))
+    sent = t.eod_prices.select(F.unix_date("date").alias("seen"), _json(code="ticker", timestamp=F.unix_date("date") * 86400, close="close", volume="volume", change_p=F.lit("N/A")).alias("payload"))
     return ingest(sent, SPECS["realtime_quotes"], order="seen").select("ticker", "ts", "close", "volume", "change_pct")
 
 
@@ -213,13 +212,11 @@ SQL = {
     "ingest_institutions": f"SELECT {_HOLDERS} FROM institutional_holders",
     "ingest_funds": f"SELECT {_HOLDERS} FROM fund_holders",
     "backfill_changes": "SELECT ticker, holder_name, report_date, shares_held, change_shares, CASE WHEN length(ticker) % 2 = 0 AND change_shares IS NULL THEN NULL ELSE change_pct END AS change_pct FROM fund_holders",
-    "ingest_insider_chain": f"""WITH r AS (SELECT * FROM insider_transactions WHERE event_id < 2000 QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY event_id) = 1), n AS (SELECT {_KEY}, count(DISTINCT shares) AS n FROM r GROUP BY ALL),
-      o AS (SELECT DISTINCT {_KEY} FROM r WHERE event_id % 4 = 0)
-      SELECT n.ticker, n.transaction_date, n.owner_name, n.transaction_code, n + CASE WHEN o.ticker IS NULL THEN 0 ELSE 1 END AS n, n + CASE WHEN o.ticker IS NULL THEN 0 ELSE 1 END AS n_value,
-        n + CASE WHEN o.ticker IS NULL THEN 0 ELSE 1 END AS n_title, n + CASE WHEN o.ticker IS NULL THEN 0 ELSE 1 END AS n_shares
-      FROM n LEFT JOIN o ON o.ticker = n.ticker AND o.transaction_date = n.transaction_date AND o.owner_name = n.owner_name AND o.transaction_code = n.transaction_code""",
+    "ingest_insider_chain": f"""WITH r AS (SELECT * FROM insider_transactions QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY event_id) = 1),
+      n AS (SELECT {_KEY}, shares, price, shares * price AS value, report_date, NULL::VARCHAR AS relationship, relationship AS owner_title, event_id FROM r)
+      SELECT * EXCLUDE (event_id) FROM n UNION ALL SELECT * EXCLUDE (event_id) FROM n WHERE event_id % 4 = 0""",
     "ingest_options": """SELECT ticker, s AS snapshot_date, date AS expiration_date, o AS option_type, close AS strike, 1.5::DOUBLE AS last, volume, NULL::DOUBLE AS implied_volatility, false AS in_the_money
-      FROM eod_prices, (VALUES (DATE '2001-07-01'), (DATE '2001-07-02')) d(s), (VALUES ('CALL'), ('PUT')) k(o) WHERE date >= DATE '2001-06-15'""",
+      FROM eod_prices, (VALUES (DATE '2001-07-01'), (DATE '2001-07-02')) d(s), (VALUES ('CALL'), ('PUT')) k(o)""",
     "ingest_symbols": "SELECT replace(ticker, '#', '_') || '.' || exchange AS ticker, replace(ticker, '#', '_') AS code, exchange AS exchange_code, name, type, 'US' || replace(ticker, '#', '_') AS isin FROM fundamentals",
     "ingest_roster": """WITH f AS (SELECT *, CAST(substr(ticker, 7) AS INTEGER) AS n FROM fundamentals)
       SELECT 'B' || n || '.US' AS ticker, 'B' || n AS code, CASE WHEN n % 2 = 1 THEN 'NYSE' ELSE 'US' END AS exchange_code, CASE WHEN n % 2 = 1 THEN upper(name) ELSE name END AS name, n % 2 = 0 AS is_active,
@@ -227,7 +224,7 @@ SQL = {
     "ingest_splits": "SELECT ticker, ex_date AS date, CAST(year(ex_date) AS DOUBLE) AS numerator, CAST(month(ex_date) AS DOUBLE) AS denominator FROM dividends",
     "ingest_earnings_calendar": "SELECT ticker, report_date, date, eps_actual, eps_estimate, surprise_pct FROM earnings_history",
     "ingest_dividends": "SELECT ticker, ex_date, value, 'USD' AS currency, NULL::DATE AS payment_date FROM dividends",
-    "ingest_news": "SELECT CAST(event_id AS VARCHAR) AS uuid, ticker, title, array_to_string(symbols, ',') AS symbols, sentiment_polarity FROM news WHERE event_id < 3000",
+    "ingest_news": "SELECT CAST(event_id AS VARCHAR) AS uuid, ticker, title, array_to_string(symbols, ',') AS symbols, sentiment_polarity FROM news",
     "ingest_sentiment": "SELECT ticker, date, count, normalized FROM sentiment_daily",
-    "ingest_quotes": """SELECT ticker, CAST(max(date) AS TIMESTAMP) AS ts, arg_max(close, date) AS close, arg_max(volume, date) AS volume, NULL::DOUBLE AS change_pct FROM eod_prices WHERE date >= DATE '2001-06-01' GROUP BY ticker""",
+    "ingest_quotes": """SELECT ticker, CAST(max(date) AS TIMESTAMP) AS ts, arg_max(close, date) AS close, arg_max(volume, date) AS volume, NULL::DOUBLE AS change_pct FROM eod_prices GROUP BY ticker""",
 }

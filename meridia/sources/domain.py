@@ -28,7 +28,6 @@ BENCHMARK = "Brand#1"
 BENCHMARKS = (("Brand#1", "First", 10), ("Brand#2", "Second", 20), ("Brand#3", "Third", 30), ("Brand#4", "Fourth", 40))
 
 EARNINGS_DAY = "2001-04-30"
-HOLIDAYS = '{"0":{"Holiday":"Independence Day","Date":"2001-07-04","Type":"official"},"1":{"Name":"Labor Day","date":"2001-09-03"},"2":{"holiday":"Half-year close","Date":"2001-06-30","type":"bank"},"3":{"Name":"Blank","Date":""}}'
 
 
 def day(text: str):
