@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import backtest, dashboard, flows, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, payloads, portfolio, signals, ssg, stored, strategies, writes
+from . import audits, backtest, dashboard, flows, functions, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, payloads, portfolio, signals, ssg, stored, strategies, tabs, writes
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -39,6 +39,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **ssg.PLANS,
     **writes.PLANS,
     **stored.PLANS,
+    **tabs.PLANS,
+    **audits.PLANS,
+    **functions.PLANS,
     **payloads.PLANS,
     **dashboard.PLANS,
     "refresh_views": flows.refresh_views,
@@ -68,6 +71,9 @@ SQL: dict[str, str] = {
     **oracle_ssg.SQL,
     **writes.SQL,
     **stored.SQL,
+    **tabs.SQL,
+    **audits.SQL,
+    **functions.sql(_VINTAGES),
     **payloads.SQL,
     **dashboard.SQL,
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,12 +151,8 @@ SPECS = {
 }
 
 
-def ingest(payloads: DataFrame, spec: Spec, payload: str = "payload", order: str | None = None) -> DataFrame:
-    """Typed rows of `payload`, a JSON object a row. Columns of the input named like a field fill it where the payload has none.
-
-    order is a column that tells the last payload of a key. Without it payloads are taken in the order of the input's rows, which
-    Spark keeps for files and local rows that were not shuffled.
-    """
+def typed(payloads: DataFrame, spec: Spec, payload: str, order: Column, *beside: str) -> DataFrame:
+    """The fields of every payload, one row each, with order as _order and the input's columns named in beside."""
     fields = F.from_json(payload, "map<string,string>")
     rows = payloads.withColumn("_f", fields)
 
@@ -167,18 +164,34 @@ def ingest(payloads: DataFrame, spec: Spec, payload: str = "payload", order: str
 
     def value(name: str, kind: str, spellings: tuple[str, ...]) -> Column:
         found = [F.nullif(found_at(s), F.lit("")) for s in spellings]
-        beside = [F.col(name).cast("string")] if name in payloads.columns else []
-        return KINDS[kind](F.coalesce(*found, *beside)).alias(name)
-
-    seen = F.col(order) if order else F.monotonically_increasing_id()
-    typed = rows.select(*[value(n, *c) for n, c in spec.columns.items()], seen.alias("_order"))
-    for name, made in spec.derived.items():
-        typed = typed.withColumn(name, made())
-    for key in spec.keys:
-        typed = typed.where(F.col(key).isNotNull())
-    rest = [c for c in typed.columns if c not in spec.keys and c != "_order"]
+        given = [F.col(name).cast("string")] if name in payloads.columns else []
+        return KINDS[kind](F.coalesce(*found, *given)).alias(name)
+
+    made = rows.select(*[value(n, *c) for n, c in spec.columns.items()], order.alias("_order"), *beside)
+    for name, derived in spec.derived.items():
+        made = made.withColumn(name, derived())
+    return made
+
+
+def has_keys(spec: Spec) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in spec.keys])
+
+
+def last_of_each(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Of typed rows with all keys, the one of the greatest _order of each key."""
+    keyed = rows.where(has_keys(spec))
+    rest = [c for c in keyed.columns if c not in spec.keys and c != "_order"]
     best = F.max_by(F.struct(*rest), "_order").alias("_row")
-    return typed.groupBy(*spec.keys).agg(best).select(*spec.keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return keyed.groupBy(*spec.keys).agg(best).select(*spec.keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def ingest(payloads: DataFrame, spec: Spec, payload: str = "payload", order: str | None = None) -> DataFrame:
+    """Typed rows of `payload`, a JSON object a row. Columns of the input named like a field fill it where the payload has none.
+
+    order is a column that tells the last payload of a key. Without it payloads are taken in the order of the input's rows, which
+    Spark keeps for files and local rows that were not shuffled.
+    """
+    return last_of_each(typed(payloads, spec, payload, F.col(order) if order else F.monotonically_increasing_id()), spec)
 
 
 def explode_dated(payloads: DataFrame, payload: str, *sections: str) -> DataFrame:
