@@ -303,12 +303,17 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, curves: int = C
         s = _summaries(blocks.select("bound", "v")).toArrow() if per == 1 else _merged(blocks, per).toArrow()
         summary = (s.column("bound").to_numpy(), _matrix(s.column("centre")), s.column("radius").to_numpy(), (n - 1) // BLOCK)
         asked = queries.mapInArrow(_asked(spark.sparkContext.broadcast(summary), per), "block long, part int, ids binary, vectors binary, floors binary")
-        sent = blocks.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-        more = asked.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(_checked(k), "query_id long, vec_id long, score double")
+        more = asked.groupBy("block", "part").cogroup(_sent(blocks, asked).groupBy("block", "part")).applyInArrow(_checked(k), "query_id long, vec_id long, score double")
         found = written(found.select("query_id", "vec_id", "score").unionByName(more), "checked")
     return _top(found.select("query_id", "vec_id", "score").distinct(), k).select("query_id", "rank", "vec_id", "score")
 
 
+def _sent(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of each block once for each part with a query that asks for it, and not for the others."""
+    wanted = asked.select(F.col("block").alias("at"), F.col("part").alias("to")).distinct()
+    return blocks.join(wanted, F.col("block") == F.col("at")).select("vec_id", "v", "block", F.col("to").alias("part"))
+
+
 def _merged(blocks: DataFrame, per: int) -> DataFrame:
     """Bounds over `per` blocks each: summaries by block first, so that no group grows."""
     own = _summaries(blocks.select(F.col("block").alias("bound"), "v")).withColumn("block", F.col("bound"))

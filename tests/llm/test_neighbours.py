@@ -54,6 +54,21 @@ def test_small_blocks_share_bounds(spark, monkeypatch):
     check(neighbours.nearest(frame(spark, rows), 20, 7, window=4).collect(), brute(rows, 20, 7))
 
 
+def test_blocks_go_where_they_are_asked_for(spark, monkeypatch):
+    """With many parts and tight clusters most blocks are asked for by few parts, and their rows are sent to these alone."""
+    for name, value in (("BLOCK", 20), ("PART", 2)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(8)
+    centres = 40 * rng.normal(size=(20, 6))
+    v = np.repeat(centres, 40, axis=0) + 0.01 * rng.normal(size=(800, 6))
+    rows = [(k, [float(x) for x in r]) for k, r in enumerate(v)]
+    sent, plain = [], neighbours._sent
+    monkeypatch.setattr(neighbours, "_sent", lambda blocks, asked: sent.append(plain(blocks, asked)) or sent[-1])
+    check(neighbours.nearest(frame(spark, rows), 20, 3).collect(), brute(rows, 20, 3))
+    parts = 40 // 2
+    assert sent[0].count() < 0.25 * parts * len(rows)
+
+
 def test_fewer_candidates_than_asked_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 0.5]), (20, [0.0, 1.0])]
     check(neighbours.nearest(frame(spark, rows)).collect(), brute(rows, 20, 20))
