@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridia.sources.domain import AS_OF, Tables
 
-from . import audits, backtest, dashboard, flows, functions, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, payloads, portfolio, signals, ssg, stored, strategies, tabs, writes
+from . import audits, backtest, dashboard, flows, functions, newsletter, oracle_backtest, oracle_newsletter, oracle_rest, oracle_ssg, oracle_strategies, payloads, portfolio, reference_data, signals, ssg, stored, strategies, tabs, writes
 from .oracle import oracle
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -42,6 +42,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     **tabs.PLANS,
     **audits.PLANS,
     **functions.PLANS,
+    **reference_data.PLANS,
     **payloads.PLANS,
     **dashboard.PLANS,
     "refresh_views": flows.refresh_views,
@@ -74,6 +75,8 @@ SQL: dict[str, str] = {
     **tabs.SQL,
     **audits.SQL,
     **functions.sql(_VINTAGES),
+    **reference_data.SQL,
+    "stored_study": reference_data.study_sql(oracle_ssg.SQL["ssg_study"]),
     **payloads.SQL,
     **dashboard.SQL,
 }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators.variants import block_table
-from meridia.plans import functions
+from meridia.plans import functions, reference_data
 from meridia.sources.audit import IngestAudit, Step
 from meridia.sources.domain import Tables
 from meridia.sources.landing import Landing, Target
@@ -97,3 +97,24 @@ def test_functions_check_their_parameters(spark):
         of("SELECT * FROM prices_between(symbol => CAST(:s AS STRING))", s=None)
     joined = "SELECT p.ticker FROM momentum_leaders(DATE'2001-06-30') p JOIN vintages_at(DATE'2001-06-30') v ON v.ticker = p.ticker"
     assert {r.ticker for r in of(joined)} <= {r.ticker for r in of("SELECT * FROM price_perf_at(DATE'2001-06-30')")}
+
+
+def test_resolving_tickers(spark):
+    symbols = [("ABC.US", "ABC", "Alpha Beta Corp"), ("ABCD.US", "ABCD", "Gamma"), ("AB.LSE", "AB", "alphabet  soup"), ("X.US", "X", None), ("Y.US", None, "beta")]
+    queries = ["abc", " ab ", "AB", "alpha", "BETA", "brk.b", "a b.c", "", "  ", None, "zzz", "abcde", "gam", "lph"]
+    got = reference_data.resolve_tickers(spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(symbols, "ticker string, code string, name string"))
+    want = {"abc": "ABC.US", " ab ": "AB.LSE", "AB": "AB.LSE", "alpha": "ABC.US", "BETA": "Y.US", "brk.b": "BRK.B", "gam": "ABCD.US"}
+    assert {r.query: r.ticker for r in got.collect()} == {q: want.get(q) for q in queries}
+
+
+def test_making_sure_of_symbols(spark, tmp_path):
+    symbols, exchanges = (StoredTable(spark, f"{tmp_path}/{n}", by_bucket([k], 2)) for n, k in (("s", "ticker"), ("e", "code")))
+    of = lambda *names: spark.createDataFrame([(n,) for n in names], "ticker string")
+    symbols.replace(spark.createDataFrame([("A.US", "A", "US", False)], "ticker string, code string, exchange_code string, is_active boolean"))
+    reference_data.ensure_symbols(of("A.US", "B.X.TO", "B.X.TO"), symbols, exchanges)
+    want = [("A.US", "A", "US", False), ("B.X.TO", "B.X", "TO", True)]
+    assert sorted(map(tuple, symbols.read().collect())) == want and sorted(r.code for r in exchanges.read().collect()) == ["TO", "US"]
+    for bad in ("NODOT", None):
+        with pytest.raises(ValueError, match="must look like CODE.EXCHANGE"):
+            reference_data.ensure_symbols(of("C.US", bad), symbols, exchanges)
+    assert sorted(map(tuple, symbols.read().collect())) == want
