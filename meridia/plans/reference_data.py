@@ -187,5 +187,5 @@ SQL = {
 
 def study_sql(study: str) -> str:
     """study is the study's own SQL."""
-    return f"""SELECT at AS issue_date, CAST(row_number() OVER (PARTITION BY at ORDER BY total_return DESC NULLS LAST, ticker) AS INTEGER) AS place, ticker, total_return
-      FROM ({study}) s, (VALUES (DATE '2001-03-31'), (DATE '2001-06-30')) d(at)"""
+    return f"""SELECT of_day AS issue_date, CAST(row_number() OVER (PARTITION BY of_day ORDER BY total_return DESC NULLS LAST, ticker) AS INTEGER) AS place, ticker, total_return
+      FROM ({study}) s, (VALUES (DATE '2001-03-31'), (DATE '2001-06-30')) d(of_day)"""

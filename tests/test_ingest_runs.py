@@ -103,7 +103,7 @@ def test_resolving_tickers(spark):
     symbols = [("ABC.US", "ABC", "Alpha Beta Corp"), ("ABCD.US", "ABCD", "Gamma"), ("AB.LSE", "AB", "alphabet  soup"), ("X.US", "X", None), ("Y.US", None, "beta")]
     queries = ["abc", " ab ", "AB", "alpha", "BETA", "brk.b", "a b.c", "", "  ", None, "zzz", "abcde", "gam", "lph"]
     got = reference_data.resolve_tickers(spark.createDataFrame([(q,) for q in queries], "query string"), spark.createDataFrame(symbols, "ticker string, code string, name string"))
-    want = {"abc": "ABC.US", " ab ": "AB.LSE", "AB": "AB.LSE", "alpha": "ABC.US", "BETA": "Y.US", "brk.b": "BRK.B", "gam": "ABCD.US"}
+    want = {"abc": "ABC.US", " ab ": "AB.LSE", "AB": "AB.LSE", "alpha": "AB.LSE", "BETA": "Y.US", "brk.b": "BRK.B", "gam": "ABCD.US"}
     assert {r.query: r.ticker for r in got.collect()} == {q: want.get(q) for q in queries}
 
 
