@@ -10,7 +10,7 @@ from meridia.operators.upsert import insert_ignore
 from meridia.sources.domain import AS_OF, Tables, day
 from meridia.sources.ingest import SPECS, ingest, qualified, ticker_parts, without_nan
 from meridia.sources.stored import StoredTable, by_bucket, by_month
-from meridia.sources.workspace import new_folder
+from meridia.sources.workspace import new_folder, written
 
 from .newsletter import holiday_payloads
 from .payloads import _json
@@ -137,17 +137,18 @@ def appended_prices(t: Tables) -> DataFrame:
     return rows.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
-def store_study(t: Tables, table: StoredTable, issue_date: str = AS_OF) -> None:
+def store_study(study: DataFrame, table: StoredTable, issue_date: str = AS_OF) -> None:
     """The study over the rows of its day, best first, infinities and not-a-numbers as nulls. A second run of a day replaces the first."""
-    ranked = placed(without_nan(ssg_study(t)), [F.desc_nulls_last("total_return"), F.asc("ticker")])
+    ranked = placed(without_nan(study), [F.desc_nulls_last("total_return"), F.asc("ticker")])
     rows = ranked.withColumn("place", F.col("_place").cast("int")).drop("_place", "_n")
     table.replace(rows.withColumn("issue_date", day(issue_date)))
 
 
 def stored_study(t: Tables) -> DataFrame:
     table = StoredTable(t.spark, new_folder(t.spark, "study"), F.col("issue_date").cast("string"))
+    study = written(ssg_study(t), "study")
     for date in ("2001-03-31", AS_OF, AS_OF):
-        store_study(t, table, date)
+        store_study(study, table, date)
     return table.read().select("issue_date", "place", "ticker", "total_return")
 
 
