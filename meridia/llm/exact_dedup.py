@@ -2,6 +2,9 @@
 
 1. Each partition of fingerprints (the sender) sends every owner of a range of the hash space its
    distinct fingerprints of that range, sorted and Golomb-Rice coded.
+   A sender knows at most FAN ranges. Where there are more owners, what several senders sent to one range is merged,
+   about OWNED fingerprints at a time, and these merged senders divide the range further. So the messages of a
+   partition, or of OWNED fingerprints, are at most FAN, and all messages grow with the table and not with its square.
 2. An owner answers each sender with a bitmap: which of these some other sender has too.
 3. The fingerprints marked so, and those a sender has twice itself, are suspects. Up to MOST_SUSPECTS of them make
    a Bloom filter of 16 to 32 bits each, which is broadcast; more are joined with the rows by fingerprint.
@@ -28,6 +31,8 @@ from .common import documents_of, written
 
 #: Fingerprints that an owner has to hold, about.
 OWNED = 1_000_000
+#: Ranges that a sender divides its fingerprints among, at most.
+FAN = 256
 #: Suspects that a Bloom filter is made of, at most; it has 16 MB then.
 MOST_SUSPECTS = 1 << 22
 BLOOM_HASHES = 4
@@ -68,25 +73,44 @@ def golomb_decode(code: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
+_MESSAGES = "owner int, sender int, message binary, twice binary"
+
+
+def _messages(values: np.ndarray, twice: np.ndarray, owners: int, sender: int) -> pa.RecordBatch:
+    """A row for each owner of some of the ascending values, of all owners of the hash space."""
+    owner = ((values >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+    known, starts = np.unique(owner, return_index=True)
+    ends = [*starts[1:].tolist(), len(values)]
+    return pa.RecordBatch.from_pylist(
+        [
+            {"owner": k, "sender": sender, "message": golomb_encode(values[a:b]), "twice": np.packbits(twice[a:b]).tobytes()}
+            for k, a, b in zip(known.tolist(), starts.tolist(), ends)
+        ],
+        pa.schema([("owner", pa.int32()), ("sender", pa.int32()), ("message", pa.binary()), ("twice", pa.binary())]),
+    )
+
+
 def _send(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sender = TaskContext.get().partitionId()
         got = [b.column("fp").to_numpy(zero_copy_only=False) for b in batches if b.num_rows]
-        if not got:
-            return
-        values, counts = np.unique(np.concatenate(got).view(np.uint64), return_counts=True)
-        owner = (values >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
-        cuts = np.searchsorted(owner, np.arange(owners + 1, dtype=np.uint64))
-        yield pa.RecordBatch.from_pylist(
-            [
-                {"owner": k, "sender": sender, "message": golomb_encode(values[a:b]), "twice": np.packbits(counts[a:b] > 1).tobytes()}
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
-                if a < b
-            ],
-            pa.schema([("owner", pa.int32()), ("sender", pa.int32()), ("message", pa.binary()), ("twice", pa.binary())]),
-        )
+        if got:
+            values, counts = np.unique(np.concatenate(got).view(np.uint64), return_counts=True)
+            yield _messages(values, counts > 1, owners, TaskContext.get().partitionId())
+
+    return run
+
+
+def _merged(owners: int):
+    """What the senders of one lane sent to one range, as the messages of one sender to the owners in it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lists = [golomb_decode(m) for m in rows.column("message").to_pylist()]
+        twice = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(rows.column("twice").to_pylist(), lists)]
+        values, at = np.unique(np.concatenate(lists), return_inverse=True)
+        times = np.bincount(at, 1.0 + np.concatenate(twice), len(values))
+        return pa.Table.from_batches([_messages(values, times > 1, owners, rows.column("lane")[0].as_py())])
 
     return run
 
@@ -107,11 +131,25 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(values[(twice | shared) > 0].view(np.int64))], ["fp"])
 
 
+def fan_out(owners: int, fan: int) -> tuple[int, int]:
+    """Owners, at least so many, and hops to reach them, each of them dividing a range evenly among at most fan ones."""
+    hops = 1
+    while fan**hops < owners:
+        hops += 1
+    each = next(k for k in range(1, fan + 1) if k**hops >= owners)
+    return each**hops, hops
+
+
 def suspect_fingerprints(fingerprints: DataFrame, n: int) -> DataFrame:
     """fp of which the column fp has more than one. n: its number of rows, about."""
     least = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owners = max(1, least, n // OWNED)
-    sent = written(fingerprints.mapInArrow(_send(owners), "owner int, sender int, message binary, twice binary"), "fingerprints")
+    owners, hops = fan_out(max(1, least, n // OWNED), FAN)
+    ranges = owners ** (1 / hops)
+    sent = fingerprints.mapInArrow(_send(round(ranges)), _MESSAGES)
+    for hop in range(1, hops):
+        lane = F.pmod("sender", F.lit(max(1, round(n / OWNED / ranges**hop)))).cast("int")
+        sent = sent.withColumn("lane", lane).groupBy("owner", "lane").applyInArrow(_merged(round(ranges ** (hop + 1))), _MESSAGES)
+    sent = written(sent, "fingerprints")
     bitmaps = sent.select("owner", "sender", "message").groupBy("owner").applyInArrow(_answer, "owner int, sender int, bitmap binary")
     return written(sent.join(bitmaps, ["owner", "sender"]).mapInArrow(_marked, "fp long"), "suspects")
 
@@ -201,7 +239,8 @@ def groups(documents: DataFrame) -> DataFrame:
 def first_copies(documents: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     fp = F.xxhash64(normal_text(F.col("text")))
-    asked, others = Suspects(suspect_fingerprints(documents.select(fp.alias("fp")), documents.count())).among(documents, fp)
+    each = written(documents.select(fp.alias("fp")), "fingerprinted", even=False)  # read by few tasks, so there are few senders
+    asked, others = Suspects(suspect_fingerprints(each, each.count())).among(documents, fp)
     whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     asked = asked.select(normal_text(F.col("text")).alias("normal"), whole.alias("whole"), order.alias("order"))

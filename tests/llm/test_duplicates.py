@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from meridia.llm import exact_dedup, near_dedup
 from meridia.llm.components import components
 
@@ -69,6 +71,22 @@ def test_more_suspects_than_a_filter_holds(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near
 
 
+def test_fingerprint_messages_grow_with_the_table(spark, monkeypatch):
+    """Sixteen times the fingerprints, the same suspects as a count gives, and about sixteen times the messages."""
+    monkeypatch.setattr(exact_dedup, "OWNED", 64)
+    monkeypatch.setattr(exact_dedup, "FAN", 4)
+    sizes = []
+    kept = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df, name, **k: sizes.append((name, kept(df, name, **k))) or sizes[-1][1])
+    for n, parts in ((4096, 16), (65536, 256)):
+        prints = spark.range(0, n, 1, parts).select(F.xxhash64(F.when(F.col("id") % 9 == 0, F.col("id") % 810).otherwise(F.col("id"))).alias("fp"))
+        want = {r.fp for r in prints.groupBy("fp").count().where("count > 1").collect()}
+        assert {r.fp for r in exact_dedup.suspect_fingerprints(prints, n).collect()} == want
+    few, many = (df.count() for name, df in sizes if name == "fingerprints")
+    assert many <= 20 * few
+    assert exact_dedup.fan_out(200, 256) == (200, 1) and exact_dedup.fan_out(257, 256) == (289, 2) and exact_dedup.fan_out(10**6, 256) == (10**6, 3)
+
+
 def test_only_suspects_are_shuffled(spark):
     """Rows that the exchange clears go from the scan to the result."""
     plan = exact_dedup.groups(frame(spark, [*rows()]))._jdf.queryExecution().optimizedPlan().toString()
