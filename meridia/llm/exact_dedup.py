@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, written
+from .common import documents_of, fan_out, written
 
 #: Fingerprints that an owner has to hold, about.
 OWNED = 1_000_000
@@ -131,15 +131,6 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(values[(twice | shared) > 0].view(np.int64))], ["fp"])
 
 
-def fan_out(owners: int, fan: int) -> tuple[int, int]:
-    """Owners, at least so many, and hops to reach them, each of them dividing a range evenly among at most fan ones."""
-    hops = 1
-    while fan**hops < owners:
-        hops += 1
-    each = next(k for k in range(1, fan + 1) if k**hops >= owners)
-    return each**hops, hops
-
-
 def suspect_fingerprints(fingerprints: DataFrame, n: int) -> DataFrame:
     """fp of which the column fp has more than one. n: its number of rows, about."""
     least = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))

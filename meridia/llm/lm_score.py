@@ -14,13 +14,15 @@ Counts are whole and grow with the corpus: no word or bigram is left out. They a
 2. Each task turns its documents into blocks of about BLOCK words' numbers, which are written. Bigrams of the DENSE most
    frequent words are counted in a matrix for each task.
 3. The other distinct bigrams and the rare words of a block go, with their number in the block, to the owners of ranges of
-   the hash space, sorted and compressed.
+   the hash space, sorted and compressed. A block knows at most FAN ranges. Where there are more owners, what a lane of about FAN
+   blocks sent to one range is added up and divided further, as often as needed; the answers come back the same way.
 4. An owner adds up what all blocks sent, and answers each block with the totals in the order of its message.
 5. Each block meets its answers and sums the losses of its documents.
 
 So a bigram crosses the network once a block, however many documents of the block hold it, and a bigram in every block costs
-its owner one entry a block. The number of owners grows with the words. A document is never divided, so a block is as large as
-the longest document at least.
+its owner one entry a lane. Each task on the way holds about as many keys as a block has. The number of owners grows with the words, and
+the number of messages is at most FAN times that of blocks and lanes, so it grows as the input does. A document is never divided, so a
+block is as large as the longest document at least.
 
 Bigrams of frequent words are known by both numbers, scrambled. Rare words and other bigrams are known by 63 and 64 bits of hash: of
 m of them about m**2 / 2**65 share one with another.
@@ -45,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, frequent, mixed, written
+from .common import documents_of, fan_out, frequent, mixed, written
 
 HOT = (1 << 16) - 1
 DENSE = 1 << 10
@@ -53,6 +55,8 @@ DENSE = 1 << 10
 BLOCK = 1 << 19
 #: Words of the corpus an owner, about.
 OWNED = 1 << 20
+#: Ranges that a block or lane divides its keys among, at most.
+FAN = 1 << 10
 #: Distinct words that a task counts before it passes them on, and words whose numbers it remembers.
 HELD, MEMO = 250_000, 200_000
 #: Cells of a piece of the matrix.
@@ -119,7 +123,6 @@ class Model:
     n_target: int
     size: int
     dense: int
-    owners: int
     pairs: np.ndarray | None = None
 
     def codes(self) -> Codes:
@@ -133,6 +136,9 @@ class Model:
         p = (after + 1) / (n + self.size)
         return np.log(pair + PRIOR * p) - np.log(before + PRIOR)
 
+    def bits(self) -> tuple[int, int]:
+        """Bits of the keys of both forms."""
+        return 2 * max(1, len(self.hot).bit_length()), 64
 
     def keys(self, before: np.ndarray, after: np.ndarray, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """What owners are asked for, by form: bits of its keys, keys, and which bigrams, then words, they are of.
@@ -142,7 +148,7 @@ class Model:
         hot = (before >= 0) & (after >= 0)
         wide, rare = np.flatnonzero(~hot), np.flatnonzero(words < 0)
         narrow = np.flatnonzero(hot & ~self.is_dense(before, after))
-        bits = max(1, len(self.hot).bit_length())
+        bits = self.bits()[0] // 2
         scrambled = ((before[narrow] << bits) + after[narrow]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64((1 << 2 * bits) - 1)
         hashed = mixed(mixed(before[wide].view(np.uint64)) + after[wide].view(np.uint64))
         return [(2 * bits, scrambled, narrow), (64, np.concatenate([hashed, mixed(~words[rare].view(np.uint64))]), np.concatenate([wide, len(before) + rare]))]
@@ -247,7 +253,7 @@ def matrices(sent: DataFrame, size: int) -> np.ndarray:
     return out[:, : size**2].reshape(2, size, size)
 
 
-def _messages(shared):
+def _messages(shared, ranges: int):
     """The distinct bigrams and rare words of blocks, with their numbers there, for each owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,33 +266,83 @@ def _messages(shared):
                 out = []
                 for form, (bits, keys, _) in enumerate(model.keys(x[token - 1], x[token], x)):
                     keys, times = np.unique(keys, return_counts=True)
-                    cuts = owner_cuts(keys, bits, model.owners)
-                    out += [(KEYS + form, block, k, pack(np.diff(keys[a:b], prepend=np.uint64(0)), times[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+                    out += _keyed(KEYS + form, block, keys, bits, times, ranges)
                 yield _rows(out)
         pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return run
 
 
-def owner_cuts(keys: np.ndarray, bits: int, owners: int) -> list[int]:
-    """Where the keys of each owner begin, and the end: owners have even ranges of the sorted keys of so many bits."""
-    at = [min(-(-(k << bits) // owners), (1 << bits) - 1) for k in range(1, owners)]
-    return [0, *np.searchsorted(keys, np.array(at, np.uint64)).tolist(), len(keys)]
+def _keyed(kind: int, block: int, keys: np.ndarray, bits: int, times: np.ndarray, owners: int) -> list[tuple]:
+    """A row for each owner of some of the ascending keys: owners have even ranges of all keys of so many bits."""
+    if not len(keys):
+        return []
+    first, last = (int(keys[k]) * owners >> bits for k in (0, -1))
+    starts = np.array([-(-(k << bits) // owners) for k in range(first + 1, last + 1)], np.uint64)
+    cuts = [0, *np.searchsorted(keys, starts).tolist(), len(keys)]
+    return [(kind, block, k, pack(np.diff(keys[a:b], prepend=np.uint64(0)), times[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), first) if a < b]
+
+
+def _received(rows: pa.Table, form: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """block, owner, keys and their numbers of each message of a form."""
+    told = [(b, o, *unpack(d)) for k, b, o, d in zip(*(rows.column(c).to_pylist() for c in _NAMES)) if k == KEYS + form]
+    return [(b, o, np.cumsum(gaps.view(np.uint64), dtype=np.uint64), times) for b, o, gaps, times in told]
+
+
+def _added(bits: tuple[int, int], owners: int):
+    """What the blocks of a lane sent to one range, added up, as the messages of one block to the owners in it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = []
+        for form in (0, 1):
+            mine = _received(rows, form)
+            if mine:
+                keys, at = np.unique(np.concatenate([k for _, _, k, _ in mine]), return_inverse=True)
+                times = np.bincount(at, np.concatenate([t for *_, t in mine]), len(keys)).astype(np.int64)
+                out += _keyed(KEYS + form, rows.column("lane")[0].as_py(), keys, bits[form], times, owners)
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
+
+
+def _passed_on(rows: pa.Table) -> pa.Table:
+    """The answers to a lane, as answers to the messages of its blocks."""
+    out = []
+    for form in (0, 1):
+        mine = _received(rows, form)
+        if mine:
+            told = sorted((o, d) for k, o, d in zip(*(rows.column(c).to_pylist() for c in ("kind", "owner", "data"))) if k == ANSWER + form)
+            totals = np.concatenate([unpack(d) for _, d in told], axis=1)
+            every = np.unique(np.concatenate([k for _, _, k, _ in mine]))
+            out += [(ANSWER + form, b, o, pack(*totals[:, np.searchsorted(every, k)])) for b, o, k, _ in mine]
+    return pa.Table.from_batches([_rows(out)])
+
+
+def answered(sent: DataFrame, bits: tuple[int, int], each: int, hops: int, blocks: int, hop: int = 1) -> DataFrame:
+    """The answers to the messages of so many blocks to each ** hop ranges, of each ** hops owners."""
+    if hop == hops:
+        return sent.groupBy("owner").applyInArrow(_answers, ROWS)
+    lanes = -(-blocks // each)
+    lane = F.pmod(F.xxhash64("block", F.lit(hop)), F.lit(lanes)) + F.when(F.col("block") >= TARGET, TARGET).otherwise(0)
+    sent = written(sent, "messages", even=False).withColumn("lane", lane).withColumn("range", F.col("owner"))
+    added = sent.groupBy("range", "lane").applyInArrow(_added(bits, each ** (hop + 1)), ROWS)
+    told = answered(added, bits, each, hops, lanes, hop + 1).withColumn("lane", F.col("block")).withColumn("range", F.expr(f"owner div {each}").cast("int"))
+    return sent.where(F.col("block") < TARGET).unionByName(told).groupBy("range", "lane").applyInArrow(_passed_on, ROWS)
 
 
 def _answers(rows: pa.Table) -> pa.Table:
     """An owner's totals, of all documents and of the target, for each message of a block."""
     out = []
     for form in (0, 1):
-        mine = [(b, o, unpack(d)) for k, b, o, d in zip(*(rows.column(c).to_pylist() for c in _NAMES)) if k == KEYS + form]
+        mine = _received(rows, form)
         if not mine:
             continue
-        keys, at = np.unique(np.concatenate([np.cumsum(gaps.view(np.uint64), dtype=np.uint64) for _, _, (gaps, _) in mine]), return_inverse=True)
-        sizes = [len(gaps) for _, _, (gaps, _) in mine]
-        times, of_target = np.concatenate([t for _, _, (_, t) in mine]), np.repeat([b >= TARGET for b, _, _ in mine], sizes)
+        keys, at = np.unique(np.concatenate([k for _, _, k, _ in mine]), return_inverse=True)
+        sizes = [len(k) for _, _, k, _ in mine]
+        times, of_target = np.concatenate([t for *_, t in mine]), np.repeat([b >= TARGET for b, *_ in mine], sizes)
         totals = np.stack([np.bincount(at, times * (of_target == t), len(keys)).astype(np.int64) for t in (False, True)])
         ends = np.cumsum([0, *sizes])
-        out += [(ANSWER + form, b, o, pack(*totals[:, at[ends[i] : ends[i + 1]]])) for i, (b, o, _) in enumerate(mine) if b < TARGET]
+        out += [(ANSWER + form, b, o, pack(*totals[:, at[ends[i] : ends[i + 1]]])) for i, (b, o, *_) in enumerate(mine) if b < TARGET]
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -331,7 +387,7 @@ def _losses(shared):
     return run
 
 
-def cross_entropy_difference(documents: DataFrame, target: DataFrame, hot: int = HOT, dense: int = DENSE, block: int = BLOCK, owned: int = OWNED) -> DataFrame:
+def cross_entropy_difference(documents: DataFrame, target: DataFrame, hot: int = HOT, dense: int = DENSE, block: int = BLOCK, owned: int = OWNED, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, difference of each document.
 
     target: texts of the target in a column text. Those that are documents of the corpus bear their doc_id.
@@ -346,12 +402,15 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, hot: int =
     size, n, t = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     top = sorted((-r.n, r.word, r.t) for r in frequent(words.where("n > 0"), hot).toLocalIterator())
     single = np.array([(every.n, every.t), *((-m, u) for m, _, u in top)], np.int64).T
-    model = Model(np.array([w for _, w, _ in top], np.int64), single, n, t, size + 1, min(dense, len(top) + 1), max(1, n // owned))
+    model = Model(np.array([w for _, w, _ in top], np.int64), single, n, t, size + 1, min(dense, len(top) + 1))
+    owners, hops = fan_out(max(1, n // owned), fan)
+    each = round(owners ** (1 / hops))
     shared = context.broadcast(model)
     numbered = docs.mapInArrow(_numbered(shared, False, block), ROWS).unionByName(wanted.mapInArrow(_numbered(shared, True, block), ROWS))
     numbered = written(numbered, "blocks", even=False)
     texts = numbered.where(F.col("kind") == TEXTS)
-    answers = texts.select("block", "data").mapInArrow(_messages(shared), ROWS).groupBy("owner").applyInArrow(_answers, ROWS)
+    sent = texts.select("block", "data").mapInArrow(_messages(shared, each), ROWS)
+    answers = answered(sent, model.bits(), each, hops, texts.count() if hops > 1 else 1)
     model.pairs = matrices(numbered, model.dense)
     shared = context.broadcast(model)
     blocks = texts.where(F.col("block") < TARGET).unionByName(answers)

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from meridia.llm import exact_dedup, near_dedup
+from meridia.llm import common, exact_dedup, near_dedup
 from meridia.llm.components import components
 
 from .cases import SCHEMA, frame, rows
@@ -84,7 +84,7 @@ def test_fingerprint_messages_grow_with_the_table(spark, monkeypatch):
         assert {r.fp for r in exact_dedup.suspect_fingerprints(prints, n).collect()} == want
     few, many = (df.count() for name, df in sizes if name == "fingerprints")
     assert many <= 20 * few
-    assert exact_dedup.fan_out(200, 256) == (200, 1) and exact_dedup.fan_out(257, 256) == (289, 2) and exact_dedup.fan_out(10**6, 256) == (10**6, 3)
+    assert common.fan_out(200, 256) == (200, 1) and common.fan_out(257, 256) == (289, 2) and common.fan_out(10**6, 256) == (10**6, 3)
 
 
 def test_only_suspects_are_shuffled(spark):

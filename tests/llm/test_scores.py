@@ -327,7 +327,7 @@ def test_lm_scores_count_every_word_and_bigram(spark):
     target = docs.where("doc_id % 3 = 0").unionByName(spark.createDataFrame(outside, "doc_id long, text string"))
     models = BruteModels(list(enumerate(texts)), [(k, t) for k, t in enumerate(texts) if k % 3 == 0] + outside)
     want = {k: models.losses(k, t) for k, t in enumerate(texts)}
-    for given in ({}, {"hot": 40, "dense": 9, "block": 3000, "owned": 5000}):
+    for given in ({}, {"hot": 40, "dense": 9, "block": 3000, "owned": 5000}, {"hot": 40, "dense": 9, "block": 1000, "owned": 700, "fan": 3}):
         got = lm_score.cross_entropy_difference(docs, target, **given).collect()
         assert len(got) == len(texts)
         for x in got:
@@ -335,6 +335,23 @@ def test_lm_scores_count_every_word_and_bigram(spark):
             assert math.isclose(x.target_loss, want[x.doc_id][0], rel_tol=1e-9) and math.isclose(x.background_loss, want[x.doc_id][1], rel_tol=1e-9)
 
 
+def test_lm_messages_grow_with_the_corpus(spark, monkeypatch):
+    """Sixteen times the words, and about sixteen times the messages of blocks and lanes."""
+    sizes = []
+    kept = lm_score.written
+    monkeypatch.setattr(lm_score, "written", lambda df, name, **k: sizes.append((name, kept(df, name, **k))) or sizes[-1][1])
+    totals = []
+    for n in (100, 1600):
+        r = random.Random(n)
+        texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(60)) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        lm_score.cross_entropy_difference(docs, docs.where("doc_id < 5"), hot=40, dense=9, block=600, owned=600, fan=4)
+        totals.append(sum(df.count() for name, df in sizes if name == "messages"))
+        sizes.clear()
+    # one hop more for the larger corpus at most
+    assert 0 < totals[1] <= 16 * 2 * totals[0]
+
+
 def test_lm_scores_tell_texts_that_occur_twice(spark):
     """A copy foresees a text; a text's own words do not."""
     r = random.Random(2)
