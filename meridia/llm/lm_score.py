@@ -21,7 +21,7 @@ Counts are whole and grow with the corpus: no word or bigram is left out. They a
 
 So a bigram crosses the network once a block, however many documents of the block hold it, and a bigram in every block costs
 its owner one entry a lane. Each task on the way holds about as many keys as a block has. The number of owners grows with the words, and
-the number of messages is at most FAN times that of blocks and lanes, so it grows as the input does. A document is never divided, so a
+a hop's messages are at most FAN times the blocks, so they grow as the input does, and hops as its logarithm. A document is never divided, so a
 block is as large as the longest document at least.
 
 Bigrams of frequent words are known by both numbers, scrambled. Rare words and other bigrams are known by 63 and 64 bits of hash: of

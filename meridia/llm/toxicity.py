@@ -1,13 +1,13 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Lexicons. One is a fixed list of insults. The other is learned from labels: prefixes of words, of
-MIN_PREFIX to MAX_PREFIX letters, that far more toxic than other documents hold, in two
-tiers by likelihood ratio. Features of training rows use a lexicon learned without their own fold.
+MIN_PREFIX letters to a parameter (MAX_PREFIX, or None for whole words), that far more toxic than other documents hold, in two
+tiers by likelihood ratio; every prefix above a tier's bound is in it. Features of training rows use a lexicon learned without
+their own fold. Of training rows of one label that hold the same words, one counts for the lexicon.
 
 Features: densities of both lexicons, hits near second-person words, hits that only show when
 look-alike characters are put back (obfuscation), capitals, exclamation marks, punctuation,
-symbols, digits, repeated words, lengths. Counts of hits are held at 50, beyond which trees of this size tell nothing apart;
-densities are not held.
+symbols, digits, repeated words, lengths. Neither counts nor densities are held at a bound.
 
 Trees are fitted on folds 0 and 1, the isotonic curve on fold 3, on a sample of at most about
 MAX_ROWS labelled rows. The score is the calibrated probability, with a hundredth of the uncalibrated
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +46,14 @@ _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7
 _EDGE = "\"'()[]{}.,;:!?*&%$#|<>-_…«»¿¡"
 
 MIN_PREFIX, MAX_PREFIX = 4, 8
-#: Prefixes that a lexicon holds at most, by likelihood ratio: a parameter of the fit, as the bounds of the ratio are.
-LEXICON = 4000
-#: Word hashes in which near copies are alike.
-SKETCH = 6
 STRONG, WEAK = 22.0, 12.0
 NEAR = 4
 _INSULT, _STRONG, _WEAK, _SECOND, _HIDDEN = 1, 2, 4, 8, 16
 N_FEATURES = 18
 
 
-def prefixes(word: str) -> list[str]:
-    return [word[:k] for k in range(MIN_PREFIX, min(MAX_PREFIX, len(word)) + 1)]
+def prefixes(word: str, longest: int | None = MAX_PREFIX) -> list[str]:
+    return [word[:k] for k in range(MIN_PREFIX, (len(word) if longest is None else min(longest, len(word))) + 1)]
 
 
 def _bare(word: str) -> str:
@@ -84,12 +80,12 @@ def _ratio(toxic: Column, clean: Column, all_toxic: float, all_clean: float) ->
 class Lexicon(dict):
     """Flags by word; prefixes decide, and words are remembered until there are too many."""
 
-    def __init__(self, strong: frozenset[str], weak: frozenset[str]):
-        self.strong, self.weak = strong, weak
+    def __init__(self, strong: frozenset[str], weak: frozenset[str], longest: int | None = MAX_PREFIX):
+        self.strong, self.weak, self.longest = strong, weak, longest
 
     def _hit(self, word: str) -> int:
         flags = _INSULT if word in INSULTS else 0
-        for p in prefixes(word):
+        for p in prefixes(word, self.longest):
             if p in self.strong:
                 return flags | _STRONG | _WEAK
             if p in self.weak:
@@ -134,8 +130,8 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
         100 * counts[1] / n,
         100 * counts[2] / n,
         100 * counts[3] / n,
-        min(counts[0], 50),
-        min(counts[1], 50),
+        counts[0],
+        counts[1],
         100 * near / n,
         100 * hits.sum() / n,
         c["upper"] / letters,
@@ -147,12 +143,12 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
         distinct / n,
         math.log1p(n),
         len(raw) / n,
-        min(int(hits.sum()), 50),
+        int(hits.sum()),
     )
     return out
 
 
-def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_prefixes(batches: Iterator[pa.RecordBatch], longest: int | None) -> Iterator[pa.RecordBatch]:
     """Documents that hold a prefix, by fold and label; side is 2 * fold + label."""
     held: dict[int, Counter] = defaultdict(Counter)
 
@@ -163,25 +159,25 @@ def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for text, label, part in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold"))):
-            held[2 * part + label].update({p for w in set(text.lower().split()) for p in prefixes(_bare(w))})
+            held[2 * part + label].update({p for w in set(text.lower().split()) for p in prefixes(_bare(w), longest)})
         if sum(map(len, held.values())) > 1_000_000:
             yield from out()
     yield from out()
 
 
-def learn_lexicons(rows: DataFrame) -> dict[int | None, tuple[frozenset[str], frozenset[str]]]:
+def learn_lexicons(rows: DataFrame, longest: int | None = MAX_PREFIX) -> dict[int | None, tuple[frozenset[str], frozenset[str]]]:
     """(strong, weak) prefixes, without each training fold, and under None from all of them.
 
-    Of copies and near copies, rows of one label alike in their SKETCH least word hashes, the one with the smallest
-    doc_id counts: else every word of a toxic text that was copied would look toxic.
+    Of rows of one label with the same set of words, the one with the smallest doc_id counts: else every word of a
+    toxic text that was copied would look toxic.
     """
     words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    alike = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, SKETCH)
+    alike = F.sha2(F.array_join(F.array_sort(words), " "), 256)
     first = F.min_by(F.struct("doc_id", "text", "label", "fold"), F.struct("doc_id", F.xxhash64("text"))).alias("row")
     rows = written(rows.groupBy(alike.alias("alike"), F.col("label").alias("of")).agg(first).select("row.*"), "unlike")
     totals = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     sides = [2 * f + y for f in (0, 1, 3) for y in (0, 1)]
-    counts = rows.mapInArrow(_count_prefixes, "prefix string, side int, n long").groupBy("prefix")
+    counts = rows.mapInArrow(partial(_count_prefixes, longest=longest), "prefix string, side int, n long").groupBy("prefix")
     counts = counts.agg(*[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in sides])
     made = {None: (0, 1, 3), 0: (1, 3), 1: (0, 3), 3: (0, 1)}
     all_of = {left_out: tuple(sum(totals.get((f, y), 0) for f in inside) for y in (1, 0)) for left_out, inside in made.items()}
@@ -192,16 +188,16 @@ def learn_lexicons(rows: DataFrame) -> dict[int | None, tuple[frozenset[str], fr
     lexicons: dict[int | None, tuple[frozenset[str], frozenset[str]]] = {}
     for left_out, inside in made.items():
         t, c = all_of[left_out]
-        scored = sorted(((ratio(sum(r[f"n{2 * f + 1}"] for f in inside), sum(r[f"n{2 * f}"] for f in inside), t, c), r.prefix) for r in found), reverse=True)[:LEXICON]
+        scored = [(ratio(sum(r[f"n{2 * f + 1}"] for f in inside), sum(r[f"n{2 * f}"] for f in inside), t, c), r.prefix) for r in found]
         lexicons[left_out] = (frozenset(p for g, p in scored if g >= STRONG), frozenset(p for g, p in scored if g >= WEAK))
     return lexicons
 
 
-def _featured(lexicons, columns: tuple[str, ...]):
+def _featured(lexicons, columns: tuple[str, ...], longest: int | None = MAX_PREFIX):
     """features of each text; with a column fold, by the lexicon learned without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: Lexicon(*v) for k, v in lexicons.value.items()}
+        known = {k: Lexicon(*v, longest) for k, v in lexicons.value.items()}
         for whole in batches:
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
@@ -213,7 +209,7 @@ def _featured(lexicons, columns: tuple[str, ...]):
     return run
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MAX_ROWS, trees: int = 20) -> DataFrame:
+def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MAX_ROWS, trees: int = 20, longest: int | None = MAX_PREFIX) -> DataFrame:
     """doc_id, held_out, score, predicted, margin (of the trees) of each document."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -228,14 +224,14 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, threshold: float =
         known = rows.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
         score = F.lit(float(known))
         return docs.select("doc_id", held_out, score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.lit(0.0).alias("margin"))
-    lexicons = spark.sparkContext.broadcast(learn_lexicons(rows))
-    train = rows.mapInArrow(_featured(lexicons, ("label", "fold")), "label int, fold int, x array<double>")
+    lexicons = spark.sparkContext.broadcast(learn_lexicons(rows, longest))
+    train = rows.mapInArrow(_featured(lexicons, ("label", "fold"), longest), "label int, fold int, x array<double>")
     train = written(train, "features").select(F.col("label").cast("double").alias("label"), "fold", array_to_vector("x").alias("features")).coalesce(4)
     model = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.2, maxBins=32, minInstancesPerNode=5, seed=7, maxMemoryInMB=64).fit(train.where("fold <> 3"))
     margin = vector_to_array("rawPrediction")[1].alias("margin")
     calibration = model.transform(train.where("fold = 3")).select("label", margin)
     curve = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(calibration)
-    scored = docs.mapInArrow(_featured(lexicons, ("doc_id",)), "doc_id long, x array<double>").select("doc_id", array_to_vector("x").alias("features"))
+    scored = docs.mapInArrow(_featured(lexicons, ("doc_id",), longest), "doc_id long, x array<double>").select("doc_id", array_to_vector("x").alias("features"))
     scored = curve.transform(model.transform(scored).select("doc_id", margin))
     score = 0.99 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("calibrated"))) + 0.01 / (1 + F.exp(-2 * F.col("margin")))
     return scored.select("doc_id", held_out, score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "margin")

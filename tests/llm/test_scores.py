@@ -62,6 +62,22 @@ def test_held_out_labels_are_not_read(spark):
     assert training_rows(docs, labels, "toxic", most=50).count() < 100
 
 
+def test_lexicons_have_no_bound_of_their_own(spark):
+    """Whole words by parameter; equal words count once a label, other texts always; every prefix above a bound is there."""
+    toxic = [f"{a}{b}x {c}" for a in "abcdefghij" for b in ("lorem", "dolor") for c in ("amet", "elit")]
+    rows_ = [(k, t, 1, k % 2) for k, t in enumerate(toxic)] + [(100 + k, f"clean{k} words", 0, k % 2) for k in range(40)]
+    schema = "doc_id long, text string, label int, fold int"
+    short, whole = (toxicity.learn_lexicons(spark.createDataFrame(rows_, schema), longest) for longest in (toxicity.MAX_PREFIX, None))
+    assert short == whole and short[None][1]
+    # the same words again, in another order, change nothing; one word more makes another text
+    again = [(200 + k, " ".join(reversed(t.split())), 1, k % 2) for k, t in enumerate(toxic)]
+    assert toxicity.learn_lexicons(spark.createDataFrame(rows_ + again, schema)) == short
+    more = [(300, "longwordindeed zzzz", 1, 0)] + [(301 + k, f"longwordindeed zzzz w{k}", 1, k % 2) for k in range(30)]
+    lexicon = toxicity.learn_lexicons(spark.createDataFrame(rows_ + more, schema), None)
+    assert "longwordindeed" in lexicon[None][0] and toxicity.Lexicon(*lexicon[None], None)["longwordindeed"] & toxicity._STRONG
+    assert max(map(len, toxicity.learn_lexicons(spark.createDataFrame(rows_ + more, schema))[None][0])) == toxicity.MAX_PREFIX
+
+
 def test_toxicity_features_against_plain_loops():
     strong, weak = frozenset({"zorg"}), frozenset({"zorg", "blam"})
     lexicon = toxicity.Lexicon(strong, weak)
@@ -336,7 +352,7 @@ def test_lm_scores_count_every_word_and_bigram(spark):
 
 
 def test_lm_messages_grow_with_the_corpus(spark, monkeypatch):
-    """Sixteen times the words, and about sixteen times the messages of blocks and lanes."""
+    """Sixteen times the words: each hop has about sixteen times the messages, and hops grow with the logarithm."""
     sizes = []
     kept = lm_score.written
     monkeypatch.setattr(lm_score, "written", lambda df, name, **k: sizes.append((name, kept(df, name, **k))) or sizes[-1][1])
@@ -346,10 +362,11 @@ def test_lm_messages_grow_with_the_corpus(spark, monkeypatch):
         texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(60)) for _ in range(n)]
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
         lm_score.cross_entropy_difference(docs, docs.where("doc_id < 5"), hot=40, dense=9, block=600, owned=600, fan=4)
-        totals.append(sum(df.count() for name, df in sizes if name == "messages"))
+        totals.append([df.count() for name, df in sizes if name == "messages"])
         sizes.clear()
-    # one hop more for the larger corpus at most
-    assert 0 < totals[1] <= 16 * 2 * totals[0]
+    # 10 and 160 owners are 2 and 4 hops by fours; the last hop's messages are not written
+    assert len(totals[0]) == 1 and len(totals[1]) == 3
+    assert max(totals[1]) <= 20 * totals[0][0]
 
 
 def test_lm_scores_tell_texts_that_occur_twice(spark):
