@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridia.sources.workspace import discard, written
+
 
 def _both(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.withColumn("_new", F.lit(False)).unionByName(new.select(*[c for c in old.columns if c in new.columns]).withColumn("_new", F.lit(True)), allowMissingColumns=True)
@@ -83,13 +85,15 @@ def _digest(df: DataFrame) -> tuple:
 def replace_slice(df: DataFrame, path: str, by: str) -> int:
     """Writes df over the partitions of `by` that it holds, leaves the others, and reads its rows back.
 
-    Gives their number; raises if they are not the rows that were to be written.
+    df is evaluated once, to a folder of its own that is removed at the end, so a plan with ties or times in it is compared with
+    itself. Gives the number of rows; raises if they are not the rows that were to be written.
     """
-    spark = df.sparkSession
+    spark, df = df.sparkSession, written(df, "staged")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     kinds = dict(df.dtypes)
     back = spark.read.parquet(path).withColumn(by, F.col(by).cast(kinds[by])).join(df.select(by).distinct(), by, "left_semi")
     wanted, found = _digest(df), _digest(back)
+    discard(df)
     if wanted != found:
         raise ValueError(f"{path}: {found[0]} rows read back do not equal the {wanted[0]} that were written")
     return found[0]

@@ -30,6 +30,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "strategy_signals": strategies.strategy_signals,
     "conviction_facts": strategies.conviction_facts,
     "drawn_run": strategies.drawn_run,
+    "drawn_signals": strategies.drawn_signals,
+    "drawn_picks": newsletter.drawn_picks,
     **newsletter.SECTIONS,
     "newsletter_payload": newsletter.newsletter_payload,
     "newsletter_findings": newsletter.newsletter_findings,

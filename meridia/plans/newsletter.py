@@ -219,16 +219,22 @@ def _verdict_ranked(picks: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("vpri", *order, "ticker"))).where(F.col("bucket_rank") <= 2 * TOP).drop("vpri", "bucket_rank")
 
 
-def strategy_picks(t: Tables) -> DataFrame:
-    """Names that the last run of the strategies flagged, by analyst consensus; without coverage they are held."""
+def strategy_picks(t: Tables, signals: DataFrame | None = None) -> DataFrame:
+    """Names that a run of the strategies flagged, by analyst consensus; without coverage they are held."""
+    signals = strategies.strategy_signals(t) if signals is None else signals
     rating = latest_by(t.analyst_ratings.where("rating is not null"), ["ticker"], ["date"], ["rating", "target_price", "strong_buy", "buy", "hold", "sell", "strong_sell"]).drop("date")
-    rows = strategies.strategy_signals(t).join(rating, "ticker", "left").join(flows.price_perf(t).select("ticker", "close", "ret_1d", "ret_3m", "ret_12m"), "ticker", "left")
+    rows = signals.join(rating, "ticker", "left").join(flows.price_perf(t).select("ticker", "close", "ret_1d", "ret_3m", "ret_12m"), "ticker", "left")
     verdict = F.when(F.col("rating").isNull(), "hold").when(F.col("rating") >= 3.5, "buy").when(F.col("rating") >= 2.5, "hold").otherwise("sell")
     n = sum((F.coalesce(c, F.lit(0)) for c in ("strong_buy", "buy", "hold", "sell", "strong_sell")), F.lit(0))
     picks = _named(rows, t, "name", "sector").withColumns({"verdict": verdict, "rated": F.col("rating").isNotNull(), "n_ratings": n, "target_vs_close_pct": pct_change(F.col("target_price"), F.col("close"))})
     return _verdict_ranked(picks, F.desc("is_top_conviction"), F.coalesce("conviction_rank", F.lit(2147483647)), F.desc("signal_count"))
 
 
+def drawn_picks(t: Tables) -> DataFrame:
+    """The picks of the persisted run with drawn parameters."""
+    return strategy_picks(t, strategies.drawn_signals(t))
+
+
 def news_recap(t: Tables) -> DataFrame:
     """The latest story of each title within 36 hours; no upper bound in time."""
     recent = t.news.where((F.col("published_at") >= F.lit(EVENTS_AS_OF).cast("timestamp") - F.expr("INTERVAL 36 HOURS")) & F.col("title").isNotNull())

@@ -19,6 +19,7 @@ from meridia.operators.latest import as_of_join, latest_by
 from meridia.operators.ordered import percentiles, placed, tile
 from meridia.operators.upsert import replace_slice
 from meridia.sources.domain import AS_OF, BENCHMARK, EVENTS_AS_OF, Tables, day, kept
+from meridia.sources.workspace import new_folder
 
 
 def latest_price(t: Tables) -> DataFrame:
@@ -210,6 +211,7 @@ DRAWN: dict[str, dict[str, list[int]]] = {
     "smart_institution_holdings": {"lookback": [180, 365], "min_positions": [5, 10], "min_smart_holders": [2, 3, 5], "limit": [25, 50]},
 }
 VARIATIONS = 3
+RUN_SEED = 1
 
 
 def checked(given: dict[str, Any], allowed: dict[str, list]) -> dict[str, Any]:
@@ -230,17 +232,30 @@ def draws(seed: int) -> list[tuple[str, int, dict[str, Any]]]:
     return [(name, k, checked({p: r.choice(v) for p, v in allowed.items()}, allowed)) for name, allowed in DRAWN.items() for k in range(VARIATIONS)]
 
 
-def drawn_run(t: Tables, seed: int = 1) -> DataFrame:
-    """strategy, variation, parameters, key of each row that a run with drawn parameters finds; key is the ticker, or the holder."""
+def run_of(t: Tables, seed: int) -> DataFrame:
+    """strategy, variation, parameters, key of each row that a run with drawn parameters finds; key is the ticker, or the holder.
+
+    Variations that drew the same parameters share one plan.
+    """
     made = {f.__name__: f for f in _ALL}
-    rows = []
+    same: dict[tuple[str, str], list[int]] = {}
     for name, k, parameters in draws(seed):
-        found = made[name](t, **parameters)
+        same.setdefault((name, json.dumps(parameters, sort_keys=True)), []).append(k)
+    rows = []
+    for (name, text), variations in same.items():
+        found = made[name](t, **json.loads(text))
         key = "ticker" if "ticker" in found.columns else "holder_name"
-        rows.append(found.select(F.lit(name).alias("strategy"), F.lit(k).alias("variation"), F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), F.col(key).alias("key")))
+        variation = F.explode(F.array(*map(F.lit, variations))).alias("variation")
+        rows.append(found.select(F.lit(name).alias("strategy"), variation, F.lit(text).alias("parameters"), F.col(key).alias("key")))
     return reduce(DataFrame.unionByName, rows)
 
 
+@kept
+def drawn_run(t: Tables) -> DataFrame:
+    """The run of RUN_SEED, made once; its signals and picks read it."""
+    return run_of(t, RUN_SEED)
+
+
 @kept
 def strategy_runs(t: Tables) -> DataFrame:
     """strategy, ticker of each strategy with its registered parameters."""
@@ -270,9 +285,24 @@ def strategy_signals(t: Tables, most: int = 10) -> DataFrame:
     return rows.select("ticker", "signal_count", F.col("conviction_rank").isNotNull().alias("is_top_conviction"), "conviction_rank")
 
 
-def persist_run(t: Tables, path: str) -> int:
+def signals_of(run: DataFrame, most: int = 10) -> DataFrame:
+    """The cross-reference of a drawn run: tickers that several strategies name in any variation. Holders are not tickers."""
+    named = agreeing(run.where("strategy <> 'institutional_holder_alpha'").select("strategy", F.col("key").alias("ticker"))).drop("signals")
+    top = _convictions(named, most).select("ticker", "conviction_rank")
+    return named.join(top, "ticker", "left").withColumn("is_top_conviction", F.col("conviction_rank").isNotNull())
+
+
+def persist_run(t: Tables, path: str, signals: DataFrame | None = None) -> int:
     """Writes the run's signals over those of its day, reads them back, and gives their number."""
-    return replace_slice(strategy_signals(t).withColumn("issue_date", F.lit(AS_OF)), path, "issue_date")
+    found = strategy_signals(t) if signals is None else signals
+    return replace_slice(found.withColumn("issue_date", F.lit(AS_OF)), path, "issue_date")
+
+
+def drawn_signals(t: Tables) -> DataFrame:
+    """The signals of the drawn run as the slice of its day holds them after it was persisted."""
+    path = new_folder(t.spark, "run")
+    persist_run(t, path, signals_of(drawn_run(t)))
+    return t.spark.read.parquet(path).where(F.col("issue_date") == AS_OF).drop("issue_date")
 
 
 def conviction_facts(t: Tables, most: int = 10) -> DataFrame:

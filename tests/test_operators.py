@@ -90,6 +90,12 @@ def test_replace_slice(spark, tmp_path):
     assert sorted((x.d, x.v) for x in spark.read.parquet(path).collect()) == [("d1", 1), ("d2", 5), ("d2", 6)]
 
 
+def test_replace_slice_evaluates_its_rows_once(spark, tmp_path):
+    """Rows that are others each time they are evaluated."""
+    chance = spark.range(50).selectExpr("'d1' as d", "rand() as v")
+    assert up.replace_slice(chance, str(tmp_path / "t"), "d") == 50
+
+
 def test_replace_slice_tells_when_other_rows_come_back(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(up, "_digest", lambda df, n=iter(range(9)): (next(n), 0))
     with pytest.raises(ValueError):
