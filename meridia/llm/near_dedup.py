@@ -14,7 +14,12 @@ words the whole sequence is its one shingle; without words it is empty and linke
 4. What a star can miss: in buckets whose members lie in more than one component, members outside
    the largest are compared with all others in cells of about CHUNK by CHUNK, first by sketch; members that have
    a near one in another component come again with their full sets, and a cell emits the links that join components.
-5. Components of all links.
+5. Where more than CHUNK members lie outside, a template far from the threshold has filled the bucket. The members of all such
+   buckets are dealt anew, by single shingles: ordered from rare to common, two sets at the threshold share one of the
+   first ninth of the smaller and the first fifth of the larger (at 0.8), so each member goes to the buckets of its first
+   shingles and those it owns alone or shares with its template are left behind. This loses no pair. The new buckets
+   are compared in cells as above.
+6. Components of all links.
 
 So pairs within a group are never all emitted, and no link between different sets is lost but by the chances above.
 Full sets are made again only for documents in pairs that passed the sketches.
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, mixed, written
+from .common import discard, documents_of, mixed, written
 from .components import components
 from .exact_dedup import Suspects, in_bloom
 
@@ -43,6 +48,8 @@ BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
 CHUNK = 1024
+#: Places in which the shingles of crowded buckets are counted, to tell rare from common; the order need not be exact.
+TALLY = 1 << 20
 #: Rows of a group in which chunks of buckets are compared, about.
 GROUP_ROWS = 4096
 
@@ -211,7 +218,10 @@ class _Confirm:
         a = sets.select(F.col("row").alias("a"), F.col("n_shingles").alias("na"), F.col("members").alias("ma"))
         b = sets.select(F.col("row").alias("b"), F.col("n_shingles").alias("nb"), F.col("members").alias("mb"))
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ma", "mb")))
-        return written(both.where(100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
+        links = written(both.where(100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
+        discard(pairs)
+        discard(sets)
+        return links
 
 
 def _cells(part: np.ndarray) -> list[np.ndarray]:
@@ -281,31 +291,106 @@ def _linked(percent: int):
     return run
 
 
-def _left_over(shared: DataFrame, found: DataFrame, confirm: _Confirm) -> DataFrame:
-    """Links a, b between components that the stars left apart."""
-    component = F.coalesce("component", F.col("row"))
-    in_bucket = shared.where("n > 2").select("key", "row").join(found.withColumnRenamed("node", "row"), "row", "left").select("key", "row", component.alias("component"))
-    in_bucket = written(in_bucket, "members")
-    per = in_bucket.groupBy("key", "component").agg(F.count("*").alias("n"))
-    top = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members")).where("top.n < members")
-    opened = top.select(
+def _place(members: np.ndarray) -> np.ndarray:
+    return (members.view(np.uint64) >> np.uint64(64 - TALLY.bit_length() + 1)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall on each place."""
+    n = np.zeros(TALLY, np.int64)
+    for batch in batches:
+        n += np.bincount(_place(batch.column("members").flatten().to_numpy()), minlength=TALLY)
+    at = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(at), pa.array(n[at])], ["place", "n"])
+
+
+def first_shingles(members: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles, rare ones first, of which a set at the threshold must hold one if it is no larger, and how many of them if it is no smaller."""
+    size = len(members)
+    order = np.lexsort((members, n))[: size + percent * size // -100 + 1]
+    return order, size + 2 * percent * size // -(100 + percent) + 1
+
+
+def _firsts(tally, percent: int):
+    """key, row, first of each first shingle that others may hold; first: a larger set must hold one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                keys, rows, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+                for row, members in zip(batch.column("row").to_numpy(), batch.column("members")):
+                    x = members.values.to_numpy()
+                    n = tally.value[_place(x)]
+                    order, short = first_shingles(x, n, percent)
+                    shared = n[order] > 1
+                    keys.append(x[order][shared])
+                    rows.append(np.full(shared.sum(), row))
+                    firsts.append((np.arange(len(order)) < short)[shared])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, rows, firsts)], ["key", "row", "first"])
+
+    return run
+
+
+def _dealt_anew(crowded: DataFrame, confirm: _Confirm) -> DataFrame:
+    """key, row, component, first: the members of crowded buckets in buckets of their first shingles."""
+    sets = confirm.sets(crowded.select("row"))
+    counted = sets.select("members").mapInArrow(_tally, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most TALLY rows
+    tally = np.zeros(TALLY, np.int64)
+    tally[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
+    firsts = sets.select("row", "members").mapInArrow(_firsts(sets.sparkSession.sparkContext.broadcast(tally), confirm.percent), "key long, row long, first boolean")
+    return written(firsts.join(crowded, "row").select("key", "row", "component", "first"), "first-shingles", even=False)
+
+
+def _opened(members: DataFrame) -> DataFrame:
+    """Buckets with members of several components: on the left those outside the largest, or those marked first where these are fewer."""
+    per = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.count_if("first").alias("firsts"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.sum("firsts").alias("firsts"))
+    outside = F.col("members") - F.col("top.n")
+    opened = top.where("top.n < members and firsts > 0").select(
         "key",
         F.col("top.component").alias("largest"),
+        (F.col("firsts") < outside).alias("by_first"),
         F.ceil(F.col("members") / CHUNK).cast("long").alias("chunks"),
-        F.ceil((F.col("members") - F.col("top.n")) / CHUNK).cast("long").alias("out_chunks"),
+        F.ceil(F.least(outside, "firsts") / CHUNK).cast("long").alias("left_chunks"),
     )
-    rows = in_bucket.join(written(opened, "opened"), "key").withColumn("outside", F.col("component") != F.col("largest"))
-    chunk, out_chunk = F.pmod(F.xxhash64("row"), F.col("chunks")), F.pmod(F.xxhash64("row"), F.col("out_chunks"))
+    return written(opened, "opened")
+
+
+def _in_cells(members: DataFrame, opened: DataFrame) -> DataFrame:
+    """row, component, outsider, part: the left of each bucket beside all of it, in cells."""
+    outside = F.when(F.col("by_first"), F.col("first")).otherwise(F.col("component") != F.col("largest"))
+    rows = members.join(opened, "key").withColumn("outside", outside)
+    chunk, left_chunk = F.pmod(F.xxhash64("row"), F.col("chunks")), F.pmod(F.xxhash64("row"), F.col("left_chunks"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    member = rows.select("key", "row", "component", F.lit(False).alias("outsider"), chunk.alias("i"), every("out_chunks").alias("j"))
-    out = rows.where("outside").select("key", "row", "component", F.lit(True).alias("outsider"), every("chunks").alias("i"), out_chunk.alias("j"))
-    cells = written(member.unionByName(out).select("row", "component", "outsider", F.xxhash64("key", "i", "j").alias("part")), "cells")
+    member = rows.select("key", "row", "component", F.lit(False).alias("outsider"), chunk.alias("i"), every("left_chunks").alias("j"))
+    left = rows.where("outside").select("key", "row", "component", F.lit(True).alias("outsider"), every("chunks").alias("i"), left_chunk.alias("j"))
+    return member.unionByName(left).select("row", "component", "outsider", F.xxhash64("key", "i", "j").alias("part"))
+
+
+def _left_over(shared: DataFrame, found: DataFrame, confirm: _Confirm) -> DataFrame:
+    """Links a, b between components that the stars left apart."""
+    component = F.coalesce("component", F.col("row"))
+    in_bucket = shared.where("n > 2").select("key", "row").join(found.withColumnRenamed("node", "row"), "row", "left").select("key", "row", component.alias("component"))
+    in_bucket = written(in_bucket.withColumn("first", F.lit(True)), "members")
+    opened = _opened(in_bucket)
+    cells, used = _in_cells(in_bucket, opened.where("left_chunks = 1")), [in_bucket, opened]
+    crowded = opened.where("left_chunks > 1")
+    if not crowded.isEmpty():
+        anew = _dealt_anew(written(in_bucket.join(crowded.select("key"), "key", "left_semi").select("row", "component").distinct(), "crowded"), confirm)
+        opened = _opened(anew)
+        cells, used = cells.unionByName(_in_cells(anew, opened)), [*used, anew, opened]
+    cells = written(cells, "cells")
     group = F.pmod("part", F.lit(max(1, cells.count() // GROUP_ROWS))).alias("g")
     sketched = cells.join(confirm.standing.select("row", "sketch"), "row").withColumn("g", group)
     near = written(sketched.groupBy("g").applyInArrow(_sketched(confirm.reach), "part long, row long, component long, outsider boolean"), "near")
     group = F.pmod("part", F.lit(max(1, near.count() // (GROUP_ROWS // 4)))).alias("g")
-    full = near.join(confirm.sets(near.select("row")), "row").withColumn("g", group)
-    return full.groupBy("g").applyInArrow(_linked(confirm.percent), "a long, b long")
+    sets = confirm.sets(near.select("row"))
+    full = near.join(sets, "row").withColumn("g", group)
+    links = written(full.groupBy("g").applyInArrow(_linked(confirm.percent), "a long, b long"), "links")
+    for table in [*used, cells, near, sets]:
+        discard(table)
+    return links
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -326,6 +411,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, similarity: float = 0.
     stars = shared.where("row <> pivot").select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
     found = components(confirm.links(stars))
     more = _left_over(shared, found, confirm)
+    for table in (buckets, shared, standing):
+        discard(table)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     of_class = classes.join(found.withColumnRenamed("node", "row"), "row", "left").select("set_key", "doc_id", F.coalesce("component", F.col("row")).alias("component"))

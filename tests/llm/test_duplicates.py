@@ -161,6 +161,57 @@ def test_near_duplicates_in_small_chunks(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(data, 2, 80)
 
 
+def of_template(n, seed=8, own=18):
+    """Documents of one template, at about 0.6 of each other; each tenth has a near copy at 0.8 or more."""
+    r = random.Random(seed)
+    template = [f"t{k}" for k in range(60)]
+    data = []
+    for k in range(n):
+        text = template + [f"o{r.randrange(10 * n)}" for _ in range(own + r.randrange(6))]
+        data.append((k, " ".join(text), "en", "src1", 1, 1, 2, 3, 4, 0.5))
+        if k % 10 == 0:
+            text[r.randrange(60, len(text))] = "other"
+            data.append((100_000 + k, " ".join(text), "en", "src1", 1, 1, 2, 3, 4, 0.5))
+    return data
+
+
+def test_template_is_compared_in_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    seen = {}
+
+    def noted(df, name, even=True):
+        table = common.written(df, name, even)
+        if name in ("cells", "first-shingles"):
+            seen.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dedup, "written", noted)
+    for n in (150, 600):
+        data = of_template(n)
+        got = near_dedup.near_duplicates(frame(spark, data), 2, 0.8)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(data, 2, 80)
+    cells, dealt = seen["cells"], seen["first-shingles"]
+    assert len(dealt) == 2
+    assert cells[1] < 4**1.1 * cells[0]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_first_shingles_meet(percent):
+    rng = np.random.default_rng(percent)
+    met = 0
+    for _ in range(3000):
+        both = rng.integers(1, 60)
+        x, y = (np.unique(np.r_[np.arange(both), 1000 * k + rng.integers(100, 900, rng.integers(0, 8))]) for k in (1, 2))
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        rarity = rng.integers(0, 3, 4000)
+        (of_x, short), (of_y, _) = (near_dedup.first_shingles(v, rarity[v], percent) for v in (x, y))
+        assert set(x[of_x][:short]) & set(y[of_y])
+        met += 1
+    assert met > 100
+
+
 def test_one_of_each(spark):
     data = varied(7, 4, 10)
     got = near_dedup.one_of_each(frame(spark, data)).collect()
