@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import average_ranks, bin_of, percentiles, placed
+from meridia.sources.workspace import discard, written
+
+from .ordered import bin_of, percentiles, placed, ranks_of, same_of
 
 
 def z_scores(df: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame:
@@ -38,7 +40,14 @@ def equal_bins(df: DataFrame, value: str, key: str, by: list[str], bins: int = 1
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, by: list[str], least: int = 30) -> DataFrame:
-    """by, n, ic: Spearman's correlation of each group of at least `least` rows where both are known."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_ranks(average_ranks(both, a, by, "_a"), b, by, "_b")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("ic")).where(F.col("n") >= least)
+    """by, n, ic: Spearman's correlation of each group of at least `least` rows where both are known.
+
+    df is evaluated once: ranks are joined back by value, and a mean of doubles that is summed again, in another order, need not be equal to itself.
+    """
+    both = written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_x"), F.col(b).alias("_y")), "pairs", even=False)
+    ranked = both
+    for value, name in (("_x", "_a"), ("_y", "_b")):
+        ranked = same_of(ranked, ranks_of(both, value, by, name), [*by, value], "left")
+    made = written(ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("ic")).where(F.col("n") >= least), "correlations")
+    discard(both)
+    return made
