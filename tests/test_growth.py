@@ -27,3 +27,7 @@ def scans(df, name):
 @pytest.mark.parametrize("plan", ["prices_asof", "benchmark_return"])
 def test_prices_at_the_dates_keep_no_wide_table(spark, plan):
     assert names_kept(spark, plan) == {"probed_prices"}
+
+
+def test_interaction_diagnostic_reads_its_signals_as_they_were_kept(spark):
+    assert {"bt_value", "bt_piotroski", "known_statements"} <= names_kept(spark, "interaction_diagnostic")
