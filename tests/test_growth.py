@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from meridia.plans import strategies
 from meridia.plans.catalog import PLANS
 from meridia.sources import domain
 from meridia.sources.domain import Tables
@@ -20,10 +21,6 @@ def names_kept(spark, plan):
     return {name for app, folder, name in domain._WRITTEN if app == spark.sparkContext.applicationId and folder == FOLDER}
 
 
-def scans(df, name):
-    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
-
-
 @pytest.mark.parametrize("plan", ["prices_asof", "benchmark_return"])
 def test_prices_at_the_dates_keep_no_wide_table(spark, plan):
     assert names_kept(spark, plan) == {"probed_prices"}
@@ -31,3 +28,13 @@ def test_prices_at_the_dates_keep_no_wide_table(spark, plan):
 
 def test_interaction_diagnostic_reads_its_signals_as_they_were_kept(spark):
     assert {"bt_value", "bt_piotroski", "known_statements"} <= names_kept(spark, "interaction_diagnostic")
+
+
+def test_a_run_is_a_union_of_written_rows(spark):
+    """A union of limits runs as one task, with the memory of every plan in it."""
+    plan = strategies.run_of(Tables(spark, FOLDER), strategies.RUN_SEED)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Join" not in plan
+
+
+def test_positions_are_kept_for_all_that_read_them(spark):
+    assert "positions_365" in names_kept(spark, "smart_institution_holdings")
