@@ -1,6 +1,7 @@
 """What a plan derives and keeps: facts are passed over once for each rollup, and wide tables only as far as they are asked for."""
 
 import os
+from datetime import date
 
 import pytest
 
@@ -38,3 +39,35 @@ def test_a_run_is_a_union_of_written_rows(spark):
 
 def test_positions_are_kept_for_all_that_read_them(spark):
     assert "positions_365" in names_kept(spark, "smart_institution_holdings")
+
+
+def test_both_kinds_of_holders_come_from_one_pass_over_the_facts(spark):
+    assert "moves" in names_kept(spark, "inst_flow") & names_kept(spark, "fund_flow")
+
+
+def test_holders_of_one_name_are_added_up_by_their_last_period(spark, tmp_path):
+    """Two suppliers share a name: one filed last in March, the other in May and June; a third is alone in its name."""
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date"
+    sold = [(1, "N", 5.0, "2001-03-02"), (1, "R", 2.0, "2001-01-09"), (2, "N", 7.25, "2001-05-03"), (2, "N", 1.0, "2001-06-01"), (2, "R", 3.0, "2001-06-30"), (2, "N", 9.0, "2001-07-01"), (3, "N", 4.0, "2001-06-15")]
+    rows = [(k, 1, s, flag, q, q, 0.0, 0.0, date.fromisoformat(d)) for k, (s, flag, q, d) in enumerate(sold)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "same", 0), (2, "same", 0), (3, "other", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "land")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    t = Tables(spark, str(tmp_path))
+    held = lambda df: {r.holder_name: (str(r.report_date), r.shares_held, r.change_shares) for r in df.collect()}
+    assert held(t.institutional_holders) == {"same": ("2001-06-30", 8250.0, 5250.0), "other": ("2001-06-30", 4000.0, 4000.0)}
+    assert held(t.fund_holders)["land"] == ("2001-06-30", 12250.0, None if len("land") % 5 == 4 else 2000.0)
+
+
+def test_moves_are_not_sent_to_the_driver(spark):
+    """They grow with the facts; the names that they meet grow with the suppliers."""
+    t = Tables(spark, FOLDER)
+    t.forget()
+    seen = []
+    before, domain.written = domain.written, lambda df, name, **k: seen.append((name, df._jdf.queryExecution().executedPlan().toString())) or before(df, name, **k)
+    try:
+        t.institutional_holders
+    finally:
+        domain.written = before
+    assert "SortMergeJoin" in dict(seen)["held"]
