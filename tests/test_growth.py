@@ -5,7 +5,7 @@ from datetime import date
 
 import pytest
 
-from meridia.plans import strategies
+from meridia.plans import payloads, strategies
 from meridia.plans.catalog import PLANS
 from meridia.sources import domain
 from meridia.sources.domain import Tables
@@ -60,6 +60,13 @@ def test_holders_of_one_name_are_added_up_by_their_last_period(spark, tmp_path):
     assert held(t.fund_holders)["land"] == ("2001-06-30", 12250.0, None if len("land") % 5 == 4 else 2000.0)
 
 
+def test_payloads_are_put_together_without_a_broadcast(spark):
+    """Joined part by part, a ticker's holders were taken for a small table and sent whole to the driver."""
+    t = Tables(spark, FOLDER)
+    plan = payloads.fundamentals_payloads(t)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
 def test_moves_are_not_sent_to_the_driver(spark):
     """They grow with the facts; the names that they meet grow with the suppliers."""
     t = Tables(spark, FOLDER)
