@@ -78,3 +78,8 @@ def test_moves_are_not_sent_to_the_driver(spark):
     finally:
         domain.written = before
     assert "SortMergeJoin" in dict(seen)["held"]
+
+
+def test_holders_with_their_prices_are_not_sent_to_the_driver(spark):
+    plan = strategies._priced_positions(Tables(spark, FOLDER), 365)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
