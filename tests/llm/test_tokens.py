@@ -151,3 +151,32 @@ def test_encoder_is_the_library(monkeypatch):
     assert list(encoder.column(pa.array(texts))) == want
     assert list(map(encoder.encode, texts)) == want
     assert list(encoder.column(pa.array([None, ""], pa.string()))) == [b"", b""]
+
+
+def test_words_reach_the_model_once_and_alone(monkeypatch):
+    """Latin words skip the pre-tokenizer and stay in the memo; what is no word, or may be two pre-tokens, does not skip it."""
+    import random
+
+    import pyarrow as pa
+
+    from meridia.llm import tokenize
+
+    r = random.Random(3)
+    letters = "aeiouñöéßłŸDŁstrnǃɏªº×÷ʼκж1́"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 5))) + r.choice(["", "", ",", ".)", "\n"]) for _ in range(40)) for _ in range(200)]
+    want = [array("I", e.ids).tobytes() for e in load(BYTES).encode_batch_fast(texts, add_special_tokens=False)]
+    asked = []
+    whole, model = tokenize.Encoder._new, tokenize.Encoder._modelled
+    monkeypatch.setattr(tokenize.Encoder, "_new", lambda self, parts: asked.extend(parts) or whole(self, parts))
+    monkeypatch.setattr(tokenize.Encoder, "_modelled", lambda self, words: asked.extend(words.to_pylist()) or model(self, words))
+    for most in (tokenize.WORDS, 50):
+        monkeypatch.setattr(tokenize, "WORDS", most)
+        encoder = tokenize.Encoder(BYTES)
+        for k in range(0, 200, 20):
+            assert list(encoder.column(pa.array(texts[k : k + 20]))) == want[k : k + 20]
+    asked.clear()
+    encoder = tokenize.Encoder(BYTES)
+    monkeypatch.setattr(tokenize.Encoder, "_new", lambda self, parts: asked.extend(["whole"] * sum(any(c.isalpha() for c in p) for p in parts)) or whole(self, parts))
+    for _ in range(2):
+        list(encoder.column(pa.array(["Some words, söme wörds.", "words some"])))
+    assert sorted(asked) == sorted(["Some", " words", " söme", " wörds", "words", " some"])
