@@ -83,3 +83,16 @@ def test_moves_are_not_sent_to_the_driver(spark):
 def test_holders_with_their_prices_are_not_sent_to_the_driver(spark):
     plan = strategies._priced_positions(Tables(spark, FOLDER), 365)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan
+
+
+def test_suppliers_are_grouped_by_so_many_rows_a_task(spark, monkeypatch):
+    """Merged into a task a core, the groups outgrew a task's memory as the facts grew, and were spilled at each step."""
+    t = Tables(spark, FOLDER)
+    t.forget()
+    n = t.read("lineitem").count()
+    seen = []
+    monkeypatch.setattr(domain, "ROWS", 1000)
+    monkeypatch.setattr(domain, "written", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    t.moves
+    t.forget()
+    assert f"{-(-n // 1000)}), REPARTITION_BY_NUM" in seen[0]
