@@ -96,3 +96,27 @@ def test_suppliers_are_grouped_by_so_many_rows_a_task(spark, monkeypatch):
     t.moves
     t.forget()
     assert f"{-(-n // 1000)}), REPARTITION_BY_NUM" in seen[0]
+
+
+def test_amounts_are_added_up_exactly_and_mostly_as_whole_numbers(spark, tmp_path):
+    """Values with more digits, large ones and nulls give what decimals alone give."""
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date"
+    odd = [0.07, 1.005, 0.005, -0.015, 1.15, 0.29, 999999.99, 1e6, 1000000.01, 123456789012.34, -3.0, 0.1 + 0.2, None]
+    rows = []
+    for k, (q, x) in enumerate((q, x) for q in odd for x in odd):
+        rows.append((k, 1, k % 3 + 1, "NRA"[k % 3], q, x, (0.05, 0.105, None, 1.0)[k % 4], (0.08, 0.0, 0.015)[k % 3], date(2001, 1 + k % 5, 3)))
+    rows.append((999, 1, 9, "N", None, None, None, None, date(2001, 6, 1)))
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    by = ["ticker", "date", "l_returnflag"]
+    sums = {c: "sum" for c in ("n", "q", "x", "net", "taxed")}
+    want = t.measured.groupBy(*by).agg(sums | {"top": "max", "bottom": "min"})
+    want = want.select(*by, *[want[f"sum({c})"].alias(c) for c in sums], want["max(top)"].alias("top"), want["min(bottom)"].alias("bottom"))
+    assert t.daily.dtypes == want.dtypes
+    key = lambda r: str(r[:3])
+    assert sorted(t.daily.collect(), key=key) == sorted(want.collect(), key=key)
+    q = t.lines.selectExpr("l_suppkey", "cast(if(l_returnflag = 'R', -q, q) * 1000 as bigint) m").groupBy("l_suppkey").sum("m")
+    assert sorted((r.l_suppkey, r.moved) for r in t.moves.collect()) == sorted(tuple(r) for r in q.collect())
+    plan = t.lines.where(domain.plain("l_quantity")).select(domain.hundredths("l_quantity").alias("h"), "q")
+    assert plan.count() and all(r.h == int(r.q * 100) for r in plan.collect())
