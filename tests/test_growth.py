@@ -120,3 +120,63 @@ def test_amounts_are_added_up_exactly_and_mostly_as_whole_numbers(spark, tmp_pat
     assert sorted((r.l_suppkey, r.moved) for r in t.moves.collect()) == sorted(tuple(r) for r in q.collect())
     plan = t.lines.where(domain.plain("l_quantity")).select(domain.hundredths("l_quantity").alias("h"), "q")
     assert plan.count() and all(r.h == int(r.q * 100) for r in plan.collect())
+
+
+def folder_of(spark, path, rows, parts):
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date"
+    spark.createDataFrame([(k, *r[:4], r[3], 0.05, 0.02, date.fromisoformat(r[4])) for k, r in enumerate(rows)], line).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{path}/part.parquet")
+    return Tables(spark, str(path))
+
+
+def test_last_months_and_quarters_come_from_one_shuffle_read_twice(spark, tmp_path, monkeypatch):
+    """Grouped by quarter first, most groups had one row. A part without a brand, whose shares count for a holder's book, and one whose brand is empty stay apart."""
+    rows = [(1, 1, "N", 5.0, "2000-12-31"), (1, 1, "N", 2.0, "2001-01-01"), (1, 1, "R", 1.0, "2001-01-31"), (1, 1, "N", 4.0, "2001-03-31"), (1, 1, "N", None, "2001-03-01"), (1, 2, "N", None, "2000-05-01")]
+    rows += [(2, 1, "N", 7.0, "2001-02-01"), (3, 1, "N", 9.0, "2001-06-30"), (3, 1, "N", 1.0, "2001-04-01"), (1, None, "N", 3.0, "2001-04-01"), (1, 1, "N", 8.0, "2001-07-01")]
+    t = folder_of(spark, tmp_path, rows, [(1, "Brand#1"), (2, None), (3, "")])
+    monkeypatch.setattr(domain, "written", lambda df, name: df)
+    moves = t.moves
+    got = {(r.ticker, r.l_suppkey): (r.moved, str(r.quarter), r.in_quarter, str(r.month), r.in_month) for r in moves.collect()}
+    assert got == {
+        ("Brand#1", 1): (10000, "2001-03-31", 5000, "2001-03-31", 4000),
+        ("Brand#1", 2): (None, "2000-06-30", None, "2000-05-31", None),
+        (None, 1): (7000, "2001-03-31", 7000, "2001-02-28", 7000),
+        ("", 1): (10000, "2001-06-30", 10000, "2001-06-30", 9000),
+    }
+    plan = moves._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_no_wide_decimal_is_added_up_for_each_line_item(spark, tmp_path, monkeypatch):
+    """A sum of wide decimals, though of nulls, made objects for every row; now they come after the rows were combined."""
+    t = folder_of(spark, tmp_path, [(1, 1, "N", 5.0, "2001-01-01"), (1, 1, "N", 1e7, "2001-01-01"), (1, 1, "N", 1e7, "2001-01-01")], [(1, "Brand#1")])
+    monkeypatch.setattr(domain, "written", lambda df, name: df)
+    found = t.daily
+    assert [(r.n, str(r.q), str(r.net)) for r in found.collect()] == [(3, "20000005.00", "19000004.7500")]
+    lowest = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "HashAggregate" in x][-1]
+    assert "sum" in lowest and "decimal" not in lowest
+
+
+def test_holdings_have_one_row_a_holder_and_ticker(spark):
+    """So the last filing of each needs no grouping, which sorted all holders."""
+    t = Tables(spark, FOLDER)
+    rows = t.institutional_holders.groupBy("ticker", "holder_name").count()
+    assert rows.where("count > 1").count() == 0 and rows.count() > 0
+    assert "Aggregate [holder_name" not in strategies._priced_positions(t, 365)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_owners_who_buy_or_sell_are_grouped(spark):
+    rows = [("T", date(2024, 1, 20), o, r, c) for o, r, c in [("a", "x", "P"), ("a", "y", "P"), ("b", "x", "S"), ("c", "x", "A"), ("d", "x", "A"), (None, "x", "P")]] + [("T", date(2024, 1, 29), "e", "x", "A")]
+    t = Tables(spark, FOLDER)
+    t.insider_transactions = spark.createDataFrame(rows, "ticker string, transaction_date date, owner_name string, relationship string, transaction_code string")
+    got = strategies._insiders(t, 30)
+    r = got.first()
+    assert (r.buyers, r.sellers, r.buy_trades, r.sell_trades, r.buyer_names, r.seller_names, str(r.latest_activity)) == (1, 1, 3, 1, "a", "b", "2024-01-29")
+    assert "relationship" not in got._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_the_configured_benchmarks_need_no_python_worker(spark):
+    from meridia.plans.newsletter import index_overview
+
+    plan = index_overview(Tables(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "ExistingRDD" not in plan
